@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, neardup, packing, quality, secrets, substrings
+from . import decontam, linededup, neardup, packing, quality, secrets, sharding, substrings, toxicity
 from .common import table
 
 
@@ -17,6 +17,15 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents with the items that contaminate them; clean documents have no row."""
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -29,6 +38,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_components(table(spark, sf_dir, "documents"), n=2, percent=80)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -44,9 +57,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
     "op4_packing": op4_packing,
     "op5_repeated_substrings": op5_repeated_substrings,
     "op6_near_dedup": op6_near_dedup,
+    "op7_sharding": op7_sharding,
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
