@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, neardup, packing, quality, secrets, sharding, substrings, toxicity
+from . import decontam, linededup, neardup, packing, pii, quality, secrets, sharding, substrings, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key=b"hirelake surrogates")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -59,6 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_packing": op4_packing,
     "op5_repeated_substrings": op5_repeated_substrings,
     "op6_near_dedup": op6_near_dedup,
