@@ -87,19 +87,19 @@ def paginate(rows: DataFrame, order: list, page: int, size: int) -> DataFrame:
 
 
 def digest_sections(vacancies: DataFrame, specialists: DataFrame, sources: DataFrame, end: str, hours: int = 24, most: int = 20) -> DataFrame:
-    """section, id, role, at, message_url, position: the newest ``most`` new and updated entities of the window that ends at ``end``."""
+    """section, id, role, moment, message_url, position: the newest ``most`` new and updated entities of the window that ends at ``end``."""
     stop = F.lit(end).cast("timestamp")
     start = stop - F.expr(f"INTERVAL {hours} HOURS")
     inside = lambda c: (F.col(c) >= start) & (F.col(c) < stop)
     parts = []
     for kind, rows in (("vacancy", vacancies), ("specialist", specialists)):
         rows = rows.where(F.col("status") != "hidden")
-        parts.append(rows.where(inside("created_at")).select(F.lit(f"new_{kind}").alias("section"), F.lit(kind).alias("entity_type"), "id", "role", F.col("created_at").alias("at")))
+        parts.append(rows.where(inside("created_at")).select(F.lit(f"new_{kind}").alias("section"), F.lit(kind).alias("entity_type"), "id", "role", F.col("created_at").alias("moment")))
         late = inside("updated_at") & (F.col("created_at") < start) & (F.col("updated_at") > F.col("created_at"))
-        parts.append(rows.where(late).select(F.lit(f"updated_{kind}").alias("section"), F.lit(kind).alias("entity_type"), "id", "role", F.col("updated_at").alias("at")))
-    w = Window.partitionBy("section").orderBy(F.desc("at"), F.desc("id"))
+        parts.append(rows.where(late).select(F.lit(f"updated_{kind}").alias("section"), F.lit(kind).alias("entity_type"), "id", "role", F.col("updated_at").alias("moment")))
+    w = Window.partitionBy("section").orderBy(F.desc("moment"), F.desc("id"))
     top = reduce(lambda a, b: a.unionByName(b), parts).withColumn("position", F.row_number().over(w)).where(F.col("position") <= most)
     # links of the survivors only
     mine = sources.where(F.col("message_url").isNotNull()).join(F.broadcast(top.select("entity_type", F.col("id").alias("entity_id")).distinct()), ["entity_type", "entity_id"], "left_semi")
     links = mine.groupBy("entity_type", F.col("entity_id").alias("id")).agg(F.max_by("message_url", F.struct("created_at", "id")).alias("message_url"))
-    return top.join(links, ["entity_type", "id"], "left").select("section", "id", "role", "at", "message_url", "position")
+    return top.join(links, ["entity_type", "id"], "left").select("section", "id", "role", "moment", "message_url", "position")

@@ -39,10 +39,9 @@ def lexical_search(entities: DataFrame, queries: DataFrame, k: int, as_of: str)
     """query_id, id, sim, rank: for each (query_id, query) the newest k active entities that have its first 80 characters as a LIKE pattern.
 
     The queries are a stated set against all rows."""
-    pattern = F.concat(F.lit("%"), F.lower(F.left("query", F.lit(80))), F.lit("%"))
+    pattern = F.concat(F.lit("%"), F.lower(F.substring("query", 1, 80)), F.lit("%"))
     q = queries.select("query_id", pattern.alias("pattern"))
-    hay = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("role", "description", "original_text")]
-    hit = reduce(lambda a, b: a | b, [h.like(F.col("pattern")) for h in hay])
+    hit = F.expr(" OR ".join(f"lower(coalesce({c}, '')) LIKE pattern" for c in ("role", "description", "original_text")))
     found = active(entities, as_of).join(F.broadcast(q) if queries.limit(10_001).count() <= 10_000 else q, hit)
     w = Window.partitionBy("query_id").orderBy(F.desc("updated_at"), F.desc("id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", F.lit(0.0).alias("sim"), "rank")

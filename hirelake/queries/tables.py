@@ -141,7 +141,7 @@ def export_active_matches(spark, d):
     return J.active_matches(*[table(spark, d, t) for t in ("matches", "vacancies", "specialists")]).select("vacancy_id", "specialist_id", "similarity_score", "rank")
 
 
-@query("partner_mention", with_tables("""SELECT doc_id, (SELECT arg_min(word, k) FROM (VALUES ('ing', 1), ('ción', 2), ('heit', 3), ('eau', 4)) w(word, k) WHERE contains(lower(text), word)) AS partner FROM documents"""))
+@query("partner_mention", "SELECT doc_id, CASE WHEN contains(lower(text), 'ing') THEN 'ing' WHEN contains(lower(text), 'ción') THEN 'ción' WHEN contains(lower(text), 'heit') THEN 'heit' WHEN contains(lower(text), 'eau') THEN 'eau' END AS partner FROM documents")
 def partner_mention(spark, d):
     names = spark.createDataFrame([("ing", 9), ("ción", 8), ("heit", 7), ("eau", 6), ("never", 0)], "canonical_name string, mentions_count long")
     return J.partner_mention(table(spark, d, "documents"), names, "doc_id", "text")
@@ -212,12 +212,12 @@ def paginate(spark, d):
 def _section(kind: str, rows: str) -> str:
     start = "TIMESTAMP '2024-02-20 13:00:00' - INTERVAL 24 HOUR"
     inside = lambda c: f"{c} >= {start} AND {c} < TIMESTAMP '2024-02-20 13:00:00'"
-    new = f"SELECT 'new_{kind}' AS section, '{kind}' AS entity_type, id, role, created_at AS at FROM {rows} WHERE status <> 'hidden' AND {inside('created_at')}"
+    new = f"SELECT 'new_{kind}' AS section, '{kind}' AS entity_type, id, role, created_at AS moment FROM {rows} WHERE status <> 'hidden' AND {inside('created_at')}"
     old = f"SELECT 'updated_{kind}', '{kind}', id, role, updated_at FROM {rows} WHERE status <> 'hidden' AND {inside('updated_at')} AND created_at < {start} AND updated_at > created_at"
     return f"{new} UNION ALL {old}"
 
 
-@query("digest_sections", with_tables(f"""SELECT section, t.id, role, at, l.message_url, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY at DESC, id DESC) AS position FROM ({_section('vacancy', 'vacancies')} UNION ALL {_section('specialist', 'specialists')}) u) t
+@query("digest_sections", with_tables(f"""SELECT section, t.id, role, moment, l.message_url, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY moment DESC, id DESC) AS position FROM ({_section('vacancy', 'vacancies')} UNION ALL {_section('specialist', 'specialists')}) u) t
  LEFT JOIN (SELECT entity_type, entity_id, arg_max(message_url, created_at + CAST(id AS INT) * INTERVAL '1' MICROSECOND) AS message_url FROM sources WHERE message_url IS NOT NULL GROUP BY 1, 2) l ON l.entity_type = t.entity_type AND l.entity_id = t.id WHERE position <= 20""", "vacancies", "specialists", "sources"))
 def digest_sections(spark, d):
     return A.digest_sections(*[table(spark, d, t) for t in ("vacancies", "specialists", "sources")], end="2024-02-20 13:00:00")
