@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import matching, tables  # noqa: E402, F401
+from . import matching, tables, text  # noqa: E402, F401

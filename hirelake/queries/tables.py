@@ -210,8 +210,8 @@ def paginate(spark, d):
 
 
 def _section(kind: str, rows: str) -> str:
-    start = "TIMESTAMP '2024-02-20 13:00:00' - INTERVAL 24 HOUR"
-    inside = lambda c: f"{c} >= {start} AND {c} < TIMESTAMP '2024-02-20 13:00:00'"
+    start = "TIMESTAMP '2024-02-02 13:00:00' - INTERVAL 24 HOUR"
+    inside = lambda c: f"{c} >= {start} AND {c} < TIMESTAMP '2024-02-02 13:00:00'"
     new = f"SELECT 'new_{kind}' AS section, '{kind}' AS entity_type, id, role, created_at AS moment FROM {rows} WHERE status <> 'hidden' AND {inside('created_at')}"
     old = f"SELECT 'updated_{kind}', '{kind}', id, role, updated_at FROM {rows} WHERE status <> 'hidden' AND {inside('updated_at')} AND created_at < {start} AND updated_at > created_at"
     return f"{new} UNION ALL {old}"
@@ -220,7 +220,7 @@ def _section(kind: str, rows: str) -> str:
 @query("digest_sections", with_tables(f"""SELECT section, t.id, role, moment, l.message_url, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY moment DESC, id DESC) AS position FROM ({_section('vacancy', 'vacancies')} UNION ALL {_section('specialist', 'specialists')}) u) t
  LEFT JOIN (SELECT entity_type, entity_id, arg_max(message_url, created_at + CAST(id AS INT) * INTERVAL '1' MICROSECOND) AS message_url FROM sources WHERE message_url IS NOT NULL GROUP BY 1, 2) l ON l.entity_type = t.entity_type AND l.entity_id = t.id WHERE position <= 20""", "vacancies", "specialists", "sources"))
 def digest_sections(spark, d):
-    return A.digest_sections(*[table(spark, d, t) for t in ("vacancies", "specialists", "sources")], end="2024-02-20 13:00:00")
+    return A.digest_sections(*[table(spark, d, t) for t in ("vacancies", "specialists", "sources")], end="2024-02-02 13:00:00")
 
 
 @query("vector_topk", """SELECT query_id, id, sim, CAST(rank AS INT) AS rank FROM (SELECT query_id, id, greatest(0.0, least(1.0, round(sim, 6))) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM
