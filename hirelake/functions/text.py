@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .matching import IU, _c, distinct_by, strip
@@ -57,27 +57,32 @@ def vacancy_hint(x: Column | str) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(h)) for h in VACANCY_HINTS])
 
 
-def pre_classify(normalized: Column | str) -> Column:
-    """struct(kind, confidence, is_confident, reason, vacancy_hint) of a normalized line."""
+def bench_signals(normalized: Column | str) -> Column:
+    """struct(confidence, vacancy_hint) of a normalized line: how much it looks like a specialist's card."""
     t = _c(normalized)
     hint = vacancy_hint(t)
     points = lambda cond, n: F.when(cond, n).otherwise(0.0)
     words = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""))
     score = points(has(t, GRADE), 0.20) + points(has(t, EXPERIENCE), 0.25) + points(has(t, RATE), 0.25) + points(has(t, CV), 0.25) - points(hint, 0.35) + points((words >= 4) & ~hint, 0.10)
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 10)
+    return F.struct(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 10).alias("confidence"), hint.alias("vacancy_hint"))
+
+
+def pre_classify(signals: Column | str) -> Column:
+    """struct(kind, confidence, is_confident, reason, vacancy_hint) from a line's signals."""
+    score, hint = _c(signals)["confidence"], _c(signals)["vacancy_hint"]
     sure = (score >= 0.70) & ~hint
     reason = F.when(sure, "bench_card_rule_match").when(hint, "vacancy_hints_present").when(score >= 0.45, "weak_bench_signal").otherwise("no_match")
     return F.struct(F.when(sure, "BENCH").otherwise("UNKNOWN").alias("kind"), score.alias("confidence"), sure.alias("is_confident"), reason.alias("reason"), hint.alias("vacancy_hint"))
 
 
-def split_bench_lines(x: Column | str) -> Column:
-    """array<struct<idx, text>> of the lines of a list of cards; empty if the text is none."""
-    numbered = F.transform(lines(x), lambda v, i: F.struct((i + 1).alias("idx"), normalize_bench_line(F.regexp_replace(strip(v), r"(?U)^[\-•\d).\s]+", "")).alias("text")))
-    full = F.filter(numbered, lambda s: s["text"] != "")
-    judged = F.transform(full, lambda s: F.struct(s["idx"].alias("idx"), s["text"].alias("text"), pre_classify(s["text"]).alias("p")))
-    hits = F.transform(F.filter(judged, lambda s: (s["p"]["confidence"] >= 0.55) & ~s["p"]["vacancy_hint"]), lambda s: F.struct(s["idx"].alias("idx"), s["text"].alias("text")))
-    enough = (F.size(full) >= 2) & (F.size(hits) >= 2) & (F.size(hits) >= F.floor(F.size(full) * 0.6))
-    return F.when(enough, hits).otherwise(F.filter(hits, lambda s: F.lit(False)))
+def split_bench_lines(df: DataFrame, id: str, text: str) -> DataFrame:
+    """id, idx, text: the lines of texts that are lists of cards; other texts have no row."""
+    numbered = F.transform(lines(text), lambda v, i: F.struct((i + 1).alias("idx"), normalize_bench_line(F.regexp_replace(strip(v), r"(?U)^[\-•\d).\s]+", "")).alias("text")))
+    rows = df.select(id, F.filter(numbered, lambda s: s["text"] != "").alias("_full")).where(F.size("_full") >= 2)
+    rows = rows.select(id, F.size("_full").alias("_n"), F.transform("_full", lambda s: F.struct(s["idx"].alias("idx"), s["text"].alias("text"), bench_signals(s["text"]).alias("p"))).alias("_j"))
+    rows = rows.select(id, "_n", F.filter("_j", lambda s: (s["p"]["confidence"] >= 0.55) & ~s["p"]["vacancy_hint"]).alias("_hits"))
+    enough = (F.size("_hits") >= 2) & (F.size("_hits") >= F.floor(F.col("_n") * 0.6))
+    return rows.where(enough).select(id, F.explode("_hits").alias("_u")).select(id, "_u.idx", "_u.text")
 
 
 def hybrid_decision(pre: Column | str, forced: Column, label: Column, threshold: float = 0.55) -> Column:

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import matching as M
 from hirelake.operators.filters import active
+from hirelake.session import cut
+
+#: What pairs carry of an entity; texts and vectors stay behind.
+CARRIED = ("id", "is_internal", "primary_labels", "secondary_tokens", "tooling_labels", "meaningful_tokens", "catalog", "grade_level", "rate_anchor", "location_tokens", "work_formats")
 
 
 def _column(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -47,6 +51,14 @@ def features(entities: DataFrame, kind: str, legacy: bool = False) -> DataFrame:
     ).drop("_texts", "_role", "_labels", "_by_role")
 
 
+def carried(entities: DataFrame, kind: str, as_of: str, legacy: bool = False) -> DataFrame:
+    """The features of the active entities, computed once and stored: many pairs read them."""
+    df = features(active(entities, as_of), kind, legacy)
+    if "is_internal" not in df.columns:
+        df = df.withColumn("is_internal", F.lit(False))
+    return cut(df.select(*CARRIED))
+
+
 def stack_gate(required: str = "v", candidate: str = "s") -> Column:
     r, c = (lambda n: F.col(f"{required}.{n}")), (lambda n: F.col(f"{candidate}.{n}"))
     catalogs = r("catalog").isNotNull() & c("catalog").isNotNull()
@@ -100,14 +112,14 @@ def ranked(scored: DataFrame, order: list[Column], k: int | None = None) -> Data
 
 def rank_specialists(vacancies: DataFrame, specialists: DataFrame, as_of: str, k: int | None = 20, legacy: bool = False) -> DataFrame:
     """vacancy_id, specialist_id, score parts, score, rank: the best specialists of each active vacancy."""
-    v, s = features(active(vacancies, as_of), "VACANCY", legacy), features(active(specialists, as_of), "BENCH", legacy)
+    v, s = carried(vacancies, "VACANCY", as_of, legacy), carried(specialists, "BENCH", as_of, legacy)
     out = ranked(score_pairs(candidate_pairs(v, s), "v", legacy), specialist_order(), k)
     return out.select(F.col("v.id").alias("vacancy_id"), F.col("s.id").alias("specialist_id"), "secondary_score", "grade_score", "rate_score", "location_score", "score", "rank")
 
 
 def rank_vacancies(specialists: DataFrame, vacancies: DataFrame, as_of: str, k: int | None = 20) -> DataFrame:
     """specialist_id, vacancy_id, score, rank: the best vacancies of each active specialist, who is the required side."""
-    s, v = features(active(specialists, as_of), "BENCH"), features(active(vacancies, as_of), "VACANCY")
+    s, v = carried(specialists, "BENCH", as_of), carried(vacancies, "VACANCY", as_of)
     pairs = candidate_pairs(v, s).select(F.col("s").alias("v"), F.col("v").alias("s"))  # gates are symmetric, scores are not
     out = ranked(score_pairs(pairs, "s"), vacancy_order(), k)
     return out.select(F.col("v.id").alias("specialist_id"), F.col("s.id").alias("vacancy_id"), "grade_score", "rate_score", "score", "rank")
@@ -115,8 +127,8 @@ def rank_vacancies(specialists: DataFrame, vacancies: DataFrame, as_of: str, k:
 
 def revalidate(stored: DataFrame, vacancies: DataFrame, specialists: DataFrame, as_of: str) -> DataFrame:
     """Stored matches scored again with the stored score as similarity; those that fail a gate now are gone."""
-    v = features(active(vacancies, as_of), "VACANCY").select(F.struct("*").alias("v"))
-    s = features(active(specialists, as_of), "BENCH").select(F.struct("*").alias("s"))
+    v = carried(vacancies, "VACANCY", as_of).select(F.struct("*").alias("v"))
+    s = carried(specialists, "BENCH", as_of).select(F.struct("*").alias("s"))
     pairs = stored.join(v, F.col("vacancy_id") == F.col("v.id")).join(s, F.col("specialist_id") == F.col("s.id")).where(stack_gate())
     keyed = pairs.withColumn("v", F.struct("v.*", F.col("similarity_score").alias("stored")))
     out = score_pairs(keyed, "v", sim=F.col("v.stored"))

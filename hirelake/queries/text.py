@@ -14,14 +14,13 @@ from . import query
 
 @query("pre_classify")
 def pre_classify(spark, d):
-    line = T.normalize_bench_line("text")
-    return table(spark, d, "documents").select("doc_id", line.alias("line")).select("doc_id", T.pre_classify("line").alias("p")).select("doc_id", "p.*")
+    lines = table(spark, d, "documents").select("doc_id", T.normalize_bench_line("text").alias("line"))
+    return lines.select("doc_id", T.bench_signals("line").alias("s")).select("doc_id", T.pre_classify("s").alias("p")).select("doc_id", "p.*")
 
 
 @query("split_bench_lines")
 def split_bench_lines(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(T.split_bench_lines("text")).alias("u"))
-    return rows.select("doc_id", "u.idx", "u.text")
+    return T.split_bench_lines(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("extract_contacts", "SELECT doc_id, list_sort(list_distinct(list_concat(regexp_extract_all(text, '@[A-Za-z0-9_]{4,64}'), regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}'), list_filter(list_transform(regexp_extract_all(text, '(?:(?:\\+7|7|8)\\s*)?(?:\\(?\\d{3}\\)?\\s*)?\\d{3}[\\s\\-]?\\d{2}[\\s\\-]?\\d{2}'), lambda x: trim(x)), lambda x: length(regexp_replace(x, '\\D', '', 'g')) >= 10)))) AS contacts FROM documents")
@@ -128,6 +127,6 @@ def format_rate(spark, d):
 
 @query("hybrid_decision")
 def hybrid_decision(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", T.pre_classify(T.normalize_bench_line("text")).alias("p"))
+    docs = table(spark, d, "documents").select("doc_id", T.normalize_bench_line("text").alias("line")).select("doc_id", T.bench_signals("line").alias("s")).select("doc_id", T.pre_classify("s").alias("p"))
     rows = docs.join(table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "VACANCY").otherwise("OTHER").alias("label")), "doc_id", "left")
     return rows.select("doc_id", T.hybrid_decision("p", F.lit(None).cast("string"), F.col("label")).alias("x")).select("doc_id", "x.*")
