@@ -59,12 +59,15 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int,
         if longest > 2 * size:  # look for matches of that length first
             size = longest
             continue
+        before = len(found)
         for n, i, d in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
             if free_i[i : i + n].all() and free_d[d : d + n].all():
                 free_i[i : i + n] = free_d[d : d + n] = False
                 found.append((i, d, n))
         if size == least:
-            return found
+            if len(found) == before:
+                return found
+            continue  # what a longer tile has cut short may still be long enough
         size = max(least, size // 2)
 
 
