@@ -73,4 +73,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _secret_sql() -> str:
+    """Every rule run over every text; spans from the lengths of the pieces between the matches."""
+    parts = []
+    for order, r in enumerate(secrets.RULES):
+        rx = r.pattern.replace("'", "''")
+        long_enough = f"length(regexp_extract_all(text, '{rx}', {r.group})[i]) >= {r.least}" if r.least else "TRUE"
+        before = f"CAST(list_sum(list_transform(string_split_regex(text, '{rx}')[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(regexp_extract_all(text, '{rx}')[1:i-1], lambda p: length(p))), 0) AS BIGINT)"
+        parts.append(f"SELECT doc_id, {order} AS ord, '{r.kind}' AS kind, {before} AS since, {before} + length(regexp_extract_all(text, '{rx}')[i]) AS upto FROM (SELECT doc_id, text, unnest(range(1, len(regexp_extract_all(text, '{rx}')) + 1)) AS i FROM documents WHERE regexp_matches(text, '{rx}')) m WHERE {long_enough}")
+    text = "kind || ':' || since || ':' || upto"
+    agg = lambda where: f"coalesce(string_agg({text}, ',' ORDER BY since, ord){where}, '')"
+    count = lambda k: f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}"
+    base = ", ".join(f"'{b}'" for b in secrets.BASE)
+    return f"""WITH s(doc_id, ord, kind, since, upto) AS ({" UNION ALL ".join(parts)})
+SELECT d.doc_id, {", ".join(count(b) for b in secrets.BASE)}, sha256({agg(f" FILTER (WHERE kind IN ({base}))")}) AS base_sha256, {agg("")} AS spans
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+#: What SQL says in reasonable length; the other operators are held against brute force in the tests.
+ORACLES: dict[str, str] = {
+    "op7_sharding": f"""WITH a AS (SELECT doc_id, lpad(bin(CAST('0x' || left(md5(CAST(doc_id AS VARCHAR)), 15) AS BIGINT)), 60, '0') AS bits, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_bytes FROM documents),
+t AS (SELECT d, left(bits, d) AS p, CAST(sum(n_bytes) AS BIGINT) AS s FROM a, unnest(range(0, 21)) r(d) GROUP BY 1, 2),
+f AS (SELECT a.doc_id, a.n_bytes, t.p, t.d, t.s, row_number() OVER (PARTITION BY a.doc_id ORDER BY t.d) AS k FROM a JOIN t ON t.p = left(a.bits, t.d) AND t.s <= {sharding.LIMIT})
+SELECT doc_id, n_bytes, p AS shard, CAST(d AS INT) AS depth, s AS shard_bytes, FALSE AS oversize FROM f WHERE k = 1""",
+    "op8_secret_scan": _secret_sql(),
+    "op9_line_dedup": f"""WITH l AS (SELECT doc_id, i, a[i] AS line, translate(trim(a[i], {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+ FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents) x) y),
+k AS (SELECT key, min(doc_id) AS keep FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT l.*, k.keep IS NOT NULL AND k.keep <> l.doc_id AS gone FROM l LEFT JOIN k ON k.key = l.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+}
