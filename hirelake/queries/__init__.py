@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import matching, sheets, streams, tables, text  # noqa: E402, F401
+from . import matching, more, sheets, streams, tables, text  # noqa: E402, F401
