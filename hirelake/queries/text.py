@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hirelake.functions import cleaning as C
+from hirelake.functions import companies as K
 from hirelake.functions import identity as H
 from hirelake.functions import matching as M
 from hirelake.functions import text as T
@@ -130,3 +132,27 @@ def hybrid_decision(spark, d):
     docs = table(spark, d, "documents").select("doc_id", T.normalize_bench_line("text").alias("line")).select("doc_id", T.bench_signals("line").alias("s")).select("doc_id", T.pre_classify("s").alias("p"))
     rows = docs.join(table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "VACANCY").otherwise("OTHER").alias("label")), "doc_id", "left")
     return rows.select("doc_id", T.hybrid_decision("p", F.lit(None).cast("string"), F.col("label")).alias("x")).select("doc_id", "x.*")
+
+
+@query("repair_mojibake")
+def repair_mojibake(spark, d):
+    return table(spark, d, "documents").select("doc_id", C.repair_mojibake("text").alias("text"))
+
+
+@query("preprocess_text")
+def preprocess_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", C.clean_message("text").alias("text"))
+
+
+@query("partner_counts", "SELECT n_name AS canonical_name, count(*) AS mentions_count FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1 UNION ALL SELECT 'Сбер', count(*) FROM customer WHERE c_custkey % 4 = 0")
+def partner_counts(spark, d):
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    extra = F.when(F.col("c_custkey") % 4 == 0, "\nSberBank team, Клиент: банки").otherwise("")
+    return K.partner_counts(rows.select(F.concat(F.lit("Заказчик: "), "n_name", F.lit("; rate 5"), extra).alias("t")), "t")
+
+
+@query("company_name", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN NULL WHEN n_nationkey % 3 = 1 THEN n_name ELSE 'Лемана Про' END AS company FROM nation")
+def company_name(spark, d):
+    k = F.col("n_nationkey") % 3
+    raw = F.when(k == 0, " Финтех. ").when(k == 1, F.concat(F.lit("  "), "n_name", F.lit(".;"))).otherwise("лемана  про")
+    return table(spark, d, "nation").select("n_nationkey", K.company_name(raw).alias("company"))

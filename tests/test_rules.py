@@ -175,3 +175,12 @@ def test_streamed_messages_equal_the_batch(spark, tmp_path):
 def test_entry_registers_all(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_cleaning_and_companies(spark):
+    from hirelake.functions import cleaning, companies
+
+    assert cleaning.repaired("привет".encode().decode("cp1251", "ignore")) == "привет" and cleaning.repaired(None) is None
+    assert one(spark, cleaning.clean_message("a"), "Имя, [Feb 17, 2026 at 11:39 PM]:\n•  **Java** 🚀  5 €\n\n\n\nend") == "- Java 5 €\n\nend"
+    rows = spark.createDataFrame([("СберБизнес ищет",), ("Заказчик: Sber CIB",), ("Клиент: Лемана Про",), (None,)], "t string")
+    assert dict(companies.partner_counts(rows, "t").collect()) == {"Сбер": 2, "Лемана Про": 1}
