@@ -4,14 +4,17 @@
    in which every (sample number, sample) flips one bit. Of two sketches the XOR has about as many ones as samples differ, which tells
    high similarities precisely.
 2. Documents with equal sets are one class, linked to its smallest id without further ado; only classes go on.
-3. Classes that share a band are candidates. First every member of a bucket is compared with the bucket's smallest id only (a star): the
-   sketches must not rule out the threshold, then the full sets, from the texts, decide. The links give provisional components.
-4. Pairs of a bucket that are in different provisional components and were not compared yet follow, again if their sketches allow it. In a
-   bucket of copies nearly all are in one component by then, so this is not the square of the bucket. After it every candidate pair is
-   either compared on full sets, or ruled out by its sketch, or inside one component already, so no link is missing from the components.
-
-With 32 bands of 4 rows a pair at similarity 0.8 shares no band with probability 5e-8. ``FAR`` is set so that the sketch rules out such a
-pair with probability below 1e-9 (7 standard deviations of samples and bitmap together).
+3. Classes that share a band are candidates. First every member of a bucket is compared with the bucket's head only (a star), the member
+   that shares most with others: the sketches must not rule out the threshold, then the full sets, from the texts, decide. The links give
+   provisional components.
+4. What is left are pairs of a bucket in different components. In buckets of up to ``FEW`` members they are listed, filtered by sketches and
+   compared on full sets. Larger buckets are cut into blocks of members, and each pair of blocks, of which one has no member of the bucket's
+   largest component, is looked through in one task on sketches; it returns only enough pairs to tie the components that may belong
+   together. The components so tied are compared on full sets in the same blockwise way. So every candidate pair is compared on full sets,
+   or ruled out by its sketch, or inside one component already, and no stage lists the square of a group.
+
+With 32 bands of 4 rows a pair at similarity 0.8 shares no band with probability 5e-8. Of its 128 samples 25.6 differ on average, and the XOR
+of its sketches has 42 ones, with a deviation of 7.5; ``FAR`` is 6.4 deviations above.
 
 Defined cases: a text without words, or null, has an empty set, is linked with nothing and kept; fewer words than a shingle count as one shingle;
 rows that share an id are one node, linked by any of their texts, each with its own n_shingles; a null id is linked with nothing, its
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -33,9 +37,8 @@ from .common import cut, mix64, small, text_or_empty, window_hashes
 from .graph import components
 
 BANDS, ROWS, BITS = 32, 4, 256
-#: Ones in the XOR of two sketches beyond which the pair is ruled out. At similarity 0.8 of the 128 samples 25.6 differ on average
-#: (deviation 4.5), so 51 bits are flipped (deviation 9), of which collisions leave at most as many ones: 51 + 7 x 9.
-FAR = 114
+#: Ones in the XOR of two sketches beyond which the pair is ruled out; members of a bucket whose pairs are listed; members in a block.
+FAR, FEW, MEMBERS = 90, 32, 512
 
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,6 +137,95 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, id: str, t
     return cut(two.mapInArrow(decide, "a long, b long, linked boolean").groupBy("a", "b").agg(F.bool_or("linked").alias("linked")))
 
 
+def _near_sketches(left: list, right: list) -> np.ndarray:
+    a, b = (np.stack([np.asarray(x, np.int64) for x in side]) for side in (left, right))
+    ones = np.zeros((len(a), len(b)), np.int32)
+    for k in range(a.shape[1]):
+        ones += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    return ones <= FAR
+
+
+def _near_sets(percent: int):
+    def near(left: list, right: list) -> np.ndarray:
+        """Of sets given as the bytes of their distinct shingle hashes: intersections by products of 0/1 matrices, some shingles at a time."""
+        sets = [np.frombuffer(x, np.uint64) for x in [*left, *right]]
+        sizes = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.cumsum(count > 1) - 1  # what one set has alone does not matter
+        owner, at = owner[count[at] > 1], place[at[count[at] > 1]]
+        common = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(at, kind="stable")
+        owner, at = owner[order], at[order]
+        for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+            x, y = np.searchsorted(at, [lo, lo + 4096])
+            m = np.zeros((len(sets), 4096), np.float32)
+            m[owner[x:y], at[x:y] - lo] = 1
+            common += m[: len(left)] @ m[len(left) :].T
+        common = np.rint(common).astype(np.int64)
+        return (common > 0) & (100 * common >= percent * (sizes[: len(left), None] + sizes[None, len(left) :] - common))
+
+    return near
+
+
+def _ties(near):
+    """For one pair of blocks: pairs that tie the components with near members, no more than it takes."""
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j, even = pdf["i"].iloc[0], pdf["j"].iloc[0], bool(pdf["even"].iloc[0])
+        left = pdf[pdf["odd"] & (pdf["chunk"] == i)]
+        right = pdf[(pdf["odd"] != even) & (pdf["chunk"] == j)]
+        a, b = [], []
+        if len(left) and len(right):
+            cl, cr = left["c"].to_numpy(), right["c"].to_numpy()
+            x, y = np.nonzero(near(left["data"].tolist(), right["data"].tolist()) & (cl[:, None] != cr[None, :]))
+            both = np.stack([np.minimum(cl[x], cr[y]), np.maximum(cl[x], cr[y])], 1)
+            _, first = np.unique(both, axis=0, return_index=True)
+            up: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while up.setdefault(c, c) != c:
+                    up[c] = c = up[up[c]]
+                return c
+
+            li, ri = left["id"].to_numpy(), right["id"].to_numpy()
+            for k in first.tolist():
+                p, q = root(int(both[k, 0])), root(int(both[k, 1]))
+                if p != q:
+                    up[q] = p
+                    a.append(int(li[x[k]]))
+                    b.append(int(ri[y[k]]))
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return of
+
+
+def _blockwise(members: DataFrame, near) -> DataFrame:
+    """(a, b): near pairs that tie the components c within each group g of members (g, id, c, data)."""
+    by = members.groupBy("g", "c").count().groupBy("g").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("c", F.struct("count", "c")).alias("main"), F.count("c").alias("parts"))
+    by = by.where("parts > 1").select("g", "main", F.ceil(F.col("most") / MEMBERS).alias("ne"), F.ceil((F.col("n") - F.col("most")) / MEMBERS).alias("no"))
+    rows = members.join(by, "g").withColumn("odd", F.col("c") != F.col("main"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.when(F.col("odd"), F.col("no")).otherwise(F.col("ne"))))
+    block = lambda i, even, j: F.struct(i.alias("i"), F.lit(even).alias("even"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    k = F.col("chunk")
+    odd = F.concat(F.transform(upto("ne"), lambda j: block(k, True, j)), F.transform(upto("no"), lambda j: block(F.least(k, j), False, F.greatest(k, j))))
+    even = F.transform(upto("no"), lambda i: block(i, True, k))
+    rows = rows.select("g", "id", "c", "data", "odd", "chunk", F.explode(F.when(F.col("odd"), odd).otherwise(even)).alias("x")).select("*", "x.*").drop("x")
+    return rows.groupBy("g", "i", "even", "j").applyInPandas(_ties(near), "a long, b long")
+
+
+def _sets(docs: DataFrame, ids: DataFrame, n: int, id: str, text: str) -> DataFrame:
+    """(id, data): the bytes of the shingle hashes of the given documents' texts."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t.as_py(), n).tobytes() for t in b.column(1)], pa.binary())], ["id", "data"])
+
+    texts = docs.select(F.col(id).cast("long").alias("id"), text_or_empty(text).alias("_t")).join(small(ids), F.col("id") == F.col("_want"), "left_semi")
+    return texts.mapInArrow(of, "id long, data binary")
+
+
 def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept: for each row its component at similarity ``percent`` / 100 of n-word shingle sets."""
     sig = cut(signatures(docs, n, id, text))
@@ -142,23 +234,37 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "d
     same = cut(some.select("id", "f1", "f2", "n_shingles").join(firsts, ["f1", "f2", "n_shingles"]).where(F.col("id") != F.col("first")).select("id", "first").distinct())
     classes = some.join(small(same.select("id").distinct(), 1_000_000), "id", "left_anti").select("id", "bands", "sketch")
     rows = classes.select("id", F.explode("bands").alias("bucket"))
-    heads = rows.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("last")).where(F.col("head") < F.col("last")).select("bucket", "head")
-    shared = cut(rows.join(heads, "bucket").select("bucket", "head", "id"))  # of buckets with two classes at least
+    counts = rows.groupBy("bucket").agg(F.count("id").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("bucket", "n")
+    shared = cut(rows.join(counts, "bucket"))  # of buckets with two classes at least
     sketches = cut(classes.select("id", "sketch").join(shared.select("id").distinct(), "id", "left_semi"))
-    stars = shared.where(F.col("id") != F.col("head")).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+
+    weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    heads = shared.join(weight, "id").groupBy("bucket").agg(F.max_by("id", F.struct(F.col("weight"), -F.col("id"))).alias("head"))
+    stars = shared.join(heads, "bucket").where(F.col("id") != F.col("head")).select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
     first, second = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
     stars = cut(stars.join(first, "a").join(second, "b").where(_ones(F.col("sa"), F.col("sb")) <= FAR).select("a", "b"))
     compared = verified(stars, docs, n, percent, id, text)
     links = compared.where("linked").select("a", "b")
     comp = cut(components(links))
 
-    member = shared.join(comp, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    member = shared.join(comp, F.col("id") == F.col("node"), "left").select("bucket", "n", "id", F.coalesce("component", "id").alias("c"))
     mixed = member.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("bucket")
     member = cut(member.join(mixed, "bucket", "left_semi").join(sketches, "id"))
-    left, right = (member.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "c", "sketch")]) for s in "lr")
+    few = member.where(F.col("n") <= FEW)
+    left, right = (few.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "c", "sketch")]) for s in "lr")
     cross = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("id_l") < F.col("id_r")) & (F.col("c_l") != F.col("c_r")) & (_ones(F.col("sketch_l"), F.col("sketch_r")) <= FAR))
     cross = cut(cross.select(F.col("id_l").alias("a"), F.col("id_r").alias("b")).distinct().join(compared, ["a", "b"], "left_anti"))
     links = links.unionAll(verified(cross, docs, n, percent, id, text).where("linked").select("a", "b"))
+    many = member.where(F.col("n") > FEW)
+    if many.limit(1).count():
+        ties = _blockwise(many.select(F.col("bucket").alias("g"), "id", "c", F.col("sketch").alias("data")), _near_sketches)
+        owner = many.select("id", "c").distinct()
+        ties = ties.join(owner.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(owner.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
+        tied = cut(components(ties.select(F.col("ca").alias("a"), F.col("cb").alias("b")))).select(F.col("node").alias("c"), F.col("component").alias("g"))
+        owner = cut(owner.join(tied, "c"))
+        sets = _sets(docs, cut(owner.select(F.col("id").alias("_want")).distinct()), n, id, text)
+        more = _blockwise(owner.join(sets, "id").select("g", "id", "c", "data"), _near_sets(percent))
+        links = links.unionAll(cut(more).select("a", "b"))
     links = links.unionAll(same.select(F.col("first").alias("a"), F.col("id").alias("b")))
     comp = cut(components(links)).select(F.col("node").alias("_node"), F.col("component").alias("_component"))
     out = sig.select("id", "n_shingles").join(small(comp), F.col("id") == F.col("_node"), "left")
