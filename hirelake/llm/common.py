@@ -22,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
+    for key, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 8 << 20)):  # whole texts: Spark's defaults make batches too large for small executors
+        if not 0 < int(spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b")) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return folder
 
 
