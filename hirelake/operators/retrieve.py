@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 #: Query vectors in a block; a block is broadcast, and the table passes by once for each.
 BLOCK = 4096
+#: Similarities that a task holds at a time.
+CELLS = 4_000_000
 
 
 def vector_topk(queries: DataFrame, table: DataFrame, k: int, id: str = "id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """query_id, id, sim, rank: for each query (id, vector) its k nearest rows of the table, sim = cosine clamped to 0..1.
 
-    Vectors of the table stay where they are: each batch is multiplied with a block of queries, only its k best of each query leave the task, and a
-    window picks the k best of all. Rows without a vector, of another dimension or of length zero are not found."""
+    Vectors of the table stay where they are: each batch is multiplied with a block of queries, only a task's k best of each query leave it, and a
+    window picks the k best of all. Queries find the rows of their own dimension; vectors that are null or of length zero neither find nor are found."""
     spark = table.sparkSession
     q = queries.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("q"), F.col(vector).alias("v"))
     n = q.count()
@@ -26,28 +28,42 @@ def vector_topk(queries: DataFrame, table: DataFrame, k: int, id: str = "id", ve
     out = None
     for p in range(parts):
         some = q.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == p).collect() if parts > 1 else q.collect()  # about one block
-        some = [r for r in some if len(r.v) == len(some[0].v) and any(r.v)]
-        if not some:
+        by_size: dict[int, list] = {}
+        for r in some:
+            if any(r.v):
+                by_size.setdefault(len(r.v), []).append(r)
+        if not by_size:
             continue
-        m = np.array([r.v for r in some], np.float64)
-        shared = spark.sparkContext.broadcast((np.array([r.q for r in some], np.int64), m / np.linalg.norm(m, axis=1, keepdims=True)))
+        made = {}
+        for n, rs in by_size.items():
+            m = np.array([r.v for r in rs], np.float64)
+            made[n] = np.array([r.q for r in rs], np.int64), m / np.linalg.norm(m, axis=1, keepdims=True)
+        shared = spark.sparkContext.broadcast(made)
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, units = shared.value
+            top = {n: (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)) for n in shared.value}  # query's place, id, sim
             for b in batches:
-                ids = b.column(0).to_numpy(zero_copy_only=False)
+                all_ids = b.column(0).to_numpy(zero_copy_only=False)
                 sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
-                good = sizes == units.shape[1]
-                flat = np.asarray(b.column(1).filter(pa.array(good)).flatten()).reshape(-1, units.shape[1])
-                ids = ids[good]
-                norms = np.linalg.norm(flat, axis=1)
-                flat, ids = flat[norms > 0] / norms[norms > 0, None], ids[norms > 0]
-                if not len(ids):
-                    continue
-                sims = units @ flat.T
-                order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
-                take = np.take_along_axis(sims, order, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, order.shape[1])), pa.array(ids[order].ravel()), pa.array(take.ravel())], ["query_id", "id", "sim"])
+                for n, (names, units) in shared.value.items():
+                    good = sizes == n
+                    flat = np.asarray(b.column(1).filter(pa.array(good)).flatten()).reshape(-1, n)
+                    norms = np.linalg.norm(flat, axis=1)
+                    flat, ids = flat[norms > 0] / norms[norms > 0, None], all_ids[good][norms > 0]
+                    step = max(1, CELLS // len(names))
+                    for at in range(0, len(ids), step):
+                        sims = units @ flat[at : at + step].T
+                        least = np.partition(sims, -min(k, sims.shape[1]), axis=1)[:, -min(k, sims.shape[1])]
+                        place, here = np.nonzero(sims >= least[:, None])
+                        new = place, ids[at + here], sims[place, here]
+                        place, id_, sim = (np.concatenate(x) for x in zip(top[n], new))
+                        order = np.lexsort((id_, -sim, place))
+                        place = place[order]
+                        order = order[np.arange(len(place)) - np.searchsorted(place, place) < k]
+                        top[n] = tuple(np.concatenate(x)[order] for x in zip(top[n], new))
+            for n, (place, id_, sim) in top.items():
+                if len(place):
+                    yield pa.RecordBatch.from_arrays([pa.array(shared.value[n][0][place]), pa.array(id_), pa.array(sim)], ["query_id", "id", "sim"])
 
         hits = rows.mapInArrow(best, "query_id long, id long, sim double")
         out = hits if out is None else out.unionByName(hits)

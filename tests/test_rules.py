@@ -132,6 +132,23 @@ def test_topk_equals_brute_force(spark):
         assert [got[q, k + 1] for k in range(5)] == np.argsort(-(u @ u[q]), kind="stable")[:5].tolist()
 
 
+def test_an_odd_vector_drops_no_other_query(spark):
+    df = spark.createDataFrame([(0, [2.0]), (1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [3.0]), (4, [0.0, 0.0]), (5, None)], "id long, embedding array<double>").coalesce(1)
+    got = {(r.query_id, r["rank"]): r.id for r in R.vector_topk(df, df, 2).collect()}
+    assert got == {(0, 1): 0, (0, 2): 3, (3, 1): 0, (3, 2): 3, (1, 1): 1, (1, 2): 2, (2, 1): 2, (2, 2): 1}
+
+
+def test_whole_topk_searches_all_rows(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    v = np.random.default_rng(1).normal(size=(101, 4))
+    spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(R, "CELLS", 150)
+    got = {(r.query_id, r["rank"]): r.id for r in __spark_entry__.queries()["vector_topk_whole"](spark, str(tmp_path)).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert got == {(q, k + 1): i for q in range(0, 101, 20) for k, i in enumerate(np.argsort(-(u @ u[q]), kind="stable")[:20].tolist())}
+
+
 def test_sheets(spark, tmp_path):
     (tmp_path / "a.csv").write_text("banner\nИмя,Роль,Стек,Ставка\nАнна,QA,\"Selenium, Postman\",2 500 руб\nJava,,,\nПётр,,Kotlin,\n,,,\nВсего,1,,\n", encoding="utf-8")
     rows = files.read_sheet_rows(spark, str(tmp_path), "csv")
