@@ -81,6 +81,13 @@ def resume_enrichment(spark, d):
     return J.resume_enrichment(units, items).select("c_custkey", "resume_text")
 
 
+@query("resume_enrichment_whole", "SELECT c_custkey, string_agg('order ' || o_orderkey, chr(10) || chr(10) ORDER BY o_orderkey) AS resume_text FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) o ON o_custkey = c_custkey AND n <= 8 GROUP BY c_custkey")
+def resume_enrichment_whole(spark, d):
+    units = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("http://r/"), "c_custkey").alias("resume_url"))
+    items = table(spark, d, "orders").select(F.concat(F.lit("http://r/"), "o_custkey").alias("resume_url"), F.col("o_orderkey").alias("position"), F.concat(F.lit("order "), "o_orderkey").alias("text"))
+    return J.resume_enrichment(units, items).select("c_custkey", "resume_text")
+
+
 @query("validated_links", "SELECT 'http://r/' || c_custkey AS url, n AS item_count FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey")
 def validated_links(spark, d):
     links = table(spark, d, "customer").select(F.concat(F.lit("http://r/"), "c_custkey").alias("url"))

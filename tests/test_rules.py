@@ -149,6 +149,13 @@ def test_whole_topk_searches_all_rows(spark, tmp_path, monkeypatch):
     assert got == {(q, k + 1): i for q in range(0, 101, 20) for k, i in enumerate(np.argsort(-(u @ u[q]), kind="stable")[:20].tolist())}
 
 
+def test_whole_enrichment_has_a_row_for_every_customer(spark, tmp_path):
+    spark.range(1, 13).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(k, c) for c in (1, 10, 11) for k in range(100 * c, 100 * c + 10)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.c_custkey: r.resume_text for r in __spark_entry__.queries()["resume_enrichment_whole"](spark, str(tmp_path)).collect()}
+    assert got == {c: "\n\n".join(f"order {100 * c + k}" for k in range(8)) if c in (1, 10, 11) else None for c in range(1, 13)}
+
+
 def test_sheets(spark, tmp_path):
     (tmp_path / "a.csv").write_text("banner\nИмя,Роль,Стек,Ставка\nАнна,QA,\"Selenium, Postman\",2 500 руб\nJava,,,\nПётр,,Kotlin,\n,,,\nВсего,1,,\n", encoding="utf-8")
     rows = files.read_sheet_rows(spark, str(tmp_path), "csv")
