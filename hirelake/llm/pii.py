@@ -4,11 +4,13 @@ Entities are e-mail addresses, telephone numbers, IPv4 addresses, payment card n
 mailbox, a domain, a name's words, a number) are each replaced by a function of a secret key, the part's kind and its value only, so one
 person reads the same in every document (coreference) without a table of all entities. Replacements keep the type and the format: letters
 stay letters of their script and case, digits digits, punctuation stays, country codes and the check digit of card numbers hold, given names
-keep the gender that the form of address tells.
+keep the gender that the forms of address tell: a name has one gender in the whole corpus, none if it comes with both.
 
 Distinct parts must stay distinct. Where two parts of the corpus get one replacement, or a replacement is itself a part found in the corpus, all
-but the first take another one (the next attempt), until there is no collision. Only these exceptions are stored; they are few, and looked
-up by broadcast if their number allows, else by a join on the documents' parts.
+but the first take another one (the next attempt), until there is no collision; names of all kinds are compared together. From attempt ``WIDE`` on letters are
+drawn from the whole alphabet, from ``LONG`` on a replacement is longer than its part by one more character an attempt (not addresses and cards, whose
+billions of values are drawn on), so that short parts that use up their space get distinct ones too. Only these exceptions are stored; they are few, and
+looked up by broadcast if their number allows, else by a join on the documents' parts.
 
 Defined cases: a null text stays null and has no entities; rows are rewritten each, so repeated or null ids do no harm; texts without entities are
 returned as they are; extra columns pass unchanged.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut
+from .common import BROADCAST_ROWS, cut, small
 
 # Forms of address by the gender they tell.
 MALE = ("Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "господин", "г-н")
@@ -36,7 +38,8 @@ EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+
 PHONE = re.compile(r"(?<![\w+(])(?:\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{2}[ .-]?\d{2}|\+\d{1,3}(?:[ .-]\d{2,4}){3,4}|\+\d{10,14}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\w)")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)")
 CARD = re.compile(r"(?<![\w.])(?:\d{16}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\w)")
-NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + r")(\.?[  ]+)([^\W\d_a-zа-яё][^\W\d_]+(?:-[^\W\d_]+)*(?:[  ][^\W\d_a-zа-яё][^\W\d_]+(?:-[^\W\d_]+)*){0,2})(?!\w)")
+TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + ")"
+NAME = re.compile(rf"(?<!\w)({TITLE}(?:\.?[  ]+{TITLE})*)" r"(\.?[  ]+)([^\W\d_a-zа-яё][^\W\d_]+(?:-[^\W\d_]+)*(?:[  ][^\W\d_a-zа-яё][^\W\d_]+(?:-[^\W\d_]+)*){0,2})(?!\w)")
 DIGIT = re.compile(r"\d")
 #: Two private-use characters around the number of a part that is already replaced.
 OPEN, SHUT = "\ue000", "\ue001"
@@ -67,17 +70,20 @@ class Stream:
         return items[self.below(len(items))]
 
 
-# Letters that stand in for vowels and consonants of a script.
+#: The attempts from which letters are drawn from the whole alphabet, and from which replacements get longer.
+WIDE, LONG = 8, 16
+# Letters that stand in for vowels and consonants of a script, and its whole alphabet.
 SCRIPTS = {"latin": ("aeiou", "bcdfghjklmnprstvz"), "cyrillic": ("аеиоу", "бвгдзклмнпрстф"), "greek": ("αειου", "βγδζκλμνπρστφ")}
+ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 
 def script(value: str) -> str:
     return "cyrillic" if re.search(r"[Ѐ-ӿ]", value) else "greek" if re.search(r"[Ͱ-Ͽ]", value) else "latin"
 
 
-def letters(s: Stream, value: str) -> str:
-    """Each letter by one of its script and case, vowels and consonants by turns; digits by digits; the rest stays."""
-    vowels, consonants = SCRIPTS[script(value)]
+def letters(s: Stream, value: str, wide: bool = False) -> str:
+    """Each letter by one of its script and case, vowels and consonants by turns or, if wide, any letter; digits by digits; the rest stays."""
+    vowels, consonants = (ALPHABETS[script(value)],) * 2 if wide else SCRIPTS[script(value)]
     out, turn = [], s.below(2)
     for c in value:
         if c.isdigit():
@@ -94,15 +100,22 @@ def letters(s: Stream, value: str) -> str:
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """The replacement of a part. kind: mailbox, domain, phone, ip, card, family, given_m, given_f or given_n."""
     s = Stream(key, kind, value, attempt)
+    wide, more = attempt >= WIDE, max(0, attempt - LONG + 1)
+
+    def longer(x: str) -> str:
+        of = "0123456789" if x.isdigit() else ALPHABETS[script(value)]
+        new = "".join(s.of(of) for _ in range(more))
+        return x + (new.upper() if x.isupper() and len(x) > 1 else new)
+
     if kind == "mailbox":
-        return letters(s, value)
+        return longer(letters(s, value, wide))
     if kind == "domain":
         labels = value.split(".")
-        return ".".join([*(letters(s, x) for x in labels[:-1]), labels[-1]])
+        return ".".join([longer(letters(s, labels[0], wide)), *(letters(s, x, wide) for x in labels[1:-1]), labels[-1]])
     if kind == "phone":
         code = re.match(r"\+\d{1,3}(?=\D)", value)
         head = code[0] if code else value[:2] if value[0] == "+" else ""
-        return head + "".join(s.of("0123456789") if c.isdigit() else c for c in value[len(head) :])
+        return head + "".join(s.of("0123456789") if c.isdigit() else c for c in value[len(head) :]) + "".join(s.of("0123456789") for _ in range(more))
     if kind == "ip":
         return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "card":
@@ -111,7 +124,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         new[-1] = next(d for d in "0123456789" if luhn("".join(new[:-1]) + d))
         it = iter(new)
         return "".join(next(it) if c.isdigit() else c for c in value)
-    name = letters(s, value)
+    name = longer(letters(s, value, wide))
     if kind in ("given_m", "given_f") and name[-1].isalpha():  # the ending tells the gender
         vowels, consonants = SCRIPTS[script(value)]
         end = vowels[0] if kind == "given_f" else s.of(consonants)
@@ -119,9 +132,9 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     return name
 
 
-def _name_parts(title: str, name: str) -> list[tuple[str, str]]:
-    """(kind, word) of a name's words: the last is the family name, given names carry the gender."""
-    gender = "m" if title in MALE else "f" if title in FEMALE else "n"
+def _name_parts(titles: str, name: str) -> list[tuple[str, str]]:
+    """(kind, word) of a name's words: the last is the family name, given names carry the gender that the first title with one tells."""
+    gender = next(("m" if t in MALE else "f" for t in re.split(r"[.\s]+", titles) if t in MALE + FEMALE), "n")
     words = re.split(r"([  ])", name)
     last = len(words) - 1
     return [("" if w in "  " else "family" if k == last else f"given_{gender}", w) for k, w in enumerate(words)]
@@ -178,27 +191,40 @@ def parts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def exceptions(found: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, attempt): the parts whose first replacement collides, with the attempt that does not."""
+    """(kind, value, by, attempt): the parts whose first replacement collides, with the attempt that does not, and given names of several kinds; by: the
+    kind that the replacement is made by."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [surrogate(key, k, v, n) for k, v, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], ["kind", "value", "attempt", "made"])
-
-    made = lambda rows: rows.mapInArrow(of, "kind string, value string, attempt int, made string")
-    state = cut(made(found.withColumn("attempt", F.lit(0))))
-    while True:
-        keeper = state.groupBy("kind", "made").agg(F.min(F.struct("attempt", "value")).alias("keeper"))
-        taken = found.select("kind", F.col("value").alias("made"), F.lit(True).alias("taken"))
-        marked = state.join(keeper, ["kind", "made"]).join(taken, ["kind", "made"], "left")
-        again = F.coalesce("taken", F.lit(False)) | (F.col("keeper") != F.struct("attempt", "value"))
-        # a kind with few values may be used up: after 50 attempts only a repeat counts, not that the corpus holds the value; after 200 nothing
-        stuck = ((F.col("attempt") >= 50) & (F.col("keeper") == F.struct("attempt", "value"))) | (F.col("attempt") >= 200)
-        marked = cut(marked.select("kind", "value", "attempt", "made", (again & ~stuck).alias("again")))
-        if not marked.where("again").limit(1).count():
-            return marked.where("attempt > 0").select("kind", "value", "attempt")
-        retried = made(marked.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")))
-        state = cut(marked.where("not again").drop("again").unionByName(retried))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], ["by", "value", "attempt", "made"])
+
+    made = lambda rows: rows.mapInArrow(of, "by string, value string, attempt int, made string")
+    space = F.when(F.col("by").rlike("^(family|given_.)$"), "name").otherwise(F.col("by")).alias("space")
+    # a given name with forms of address of both genders has none
+    genders = found.where("kind LIKE 'given_%'").groupBy("value").agg(F.collect_set("kind").alias("kinds")).where(F.size("kinds") > 1)
+    m, f = F.array_contains("kinds", "given_m"), F.array_contains("kinds", "given_f")
+    genders = cut(genders.select("value", F.when(m & ~f, "given_m").when(f & ~m, "given_f").otherwise("given_n").alias("_by")))
+    kinds = found.join(small(genders), "value", "left").select("kind", "value", F.when(F.col("kind").startswith("given_"), F.col("_by")).alias("_by"))
+    kinds = cut(kinds.select("kind", "value", F.coalesce("_by", "kind").alias("by")))
+    taken = kinds.select(space, F.col("value").alias("made")).distinct().withColumn("taken", F.lit(True))
+
+    def marked(rows: DataFrame, used: DataFrame) -> DataFrame:
+        """rows with again: whether the replacement is used, or taken by a smaller part of the rows."""
+        keeper = rows.groupBy("space", "made").agg(F.min(F.struct("value", "by")).alias("keeper"))
+        again = F.coalesce("taken", F.lit(False)) | (F.col("keeper") != F.struct("value", "by"))
+        return cut(rows.join(keeper, ["space", "made"]).join(used, ["space", "made"], "left").select("space", "by", "value", "attempt", "made", again.alias("again")))
+
+    first = marked(made(kinds.select("by", "value").distinct().withColumn("attempt", F.lit(0))).select("*", space), taken)
+    used = cut(taken.drop("taken").unionByName(first.where("not again").select("space", "made")))
+    tried, done = first, first.where("attempt > 0")
+    while tried.where("again").limit(1).count():
+        rows = cut(made(tried.where("again").select("by", "value", (F.col("attempt") + 1).alias("attempt"))).select("*", space))
+        hit = used.join(small(rows.select("space", "made")), ["space", "made"], "left_semi").distinct().withColumn("taken", F.lit(True))
+        tried = marked(rows, hit)
+        done, used = done.unionByName(tried.where("not again")), used.unionByName(tried.where("not again").select("space", "made"))
+    other = cut(done.select("by", "value", "attempt"))
+    return kinds.join(small(other), ["by", "value"], "left").where(F.col("attempt").isNotNull() | (F.col("kind") != F.col("by"))).select("kind", "value", "by", F.coalesce("attempt", F.lit(0)).alias("attempt"))
 
 
 def anonymize(docs: DataFrame, key: bytes, text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -214,11 +240,11 @@ def anonymize(docs: DataFrame, key: bytes, text: str = "text", broadcast_rows: i
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", " + ", ".join(f"{c} long" for c in counts)
     few = other.limit(broadcast_rows + 1).count() <= broadcast_rows
     if few:
-        shared = spark.sparkContext.broadcast({(r.kind, r.value): r.attempt for r in other.collect()})  # at most broadcast_rows
+        shared = spark.sparkContext.broadcast({(r.kind, r.value): (r.by, r.attempt) for r in other.collect()})  # at most broadcast_rows
     else:  # the documents' own exceptions travel with them
         rows = rows.withColumn("_row", F.struct(F.xxhash64(F.col(text)).alias("h"), F.length(text).alias("n")))
         here = rows.select("_row", text).mapInArrow(_own_parts, "h long, n int, kind string, value string").join(other, ["kind", "value"])
-        own = here.groupBy(F.struct("h", "n").alias("_own_row")).agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("_own"))
+        own = here.groupBy(F.struct("h", "n").alias("_own_row")).agg(F.collect_set(F.struct("kind", "value", "by", "attempt")).alias("_own"))
         rows = rows.join(own, F.col("_row") == F.col("_own_row"), "left").select(*names, "_own")
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,13 +252,14 @@ def anonymize(docs: DataFrame, key: bytes, text: str = "text", broadcast_rows: i
         for b in batches:
             texts, ns = [], []
             for k, t in enumerate(b.column(at)):
-                attempts = shared.value if few else {(x["kind"], x["value"]): x["attempt"] for x in b.column(len(names))[k].as_py() or []}
+                attempts = shared.value if few else {(x["kind"], x["value"]): (x["by"], x["attempt"]) for x in b.column(len(names))[k].as_py() or []}
 
                 def by(kind: str, value: str, attempts=attempts) -> str:
                     if (kind, value) not in known:
                         if len(known) > 100_000:
                             known.clear()
-                        known[kind, value] = surrogate(key, kind, value, attempts.get((kind, value), 0))
+                        made_by, attempt = attempts.get((kind, value), (kind, 0))
+                        known[kind, value] = surrogate(key, made_by, value, attempt)
                     return known[kind, value]
 
                 new, n = rewrite(t.as_py(), by) if t.as_py() is not None else (None, dict.fromkeys(KINDS, 0))

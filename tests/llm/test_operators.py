@@ -410,6 +410,27 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert len(set(made)) == 40 and attempts
 
 
+def test_used_up_short_parts_stay_distinct(spark):
+    found = [("mailbox", c) for c in "abcdefghijklmnopqrstuvwxyz_"] + [("domain", f"{c}.com") for c in "abcdefghijklmnopqrstuvwxyz"] + [("mailbox", c) for c in "0123456789"]
+    found += [(k, v) for k in ("family", "given_m", "given_f", "given_n") for v in ("Al", "Bo", "Cy", "Di", "Ed", "Fo", "Gu")]
+    rows = spark.createDataFrame(found, "kind string, value string")
+    other = {(r.kind, r.value): (r.by, r.attempt) for r in pii.exceptions(rows, b"k").collect()}
+    made = {(*x,): pii.surrogate(b"k", *(lambda by, n: (by, x[1], n))(*other.get(x, (x[0], 0)))) for x in found}
+    for space in (("mailbox",), ("domain",), ("family", "given_m", "given_f", "given_n")):
+        mine = {(("given" if k.startswith("given") else k), v): y for (k, v), y in made.items() if k in space}
+        assert len(set(mine.values())) == len(mine) and not set(mine.values()) & {v for _, v in mine}
+    assert len({made[k, "Al"] for k in ("given_m", "given_f", "given_n")}) == 1
+
+
+@pytest.mark.parametrize("rows", [400_000, -1])
+def test_names_keep_coreference_and_titles_come_in_runs(spark, rows):
+    docs = make(spark, ["Mr John Smith", "Dr John Smith", "Herr Dr. Hans Meier", "Prof. Dr. Eva Meier", "Frau Dr. Eva Meier"])
+    out = {r.doc_id: r.text for r in pii.anonymize(docs, b"k", broadcast_rows=rows).collect()}
+    assert out[0].split()[1:] == out[1].split()[1:] and out[3].split()[2:] == out[4].split()[2:] and out[2].split()[3] == out[3].split()[3]
+    assert out[2].startswith("Herr Dr. ") and out[3].startswith("Prof. Dr. ") and out[3].split()[2].endswith("a")
+    assert not re.search("John|Smith|Hans|Meier|Eva", " ".join(out.values()))
+
+
 def test_surrogate_edges(edge, none, spark):
     out = pii.anonymize(edge, b"k")
     assert out.count() == len(EDGE) and set(edge.columns) <= set(out.columns)
