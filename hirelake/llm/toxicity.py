@@ -15,7 +15,8 @@ The fit takes at most ``POSITIVES`` positives and ``UNLABELLED`` unlabelled text
 whose features go to the driver); scoring covers all texts. Neither labels, lang, source nor id are inputs of a score.
 
 The bias is set so that a score of 0.5 is the cutoff of least estimated risk on texts unseen by the classifiers. Defined cases: null or empty texts are scored as
-texts without features; without any positive the score is 0 for all; repeated rows are scored each; extra columns are not looked at.
+texts without features; without any positive the score is 0 for all; a null label is none; if every text has a label, U are texts of the training folds,
+their labels looked away from; repeated rows are scored each; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -151,11 +152,12 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     if not p:
         return None
     order = F.xxhash64(F.col(id), F.lit("fit"))
-    any_label = labels.select(id).distinct()
-    chosen = (
-        known.where("_y = 1").select(id).orderBy(order, id).limit(positives),
-        docs.select(id).where(F.col(id).isNotNull()).join(any_label, id, "left_anti").distinct().orderBy(order, id).limit(unlabelled),
-    )
+    any_label = labels.where(F.col(label).isNotNull()).select(id).distinct()
+    ids = docs.select(id).where(F.col(id).isNotNull())
+    without = cut(ids.join(any_label, id, "left_anti").distinct().orderBy(order, id).limit(unlabelled))
+    if not without.limit(1).count():
+        without = ids.where(~held_out(id)).distinct().orderBy(order, id).limit(unlabelled)
+    chosen = (known.where("_y = 1").select(id).orderBy(order, id).limit(positives), without)
     rows, mark = [], None
     for ids in chosen:
         ids = small(cut(ids.withColumnRenamed(id, "_chosen")))

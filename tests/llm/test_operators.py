@@ -376,6 +376,15 @@ def test_held_out_accuracy_on_planted_words(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in test]) > 0.95
 
 
+@pytest.mark.parametrize("rest", [0, None])
+def test_toxicity_where_every_text_has_a_label(spark, rest):
+    rng = random.Random(12)
+    rows = [(k, words(rng, 40) + (" nasty vilest horrid" if k % 5 == 0 else "")) for k in range(1000)]
+    labels = spark.createDataFrame([(k, 1 if k % 5 == 0 else 0 if k % 2 else rest) for k, _ in rows], "doc_id long, toxic int")
+    got = [r for r in toxicity.scores(make(spark, rows), labels).collect() if r.held_out]
+    assert np.mean([r.predicted == (r.doc_id % 5 == 0) for r in got]) > 0.95
+
+
 def test_toxicity_edges(spark, edge, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
     assert toxicity.scores(edge, labels).count() == len(EDGE)
