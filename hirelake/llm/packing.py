@@ -1,13 +1,15 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
 A document's tokens are cut into pieces of ``size`` tokens, which are windows by themselves; what is left is cut every ``piece`` tokens, since
-differencing needs several pieces in a window to level it. These pieces are dealt by hash into groups of bounded size, and each group is divided among m windows by differencing: every piece starts as a partition of m bins with one
-of them filled; the two partitions with the largest spread between their bins are merged again and again, the fullest bin of one with the
+differencing needs several pieces in a window to level it. These pieces, and no whole windows, are dealt by a hash of id, place and row number into
+groups of bounded size, so neither a giant document nor repeated rows fill one group. Each group is divided among m windows by differencing: every piece
+starts as a partition of m bins with one of them filled; the two partitions with the largest spread between their bins are merged again and again, the fullest bin of one with the
 emptiest of the other, until one partition is left. Its bins are nearly equal. m starts at the fewest windows that could hold the group and rises
 whenever a bin exceeds ``size``. Groups keep memory and time bounded, so a longer table only has more of them.
 
 Tokens come from a public tokenizer file, whose path is a parameter. Words between ASCII blanks are tokenized apart and remembered, which gives
-the ids of the whole text as the tokenizer normalizes and splits by character classes that no match spans.
+the ids of the whole text as the tokenizer normalizes and splits by character classes that no match spans. They are remembered without regard to
+case, but for words that may hold an added token, which the tokenizer looks for before it normalizes.
 
 Defined cases: a null or empty text is the end token alone; each row is a document of its own, also when ids repeat or are null; extra
 columns are not looked at; an empty table gives no pieces.
@@ -30,7 +32,7 @@ from .common import cut, text_or_empty
 
 SIZE, PIECE, END = 2048, 512, 1
 #: Pieces in a group, on average, and words that a task remembers.
-GROUP, WORDS = 768, 600_000
+GROUP, WORDS = 768, 300_000
 
 
 class WordIds(dict):
@@ -40,6 +42,17 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.added = [t.content.encode().lower() for t in self.whole.get_added_tokens_decoder().values()]
+
+    def of(self, text: str) -> bytes:
+        raw = text.encode()
+        low = raw.lower()
+        if not any(t in low for t in self.added):
+            return b"".join(map(self.__getitem__, low.split()))
+        return b"".join([self.cased(w) if any(t in w.lower() for t in self.added) else self[w.lower()] for w in raw.split()])
+
+    def cased(self, w: bytes) -> bytes:
+        return np.array(self.whole.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, w: bytes) -> bytes:
         if w[-1] in b".," and w[:-1].isalpha():  # an ASCII word and its full stop are never one token
@@ -47,7 +60,7 @@ class WordIds(dict):
         elif w.isalpha():  # ASCII letters only: nothing to normalize, one piece
             ids = np.array([t.id for t in self.whole.model.tokenize(w.decode())], "<u4").tobytes()
         else:
-            ids = np.array(self.whole.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.cased(w)
         if len(self) >= WORDS:
             self.clear()
         self[w] = ids
@@ -60,7 +73,7 @@ _words: dict[str, WordIds] = {}
 def token_bytes(text: str, path: str) -> bytes:
     if path not in _words:  # once for each Python worker
         _words[path] = WordIds(path)
-    return b"".join(map(_words[path].__getitem__, text.encode().lower().split()))
+    return _words[path].of(text)
 
 
 def pieces(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END, piece: int = PIECE) -> DataFrame:
@@ -123,23 +136,21 @@ def windows(sizes: list[int], size: int = SIZE) -> list[list[int]]:
 
 
 def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END, piece: int = PIECE, group: int = GROUP) -> DataFrame:
-    """id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each piece."""
-    cut_up = cut(pieces(docs, path, id, text, size, end, piece))
+    """id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each piece. Whole windows have odd sequence ids, levelled ones even."""
+    cut_up = cut(pieces(docs, path, id, text, size, end, piece).withColumn("n", F.monotonically_increasing_id()))
     whole = F.col("length") == size
+    full = cut_up.where(whole).withColumn("sequence_id", 2 * F.col("n") + 1).withColumn("offset", F.lit(0).cast("long")).drop("n")
     groups = max(1, -(-cut_up.where(~whole).count() // group))
-    dealt = cut_up.withColumn("_group", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = cut_up.where(~whole).withColumn("g", F.pmod(F.xxhash64("id", "start", "n"), F.lit(groups))).drop("n")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
-        part = pdf.index[pdf.length < size].to_numpy()
-        bins = [[k] for k in pdf.index[pdf.length == size]]
-        if len(part):
-            bins += [[int(part[k]) for k in b] for b in windows(pdf.length.to_numpy()[part].tolist(), size)]
+        length = pdf.length.to_numpy()
         sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-        for n, b in enumerate(bins):
-            sequence[b] = (int(pdf["_group"].iloc[0]) << 32) + n
-            offset[b] = np.cumsum([0, *pdf.length.to_numpy()[b][:-1]])
-        return pdf.assign(sequence_id=sequence, offset=offset).drop(columns="_group")
+        for n, b in enumerate(windows(length.tolist(), size)):
+            sequence[b] = 2 * ((int(pdf["g"].iloc[0]) << 31) + n)
+            offset[b] = np.cumsum([0, *length[b][:-1]])
+        return pdf.assign(sequence_id=sequence, offset=offset).drop(columns="g")
 
-    out = dealt.groupBy("_group").applyInPandas(fill, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return out.withColumnRenamed("id", id)
+    out = dealt.groupBy("g").applyInPandas(fill, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return out.unionByName(full).withColumnRenamed("id", id)
