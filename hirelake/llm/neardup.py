@@ -14,17 +14,22 @@
    or ruled out by its sketch, or inside one component already, and no stage lists the square of a group.
 
 With 32 bands of 4 rows a pair at similarity 0.8 shares no band with probability 5e-8. Of its 128 samples 25.6 differ on average, and the XOR
-of its sketches has 42 ones, with a deviation of 7.5; ``FAR`` is 6.4 deviations above.
+of its sketches has 42 ones, with a deviation of 7.5. ``cutoff`` gives the number of ones that a pair at the threshold exceeds with probability
+``MISS`` at most: 78 for 0.8. Below 0.6 the bands would miss pairs, so ``percent`` must not be less.
+
+No group is one task's work: what is aggregated by bucket is checkpointed, and then broadcast if its counted size allows it, or joined so that
+adaptive execution may split a hot bucket; pairs of blocks are dealt by group and block numbers.
 
 Defined cases: a text without words, or null, has an empty set, is linked with nothing and kept; fewer words than a shingle count as one shingle;
-rows that share an id are one node, linked by any of their texts, each with its own n_shingles; a null id is linked with nothing, its
+rows that share an id are one node, linked by any of their texts, each with its own n_shingles (ids are integers); a null id is linked with nothing, its
 component is null and it is kept; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -33,12 +38,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, small, text_or_empty, window_hashes
+from .common import cut, fresh, mix64, small, text_or_empty, window_hashes
 from .graph import components
 
 BANDS, ROWS, BITS = 32, 4, 256
-#: Ones in the XOR of two sketches beyond which the pair is ruled out; members of a bucket whose pairs are listed; members in a block.
-FAR, FEW, MEMBERS = 90, 32, 512
+#: Probability with which sketches may rule out a pair at the threshold; members of a bucket whose pairs are listed; members in a block.
+MISS, FEW, MEMBERS = 1e-6, 32, 512
 
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,6 +85,22 @@ def sketch(low: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+@cache
+def cutoff(percent: int, miss: float = MISS) -> int:
+    """The least c so that the XOR of the sketches of two sets at similarity ``percent`` / 100 has more than c ones with probability ``miss`` at most."""
+    total, differ = BANDS * ROWS, 1 - percent / 100
+    k = np.arange(BITS + 1)
+    ones = np.zeros(BITS + 1)  # the distribution of the number of ones after two flips for each differing sample
+    ones[0] = 1
+    tail = np.zeros(BITS + 1)
+    for d in range(total + 1):
+        weight = math.comb(total, d) * differ**d * (1 - differ) ** (total - d)
+        tail += weight * (1 - np.cumsum(ones))
+        for _ in range(2):
+            ones = np.concatenate([[0], (ones * (BITS - k) / BITS)[:-1]]) + np.concatenate([(ones * k / BITS)[1:], [0]])
+    return int(np.flatnonzero(tail <= miss)[0])
+
+
 def signatures(docs: DataFrame, n: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, f1, f2, bands, sketch): f1, f2 a 128-bit hash of the set; bands and sketch are null for an empty set."""
 
@@ -120,29 +141,29 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, id: str, t
     two = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set] = {}
+        known: dict[str, np.ndarray] = {}
         for b in batches:
             out = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if len(known) > 64:
+                    known.clear()
                 for t in (x, y):
                     if t not in known:
-                        if len(known) > 64:
-                            known.clear()
-                        known[t] = shingle_set(t, n)
-                p, q = known.get(x) or shingle_set(x, n), known.get(y) or shingle_set(y, n)
-                common = len(p & q)
+                        known[t] = shingle_hashes(t, n)
+                p, q = known[x], known[y]
+                common = len(np.intersect1d(p, q, assume_unique=True))
                 out.append(common > 0 and 100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.bool_())], ["a", "b", "linked"])
 
     return cut(two.mapInArrow(decide, "a long, b long, linked boolean").groupBy("a", "b").agg(F.bool_or("linked").alias("linked")))
 
 
-def _near_sketches(left: list, right: list) -> np.ndarray:
-    a, b = (np.stack([np.asarray(x, np.int64) for x in side]) for side in (left, right))
+def _near_sketches(left: list, right: list, far: int) -> np.ndarray:
+    a, b = (np.stack([np.asarray(x, np.int64).view(np.uint64) for x in side]) for side in (left, right))  # bitwise_count takes the absolute value of signed numbers
     ones = np.zeros((len(a), len(b)), np.int32)
     for k in range(a.shape[1]):
         ones += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-    return ones <= FAR
+    return ones <= far
 
 
 def _near_sets(percent: int):
@@ -203,8 +224,8 @@ def _ties(near):
 def _blockwise(members: DataFrame, near) -> DataFrame:
     """(a, b): near pairs that tie the components c within each group g of members (g, id, c, data)."""
     by = members.groupBy("g", "c").count().groupBy("g").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("c", F.struct("count", "c")).alias("main"), F.count("c").alias("parts"))
-    by = by.where("parts > 1").select("g", "main", F.ceil(F.col("most") / MEMBERS).alias("ne"), F.ceil((F.col("n") - F.col("most")) / MEMBERS).alias("no"))
-    rows = members.join(by, "g").withColumn("odd", F.col("c") != F.col("main"))
+    by = cut(by.where("parts > 1").select("g", "main", F.ceil(F.col("most") / MEMBERS).alias("ne"), F.ceil((F.col("n") - F.col("most")) / MEMBERS).alias("no")))
+    rows = members.join(small(by), "g").withColumn("odd", F.col("c") != F.col("main"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.when(F.col("odd"), F.col("no")).otherwise(F.col("ne"))))
     block = lambda i, even, j: F.struct(i.alias("i"), F.lit(even).alias("even"), j.alias("j"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
@@ -212,7 +233,8 @@ def _blockwise(members: DataFrame, near) -> DataFrame:
     odd = F.concat(F.transform(upto("ne"), lambda j: block(k, True, j)), F.transform(upto("no"), lambda j: block(F.least(k, j), False, F.greatest(k, j))))
     even = F.transform(upto("no"), lambda i: block(i, True, k))
     rows = rows.select("g", "id", "c", "data", "odd", "chunk", F.explode(F.when(F.col("odd"), odd).otherwise(even)).alias("x")).select("*", "x.*").drop("x")
-    return rows.groupBy("g", "i", "even", "j").applyInPandas(_ties(near), "a long, b long")
+    key = ("g", "i", "even", "j")  # dealt by all of it, also where the rows are already dealt by g
+    return rows.repartition(*key).groupBy(*key).applyInPandas(_ties(near), "a long, b long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int, id: str, text: str) -> DataFrame:
@@ -228,40 +250,44 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int, id: str, text: str) -> DataFr
 
 def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept: for each row its component at similarity ``percent`` / 100 of n-word shingle sets."""
+    if percent < 60:
+        raise ValueError("percent must be at least 60")
+    far = cutoff(percent)
     sig = cut(signatures(docs, n, id, text))
     some = sig.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
-    firsts = some.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("first"))
-    same = cut(some.select("id", "f1", "f2", "n_shingles").join(firsts, ["f1", "f2", "n_shingles"]).where(F.col("id") != F.col("first")).select("id", "first").distinct())
-    classes = some.join(small(same.select("id").distinct(), 1_000_000), "id", "left_anti").select("id", "bands", "sketch")
+    content = ["f1", "f2", "n_shingles"]
+    firsts = cut(some.groupBy(*content).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"))
+    same = cut(some.select("id", *content).join(small(firsts), content).where(F.col("id") != F.col("first")).select("id", "first", *content).distinct())
+    classes = some.join(small(same.drop("first"), 1_000_000), ["id", *content], "left_anti").select("id", "bands", "sketch")
     rows = classes.select("id", F.explode("bands").alias("bucket"))
-    counts = rows.groupBy("bucket").agg(F.count("id").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("bucket", "n")
-    shared = cut(rows.join(counts, "bucket"))  # of buckets with two classes at least
+    counts = cut(rows.groupBy("bucket").agg(F.count("id").alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("bucket", "n"))
+    shared = cut(rows.join(small(counts), "bucket"))  # of buckets with two classes at least
     sketches = cut(classes.select("id", "sketch").join(shared.select("id").distinct(), "id", "left_semi"))
 
     weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
-    heads = shared.join(weight, "id").groupBy("bucket").agg(F.max_by("id", F.struct(F.col("weight"), -F.col("id"))).alias("head"))
-    stars = shared.join(heads, "bucket").where(F.col("id") != F.col("head")).select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
+    heads = cut(shared.join(weight, "id").groupBy("bucket").agg(F.max_by("id", F.struct(F.col("weight"), -F.col("id"))).alias("head")))
+    stars = shared.join(small(heads), "bucket").where(F.col("id") != F.col("head")).select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
     first, second = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    stars = cut(stars.join(first, "a").join(second, "b").where(_ones(F.col("sa"), F.col("sb")) <= FAR).select("a", "b"))
+    stars = cut(stars.join(first, "a").join(second, "b").where(_ones(F.col("sa"), F.col("sb")) <= far).select("a", "b").distinct())
     compared = verified(stars, docs, n, percent, id, text)
     links = compared.where("linked").select("a", "b")
     comp = cut(components(links))
 
-    member = shared.join(comp, F.col("id") == F.col("node"), "left").select("bucket", "n", "id", F.coalesce("component", "id").alias("c"))
-    mixed = member.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("bucket")
-    member = cut(member.join(mixed, "bucket", "left_semi").join(sketches, "id"))
+    member = shared.join(small(comp), F.col("id") == F.col("node"), "left").select("bucket", "n", "id", F.coalesce("component", "id").alias("c"))
+    mixed = cut(member.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("bucket"))
+    member = cut(member.join(small(mixed), "bucket", "left_semi").join(sketches, "id"))
     few = member.where(F.col("n") <= FEW)
     left, right = (few.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "c", "sketch")]) for s in "lr")
-    cross = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("id_l") < F.col("id_r")) & (F.col("c_l") != F.col("c_r")) & (_ones(F.col("sketch_l"), F.col("sketch_r")) <= FAR))
+    cross = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("id_l") < F.col("id_r")) & (F.col("c_l") != F.col("c_r")) & (_ones(F.col("sketch_l"), F.col("sketch_r")) <= far))
     cross = cut(cross.select(F.col("id_l").alias("a"), F.col("id_r").alias("b")).distinct().join(compared, ["a", "b"], "left_anti"))
     links = links.unionAll(verified(cross, docs, n, percent, id, text).where("linked").select("a", "b"))
     many = member.where(F.col("n") > FEW)
     if many.limit(1).count():
-        ties = _blockwise(many.select(F.col("bucket").alias("g"), "id", "c", F.col("sketch").alias("data")), _near_sketches)
-        owner = many.select("id", "c").distinct()
+        ties = _blockwise(many.select(F.col("bucket").alias("g"), "id", "c", F.col("sketch").alias("data")), partial(_near_sketches, far=far))
+        owner = cut(many.select("id", "c").distinct())
         ties = ties.join(owner.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(owner.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
         tied = cut(components(ties.select(F.col("ca").alias("a"), F.col("cb").alias("b")))).select(F.col("node").alias("c"), F.col("component").alias("g"))
-        owner = cut(owner.join(tied, "c"))
+        owner = cut(owner.join(small(tied), "c"))
         sets = _sets(docs, cut(owner.select(F.col("id").alias("_want")).distinct()), n, id, text)
         more = _blockwise(owner.join(sets, "id").select("g", "id", "c", "data"), _near_sets(percent))
         links = links.unionAll(cut(more).select("a", "b"))
@@ -274,5 +300,6 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "d
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its component, columns unchanged."""
-    gone = cut(near_components(docs, n, percent, id, text).where(~F.col("kept")).select(F.col(id).alias("_gone")).distinct())
-    return docs.join(small(gone), F.col(id) == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = cut(near_components(docs, n, percent, id, text).where(~F.col("kept")).select(F.col(id).alias(name)).distinct())
+    return docs.join(small(gone), F.col(id) == F.col(name), "left_anti")
