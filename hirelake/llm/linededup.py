@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, remove, scratch
+from .common import cut, fresh, remove, scratch
 
 LEAST = 10
 
@@ -138,9 +138,10 @@ def losses(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int =
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST, **options: int) -> DataFrame:
     """The rows of docs with ``text`` rid of repeated lines, and new columns n_lines, n_dropped (replacing columns of these names)."""
-    lost = losses(docs, id, text, least, **options).withColumnRenamed("id", "_lost_id").withColumnRenamed("lost", "_lost")
-    rows = docs.join(lost, F.col(id) == F.col("_lost_id"), "left").drop("_lost_id", "n_lines", "n_dropped")
-    columns = [c for c in rows.columns if c != "_lost"]
+    of, cuts = fresh(docs, "_lost_id"), fresh(docs, "_lost")
+    lost = losses(docs, id, text, least, **options).select(F.col("id").alias(of), F.col("lost").alias(cuts))
+    rows = docs.join(lost, F.col(id) == F.col(of), "left").drop(of, "n_lines", "n_dropped")
+    columns = [c for c in rows.columns if c != cuts]
     at = columns.index(text)
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,4 +165,4 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int =
 
     kinds = dict(docs.dtypes) | {text: "string"}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_lines long, n_dropped long"
-    return rows.select(*columns, "_lost").mapInArrow(rebuilt, schema)
+    return rows.select(*columns, cuts).mapInArrow(rebuilt, schema)

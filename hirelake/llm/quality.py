@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, text_or_empty
+from .common import cut, fresh, small, text_or_empty
 
 SPACE = "[\\x20\\x09-\\x0D]"
 BLANKS = " \t\n\x0b\f\r"
@@ -123,5 +123,6 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id: str = "
 
 def filter_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id: str = "doc_id", text: str = "text", **options: float) -> DataFrame:
     """The documents that judge() keeps, columns unchanged. Copies of an id are kept together if any of its texts is kept."""
-    kept = cut(judge(docs, labels, stratum, id, text, **options).where("kept").select(F.col(id).alias("_kept_id")).distinct())
-    return docs.join(small(kept), F.col(id).eqNullSafe(F.col("_kept_id")), "left_semi")
+    name = fresh(docs, "_kept_id")
+    kept = cut(judge(docs, labels, stratum, id, text, **options).where("kept").select(F.col(id).alias(name)).distinct())
+    return docs.join(small(kept), F.col(id).eqNullSafe(F.col(name)), "left_semi")
