@@ -6,37 +6,46 @@ A suffix array of a whole corpus is one unbounded sort, so windows of LENGTH byt
 an anchor, the least-hashed of its GRAM-byte substrings (leftmost if equal). The windows that follow each other with one anchor form a
 stretch; equal windows have equal anchors at equal offsets, so they lie in stretches of one anchor hash.
 
-1. Each text yields its stretches (anchor hash, content hash, id, start, length). Of stretches with equal content all but the first are
-   repeats throughout; this is settled within each batch before the shuffle, so a stretch in a third of all texts is no hot key, and finally after it.
-2. Anchors with a single content left cannot repeat. Those of the others are cut out of the texts.
-3. Of these, groups of anchors go to tasks of bounded size, each of which sorts its suffixes (those whose first LENGTH bytes are not
-   unique), takes the common-prefix lengths of neighbours, and scans them with a stack for the intervals of the common-prefix tree. An
-   interval of at least LENGTH bytes whose occurrences differ in the byte to their left is a maximal repeat: all its occurrences but the
-   first are removed. An interval with one left byte is part of a longer one and skipped.
-   An anchor with more than HOT contents is taken window by window instead, by a sort over all tasks.
+1. Each text yields its stretches (anchor hash, content hash, id, start, length). Of stretches that are equal throughout all but the first are
+   repeats and go no further: this is settled within each batch before the shuffle, so a passage in a third of all texts is no hot key, and
+   once more after it. An anchor with several contents in a batch needs no counting: one row of it goes to the count, and its stretches are dealt by
+   content, so an anchor with a third of all contents is no hot key either.
+2. An anchor with a single content in the corpus has no more repeats. The stretches of all others are cut out of the texts.
+3. Groups of anchors go to tasks of bounded size, each of which sorts the suffixes of its stretches (those whose first LENGTH bytes are not
+   unique; equal stretches count as one with several occurrences), takes the common-prefix lengths of neighbours, and scans them with a stack for
+   the intervals of the common-prefix tree. An interval of at least LENGTH bytes whose occurrences differ in the byte to their left is a maximal
+   repeat: all its occurrences but the first are removed. An interval with one left byte is part of a longer one and skipped.
+   The tree of an anchor with more than HOT stretches does not fit a task. There it is cut off at depth LENGTH: its nodes at that depth are the
+   classes of equal windows, found by one aggregate over all tasks, and all windows of a class but the first are removed, which is the same.
+
+Texts are shuffled only where a stretch is to be cut out of them or a span to be removed, as long as the ids of these documents may be broadcast.
+
+``repeat_groups`` returns the intervals themselves with all their occurrences. A repeat longer than a stretch is reported stretch by stretch there.
 
 Defined cases: a null text is empty; texts shorter than LENGTH lose nothing; rows that share an id are one document whose texts lie over each
 other: what is found in any of them is removed from each, and equal rows are no repeats of one another; a null id comes after all others, as one
-document; extra columns are not looked at.
+document; extra columns are not looked at. Ids are integers.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, small, text_or_empty
+from .common import BROADCAST_ROWS, cut, mix64, small, text_or_empty
 
 LENGTH, GRAM = 100, 32
-#: Bytes hashed at once; stretches in a suffix array, on average; contents of an anchor from which it is taken window by window.
-BLOCK, TASK, HOT = 1 << 19, 4096, 20_000
+#: Bytes hashed at once; stretches in a suffix array, on average; stretches of an anchor from which its tree is cut off at depth LENGTH; bytes of text
+#: (a stretch in 23 of them) whose stretches one task settles.
+BLOCK, TASK, HOT, PART = 1 << 19, 4096, 20_000, 24 << 20
 LAST = 2**63 - 1  # stands for a null id
 
 _rng = np.random.default_rng(5)
@@ -95,7 +104,14 @@ def _blocks(ids: list, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray
         yield np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), np.array(own, np.int64)
 
 
-def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _part(k: np.ndarray, parts: int) -> np.ndarray:
+    return (k.view(np.uint64) >> np.uint64(32)).astype(np.int64) % parts
+
+
+def _stretch_rows(batches: Iterator[pa.RecordBatch], settle: bool, parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows (part, data), see _unpack: a batch's stretches by part of the key that they are to meet by. That is the anchor a of a stretch whose anchor
+    has one content in the batch, and a ^ c, with c the content, of the others, of whose anchor one key a more goes to the count. settle: whether repeats
+    of whole stretches are spans to remove; else they are kept for the trees."""
     for batch in batches:
         found: list[list[np.ndarray]] = [[], [], [], [], []]
         for b, ends, ids in _blocks(batch.column(0).to_pylist(), batch.column(1)):
@@ -108,15 +124,85 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         a, c, doc, start, size = (np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
         order = np.lexsort((start, doc, c, a))
         a, c, doc, start, size = (x[order] for x in (a, c, doc, start, size))
-        same = np.zeros(len(a), bool)
-        same[1:] = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(a))))  # the first of its content in the batch
-        gone = (doc != doc[head]) | (start != start[head])
-        gdoc, gstart, gstop = merged(doc[gone], start[gone], start[gone] + size[gone])
-        n = len(gdoc)
-        spread = mix64(gdoc.view(np.uint64) + gstart.view(np.uint64)).view(np.int64)  # their key is not asked for any more
-        columns = [np.concatenate(x) for x in ((a[~gone], spread), (c[~gone], np.zeros(n, np.int64)), (doc[~gone], gdoc), (start[~gone], gstart), (size[~gone], gstop - gstart))]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.arange(len(columns[0])) >= (~gone).sum())], ["a", "c", "doc", "start", "size", "gone"])
+        gone = _later(a, c, doc, start) & settle
+        spans = merged(doc[gone], start[gone], start[gone] + size[gone])
+        a, c, doc, start, size = (x[~gone] for x in (a, c, doc, start, size))
+        again = np.zeros(len(a), bool)  # of the anchor of the row before
+        again[1:] = a[1:] == a[:-1]
+        several = again.copy()
+        several[:-1] |= again[1:]
+        one, counted = ~several, a[several & ~again]  # once each
+        groups = (
+            (a[one], c[one], doc[one], start[one].astype(np.int32), size[one].astype(np.uint8)),
+            (a[several] ^ c[several], c[several], doc[several], start[several].astype(np.int32), size[several].astype(np.uint8)),
+            (counted,),
+            (mix64(spans[0].view(np.uint64) + spans[1].view(np.uint64)).view(np.int64), spans[0], spans[1].astype(np.int32), spans[2].astype(np.int32)),
+        )
+        cuts, sorted_groups = [], []
+        for g in groups:
+            part = _part(g[0], parts)
+            order = np.argsort(part, kind="stable")
+            cuts.append(np.searchsorted(part[order], np.arange(parts + 1)))
+            sorted_groups.append([x[order] for x in g])
+        number, data = [], []
+        for part in np.flatnonzero(np.any([np.diff(x) for x in cuts], axis=0)).tolist():
+            sizes = np.array([x[part + 1] - x[part] for x in cuts], np.int64)
+            number.append(part)
+            data.append(sizes.tobytes() + b"".join(x[y[part] : y[part + 1]].tobytes() for g, y in zip(sorted_groups, cuts) for x in g))
+        yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(data, pa.binary())], ["part", "data"])
+
+
+_PACKED = (("<i8", "<i8", "<i8", "<i4", "<u1"), ("<i8", "<i8", "<i8", "<i4", "<u1"), ("<i8",), ("<i8", "<i8", "<i4", "<i4"))
+
+
+def _unpack(data: list[bytes]) -> list[list[np.ndarray]]:
+    """The columns of (key, content, doc, start, length) alone with their anchor, the same of several, keys to count, and (key, doc, start, stop) to remove."""
+    found = [[[] for _ in g] for g in _PACKED]
+    for x in data:
+        sizes, at = np.frombuffer(x, "<i8", 4).tolist(), 32
+        for g, kinds, n in zip(found, _PACKED, sizes):
+            for column, kind in zip(g, kinds):
+                column.append(np.frombuffer(x, kind, n, at))
+                at += n * int(kind[2])
+    return [[np.concatenate(c).astype(np.int64) if c else np.empty(0, np.int64) for c in g] for g in found]
+
+
+def _later(k: np.ndarray, c: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of rows in the order of all four: whether it has the content, but not the place, of an earlier row (key and content hash, so 128 bits)."""
+    same = np.zeros(len(k), bool)
+    same[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(k))))
+    return (doc != doc[head]) | (start != start[head])
+
+
+def _settled(batches: Iterator[pa.RecordBatch], settle: bool) -> Iterator[pa.RecordBatch]:
+    """(a, doc, start, size, gone) of a bounded part of all keys: the spans to remove and the stretches of anchors that may repeat."""
+    one, several, counted, spans = _unpack([x.as_py() for b in batches for x in b.column(0)])
+    out = [[], [], [], [], []]
+
+    def add(a: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, gone: np.ndarray) -> None:
+        for column, x in zip(out, (a, doc, start, size, gone)):
+            column.append(x)
+
+    for alone, (k, c, doc, start, size) in ((True, one), (False, several)):
+        order = np.lexsort((start, doc, c, k))
+        k, c, doc, start, size = (x[order] for x in (k, c, doc, start, size))
+        gone = _later(k, c, doc, start) & settle
+        open_ = np.ones(len(k), bool)
+        if alone and len(k):
+            new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            last = np.concatenate([new[1:], [len(k)]]) - 1
+            may = (c[new] != c[last]) | np.isin(k[new], counted)
+            if not settle:
+                may |= last > new
+            open_ = np.repeat(may, last - new + 1)
+        take = gone | open_
+        add((k if alone else k ^ c)[take], doc[take], start[take], size[take], gone[take])
+    _, doc, start, stop = spans
+    add(np.zeros(len(doc), np.int64), doc, start, stop - start, np.ones(len(doc), bool))
+    columns = [np.concatenate(x) for x in out]
+    for at in range(0, len(columns[0]), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in columns], ["a", "doc", "start", "size", "gone"])
 
 
 def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,9 +255,15 @@ def _join(into: list, part: list, order: list) -> None:
         into[3] = part[3]
 
 
-def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The suffix array of a bounded set of stretches: spans to remove."""
-    texts, docs, starts = pdf["bytes"].tolist(), pdf["doc"].to_numpy(), pdf["start"].to_numpy()
+def _occurrences(pdf: pd.DataFrame) -> Iterator[tuple[int, list[tuple[int, int]], tuple[int, int]]]:
+    """The suffix array of a bounded set of stretches: (length, all occurrences, the first of them) of its maximal repeats; an occurrence is (doc, start)."""
+    places: dict[bytes, list[tuple[int, int]]] = {}
+    for t, d, s in zip(pdf["bytes"].tolist(), pdf["doc"].tolist(), pdf["start"].tolist()):
+        places.setdefault(t, []).append((d, s))
+    texts, where = list(places), [sorted(set(x)) for x in places.values()]
+    for t, x in zip(texts, where):
+        if len(x) > 1:  # a leaf of the tree with several occurrences
+            yield len(t), x, x[0]
     b = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     begins = np.concatenate([[0], ends[:-1]])
@@ -183,12 +275,18 @@ def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
     own, off = owner[twice].tolist(), (at[twice] - begins[owner[twice]]).tolist()
     suffixes = [texts[o][p:] for o, p in zip(own, off)]
     array = sorted(range(len(suffixes)), key=suffixes.__getitem__)
-    place = [(int(docs[own[k]]), int(starts[own[k]]) + off[k]) for k in array]
+    first_of = [(where[own[k]][0][0], where[own[k]][0][1] + off[k]) for k in array]
     left = [texts[own[k]][off[k] - 1] if off[k] else -1 - k for k in array]
+    for length, lo, hi, first in intervals([suffixes[k] for k in array], left, first_of):
+        yield length, [(d, s + off[k]) for k in array[lo : hi + 1] for d, s in where[own[k]]], first_of[first]
+
+
+def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Spans to remove."""
     doc, start, stop = [], [], []
-    for length, lo, hi, first in intervals([suffixes[k] for k in array], left, place):
-        for d, s in place[lo : hi + 1]:
-            if (d, s) != place[first]:
+    for length, every, first in _occurrences(pdf):
+        for d, s in every:
+            if (d, s) != first:
                 doc.append(d)
                 start.append(s)
                 stop.append(s + length)
@@ -196,66 +294,90 @@ def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc": d, "start": s, "stop": e})
 
 
-def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, spans array<struct<start, stop>>): the bytes to remove of each document that has some; spans may overlap."""
-    rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("doc"), text_or_empty(text).alias("t")).where(F.octet_length("t") >= LENGTH)
-    found = rows.mapInArrow(_stretch_rows, "a long, c long, doc long, start long, size long, gone boolean")
-    every = Window.partitionBy("a")
-    content = Window.partitionBy("a", "c").orderBy("doc", "start")
-    first = F.first(F.struct("doc", "start")).over(content)
-    found = found.select("*", F.min("c").over(every).alias("lo"), F.max("c").over(every).alias("hi"), first.alias("first"))
-    gone = F.col("gone") | (F.col("first") != F.struct("doc", "start"))
-    found = cut(found.select("a", "doc", "start", "size", gone.alias("gone"), (F.col("lo") != F.col("hi")).alias("open")).where("gone or open"))
-    spans = found.where("gone").select("doc", "start", (F.col("start") + F.col("size")).alias("stop"))
-    need = found.where("not gone")
-    hot = cut(need.groupBy("a").count().where(F.col("count") > HOT).select("a"))
-    total, heads = need.count(), hot.count()
-    if total:
-        calm = need.join(small(hot), "a", "left_anti") if heads else need
-        per = calm.groupBy("doc").agg(F.collect_list(F.struct("a", "start", "size")).alias("cuts"))  # at most the stretches of a document
-
-        def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
+    rows = [(f"{first[0]}:{first[1]}:{length}", length, d, s) for length, every, first in _occurrences(pdf) for d, s in sorted(set(every)) if len(set(every)) > 1]
+    return pd.DataFrame(rows, columns=["group", "length", "doc", "start"])
+
+
+class _Pieces:
+    """Steps 1 and 2: the spans that are settled before the shuffle, and the stretches that may repeat, cut out of the texts."""
+
+    def __init__(self, docs: DataFrame, id: str, text: str, settle: bool = True):
+        self.rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("doc"), text_or_empty(text).alias("t")).where(F.octet_length("t") >= LENGTH)
+        n = 1 + (self.rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // PART
+        found = self.rows.mapInArrow(partial(_stretch_rows, settle=settle, parts=4 * n), "part long, data binary").repartition(n, "part")
+        found = cut(found.select("data").mapInArrow(partial(_settled, settle=settle), "a long, doc long, start long, size long, gone boolean"))
+        self.gone = found.where("gone").select("doc", "start", (F.col("start") + F.col("size")).alias("stop"))
+        self.need = found.where("not gone").drop("gone")
+        self.hot = cut(self.need.groupBy("a").count().where(F.col("count") > HOT).select("a"))
+        self.total, self.heads = self.need.count(), self.hot.count()
+
+    def cut_out(self, need: DataFrame, what) -> DataFrame:
+        """what(doc, anchor, start, bytes) -> rows of (doc, a, start, bytes), over the given stretches."""
+        per = cut(need.groupBy("doc").agg(F.collect_list(F.struct("a", "start", "size")).alias("cuts")))  # at most the stretches of a document
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                doc, a, start, part = [], [], [], []
+                out: list[list] = [[], [], [], []]
                 for d, t, cuts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                     raw = t.as_py().encode()
                     for x in cuts.as_py():
                         if x["start"] + x["size"] <= len(raw):
-                            doc.append(d)
-                            a.append(x["a"])
-                            start.append(x["start"])
-                            part.append(raw[x["start"] : x["start"] + x["size"]])
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int64()), pa.array(start, pa.int64()), pa.array(part, pa.binary())], ["doc", "a", "start", "bytes"])
-
-        tasks = -(-total // TASK)
-        pieces = rows.join(per, "doc").select("doc", "t", "cuts").mapInArrow(cut_out, "doc long, a long, start long, bytes binary")
-        pieces = pieces.withColumn("task", F.pmod("a", F.lit(tasks)))
-        spans = spans.unionByName(pieces.groupBy("task").applyInPandas(_repeats, "doc long, start long, stop long"))
-    if heads:
-        per = need.join(small(hot), "a", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("cuts"))
-
-        def each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                doc, start, digest = [], [], []
-                for d, t, cuts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                    raw = t.as_py().encode()
-                    for x in cuts.as_py():
-                        for s in range(x["start"], min(x["start"] + x["size"], len(raw)) - LENGTH + 1):
-                            doc.append(d)
-                            start.append(s)
-                            digest.append(xxhash.xxh3_128_digest(raw[s : s + LENGTH]))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(digest, pa.binary())], ["doc", "start", "w"])
-
-        windows = rows.join(per, "doc").select("doc", "t", "cuts").mapInArrow(each_window, "doc long, start long, w binary")
-        earliest = windows.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        late = windows.join(earliest, "w").where(F.col("first") != F.struct("doc", "start"))
+                            for row in what(d, x["a"], x["start"], raw[x["start"] : x["start"] + x["size"]]):
+                                for column, value in zip(out, row):
+                                    column.append(value)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.binary())], ["doc", "a", "start", "bytes"])
+
+        some = self.rows.join(small(per.select("doc")), "doc", "left_semi")  # else all texts would be shuffled
+        return some.join(per, "doc").select("doc", "t", "cuts").mapInArrow(of, "doc long, a long, start long, bytes binary")
+
+    def trees(self, work, schema: str) -> DataFrame:
+        """work on the pieces of each group of anchors that are not hot."""
+        calm = self.need.join(small(self.hot), "a", "left_anti") if self.heads else self.need
+        tasks = max(1, -(-self.total // TASK))
+        pieces = self.cut_out(calm, lambda *piece: (piece,)).withColumn("task", F.pmod("a", F.lit(tasks)))
+        return pieces.groupBy("task").applyInPandas(work, schema)
+
+    def classes(self) -> DataFrame:
+        """(doc, start, w, first): the windows of hot anchors that occur more than once, with their content's hash and first occurrence."""
+
+        def each_window(doc: int, a: int, start: int, part: bytes) -> Iterator[tuple]:
+            return ((doc, a, start + k, xxhash.xxh3_128_digest(part[k : k + LENGTH])) for k in range(len(part) - LENGTH + 1))
+
+        windows = self.cut_out(self.need.join(small(self.hot), "a", "left_semi"), each_window).withColumnRenamed("bytes", "w")
+        earliest = cut(windows.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("first"), F.max(F.struct("doc", "start")).alias("last")).where("first < last").select("w", "first"))
+        return windows.join(earliest, "w").select("doc", "start", "w", "first")
+
+
+def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, spans array<struct<start, stop>>): the bytes to remove of each document that has some; spans may overlap."""
+    x = _Pieces(docs, id, text)
+    spans = x.gone
+    if x.total:
+        spans = spans.unionByName(x.trees(_repeats, "doc long, start long, stop long"))
+    if x.heads:
+        late = x.classes().where(F.col("first") != F.struct("doc", "start"))
         spans = spans.unionByName(late.select("doc", "start", (F.col("start") + LENGTH).alias("stop")))
     return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
+def repeat_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(group, length, id, start): the maximal repeats of at least LENGTH bytes with all their occurrences, a row for each. A group is named by its first
+    occurrence and length, or, where an anchor's tree is cut off at depth LENGTH, by its content's hash."""
+    x = _Pieces(docs, id, text, settle=False)
+    out = docs.sparkSession.createDataFrame([], "group string, length long, doc long, start long")
+    if x.total:
+        out = x.trees(_groups, out.schema)
+    if x.heads:
+        out = out.unionByName(x.classes().select(F.hex("w").alias("group"), F.lit(LENGTH).cast("long").alias("length"), "doc", "start"))
+    return out.withColumn("doc", F.when(F.col("doc") != LAST, F.col("doc"))).withColumnRenamed("doc", id)
+
+
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, kept (binary: the remaining bytes), n_bytes, n_removed, n_spans; one row for each row of docs."""
     rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("doc"), text_or_empty(text).alias("t"))
+    spans = cut(repeats(docs, id, text))
+    hit = spans.select("doc")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -272,7 +394,12 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
                     column.append(value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.binary()), *[pa.array(x, pa.int64()) for x in out[1:]]], ["doc", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    done = rows.join(repeats(docs, id, text), "doc", "left").select("doc", "t", "spans").mapInArrow(take, "doc long, kept binary, n_bytes long, n_removed long, n_spans long")
+    if hit.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # texts that stay whole need no shuffle
+        whole = rows.join(F.broadcast(hit), "doc", "left_anti").select("doc", "t", F.lit(None).cast("array<struct<start: bigint, stop: bigint>>").alias("spans"))
+        rows = whole.unionByName(rows.join(F.broadcast(hit), "doc", "left_semi").join(spans, "doc").select("doc", "t", "spans"))
+    else:
+        rows = rows.join(spans, "doc", "left").select("doc", "t", "spans")
+    done = rows.mapInArrow(take, "doc long, kept binary, n_bytes long, n_removed long, n_spans long")
     return done.withColumn("doc", F.when(F.col("doc") != LAST, F.col("doc"))).withColumnRenamed("doc", id)
 
 
