@@ -14,14 +14,14 @@ from hirelake.llm import decontam, graph, linededup, neardup, packing, pii, qual
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns that clash with what operators compute.
-CLASH = DOCS + ", id long, n_lines long, kept boolean, spans string, h1 long"
+CLASH = DOCS + ", id long, n_lines long, kept boolean, spans string, h1 long, _gone long, _lost string, _lost_id long, _kept_id long, _row string, _own string, g long"
 
 
 def make(spark, texts, schema=DOCS):
     rows = []
     for k, t in enumerate(texts):
         i, t = t if isinstance(t, tuple) else (k, t)
-        rows.append((i, t, "en", "s", None, *([None] * (5 if schema == CLASH else 0))))
+        rows.append((i, t, "en", "s", None, *([None] * (12 if schema == CLASH else 0))))
     return spark.createDataFrame(rows, schema).repartition(3)
 
 
@@ -189,6 +189,30 @@ def test_near_components_match_brute_force(spark, n, monkeypatch):
     assert all(r.kept == (i == expected[i]) and r.n_shingles == len(neardup.shingle_set(dict(rows)[i] or "", n)) for i, r in got.items())
 
 
+def test_a_text_of_a_repeated_id_keeps_its_own_links(spark):
+    rng = random.Random(15)
+    a, b = words(rng, 80), words(rng, 80)
+    rows = [(3, a), (5, a), (5, b), (7, b + " more")]
+    got = {r.doc_id: r.component_id for r in neardup.near_components(make(spark, rows), 2, 80).collect()}
+    assert got == plain_components(rows, 2, 80) == {3: 3, 5: 3, 7: 3}
+
+
+def test_sketches_pass_pairs_at_the_threshold_and_stop_far_ones():
+    rng = np.random.default_rng(16)
+    far = neardup.cutoff(80)
+    assert far < neardup.cutoff(80, 1e-9) < neardup.cutoff(70)
+    ones = {80: [], 30: []}
+    for percent in ones:
+        for _ in range(300):
+            both = rng.integers(0, 2**63, 4 * percent, dtype=np.uint64)
+            x, y = (np.unique(np.concatenate([both, rng.integers(0, 2**63, 2 * (100 - percent), dtype=np.uint64)])) for _ in range(2))
+            p, q = neardup.sketch(neardup.samples(x)), neardup.sketch(neardup.samples(y))
+            ones[percent].append(int(np.bitwise_count((p ^ q).view(np.uint64)).sum()))
+            assert neardup._near_sketches([p], [q], ones[percent][-1]).all() and not neardup._near_sketches([p], [q], ones[percent][-1] - 1).any()
+    assert np.mean(np.array(ones[80]) <= neardup.cutoff(80, 1e-3)) > 0.98 and max(ones[80]) <= far
+    assert np.mean(np.array(ones[30]) <= far) < 0.05
+
+
 def test_blocks_find_what_sets_share():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(12)]
@@ -227,21 +251,61 @@ def test_contamination_finds_whole_and_reordered_passages(spark):
         got = decontam.contamination(docs, bench, block=block).collect()
         assert {(r.doc_id, r.item_id, r.covered) for r in got} == {(1, 1, 40), (2, 1, 40)}
     assert {r.doc_id for r in decontam.decontaminate(docs, bench).collect()} == {0, 3, 4, 5}
+    tiny = make(spark, ["a tiny text here", "tiny"])
+    assert decontam.contamination(tiny, bench).count() == 0  # too short an item to be evidence
+    assert [(r.doc_id, r.item_id) for r in decontam.contamination(tiny, bench, shortest=1).collect()] == [(0, 3)]
+
+
+def plain_tiling(p, t, least):
+    found, used_p, used_t = [], set(), set()
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(p)):
+            for d in range(len(t)):
+                n = 0
+                while i + n < len(p) and d + n < len(t) and p[i + n] == t[d + n] and i + n not in used_p and d + n not in used_t:
+                    n += 1
+                best = min(best, (-n, i, d)) if n >= least else best
+        if not best[0]:
+            return found
+        n, i, d = -best[0], *best[1:]
+        found.append((i, d, n))
+        used_p |= set(range(i, i + n))
+        used_t |= set(range(d, d + n))
+
+
+@pytest.mark.parametrize("alphabet", [2, 5, 30])
+def test_tiles_match_a_plain_greedy_tiling(alphabet):
+    rng = random.Random(7)
+    for _ in range(25):
+        p, t = ([rng.randrange(alphabet) for _ in range(n)] for n in (25, 60))
+        t[10:10] = p[5:20]
+        t[40:40] = p[:8]
+        own = decontam.tiles(np.array(p, np.uint64), np.array(t, np.uint64), 3)
+        assert sorted(own) == sorted(plain_tiling(p, t, 3))
 
 
-def test_tiles_do_not_overlap_and_cover_like_a_plain_tiling():
-    rng = random.Random(7)
+def test_contamination_matches_brute_force(spark):
+    rng = random.Random(18)
+    items = [words(rng, rng.randrange(1, 30), 60) for _ in range(40)]
+    docs = []
     for _ in range(60):
-        p, t = ([rng.randrange(5) for _ in range(n)] for n in (25, 60))
-        own = decontam.tiles(np.array(p, np.uint64), np.array(t, np.uint64), 3)
-        used_p, used_t = set(), set()
-        for i, d, n in own:
-            assert n >= 3 and p[i : i + n] == t[d : d + n]
-            assert not used_p & set(range(i, i + n)) and not used_t & set(range(d, d + n))
-            used_p |= set(range(i, i + n))
-            used_t |= set(range(d, d + n))
-        free = [(i, d) for i in range(23) for d in range(58) if p[i : i + 3] == t[d : d + 3] and not used_p & {i, i + 1, i + 2} and not used_t & {d, d + 1, d + 2}]
-        assert not free  # nothing of the least length is left
+        w = words(rng, 40, 60).split()
+        for _ in range(3):
+            x, at = rng.choice(items).split(), rng.randrange(len(w))
+            cut = rng.randrange(len(x))
+            w[at:at] = x[cut:] + ["gap"] + x[:cut]
+        docs.append(" ".join(w))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.covered for r in decontam.contamination(make(spark, docs), bench, block=200).collect()}
+    expected = {}
+    for k, t in enumerate(docs):
+        for j, x in enumerate(items):
+            p = x.split()
+            covered = sum(n for _, _, n in plain_tiling(p, t.split(), 5)) if len(p) >= 5 else 0
+            if covered and covered >= 0.6 * len(p):
+                expected[k, j] = covered
+    assert got == expected and len(got) > 20
 
 
 def test_contamination_edges(spark, edge, none):
@@ -263,7 +327,7 @@ def test_packing_is_an_exact_partition(spark, tokenizer):
     from tokenizers import Tokenizer
 
     rng = random.Random(8)
-    texts = [words(rng, rng.randrange(1, 900)) for _ in range(60)] + ["", None, "It's ça, K2! <|endoftext|> naïve", "Ünïcode ÉTÉ. straße 3½"]
+    texts = [words(rng, rng.randrange(1, 900)) for _ in range(60)] + ["", None, "It's ça, K2! <|endoftext|> naïve", "a <|ENDOFTEXT|> b<|StartOfText|>c <|endoftext|>D <| endoftext |> E<|ENDOFTEXT|>", "Ünïcode ÉTÉ. straße 3½"]
     rows = packing.pack(make(spark, texts), tokenizer, group=16).collect()
     whole = Tokenizer.from_file(tokenizer)
     by = {}
@@ -284,6 +348,15 @@ def test_packing_is_an_exact_partition(spark, tokenizer):
         assert [o for o, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 2048
 
 
+def test_a_giant_document_and_repeated_rows_are_spread(spark, tokenizer):
+    docs = make(spark, [(1, "one two three four " * 5000)] + [(2, "same words again")] * 60)
+    rows = packing.pack(docs, tokenizer, size=16, piece=4, group=8).collect()
+    assert len({r.sequence_id for r in rows}) == len({(r.sequence_id, r.offset) for r in rows if r.offset == 0})
+    assert sum(r.length for r in rows) == 20_001 + 60 * 4
+    assert len({r.sequence_id for r in rows if r.length == 16}) == sum(r.length == 16 for r in rows) == 1250  # whole windows stand alone
+    assert len({r.sequence_id >> 32 for r in rows if r.doc_id == 2}) > 4  # the groups of equal rows
+
+
 def test_differencing_levels_the_bins():
     assert sorted(sum([8, 7, 6, 5, 4][k] for k in b) for b in packing.difference([8, 7, 6, 5, 4], 2)) == [14, 16]
     assert packing.difference([], 3) == [[], [], []]
@@ -298,10 +371,11 @@ def test_packing_edges(edge, none, tokenizer):
 
 # ---- 5 repeated substrings ----
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [20_000, 40, 1])
 def test_repeated_substrings_match_the_definition(spark, hot, monkeypatch):
     monkeypatch.setattr(substrings, "HOT", hot)
     monkeypatch.setattr(substrings, "BLOCK", 3000)
+    monkeypatch.setattr(substrings, "PART", 1000)
     rng = random.Random(9)
     passage = words(rng, 60, 10**6)
     texts = []
@@ -317,6 +391,28 @@ def test_repeated_substrings_match_the_definition(spark, hot, monkeypatch):
     assert got == substrings.brute_force(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_repeat_groups_have_all_occurrences(spark, hot, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    rng = random.Random(19)
+    passage = words(rng, 30, 10**6)[:150]
+    texts = [words(rng, 40, 10**6) + " " + passage + " " + words(rng, 9, 10**6) for _ in range(7)] + [passage, passage + passage]
+    windows = {}
+    for k, t in enumerate(texts):
+        for p in range(len(t) - 99):
+            windows.setdefault(t[p : p + 100], set()).add((k, p))
+    met = {}
+    for r in substrings.repeat_groups(make(spark, texts)).collect():
+        met.setdefault((r.group, r.length), set()).add((r.doc_id, r.start))
+    seen = {}
+    for (_, n), places in met.items():
+        assert len(places) > 1 and len({texts[k][p : p + n] for k, p in places}) == 1
+        for k, p in places:
+            for at in range(p, p + n - 99):
+                seen.setdefault(texts[k][at : at + 100], set()).add((k, at))
+    assert seen == {w: places for w, places in windows.items() if len(places) > 1}
+
+
 def test_intervals_are_the_maximal_repeats(monkeypatch):
     monkeypatch.setattr(substrings, "LENGTH", 2)
     text = b"banana"
@@ -409,6 +505,46 @@ def test_surrogates_are_consistent_distinct_and_of_one_format(spark):
     assert john[2] == anna[2] and anna[1].endswith("a") and re.search(r"г-жа [А-Я][а-я]+ [А-Я][а-я]+", out)
 
 
+SPELLINGS = {  # of one person, number or address each
+    "mail": ("john.smith@example.com", "John.Smith@Example.com", "JOHN.SMITH@EXAMPLE.COM"),
+    "phone": ("+1 (415) 555-01-23", "+14155550123", "+1.415.555.01.23"),
+    "card": ("4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"),
+    "amex": ("3782 822463 10005", "378282246310005"),
+    "iban": ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000"),
+    "ip6": ("2001:db8:0:0:0:0:0:7", "2001:db8::7", "2001:DB8::7"),
+}
+
+
+def test_spellings_of_one_entity_get_one_surrogate(spark):
+    rng = random.Random(17)
+    texts = [f"see {x} there" for spelt in SPELLINGS.values() for x in spelt]
+    others = [f"see +{rng.randrange(10**10, 10**12)} there" for _ in range(40)] + [f"see {a}{b}@example.org there" for a in "xyz" for b in "uvw"]
+    out = [r.text[4:-6] for r in pii.anonymize(make(spark, texts + others), b"k").orderBy("doc_id").collect()]
+    plain = lambda x: re.sub(r"[ ().-]", "", x.lower()) if ":" not in x and "@" not in x else x.lower()
+    made, at = {}, 0
+    for name, spelt in SPELLINGS.items():
+        mine = {plain(x) for x in out[at : at + len(spelt)]}
+        assert len(mine) == 1 and not mine & {plain(x) for x in spelt}, (name, mine)
+        made[name] = mine.pop()
+        if name != "ip6":
+            assert [re.sub("[a-z]", "a", re.sub(r"\d", "0", re.sub("[A-Z]", "A", x))) for x in out[at : at + len(spelt)]] == [re.sub("[a-z]", "a", re.sub(r"\d", "0", re.sub("[A-Z]", "A", x))) for x in spelt]
+        at += len(spelt)
+    assert pii.luhn(made["card"]) and pii.luhn(made["amex"]) and pii.mod97(made["iban"].upper()) == 1
+    rest = out[at:]
+    assert len(set(rest)) == len(set(others)) and not set(rest) & {x[4:-6] for x in others}
+
+
+def test_bare_mentions_titles_in_all_cases_and_family_endings(spark):
+    texts = ["Smith wrote to Mr John Smith. JOHN SMITH and Smith's boat, Smithson, John.", "Dr Anna Smith", "Передать господину Олегу Смирнову и г-же Анне Смирновой", "г-н Смирнов, г-жа Смирнова, г-жа СМИРНОВА", "plain Smith"]
+    out = [r.text for r in pii.anonymize(make(spark, texts), b"k").orderBy("doc_id").collect()]
+    john, smith = re.search(r"Mr (\w+) (\w+)\.", out[0]).groups()
+    assert out[0] == f"{smith} wrote to Mr {john} {smith}. {john.upper()} {smith.upper()} and {smith}'s boat, Smithson, {john}."
+    assert out[1].endswith(" " + smith) and out[4] == "plain Smith"
+    assert not re.search("Олег|Смирн|Анн", out[2])
+    man = re.search(r"г-н (\w+ов),", out[3])[1]
+    assert out[3] == f"г-н {man}, г-жа {man}а, г-жа {man.upper()}А"
+
+
 def test_collisions_are_resolved(spark, monkeypatch):
     values = [f"{k:03d}-{k:03d}-{k:04d}" for k in range(40)]
     found = spark.createDataFrame([("phone", v) for v in values], "kind string, value string")
