@@ -26,8 +26,13 @@ def synthetic_id(role: Column | str, stack: Column | str, grade: Column | str, r
     return _hex(F.concat_ws("|", _low(role), _list_text(stack), _low(grade), bucket), 16)
 
 
-def specialist_identity(resume_url: Column | str, name: Column | str, role: Column | str, location: Column | str, stack: Column | str, grade: Column | str, rate: Column | str) -> Column:
-    """By resume link, else by name with role, place and stack, else as synthetic_id."""
+def specialist_identity(resume_url: Column | str, name: Column | str, role: Column | str, location: Column | str, stack: Column | str, grade: Column | str, rate: Column | str, source_urls: Column | str | None = None, rate_max: Column | str | None = None) -> Column:
+    """By resume link (else the first source link that is not blank), else by name with role, place and stack, else as synthetic_id by the lower rate
+    (a missing or zero one by the upper)."""
+    if source_urls is not None:
+        resume_url = F.coalesce(F.nullif(strip(F.coalesce(_c(resume_url), F.lit(""))), F.lit("")), F.get(F.filter(_c(source_urls), lambda u: strip(F.coalesce(u, F.lit(""))) != ""), F.lit(0)))
+    if rate_max is not None:
+        rate = F.coalesce(F.nullif(_c(rate), F.lit(0)), _c(rate_max))
     one = lambda c: F.regexp_replace(_low(c), r"(?U)\s+", " ")
     by_link = _hex(F.concat(F.lit("specialist|resume|"), _low(resume_url)), 16)
     by_name = _hex(F.concat_ws("|", F.lit("specialist|name"), one(name), one(role), one(location), _list_text(stack)), 16)

@@ -24,6 +24,9 @@ TOOL_WORDS = (
 )
 YANDEX_HOSTS = ("disk.yandex.ru", "disk.360.yandex.ru", "yadi.sk", "disk.yandex.com")
 FILE_KINDS = ((".pdf", "direct_pdf"), (".docx", "direct_docx"), (".xlsx", "direct_xlsx"), (".csv", "direct_csv"), (".txt", "direct_txt"))
+_N = r"\d{1,3}"
+PRIVATE_V4 = rf"(?:0|10|127|22[4-9]|23\d|24\d|25[0-5])\.{_N}\.{_N}\.{_N}|(?:192\.168|169\.254|198\.1[89]|172\.(?:1[6-9]|2\d|3[01]))\.{_N}\.{_N}|(?:192\.0\.[02]|198\.51\.100|203\.0\.113)\.{_N}"
+PRIVATE_V6 = rf"(?:0{{0,4}}:){{2,7}}0{{0,3}}[01]?|f[cd][0-9a-f]{{2}}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{{2}}:.*|2001:0?db8:.*|::(?:ffff:)?(?:{PRIVATE_V4})"
 # ---- end of fixed values ----
 
 #: All line ends that the rules know.
@@ -147,11 +150,14 @@ def classify_url(x: Column | str) -> Column:
 
 
 def url_allowed(x: Column | str, domains: tuple[str, ...] = ()) -> Column:
-    """http(s), not local or a private address, and of an allowed domain if any are given."""
+    """http(s) in any case, not local, private, multicast or reserved (whole addresses of both versions, not names that begin like one), and of an allowed
+    domain if any are given."""
     u = _c(x)
-    host = F.regexp_replace(F.regexp_replace(url_host(u), r"^.*@", ""), r":\d*$", "")
-    private = F.regexp_like(host, F.lit(r"^(localhost|.*\.local|127\..*|10\..*|192\.168\..*|169\.254\..*|0\..*|172\.(1[6-9]|2\d|3[01])\..*)$"))
-    good = F.regexp_like(u, F.lit("^https?://")) & (host != "") & ~private
+    net = F.regexp_replace(url_host(u), r"^.*@", "")
+    six = F.regexp_extract(net, r"^\[([^\]]*)\](?::\d*)?$", 1)
+    host = F.when(F.startswith(net, F.lit("[")), six).otherwise(F.regexp_replace(net, r":\d*$", ""))
+    private = F.regexp_like(host, F.lit(rf"^(?:localhost|.*\.local|{PRIVATE_V4}|{PRIVATE_V6})$"))
+    good = F.regexp_like(u, F.lit("(?i)^https?://")) & (host != "") & ~private
     if domains:
         good = good & reduce(lambda a, b: a | b, [(host == d) | F.endswith(host, F.lit("." + d)) for d in (x.strip().lower() for x in domains) if d])
     return good

@@ -38,11 +38,24 @@ def bench_scope(specialists: DataFrame, scope: str) -> DataFrame:
 def lexical_search(entities: DataFrame, queries: DataFrame, k: int, as_of: str) -> DataFrame:
     """query_id, id, sim, rank: for each (query_id, query) the newest k active entities that have its first 80 characters as a LIKE pattern.
 
-    The queries are a stated set against all rows."""
+    A query meets the entities at the rarest trigram of its longest part without wildcards, by an equi-join, and is then matched as a whole; queries
+    without such a part of three characters are compared with all entities."""
+    from .joins import trigrams
+
     pattern = F.concat(F.lit("%"), F.lower(F.substring("query", 1, 80)), F.lit("%"))
     q = queries.select("query_id", pattern.alias("pattern"))
+    part = F.array_max(F.transform(F.split("pattern", "[%_]"), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    q = q.withColumn("_part", part)
     hit = F.expr(" OR ".join(f"lower(coalesce({c}, '')) LIKE pattern" for c in ("role", "description", "original_text")))
-    found = active(entities, as_of).join(F.broadcast(q) if queries.limit(10_001).count() <= 10_000 else q, hit)
+    rows = active(entities, as_of).select("id", "updated_at", "role", "description", "original_text")
+    grams = rows.select("id", F.explode(trigrams(F.lower(F.concat_ws("\n", "role", "description", "original_text")))).alias("_gram"))
+    count = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    own = q.where(F.length("_part") >= 3).select("query_id", "pattern", F.explode(trigrams(F.col("_part"))).alias("_gram")).join(count, "_gram", "left")
+    rarest = own.groupBy("query_id", "pattern").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    found = grams.join(rarest, "_gram").select("id", "query_id", "pattern").join(rows, "id").where(hit).select("id", "updated_at", "query_id")
+    odd = q.where(F.length("_part") < 3).drop("_part")
+    if odd.limit(1).count():
+        found = found.unionByName(rows.join(F.broadcast(odd) if odd.limit(10_001).count() <= 10_000 else odd, hit).select("id", "updated_at", "query_id"))
     w = Window.partitionBy("query_id").orderBy(F.desc("updated_at"), F.desc("id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", F.lit(0.0).alias("sim"), "rank")
 

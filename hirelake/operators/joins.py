@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["entity_type", "entity_id"]
+#: Names up to which partners are one array.
+FEW_NAMES = 2000
 
 
 def latest_source(sources: DataFrame) -> DataFrame:
@@ -86,14 +88,42 @@ def active_matches(matches: DataFrame, vacancies: DataFrame, specialists: DataFr
 
 
 def partner_mention(texts: DataFrame, partners: DataFrame, id: str, text: str) -> DataFrame:
-    """id, partner: of the partners with mentions the first (most mentions, then name) whose name is in the text.
-
-    The names are one row's array, in order; each text looks for the first of them."""
-    rows = partners.where(F.col("mentions_count") > 0).select(F.struct((-F.col("mentions_count")).alias("m"), F.col("canonical_name").alias("name")).alias("p"))
-    names = rows.agg(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["name"]).alias("_names"))
-    low = F.lower(F.col(text))
-    found = F.get(F.filter("_names", lambda n: F.contains(low, F.lower(n))), F.lit(0))
-    return texts.crossJoin(F.broadcast(names)).select(id, found.alias("partner"))  # one row on the right
+    """id, partner: of the partners with mentions the first (most mentions, then name) whose normalized name is in the text; names that normalize to nothing
+    (blanks, sectors, rates) match none. ids must be unique.
+
+    Up to FEW_NAMES names are one row's array, in order, and each text looks for the first of them; more meet the texts by trigrams."""
+    from hirelake.functions.companies import company_name
+
+    low = F.lower(company_name("canonical_name"))
+    rows = partners.where((F.col("mentions_count") > 0) & low.isNotNull())
+    rows = rows.select(low.alias("needle"), F.struct((-F.col("mentions_count")).alias("m"), F.col("canonical_name").alias("name")).alias("p"))
+    if rows.limit(FEW_NAMES + 1).count() <= FEW_NAMES:
+        names = rows.agg(F.sort_array(F.collect_list(F.struct("p", "needle"))).alias("_names"))
+        hay = F.lower(F.col(text))
+        found = F.get(F.filter("_names", lambda n: F.contains(hay, n["needle"])), F.lit(0))
+        return texts.crossJoin(F.broadcast(names)).select(id, found["p"]["name"].alias("partner"))  # one row on the right
+    hits = substring_pairs(texts.select(id, F.lower(F.col(text)).alias("hay")), rows)
+    return texts.select(id).join(hits.groupBy(id).agg(F.min("p.m").alias("_m"), F.min("p").alias("_p")), id, "left").select(id, F.col("_p.name").alias("partner"))
+
+
+def trigrams(x: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.substring(x, i, F.lit(3))))
+
+
+def substring_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """texts joined with needles where ``hay`` contains ``needle``: an equi-join on the needle's rarest trigram, then the whole is looked for.
+
+    Only needles of fewer than three characters, which have no trigram, are compared with every text."""
+    grams = texts.select("*", F.explode(trigrams(F.col("hay"))).alias("_gram"))
+    longer = needles.where(F.length("needle") >= 3)
+    count = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    own = longer.select("needle").distinct().select("needle", F.explode(trigrams(F.col("needle"))).alias("_gram")).join(count, "_gram", "left")
+    rarest = own.groupBy("needle").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    pairs = grams.join(longer.join(rarest, "needle"), "_gram").where(F.contains("hay", F.col("needle"))).drop("_gram")
+    tiny = needles.where((F.length("needle") < 3) & (F.length("needle") > 0))
+    if tiny.limit(1).count():
+        pairs = pairs.unionByName(texts.join(F.broadcast(tiny) if tiny.limit(FEW_NAMES + 1).count() <= FEW_NAMES else tiny, F.contains("hay", F.col("needle"))).select(pairs.columns))
+    return pairs
 
 
 def live_reference(people: DataFrame, rows: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """MERGE without a table format: a full outer join of the old snapshot and the batch gives the new snapshot.
 
-A rule per column says what a row that is in both keeps. Batches are first reduced to one row per key.
+A rule per column says what a row that is in both keeps. ``merge`` reduces a batch to its last row per key first, so a key never occurs twice.
 """
 
 from __future__ import annotations
@@ -23,11 +23,19 @@ def last_per_key(batch: DataFrame, key: list[str], order: list[str]) -> DataFram
     return batch.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.max_by(F.struct("*"), F.struct(*order)).alias("r")).select("r.*")
 
 
-def merge(old: DataFrame, batch: DataFrame, key: list[str], rules: dict[str, str], default: str = "new", insert: dict[str, Column] | None = None) -> DataFrame:
-    """The new snapshot, with the columns of old. insert: values that only new rows get; columns the batch lacks stay as they are."""
+#: Columns that tell which of a batch's rows of one key is the last, as far as the batch has them.
+LAST = ("edited_at", "updated_at", "message_date", "created_at", "position", "id")
+
+
+def merge(old: DataFrame, batch: DataFrame, key: list[str], rules: dict[str, str], default: str = "new", insert: dict[str, Column] | None = None, order: list[str] | None = None) -> DataFrame:
+    """The new snapshot, with the columns of old. insert: values that only new rows get; columns the batch lacks stay as they are. order: what makes a row
+    of the batch the last of its key (by default LAST); of rows alike in it the one with the greatest hash is taken, so that a rerun takes the same. The
+    reduction and the join are dealt by the same key, so the batch is shuffled once. Rows with a null in the key match nothing and are inserted."""
     columns = [c for c in old.columns if c not in key]
     o = old.select(*[F.col(k).alias(f"k_{k}") for k in key], F.struct(*columns).alias("o"), F.lit(True).alias("in_o"))
-    n = batch.select(*[F.col(k).alias(f"j_{k}") for k in key], F.struct(*[c for c in batch.columns if c not in key]).alias("n"), F.lit(True).alias("in_n"))
+    values = [c for c in batch.columns if c not in key]
+    newest = F.struct(*[F.col(c) for c in (order or [c for c in LAST if c in values])], F.xxhash64(F.to_json(F.struct(*values)) if values else F.lit(0)))
+    n = batch.groupBy(*[F.col(k).alias(f"j_{k}") for k in key]).agg(F.max_by(F.struct(*values), newest).alias("n")).withColumn("in_n", F.lit(True))
     both = o.join(n, [F.col(f"k_{k}") == F.col(f"j_{k}") for k in key], "full_outer")
     out = [F.coalesce(f"k_{k}", f"j_{k}").alias(k) for k in key]
     kinds = dict(old.dtypes)
