@@ -98,8 +98,8 @@ def match_rank(spark, sf_dir):
     return all_of.groupBy("vacancy_id").agg(F.max("rank").cast("long").alias("n"), F.max("score").alias("best"))
 
 
-@query("rebuild_matches_all", features_sql("SELECT vacancy_id, specialist_id, score AS similarity_score, rank FROM (" + RANKED + ") t WHERE rank <= 20"))
-def rebuild_matches_all(spark, sf_dir):
+@query("rebuild_matches_all_by_label", features_sql("SELECT vacancy_id, specialist_id, score AS similarity_score, rank FROM (" + RANKED + ") t WHERE rank <= 20"))
+def rebuild_matches_all_by_label(spark, sf_dir):
     best = P.rank_specialists(table(spark, sf_dir, "vacancies"), table(spark, sf_dir, "specialists"), AS_OF, k=20)
     return best.select("vacancy_id", "specialist_id", F.col("score").alias("similarity_score"), "rank")
 

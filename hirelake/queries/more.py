@@ -134,8 +134,8 @@ def threshold_filter(spark, d):
     return L.over_threshold(hits, rate_given=True).select("vacancy_id", "specialist_id", "score")
 
 
-@query("topk_per_query", features_sql("SELECT vacancy_id, specialist_id, rank FROM (" + RANKED + ") t WHERE rank <= 10"))
-def topk_per_query(spark, d):
+@query("topk_per_query_by_label", features_sql("SELECT vacancy_id, specialist_id, rank FROM (" + RANKED + ") t WHERE rank <= 10"))
+def topk_per_query_by_label(spark, d):
     return P.rank_specialists(table(spark, d, "vacancies"), table(spark, d, "specialists"), AS_OF, k=10).select("vacancy_id", "specialist_id", "rank")
 
 
