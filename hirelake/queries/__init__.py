@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import entities, matching, more, retrieval, sheets, streams, tables, text  # noqa: E402, F401
+from . import entities, matching, messages, more, retrieval, sheets, streams, tables, text  # noqa: E402, F401

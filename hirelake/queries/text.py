@@ -139,8 +139,8 @@ def repair_mojibake(spark, d):
     return table(spark, d, "documents").select("doc_id", C.repair_mojibake("text").alias("text"))
 
 
-@query("preprocess_text")
-def preprocess_text(spark, d):
+@query("clean_message")
+def clean_message_(spark, d):
     return table(spark, d, "documents").select("doc_id", C.clean_message("text").alias("text"))
 
 

@@ -75,6 +75,14 @@ TABLES = {
     "jobs": """SELECT event_id AS id, event_type AS kind,
   CASE WHEN event_id % 4 = 0 THEN 'queued' WHEN event_id % 4 = 1 THEN 'processing' WHEN event_id % 4 = 2 THEN 'completed' ELSE 'failed' END AS status,
   props AS payload, user_id, ts AS created_at FROM events""",
+    "posts": """SELECT o_orderkey AS id, o_custkey, concat_ws(chr(10),
+  split_part('Ищем Java разработчика|Senior Python developer, remote|= Go 5 лет опыта|~ QA Lead|Вакансия: Аналитик|Анна Смирнова Java Developer Senior|С++ на бенче', '|', CAST(o_orderkey % 7 AS INT) + 1),
+  split_part('Уровень: Senior|Опыт - 5 лет|Стек: Java, Kotlin|Требования: SQL|Обязанности - код|просто строка', '|', CAST(o_custkey % 6 AS INT) + 1),
+  split_part('Ставка: 2500 RUB|rate 3000 rub|Опыт: 3 года|Контакт @user123|пишите a.b@example.com|https://x.example.com/cv.pdf|t.me/chan/15|Условия: офис', '|', CAST(o_orderkey % 8 AS INT) + 1),
+  split_part('= второй|~ третий|- кейс java core|• анкета специалиста|доступны специалисты|подробные анкеты тут', '|', CAST(o_orderkey % 11 % 6 AS INT) + 1),
+  CASE WHEN o_orderkey % 5 = 0 THEN 'Текст сообщения:' WHEN o_orderkey % 5 = 1 THEN 'Копия исходного сообщения' ELSE ' ' END,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'Тип: bench' WHEN o_orderkey % 3 = 1 THEN 'Тип:  VACANCY' ELSE 'Тип: прочее' END,
+  CASE WHEN o_orderkey % 10 = 5 THEN NULL ELSE concat('Заказ ', CAST(o_orderkey AS STRING), ' на 12.05.2024') END) AS text FROM orders""",
     "partners": """SELECT n_name AS canonical_name, CAST(n_nationkey * 7 % 5 AS BIGINT) AS mentions_count, CAST(NULL AS STRING) AS source_url FROM nation""",
 }
 _BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
