@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .matching import _c, match_token, strip
+from .matching import IU, _c, match_token, strip, urlish
 
 ITEMS = "items array<struct<role:string,stack:array<string>,grade:string,rate_min:int,rate_max:int,currency:string,company:string,location:string,description:string,is_closed:boolean>>"
 
@@ -31,7 +31,7 @@ def embedding(x: Column | str, dim: int) -> Column:
 
 def sanitize_stack(x: Column | str, most: int = 20) -> Column:
     """Items split, without labels, links and long ones, one per token."""
-    from .matching import distinct_by, urlish
+    from .matching import distinct_by
 
     flat = F.flatten(F.transform(F.coalesce(_c(x), F.array().cast("array<string>")), lambda s: F.split(F.coalesce(s, F.lit("")), r"[\n,;]")))
     clean = F.transform(flat, lambda s: strip(F.regexp_replace(s, r"(?iU)^\s*(langs?|databases?|devops|stack|tools?|frameworks?)\s*:", "")))
@@ -39,6 +39,78 @@ def sanitize_stack(x: Column | str, most: int = 20) -> Column:
     return F.slice(distinct_by(good, match_token), 1, most)
 
 
+# ---- fixed values ----
+STACK_LABEL = r"\b(langs?|databases?|devops|stack|tools?|frameworks?)\s*:"
+ROLE_LIKE = r"\b(developer|engineer|analyst|designer|manager|architect|разработ|аналит|дизайн|менедж|архитект)\w*\b"
+AWAY = r"\b(not available|занят|недоступ|hired|off)\b"
+AT_ONCE = ("asap", "now", "сразу")
+DESCRIBED = ("description", "requirements_text", "responsibilities_text", "english", "availability", "resume_url")
+# ---- end of fixed values ----
+#: The fields of a structured item, as a map of text with the stack apart.
+NO_ROLE = "Unknown"
+
+
+def short(x: Column, most: int) -> Column:
+    """With single blanks, cut; null if blank."""
+    return F.nullif(F.substring(strip(F.regexp_replace(x, r"(?U)\s+", " ")), 1, most), F.lit(""))
+
+
+def stack_blob(x: Column) -> Column:
+    """Whether a text is a list of tools and no role."""
+    t = strip(F.coalesce(x, F.lit("")))
+    return (F.length(t) > 120) | F.regexp_like(t, F.lit(IU + STACK_LABEL)) | (F.regexp_count(t, F.lit(",")) >= 5) | (F.regexp_count(t, F.lit("\n")) >= 2)
+
+
+def coerce_role(role: Column | str, stack: Column | str, guessed: Column | str) -> Column:
+    """The given role unless it is a list of tools or a link, else the guessed one on the same terms, else the first of the stack that is like a role, else
+    the first that is no link, else Unknown."""
+    good = lambda c: F.when((strip(c) != "") & ~stack_blob(c) & ~urlish(c), short(c, 255))
+    s = F.coalesce(_c(stack), F.array().cast("array<string>"))
+    like = F.get(F.filter(s, lambda x: F.regexp_like(x, F.lit(IU + ROLE_LIKE))), F.lit(0))
+    plain = F.get(F.filter(s, lambda x: ~urlish(x)), F.lit(0))
+    return F.coalesce(good(_c(role)), good(_c(guessed)), short(like, 255), short(plain, 255), F.lit(NO_ROLE))
+
+
+def _item(fields: Column | str, stack: Column | str, text: Column | str, guessed: Column | str) -> tuple:
+    f = lambda k: F.try_element_at(_c(fields), F.lit(k))
+    own = sanitize_stack(stack)
+    role = coerce_role(f("role"), own, guessed)
+    own = F.when(F.size(own) > 0, own).when(role != NO_ROLE, F.array(role)).otherwise(own)
+    parts = [F.nullif(f(k), F.lit("")) for k in DESCRIBED] + [F.nullif(strip(F.coalesce(_c(text), F.lit(""))), F.lit(""))]
+    return f, own, role, F.substring(strip(F.concat_ws("\n", *parts)), 1, 2000)
+
+
+def structured_specialist(fields: Column | str, stack: Column | str, text: Column | str, guessed: Column | str) -> Column:
+    """A specialist's item from the fields (map of text), the stack's texts, the unit's text and the role guessed from it."""
+    from .people import unit_name
+
+    f, own, role, description = _item(fields, stack, text, guessed)
+    when = F.lower(F.coalesce(f("availability"), F.lit("")))
+    one = lambda k: F.when(F.coalesce(f(k), F.lit("")) != "", F.array(f(k))).otherwise(F.array().cast("array<string>"))
+    return F.struct(
+        unit_name(text, f("name"), role).alias("name"), role.alias("role"), own.alias("stack"), short(f("grade"), 50).alias("grade"), f("rate_min").try_cast("int").alias("rate_min"),
+        short(f("currency"), 10).alias("currency"), short(f("location"), 255).alias("location"), short(f("work_format"), 120).alias("work_format"),
+        F.when(when.isin(*AT_ONCE), 0).alias("availability_weeks"), (~F.regexp_like(when, F.lit(IU + AWAY))).alias("is_available"), one("resume_url").alias("source_urls"),
+        one("english").alias("languages"), F.nullif(description, F.lit("")).alias("description"),
+    )
+
+
+def structured_vacancy(fields: Column | str, stack: Column | str, text: Column | str, guessed: Column | str) -> Column:
+    f, own, role, description = _item(fields, stack, text, guessed)
+    one = lambda k: F.when(F.coalesce(f(k), F.lit("")) != "", F.array(f(k))).otherwise(F.array().cast("array<string>"))
+    return F.struct(
+        role.alias("role"), own.alias("stack"), short(f("grade"), 50).alias("grade"), f("rate_min").try_cast("int").alias("rate_min"), short(f("currency"), 10).alias("currency"),
+        short(f("company"), 255).alias("company"), short(f("client"), 255).alias("client"), short(f("location"), 255).alias("location"), short(f("work_format"), 120).alias("work_format"),
+        short(f("employment_type"), 120).alias("employment_type"), one("responsibilities_text").alias("responsibilities"), one("requirements_text").alias("requirements"),
+        F.lit(False).alias("is_closed"), description.alias("description"),
+    )
+
+
+def experience(low: Column | str, high: Column | str) -> Column:
+    """The lower bound; an equal upper bound changes nothing."""
+    return _c(low)
+
+
 def vacancy_status(closed: Column | str) -> Column:
     return F.when(F.coalesce(_c(closed), F.lit(False)), "closed").otherwise("active")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -65,20 +65,20 @@ def keep_relevant(x: Column | str, most: int = 200) -> Column:
     return strip(F.array_join(F.slice(F.concat(F.slice(full, 1, HEAD), F.array(F.lit("")), body), 1, most), "\n"))
 
 
-def compact(cleaned: Column | str, most: int = 7000) -> Column:
-    """struct(text, is_batch) of a cleaned message: unless it is a batch, its relevant lines if it is long or they are enough."""
-    t = _c(cleaned)
-    batch = is_batch(t)
-    once = F.when(~batch & (F.length(t) > most), keep_relevant(t, 180)).otherwise(t)
-    again = keep_relevant(once, 220)
-    return F.struct(F.when(~batch & (F.length(again) >= WORTH), again).otherwise(once).alias("text"), batch.alias("is_batch"))
+def compact(df: DataFrame, cleaned: str, most: int = 7000) -> DataFrame:
+    """df with ``text`` and ``is_batch`` of a cleaned message: unless it is a batch, its relevant lines if it is long or they are enough.
 
+    Step by step, so that lines are looked through once for each step."""
+    rows = df.withColumn("is_batch", is_batch(cleaned))
+    rows = rows.withColumn("_once", F.when(~F.col("is_batch") & (F.length(cleaned) > most), keep_relevant(cleaned, 180)).otherwise(F.col(cleaned)))
+    rows = rows.withColumn("_again", F.when(~F.col("is_batch"), keep_relevant("_once", 220)))
+    return rows.withColumn("text", F.when(F.length("_again") >= WORTH, F.col("_again")).otherwise(F.col("_once"))).drop("_once", "_again")
 
-def preprocess(df, id: str, text: str):
+
+def preprocess(df: DataFrame, id: str, text: str) -> DataFrame:
     """id, text, is_batch, contacts, urls, role, grade, stack: a message made ready for extraction, with what rules tell of it."""
-    rows = df.select(id, clean_message(text).alias("_t")).select(id, "_t", compact("_t").alias("_c"))
-    t = F.col("_c.text")
-    return rows.select(id, t.alias("text"), "_c.is_batch", T.contacts("_t").alias("contacts"), T.text_urls("_t").alias("urls"), T.guess_role(t).alias("role"), T.guess_grade(t).alias("grade"), T.guess_stack(t).alias("stack"))
+    rows = compact(df.select(F.col(id), clean_message(text).alias("_t")), "_t")
+    return rows.select(id, "text", "is_batch", T.contacts("_t").alias("contacts"), T.text_urls("_t").alias("urls"), T.guess_role("text").alias("role"), T.guess_grade("text").alias("grade"), T.guess_stack("text").alias("stack"))
 
 
 def fallback_item(kind: str, text: str = "text", role: str = "role", grade: str = "grade", stack: str = "stack", contacts: str = "contacts", urls: str = "urls") -> Column:

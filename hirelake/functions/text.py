@@ -78,14 +78,22 @@ def pre_classify(signals: Column | str) -> Column:
     return F.struct(F.when(sure, "BENCH").otherwise("UNKNOWN").alias("kind"), score.alias("confidence"), sure.alias("is_confident"), reason.alias("reason"), hint.alias("vacancy_hint"))
 
 
-def split_bench_lines(df: DataFrame, id: str, text: str) -> DataFrame:
-    """id, idx, text: the lines of texts that are lists of cards; other texts have no row."""
+def with_bench_lines(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with ``out``: array of struct(idx, text) of the lines of texts that are lists of cards, else an empty one."""
+    kept = df.columns
     numbered = F.transform(lines(text), lambda v, i: F.struct((i + 1).alias("idx"), normalize_bench_line(F.regexp_replace(strip(v), r"(?U)^[\-•\d).\s]+", "")).alias("text")))
-    rows = df.select(id, F.filter(numbered, lambda s: s["text"] != "").alias("_full")).where(F.size("_full") >= 2)
-    rows = rows.select(id, F.size("_full").alias("_n"), F.transform("_full", lambda s: F.struct(s["idx"].alias("idx"), s["text"].alias("text"), bench_signals(s["text"]).alias("p"))).alias("_j"))
-    rows = rows.select(id, "_n", F.filter("_j", lambda s: (s["p"]["confidence"] >= 0.55) & ~s["p"]["vacancy_hint"]).alias("_hits"))
+    rows = df.select(*kept, F.filter(numbered, lambda s: s["text"] != "").alias("_full"))
+    judged = F.when(F.size("_full") >= 2, F.transform("_full", lambda s: F.struct(s["idx"].alias("idx"), s["text"].alias("text"), bench_signals(s["text"]).alias("p"))))
+    rows = rows.select(*kept, F.size("_full").alias("_n"), judged.alias("_j"))
+    rows = rows.select(*kept, "_n", F.filter("_j", lambda s: (s["p"]["confidence"] >= 0.55) & ~s["p"]["vacancy_hint"]).alias("_hits"))
     enough = (F.size("_hits") >= 2) & (F.size("_hits") >= F.floor(F.col("_n") * 0.6))
-    return rows.where(enough).select(id, F.explode("_hits").alias("_u")).select(id, "_u.idx", "_u.text")
+    found = F.transform("_hits", lambda s: F.struct(s["idx"].alias("idx"), s["text"].alias("text")))
+    return rows.select(*kept, F.when(enough, found).otherwise(F.array().cast("array<struct<idx:int,text:string>>")).alias(out))
+
+
+def split_bench_lines(df: DataFrame, id: str, text: str) -> DataFrame:
+    """id, idx, text: the lines of texts that are lists of cards; other texts have no row."""
+    return with_bench_lines(df.select(id, text), text, "_cards").select(id, F.explode("_cards").alias("_u")).select(id, "_u.idx", "_u.text")
 
 
 def hybrid_decision(pre: Column | str, forced: Column, label: Column, threshold: float = 0.55) -> Column:

@@ -175,9 +175,63 @@ a AS (SELECT doc_id, is_batch, t, {_kept('ls', 220)} AS again FROM r)
 SELECT doc_id, is_batch, CASE WHEN NOT is_batch AND length(again) >= 250 THEN again ELSE t END AS text FROM a""")
 def compact_message(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[.,] ", "\n").alias("t"))
-    return rows.select("doc_id", G.compact("t").alias("c")).select("doc_id", "c.is_batch", "c.text")
+    return G.compact(rows, "t").select("doc_id", "is_batch", "text")
 
 
 @query("preprocess_text")
 def preprocess_text(spark, d):
     return G.preprocess(table(spark, d, "documents"), "doc_id", "text")
+
+
+_SCORE = f"""(CASE WHEN regexp_matches(l, '(?i)\\b(junior|middle\\+?|senior|lead|architect|staff|principal|head)\\b') THEN 0.20 ELSE 0 END + CASE WHEN regexp_matches(l, '(?i)\\b[0-9]+([.,][0-9]+)?\\s*(лет?|years?)\\s+опыт') THEN 0.25 ELSE 0 END
+ + CASE WHEN regexp_matches(l, '(?i)(^|[^а-яёa-z0-9_])(ставк[аи]|rate)\\s*[:-]?\\s*[0-9]{{3,5}}') THEN 0.25 ELSE 0 END + CASE WHEN regexp_matches(l, '(?i)\\bcv[_-][A-Za-z0-9]+\\b') THEN 0.25 ELSE 0 END
+ + CASE WHEN hint THEN -0.35 WHEN len(list_filter(regexp_split_to_array(l, '\\s+'), lambda w: w <> '')) >= 4 THEN 0.10 ELSE 0 END)"""
+_JUDGED = f"""SELECT *, {_SCORE} AS raw FROM (SELECT *, {_holds('lower(l)', T.VACANCY_HINTS)} AS hint FROM (SELECT id, i, 'x ' || ls[i] || CASE WHEN id % 2 = 0 THEN ', senior, 5 лет опыта' ELSE '' END || CASE WHEN i % 2 = 0 THEN ', ставка 2500 cv_a1' ELSE '' END AS l
+ FROM (SELECT id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM posts) a) b) c"""
+
+
+def _lines(spark, d):
+    """Every line of the posts, some with the signs of a card added; id, i, s: its signals."""
+    rows = table(spark, d, "posts").select("id", F.posexplode(F.split("text", "\n")).alias("i", "l")).withColumn("i", F.col("i") + 1)
+    line = F.concat(F.lit("x "), "l", F.when(F.col("id") % 2 == 0, ", senior, 5 лет опыта").otherwise(""), F.when(F.col("i") % 2 == 0, ", ставка 2500 cv_a1").otherwise(""))
+    return rows.select("id", "i", T.bench_signals(line).alias("s"))
+
+
+_KIND = "CASE WHEN confidence >= 0.70 AND NOT hint THEN 'BENCH' ELSE 'UNKNOWN' END"
+
+
+@query("pre_classify_lines", with_tables(f"""SELECT id, CAST(i AS INT) AS i, confidence, hint AS vacancy_hint, {_KIND} AS kind, CASE WHEN {_KIND} = 'BENCH' THEN 'bench_card_rule_match' WHEN hint THEN 'vacancy_hints_present' WHEN confidence >= 0.45 THEN 'weak_bench_signal' ELSE 'no_match' END AS reason
+ FROM (SELECT *, CAST(greatest(0, least(1, raw)) AS DOUBLE) AS confidence FROM ({_JUDGED}) j) k""", "posts"))
+def pre_classify_lines(spark, d):
+    return _lines(spark, d).select("id", "i", T.pre_classify("s").alias("p")).select("id", "i", "p.confidence", "p.vacancy_hint", "p.kind", "p.reason")
+
+
+@query("hybrid_decision_lines", with_tables(f"""SELECT id, CAST(i AS INT) AS i, CASE WHEN id % 7 = 0 THEN 'VACANCY' WHEN {_KIND} = 'BENCH' THEN 'BENCH' WHEN id % 5 = 0 THEN 'UNKNOWN' WHEN id % 5 < 3 AND confidence >= 0.55 AND NOT hint THEN 'BENCH' WHEN id % 5 < 3 THEN 'OTHER' ELSE 'VACANCY' END AS kind,
+ CASE WHEN id % 7 = 0 THEN 'forced' WHEN {_KIND} = 'BENCH' THEN 'rule' WHEN id % 5 = 0 THEN 'pending_llm' WHEN id % 5 < 3 AND confidence >= 0.55 AND NOT hint THEN 'fallback' ELSE 'llm' END AS source
+ FROM (SELECT *, CAST(greatest(0, least(1, raw)) AS DOUBLE) AS confidence FROM ({_JUDGED}) j) k""", "posts"))
+def hybrid_decision_lines(spark, d):
+    i = F.col("id")
+    forced, label = F.when(i % 7 == 0, "VACANCY"), F.when(i % 5 == 0, F.lit(None)).when(i % 5 < 3, "OTHER").otherwise("VACANCY")
+    rows = _lines(spark, d).select("id", "i", T.pre_classify("s").alias("p"))
+    return rows.select("id", "i", T.hybrid_decision("p", forced, label).alias("x")).select("id", "i", "x.kind", "x.source")
+
+
+_LISTS = f"SELECT c, i, l, hint, CAST(greatest(0, least(1, raw)) AS DOUBLE) AS confidence, count(*) OVER (PARTITION BY c) AS n FROM (SELECT *, {_SCORE} AS raw FROM (SELECT *, {_holds('lower(l)', T.VACANCY_HINTS)} AS hint FROM (SELECT c_nationkey * 1000 + c_custkey % 7 AS c, row_number() OVER (PARTITION BY c_nationkey * 1000 + c_custkey % 7 ORDER BY c_custkey) AS i, CASE WHEN c_custkey % (2 + c_nationkey % 4) = 0 THEN 'note ' || c_custkey ELSE 'Go senior ' || c_custkey || ', rate 3000' || CASE WHEN c_custkey % 3 = 0 THEN ' cv_x1' ELSE '' END END AS l FROM customer) a) b) e"
+
+
+@query("split_bench_lists", f"SELECT c, CAST(i AS INT) AS idx, l AS text FROM (SELECT *, count(*) FILTER (WHERE confidence >= 0.55 AND NOT hint) OVER (PARTITION BY c) AS hits FROM ({_LISTS}) f) g WHERE confidence >= 0.55 AND NOT hint AND hits >= 2 AND hits >= floor(n * 0.6)")
+def split_bench_lists(spark, d):
+    k, nation = F.col("c_custkey"), F.col("c_nationkey")
+    card = F.concat(F.lit("Go senior "), k, F.lit(", rate 3000"), F.when(k % 3 == 0, " cv_x1").otherwise(""))
+    line = F.when(k % (2 + nation % 4) == 0, F.concat(F.lit("note "), k)).otherwise(card)
+    lists = table(spark, d, "customer").groupBy((nation * 1000 + k % 7).alias("c")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("l")))).alias("s"))  # a post's lines
+    posts = lists.select("c", F.array_join(F.transform("s", lambda x, i: F.concat(F.when(i % 2 == 0, "- ").otherwise("3) "), x["l"])), "\n").alias("text"))
+    return T.split_bench_lines(posts, "c", "text")
+
+
+@query("stream_classify_posts", with_tables(f"""SELECT id, CASE WHEN (confidence >= 0.55 AND NOT hint) OR regexp_matches(l, '(?i)(^|[^а-яёa-z0-9_])(bench|бенч)') THEN 'bench' WHEN hint THEN 'vacancy' ELSE 'irrelevant' END AS kind FROM
+ (SELECT *, CAST(greatest(0, least(1, {_SCORE})) AS DOUBLE) AS confidence FROM (SELECT id, text AS l, {_holds('lower(text)', T.VACANCY_HINTS)} AS hint FROM posts) b) c""", "posts"))
+def stream_classify_posts(spark, d):
+    from hirelake.streaming.jobs import classify
+
+    return classify(table(spark, d, "posts").withColumnRenamed("text", "raw_text")).select("id", "kind")
