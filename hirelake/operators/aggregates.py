@@ -60,6 +60,39 @@ def import_summary(decisions: DataFrame, by: str) -> DataFrame:
     )
 
 
+def backfill_stats(sources: DataFrame, rebuilt: DataFrame, hidden: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row: sources in all, rebuilt (with a new entity), relinked (to another entity than before), skipped, specialists hidden, matches rebuilt.
+
+    rebuilt: (source_id, new_id), a null new_id where nothing could be made of the source."""
+    new = rebuilt.groupBy(F.col("source_id").alias("id")).agg(F.max("new_id").alias("_new"))
+    rows = sources.select("id", "entity_id").join(new, "id", "left")
+    made = F.col("_new").isNotNull()
+    counts = rows.agg(F.count(F.lit(1)).alias("sources_total"), F.count_if(made).alias("rebuilt"), F.count_if(made & ~F.col("_new").eqNullSafe(F.col("entity_id"))).alias("relinked"), F.count_if(~made).alias("skipped"))
+    return counts.crossJoin(hidden.agg(F.count(F.lit(1)).alias("orphans_hidden"))).crossJoin(matches.agg(F.count(F.lit(1)).alias("matches_rebuilt")))  # one row each
+
+
+def digest_counts(sections: DataFrame) -> DataFrame:
+    """One row: the four sections of a digest counted."""
+    names = ("new_vacancy", "updated_vacancy", "new_specialist", "updated_specialist")
+    return sections.agg(*[F.count_if(F.col("section") == n).alias(n) for n in names])
+
+
+def url_union(discovered: DataFrame, configured: DataFrame) -> DataFrame:
+    """(url, position): links of both lists (url, position), trimmed, without blanks, each at its first place; configured ones come after."""
+    both = discovered.select("url", F.lit(0).alias("list"), "position").unionByName(configured.select("url", F.lit(1).alias("list"), "position"))
+    clean = both.select(F.trim("url").alias("url"), F.struct("list", "position").alias("at")).where("url <> ''")
+    return clean.groupBy("url").agg(F.min("at").alias("at")).select("url", "at.list", "at.position")
+
+
+def scope_sorted(matches: DataFrame, specialists: DataFrame, scope: str, ascending: bool, limit: int) -> DataFrame:
+    """The first ``limit`` matches of a scope (own, partner or all) by score."""
+    s = specialists.select(F.col("id").alias("specialist_id"), F.coalesce("is_internal", F.lit(False)).alias("own"))
+    rows = matches.join(s, "specialist_id")
+    rows = {"own": rows.where("own"), "partner": rows.where(~F.col("own"))}.get(scope, rows)
+    by = F.asc("similarity_score") if ascending else F.desc("similarity_score")
+    return rows.orderBy(by, "vacancy_id", "specialist_id").limit(limit)
+
+
 def term_frequency(terms: DataFrame) -> DataFrame:
     """In how many profiles each term occurs."""
     return terms.select("kind", "profile", "term").distinct().groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n"))

@@ -172,6 +172,17 @@ def validated_links(candidates: DataFrame, items: DataFrame, limit: int | None =
     return rows.orderBy("position").limit(limit) if limit else rows
 
 
+def archive_pending(messages: DataFrame, channels: DataFrame, mapping: DataFrame) -> DataFrame:
+    """channel_id, message_id, kind, status: messages of chats that are to be posted to the archive (pending) or recorded as skipped (irrelevant ones), as far
+    as they are not posted yet. mapping: (original_chat_id, original_message_id, status)."""
+    from hirelake.streaming.jobs import classify
+
+    chats = channels.where(F.coalesce("source_kind", F.lit("chat")) == "chat").select(F.col("telegram_id").alias("channel_id"))
+    posted = mapping.where(F.col("status") == "posted").select(F.col("original_chat_id").alias("channel_id"), F.col("original_message_id").alias("message_id"))
+    rows = classify(messages.join(chats, "channel_id", "left_semi").join(posted, ["channel_id", "message_id"], "left_anti"))
+    return rows.select("channel_id", "message_id", "kind", F.when(F.col("kind") == "irrelevant", "skipped").otherwise("pending").alias("status"))
+
+
 def find_by_url(sources: DataFrame, url: str) -> DataFrame:
     """Rows with the message link (at most 50), or if there is none with the external link (at most 100), newest first."""
     order = [F.desc("created_at"), F.desc("id")]

@@ -116,6 +116,15 @@ def upsert_registry(old: DataFrame, batch: DataFrame) -> DataFrame:
     return merge(old, batch.withColumn("is_active", F.lit(True)), ["registry_key"], {"specialist_id": "fill_new"})
 
 
+def upsert_registry_sources(old: DataFrame, batch: DataFrame) -> DataFrame:
+    """Provenance of registry rows (source_url, locator and more): keyed by the numbers of the link and of link and place, overwritten by the batch."""
+    from hirelake.functions.identity import source_ids
+
+    ids = source_ids("source_url", "locator")
+    rows = batch.withColumns({"channel_id": ids["channel_id"], "message_id": ids["message_id"], "external_url": F.col("source_url"), "external_locator": F.col("locator")})
+    return merge(old, rows.drop("source_url", "locator"), ["channel_id", "message_id"], {}, order=["external_locator"])
+
+
 def upsert_settings(old: DataFrame, batch: DataFrame, as_of: str) -> DataFrame:
     return merge(old, batch.withColumn("updated_at", F.lit(as_of).cast("timestamp")), ["key"], {})
 

@@ -78,3 +78,38 @@ def recent_matches(matches: DataFrame, vacancies: DataFrame, specialists: DataFr
     rows = rows.join(v.select(F.col("id").alias("vacancy_id"), F.col("source_display").alias("vacancy_source")), "vacancy_id", "left")
     rows = rows.join(s.select(F.col("id").alias("specialist_id"), F.col("source_display").alias("specialist_source"), "is_own_bench_source"), "specialist_id", "left")
     return rows.select("vacancy_id", "specialist_id", "rank", "score", "vacancy_source", "specialist_source", "is_own_bench_source", "created_at")
+
+
+# ---- fixed values ----
+MANUAL_GRADES = ("junior", "middle", "senior", "lead")
+# ---- end of fixed values ----
+
+
+def manual_entities(queries: DataFrame, kind: str, profiles: DataFrame | None = None) -> DataFrame:
+    """Queries (id, text, rate) as entities to be matched: the role is that of the catalog profile (profiles: id, catalog_profile, matched) or of the first
+    primary label that the text holds; queries with neither are left out. kind: VACANCY or BENCH."""
+    from hirelake.functions import matching as M
+
+    rows = queries.join(profiles, "id", "left") if profiles is not None else queries.withColumns({"catalog_profile": F.lit(None).cast("string"), "matched": F.lit(None).cast("array<string>")})
+    label = F.get(M.primary_labels("text"), F.lit(0))
+    rows = rows.withColumn("_label", label).where(F.col("catalog_profile").isNotNull() | F.col("_label").isNotNull())
+    grade = F.coalesce(*[F.when(F.regexp_like("text", F.lit(rf"(?i)\b{g}\b")), F.lit(g.title())) for g in MANUAL_GRADES])
+    rate = F.col("rate").cast("int")
+    return rows.select(
+        "id", F.coalesce("_label", F.trim("text")).alias("role"), F.coalesce("matched", F.array("_label")).alias("stack"), grade.alias("grade"), F.lit(None).cast("string").alias("location"), rate.alias("rate_min"), rate.alias("rate_max"),
+        F.trim("text").alias("description"), F.lit(None).cast("string").alias("original_text"), "catalog_profile", F.lit("active").alias("status"), F.lit(None).cast("timestamp").alias("expires_at"), F.lit(False).alias("is_internal"),
+    )
+
+
+def manual_preview(queries: DataFrame, specialists: DataFrame, registry: DataFrame, as_of: str, profiles: DataFrame | None = None, limit: int = 10, url: str | None = None) -> DataFrame:
+    """query_id, bucket (own or partner), specialist_id, score, position: what a text typed in would match: all active specialists that pass the gates with a
+    score over the threshold (and a rate score, if a rate is given), the first ``limit`` of each bench."""
+    from hirelake.operators.aggregates import bucket_topk
+    from hirelake.operators.filters import over_threshold
+
+    ranked = P.rank_specialists(manual_entities(queries, "VACANCY", profiles), specialists, as_of, k=None)
+    given = queries.select(F.col("id").alias("vacancy_id"), F.col("rate").isNotNull().alias("_rated"))
+    good = over_threshold(ranked).join(given, "vacancy_id").where(~F.col("_rated") | (F.col("rate_score") > 0))
+    own = own_bench(specialists.select("id"), registry, url).select(F.col("id").alias("specialist_id"), "is_own_bench_source")
+    rows = good.join(own, "specialist_id").withColumn("bucket", F.when(F.col("is_own_bench_source"), "own").otherwise("partner"))
+    return bucket_topk(rows, "vacancy_id", "bucket", [F.asc("rank")], limit).select(F.col("vacancy_id").alias("query_id"), "bucket", "specialist_id", "score", "position")

@@ -22,4 +22,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import entities, matching, messages, more, people, retrieval, sheets, streams, tables, text  # noqa: E402, F401
+from . import entities, matching, messages, more, people, retrieval, sheets, streams, tables, text  # noqa: E402, F401  # isort: skip
+from . import lists  # noqa: E402, F401  # isort: skip

@@ -44,17 +44,15 @@ def merge_into(path: str, versions: str):
     """For foreachBatch: merges each batch of messages and edits into the newest snapshot below ``path``, and writes the next one.
 
     A snapshot is named by its batch, so a batch that is run again after a failure writes the same one: the result is exactly-once. Edits may be as late
-    as they like. ``versions`` is the columns' schema."""
+    as they like. Of older snapshots the last one is kept. ``versions`` is the columns' schema."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = sorted(int(s.getPath().getName()[6:]) for s in (fs.listStatus(hadoop) if fs.exists(hadoop) else []) if s.getPath().getName().startswith("batch-"))
-        before = [n for n in done if n < number]
+        before = _versions(spark, path, number)
         old = spark.read.schema(versions).parquet(f"{path}/batch-{before[-1]}") if before else spark.createDataFrame([], versions)
         one = U.last_per_key(batch.select(old.columns).withColumn("_at", F.coalesce("edited_at", "message_date")), ["channel_id", "message_id"], ["_at"]).drop("_at")
         U.upsert_raw_messages(old, one).write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        _forget(spark, path, before[:-1])  # the last one stays, for a batch that is run again
 
     return run
 
@@ -72,3 +70,36 @@ def backfill(messages: DataFrame, channels: DataFrame, as_of: str, limit: int =
     rows = messages.join(ch, "channel_id").where((F.col("message_id") > F.col("_seen")) & (F.col("message_date") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")))
     w = Window.partitionBy("channel_id").orderBy(F.desc("message_id"))
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n", "_seen")
+
+
+def match_changed(path: str, specialists: DataFrame, registry: DataFrame, as_of: str, k: int = 20):
+    """For foreachBatch over changed vacancies: matches them against the stored specialists and writes the matches with theirs replaced as the next snapshot
+    below ``path`` (named by the batch, so that a batch that is run again writes the same one)."""
+    from hirelake.plans.retrieval import match_specialists
+
+    columns = "vacancy_id long, specialist_id long, score double, rank int"
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = _versions(spark, path, number)
+        old = spark.read.schema(columns).parquet(f"{path}/batch-{before[-1]}") if before else spark.createDataFrame([], columns)
+        best = match_specialists(batch, specialists, registry, as_of, k, k).select("vacancy_id", "specialist_id", "score", "rank")
+        left = batch.select(F.col("id").alias("vacancy_id")).distinct().join(best.select("vacancy_id").distinct(), "vacancy_id", "left_anti")  # nothing fits them any more
+        gone = left.select("vacancy_id", *[F.lit(None).cast(t).alias(n) for n, t in (("specialist_id", "long"), ("score", "double"), ("rank", "int"))])
+        U.replace_matches(old, best.unionByName(gone), "vacancy_id").write.mode("overwrite").parquet(f"{path}/batch-{number}")
+
+    return run
+
+
+def _versions(spark: SparkSession, path: str, number: int) -> list[int]:
+    """The numbers of the snapshots below ``path`` from before batch ``number``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in (fs.listStatus(hadoop) if fs.exists(hadoop) else [])]
+    return sorted(n for n in (int(x[6:]) for x in names if x.startswith("batch-")) if n < number)
+
+
+def _forget(spark: SparkSession, path: str, numbers: list[int]) -> None:
+    for n in numbers:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch-{n}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
