@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +33,11 @@ from .common import cut, text_or_empty
 
 SIZE, PIECE, END = 2048, 512, 1
 #: Pieces in a group, on average, and words that a task remembers.
-GROUP, WORDS = 768, 300_000
+GROUP, WORDS = 768, 600_000
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordIds(dict):
@@ -52,13 +57,13 @@ class WordIds(dict):
         return b"".join([self.cased(w) if any(t in w.lower() for t in self.added) else self[w.lower()] for w in raw.split()])
 
     def cased(self, w: bytes) -> bytes:
-        return np.array(self.whole.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.whole.encode(w.decode(), add_special_tokens=False).ids)
 
     def __missing__(self, w: bytes) -> bytes:
         if w[-1] in b".," and w[:-1].isalpha():  # an ASCII word and its full stop are never one token
             ids = self[w[:-1]] + self[w[-1:]]
         elif w.isalpha():  # ASCII letters only: nothing to normalize, one piece
-            ids = np.array([t.id for t in self.whole.model.tokenize(w.decode())], "<u4").tobytes()
+            ids = _packed([t.id for t in self.whole.model.tokenize(w.decode())])
         else:
             ids = self.cased(w)
         if len(self) >= WORDS:
