@@ -152,11 +152,11 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     if not p:
         return None
     order = F.xxhash64(F.col(id), F.lit("fit"))
-    any_label = labels.where(F.col(label).isNotNull()).select(id).distinct()
-    ids = docs.select(id).where(F.col(id).isNotNull())
+    any_label = labels.where(F.col(label).isNotNull() & ~held_out(id)).select(id).distinct()
+    ids = docs.select(id).where(F.col(id).isNotNull() & ~held_out(id))  # unlabelled texts, too, are of the training folds only
     without = cut(ids.join(any_label, id, "left_anti").distinct().orderBy(order, id).limit(unlabelled))
     if not without.limit(1).count():
-        without = ids.where(~held_out(id)).distinct().orderBy(order, id).limit(unlabelled)
+        without = ids.distinct().orderBy(order, id).limit(unlabelled)
     chosen = (known.where("_y = 1").select(id).orderBy(order, id).limit(positives), without)
     rows, mark = [], None
     for ids in chosen:
