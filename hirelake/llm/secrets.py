@@ -20,7 +20,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, text_or_empty
+from .common import cut, fresh, small, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -160,21 +160,27 @@ def _matches(rule: Rule, order: int, text: Column) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, spans array<struct<at, ord, upto>> by start, then by the rules' order; one row for each document."""
+    return _with_spans(docs.select(id, text), rules, id, text, "spans").select(id, "spans")
+
+
+def _with_spans(docs: DataFrame, rules: tuple[Rule, ...], id: str, text: str, out: str) -> DataFrame:
+    """docs with the spans of all rules as one more column."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {kind: q for kind, q in queries.items() if q is not True}
-    rows = docs.select(F.col(id).alias("_id"), text_or_empty(text).alias("_t"))
+    cid, kinds, rows = fresh(docs, "_cid"), fresh(docs, "_kinds"), docs
     if indexed:
         index = postings(docs, set().union(*map(grams_of, indexed.values())), id, text)
-        chosen = cut(candidates(index, indexed)).withColumnRenamed("_id", "_cid")
-        rows = rows.join(small(chosen), F.col("_id").eqNullSafe(F.col("_cid")), "left")
+        chosen = cut(candidates(index, indexed)).select(F.col("_id").alias(cid), F.col("_kinds").alias(kinds))
+        rows = rows.join(small(chosen), F.col(id).eqNullSafe(F.col(cid)), "left")
     else:
-        rows = rows.withColumn("_kinds", F.array().cast("array<string>"))
+        rows = rows.withColumn(kinds, F.array().cast("array<string>"))
     nothing = F.array().cast("array<struct<at:int,ord:int,upto:int>>")
     per = []
     for order, r in enumerate(rules):
-        asked = F.array_contains("_kinds", r.kind) if r.kind in indexed else F.lit(True)
-        per.append(F.when(asked & F.regexp_like("_t", F.lit(r.pattern)), _matches(r, order, F.col("_t"))).otherwise(nothing))
-    return rows.select(F.col("_id").alias(id), F.sort_array(F.concat(*per)).alias("spans"))
+        asked = F.array_contains(kinds, r.kind) if r.kind in indexed else F.lit(True)
+        t = text_or_empty(text)
+        per.append(F.when(asked & F.regexp_like(t, F.lit(r.pattern)), _matches(r, order, t)).otherwise(nothing))
+    return rows.select(*docs.columns, F.sort_array(F.concat(*per)).alias(out))
 
 
 def rendered(spans: Column, kinds: list[str]) -> Column:
@@ -191,8 +197,15 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id"
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "doc_id", text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """Every document with the matches of all rules replaced by ``mask``; other columns unchanged."""
-    out = F.col(text)
-    for r in rules:
-        out = F.regexp_replace(out, F.lit(r.pattern), F.lit(mask))
-    return docs.withColumn(text, out)
+    """Every document with the spans that scan() finds replaced by ``mask``, overlapping ones by one; other columns unchanged, a null text stays null."""
+    name = fresh(docs, "_spans")
+    rows = _with_spans(docs, rules, id, text, name)
+    t = F.col(text)
+
+    def step(a: Column, s: Column) -> Column:
+        piece = F.when(s["at"] >= a["pos"], F.concat(F.substring(t, a["pos"] + 1, s["at"] - a["pos"]), F.lit(mask))).otherwise("")
+        return F.struct(F.greatest(a["pos"], s["upto"]).alias("pos"), F.concat(a["out"], piece).alias("out"))
+
+    done = F.aggregate(name, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["pos"] + 1, F.length(t))))
+    new = F.when(F.size(name) > 0, done).otherwise(t)
+    return rows.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
