@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, text_or_empty
+from .common import cut, fresh, small, text_or_empty
 
 BITS, LIMIT = 60, 32 << 20
 
@@ -71,7 +71,17 @@ def assign(docs: DataFrame, limit: int = LIMIT, id: str = "doc_id", text: str =
     return rows.select(F.col("id").alias(id), "n_bytes", "shard", "depth", "shard_bytes", "oversize")
 
 
+def slots(buckets: DataFrame) -> DataFrame:
+    """(slot, shard): the directory as a table of 2^g slots, g the greatest depth of a bucket that is not oversize: where each hash prefix of g bits leads."""
+    fine = buckets.where("not oversize")
+    depth = fine.agg(F.max("depth")).first()[0] or 0
+    free = F.lit(depth) - F.col("depth")
+    tails = F.when(free > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), free).cast("long") - 1), lambda n: F.lpad(F.conv(n, 10, 2), free.cast("int"), F.lit("0")))).otherwise(F.array(F.lit("")))
+    return fine.select("shard", F.explode(tails).alias("_tail")).select(F.concat("shard", "_tail").alias("slot"), "shard")
+
+
 def write(docs: DataFrame, path: str, limit: int = LIMIT, id: str = "doc_id", text: str = "text") -> None:
-    """The documents as Parquet folders, one for each shard."""
-    shards = assign(docs, limit, id, text).select(F.col(id).alias("_sid"), "shard").distinct()
-    docs.join(shards, F.col(id).eqNullSafe(F.col("_sid"))).drop("_sid").repartition("shard").write.partitionBy("shard").parquet(path)
+    """The documents as Parquet folders, one for each shard (``shard=`` and its bits; a column of that name is not written)."""
+    of = fresh(docs, "_sid")
+    shards = cut(assign(docs, limit, id, text).select(F.col(id).alias(of), "shard").distinct())
+    docs.drop("shard").join(small(shards), F.col(id).eqNullSafe(F.col(of))).drop(of).repartition("shard").write.partitionBy("shard").parquet(path)
