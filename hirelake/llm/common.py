@@ -14,9 +14,11 @@ BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where a session in local mode names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="hirelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     sc = spark.sparkContext

@@ -79,6 +79,39 @@ def test_certified_cutoffs_reject_junk_and_keep_good(spark):
     assert quality.judge(docs, few).where("kept").count() == 1000
 
 
+def test_cutoffs_match_a_plain_selection_and_hold_for_unseen_rows(spark):
+    rng = random.Random(22)
+    rows, labels = [], []
+    for k in range(6000):
+        good = rng.random() < 0.6
+        t = words(rng, 60, 10**6).split()
+        for _ in range(rng.choice((0, 0, 0, 1)) if good else rng.choice((0, 4, 12))):
+            t.insert(rng.randrange(len(t)), "#" * rng.randrange(1, 6))
+        rows.append((k, " ".join(t), "en" if k % 3 else "de", "s", None))
+        labels.append((k, int(good)))
+    docs = spark.createDataFrame(rows, DOCS)
+    seen = spark.createDataFrame([x for x in labels if x[0] % 2], "doc_id long, quality int")
+    got = {r.lang: r.cutoffs for r in quality.thresholds(quality.measures(docs, keep=("lang",)), seen, "lang").collect()}
+    truth, expected = dict(labels), {}
+    measured = {r.doc_id: r for r in quality.shares(quality.measures(docs, keep=("lang",))).collect()}
+    tail = lambda n, k, p: sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)) for j in range(k + 1))
+    tests = 2 * sum(map(len, quality.GRID.values()))
+    for lang in ("en", "de"):
+        mine = [(measured[k], q) for k, q in labels if k % 2 and measured[k].lang == lang and not measured[k].base_failed]
+        n = sum(q for _, q in mine)
+        for rule, grid in quality.GRID.items():
+            best = None
+            for c in grid:
+                k, bad = (sum(m[rule] > c for m, q in mine if q == want) for want in (1, 0))
+                if bad - 5 * k > 0 and k <= n * 0.01 and tail(n, k, 0.01) <= 0.05 / tests:
+                    best = max(best or (-1, 0), (bad - 5 * k, c))
+            if best:
+                expected.setdefault(lang, {})[rule] = best[1]
+    assert got == expected and "symbol_share" in got["en"]
+    unseen = [r for r in quality.judge(docs, seen).collect() if r.doc_id % 2 == 0 and truth[r.doc_id] and not r.base_failed]
+    assert sum(not r.kept for r in unseen) <= 0.04 * len(unseen)
+
+
 def test_quality_edges(spark, edge, none):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.judge(edge, labels).count() == len(EDGE)
@@ -109,6 +142,21 @@ def test_secret_spans_match_a_full_scan(spark):
     assert any("repo_token" in r.spans for r in got.values())
 
 
+def test_redaction_takes_what_the_scan_finds(spark):
+    texts = ["token=abc stays, token=abcdef goes", "secret=token:abcdefgh", None, "", "é AKIA" + "B" * 20 + " password: 'longenough' end", "x" + "0123456789abcdef" * 3]
+    found = {r.doc_id: r.spans for r in secrets.scan(make(spark, texts)).collect()}
+    got = {r.doc_id: r.text for r in secrets.redact(make(spark, texts, CLASH)).collect()}
+    for k, t in enumerate(texts):
+        if t is not None:
+            out, pos = "", 0
+            for s in found[k]:
+                if s.at >= pos:
+                    out += t[pos : s.at] + "[secret]"
+                pos = max(pos, s.upto)
+            assert got[k] == out + t[pos:]
+    assert got[0] == "token=abc stays, [secret] goes" and got[1] == texts[1] and got[2] is None and secrets.redact(make(spark, texts, CLASH)).columns == make(spark, texts, CLASH).columns
+
+
 def test_secret_edges(edge, none):
     assert secrets.scan(edge).count() == len(EDGE)
     assert secrets.scan(none).count() == 0
@@ -444,6 +492,20 @@ def test_shards_fit_and_only_full_buckets_split(spark):
         assert s == "" or sum(n for t, n in size.items() if t.startswith(s[:-1])) > 5000
 
 
+def test_written_shards_and_slots(spark, tmp_path):
+    rng = random.Random(20)
+    docs = make(spark, [words(rng, rng.randrange(200)) for _ in range(80)]).withColumn("shard", F.lit("old")).withColumn("_sid", F.lit(1))
+    sharding.write(docs, str(tmp_path / "out"), limit=5000)
+    back = spark.read.option("basePath", str(tmp_path / "out")).schema(DOCS + ", _sid int, shard string").parquet(str(tmp_path / "out"))
+    assert sorted((r.doc_id, r.text) for r in back.collect()) == sorted((r.doc_id, r.text) for r in docs.collect())
+    rows = sharding.assign(docs, limit=5000).collect()
+    assert {(r.doc_id, r.shard) for r in back.collect()} == {(r.doc_id, r.shard) for r in rows}
+    buckets = sharding.directory(sharding.addresses(docs), limit=5000)
+    table = {r.slot: r.shard for r in sharding.slots(buckets).collect()}
+    depth = max(len(r.shard) for r in rows)
+    assert len(table) == 2**depth and all(len(x) == depth and x.startswith(y) for x, y in table.items()) and set(table.values()) >= {r.shard for r in rows}
+
+
 def test_shard_edges(spark, edge, none):
     assert sharding.assign(edge).count() == len(EDGE)
     assert sharding.assign(none).count() == 0
