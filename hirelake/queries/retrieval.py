@@ -105,7 +105,7 @@ def secondary_tokens(spark, d):
     return table(spark, d, "specialists").select("id", F.flatten(F.transform(words, M.secondary_tokens)).alias("tokens"))
 
 
-@query("match_texts", "SELECT o_orderkey, list_sort(list_distinct(list_filter(list_transform(list_concat([o_clerk || ', b/c|d'], regexp_split_to_array(o_clerk || ', b/c|d', '[\n,;/|]'), ['see t.me', o_orderpriority], regexp_split_to_array(o_orderpriority, '[\n,;/|]|\s{2,}')), lambda x: trim(x)), lambda x: x <> ''))) AS texts FROM (SELECT o_orderkey, 'Clerk ' || o_custkey AS o_clerk, o_orderpriority FROM orders) o")
+@query("match_texts", "SELECT o_orderkey, list_sort(list_distinct(list_filter(list_transform(list_concat([o_clerk || ', b/c|d'], regexp_split_to_array(o_clerk || ', b/c|d', '[\n,;/|]'), ['see t.me', o_orderpriority], regexp_split_to_array(o_orderpriority, '[\n,;/|]|\\s{2,}')), lambda x: trim(x)), lambda x: x <> ''))) AS texts FROM (SELECT o_orderkey, 'Clerk ' || o_custkey AS o_clerk, o_orderpriority FROM orders) o")
 def match_texts(spark, d):
     clerk = F.concat(F.lit("Clerk "), "o_custkey", F.lit(", b/c|d"))
     return table(spark, d, "orders").select("o_orderkey", F.array_sort(M.match_texts(F.array(clerk, F.lit("see t.me/"), F.col("o_orderpriority"), F.lit("B")))).alias("texts"))
