@@ -12,6 +12,7 @@ from .matching import IU, _c, distinct_by, strip
 # ---- fixed values ----
 VACANCY_HINTS = ("нужен", "нужна", "нужно", "ищем", "требуется", "вакансия", "позиция", "проект", "отклик", "обязанности", "требования")
 GRADE = r"\b(junior|middle\+?|senior|lead|architect|staff|principal|head)\b"
+GRADE_PARTS = ("junior", "middle", "senior", "lead", "architect", "staff", "principal", "head")
 EXPERIENCE = r"\b(\d+(?:[.,]\d+)?)\s*(?:лет?|years?)\s+опыт\w*\b"
 RATE = r"\b(?:ставк[аи]|rate)\s*[:\-]?\s*(\d{3,5}(?:[.,]\d+)?)\s*(?:rub|₽|р\b)?"
 CV = r"\b(?:cv[_\-][A-Za-z0-9]+|CV_CODE:\s*cv[_\-][A-Za-z0-9]+)\b"
@@ -46,10 +47,10 @@ def lines(x: Column | str) -> Column:
 
 
 def normalize_bench_line(x: Column | str) -> Column:
-    t = strip(F.coalesce(_c(x), F.lit("")))
+    t = F.replace(F.translate(strip(F.coalesce(_c(x), F.lit(""))), "–—−", "---"), F.lit("₽"), F.lit(" RUB"))
     for pattern, by in (
-        ("[–—−]", "-"), (IU + r"\.?\s*net\b", "DotNet"), (IU + r"\bC\s*#\b", "C#"), (IU + r"\bmiddle\s*\+\b", "Middle+"), (r"(\d),(\d)", "$1.$2"),
-        ("₽", " RUB"), (IU + r"/(cv[_\-][A-Za-z0-9]+)\b", "CV_CODE: $1"), (r"(?U)\s{2,}", " "),
+        (IU + r"\.?\s*net\b", "DotNet"), (IU + r"\bC\s*#\b", "C#"), (IU + r"\bmiddle\s*\+\b", "Middle+"), (r"(\d),(\d)", "$1.$2"),
+        (IU + r"/(cv[_\-][A-Za-z0-9]+)\b", "CV_CODE: $1"), (r"(?U)\s{2,}", " "),
     ):
         t = F.regexp_replace(t, pattern, by)
     return strip(t)
@@ -65,8 +66,10 @@ def bench_signals(normalized: Column | str) -> Column:
     t = _c(normalized)
     hint = vacancy_hint(t)
     points = lambda cond, n: F.when(cond, n).otherwise(0.0)
+    low = F.lower(t)
+    near = lambda *words: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])  # noqa: E731  # before an expression is tried, a word that it needs
     words = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""))
-    score = points(has(t, GRADE), 0.20) + points(has(t, EXPERIENCE), 0.25) + points(has(t, RATE), 0.25) + points(has(t, CV), 0.25) - points(hint, 0.35) + points((words >= 4) & ~hint, 0.10)
+    score = points(near(*GRADE_PARTS) & has(t, GRADE), 0.20) + points(near("опыт") & has(t, EXPERIENCE), 0.25) + points(near("ставк", "rate") & has(t, RATE), 0.25) + points(near("cv") & has(t, CV), 0.25) - points(hint, 0.35) + points((words >= 4) & ~hint, 0.10)
     return F.struct(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 10).alias("confidence"), hint.alias("vacancy_hint"))
 
 

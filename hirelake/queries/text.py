@@ -61,7 +61,14 @@ def extract_urls(spark, d):
     return table(spark, d, "pages").select("page_id", T.extract_urls(text).alias("urls"), T.external_urls(text).alias("outer_urls"))
 
 
-@query("html_to_text")
+_H = "regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g')"
+for _p, _by in (("(?i)<br\\s*/?>", "chr(10)"), ("(?i)</p>", "chr(10)"), ("(?s)<[^>]+>", "' '")):
+    _H = f"regexp_replace({_H}, '{_p}', {_by}, 'g')"
+for _p, _by in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+    _H = f"replace({_H}, '{_p}', {_by})"
+
+
+@query("html_to_text", f"SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_H}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages")
 def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_to_text("html").alias("text"))
 
