@@ -124,6 +124,13 @@ def source_display(**parts: Column) -> Column:
     return F.concat_ws("; ", *[F.when(F.coalesce(strip(v), F.lit("")) != "", F.concat(F.lit(f"{k}: "), strip(v))) for k, v in parts.items()])
 
 
+def source_meta(base: Column | str, **parts: Column) -> Column:
+    """The base (map of text) with the parts that are not blank put over it, as JSON with the keys in order."""
+    more = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), strip(v).alias("value")) for k, v in parts.items()]), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    own = F.filter(F.map_entries(F.coalesce(_c(base), F.create_map().cast("map<string,string>"))), lambda e: ~F.exists(more, lambda m: m["key"] == e["key"]))
+    return F.to_json(F.map_from_entries(F.array_sort(F.concat(own, more))))
+
+
 def parse_source_display(x: Column | str) -> Column:
     """Such a string as a map; a value keeps its own colons."""
     pairs = F.transform(F.filter(F.split(F.coalesce(_c(x), F.lit("")), ";"), lambda p: F.contains(p, F.lit(":"))), lambda p: F.struct(strip(F.substring_index(p, ":", 1)).alias("key"), strip(F.regexp_replace(p, "^[^:]*:", "")).alias("value")))

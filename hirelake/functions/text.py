@@ -271,6 +271,30 @@ def entity_summary(role: Column, grade: Column, stack: Column) -> Column:
     return F.concat_ws(" | ", dash(role), dash(grade), dash(F.array_join(F.slice(stack, 1, 6), ", ")))
 
 
+def registry_index(locator: Column | str) -> Column:
+    """What follows the last colon, else the last hash, of a registry place; the place itself if there is none; a dash if it is blank."""
+    t = strip(F.coalesce(_c(locator), F.lit("")))
+    tail = lambda sep: F.nullif(F.when(F.contains(t, F.lit(sep)), strip(F.substring_index(t, sep, -1))), F.lit(""))
+    return F.coalesce(tail(":"), tail("#"), F.nullif(t, F.lit("")), F.lit("-"))
+
+
+def rate_range(low: Column | str, high: Column | str, currency: Column | str) -> Column:
+    """The range in words, as lists show it; zero counts as missing."""
+    a, b = (F.nullif(_c(x), F.lit(0)).cast("string") for x in (low, high))
+    full = F.coalesce(F.concat(F.lit("от "), a, F.lit(" до "), b), F.concat(F.lit("от "), a), F.concat(F.lit("до "), b))
+    return F.coalesce(strip(F.concat(full, F.lit(" "), F.coalesce(strip(_c(currency)), F.lit("")))), F.lit("—"))
+
+
+def registry_candidates(df: DataFrame, key: str, text: str, position: str, company: str, columns: tuple[str, ...]) -> DataFrame:
+    """company, url, column, position: the links of the given columns of registry rows (``key: value`` lines), each once, at its first row and column."""
+    pairs = df.select(key, position, parse_kv_lines(text).alias("_m"))
+    at = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(c).alias("column"), F.try_element_at("_m", F.lit(c)).alias("v")) for n, c in enumerate(columns)])).alias("_x")
+    rows = pairs.select(key, position, F.try_element_at("_m", F.lit(company)).alias("company"), at)
+    rows = rows.select(position, "company", "_x.n", "_x.column", F.posexplode(external_urls("_x.v")).alias("_p", "url"))
+    first = rows.groupBy("url").agg(F.min(F.struct(position, "n", "_p", "company", "column")).alias("f"))
+    return first.select("f.company", "url", "f.column", F.col(f"f.{position}").alias("position"))
+
+
 def source_index(locator: Column | str, fallback: Column | str) -> Column:
     n = lambda c: F.nullif(F.regexp_extract(F.coalesce(_c(c), F.lit("")), r"(\d+)\s*$", 1), F.lit(""))
     return F.coalesce(n(locator), n(fallback), F.lit("-"))

@@ -110,6 +110,18 @@ def over_threshold(hits: DataFrame, rate_given: bool = False, least: float = MAT
     return out.where(F.col("rate_score") > 0) if rate_given else out
 
 
+def setting_forms(settings: DataFrame, defaults: DataFrame) -> DataFrame:
+    """key, value, items, entries: the stored value if not blank, else the environment's, else the default (columns env and value of defaults); read as a JSON
+    list and as a JSON object of texts too, blanks dropped, an object's entries by key."""
+    full = lambda c: F.nullif(F.trim(c), F.lit(""))
+    d = defaults.select("key", full("env").alias("_env"), F.col("value").alias("_default"))
+    rows = d.join(settings.select("key", full("value").alias("_stored")), "key", "left").select("key", F.coalesce("_stored", "_env", "_default").alias("value"))
+    items = F.filter(F.transform(F.from_json("value", "array<string>"), lambda x: F.trim(x)), lambda x: x != "")
+    entries = F.filter(F.array_sort(F.map_entries(F.from_json("value", "map<string,string>"))), lambda e: F.trim(F.coalesce(e["value"], F.lit(""))) != "")
+    none = F.array().cast("array<string>")
+    return rows.select("key", "value", F.coalesce(items, none).alias("items"), F.coalesce(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.trim(e["value"]))), none).alias("entries"))
+
+
 def setting(settings: DataFrame, defaults: DataFrame) -> DataFrame:
     """key, value: the stored value if not blank, else the default."""
     d = defaults.select("key", F.col("value").alias("default"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hirelake.functions import cards as C
+from hirelake.functions import text as T
 from hirelake.operators import aggregates as A
 from hirelake.operators import filters as L
 from hirelake.operators import joins as J
@@ -146,3 +147,89 @@ def manual_preview(spark, d):
     word = F.get(F.array(*[F.lit(x) for x in ("Python", "Java", "React", "QA", "DevOps", None, "Go", None)]), (F.col("id") % 8).cast("int"))
     queries = v.select("id", F.concat_ws(" ", word, "grade").alias("text"), F.when(F.col("id") % 2 == 0, 2000).alias("rate"))
     return V.manual_preview(queries, table(spark, d, "specialists"), table(spark, d, "registry"), AS_OF)
+
+
+# ---- further forms ----
+
+@query("registry_index", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN 'r' || o_custkey WHEN 2 THEN CAST(o_custkey AS VARCHAR) ELSE '-' END AS idx FROM orders")
+def registry_index(spark, d):
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
+    place = F.when(k == 0, F.concat(F.lit("Bench:x: "), c)).when(k == 1, F.concat(F.lit("sheet#r"), c)).when(k == 2, F.concat(F.lit(" "), c)).otherwise(" ")
+    return table(spark, d, "orders").select("o_orderkey", T.registry_index(place).alias("idx"))
+
+
+@query("rate_range", with_tables("SELECT id, CASE WHEN rate_min IS NULL AND id % 3 = 0 THEN '—' WHEN rate_min IS NULL THEN 'до 9000 RUB' WHEN id % 3 = 0 THEN 'от ' || rate_min || ' RUB' ELSE 'от ' || rate_min || ' до 9000 RUB' END AS rate FROM specialists", "specialists"))
+def rate_range(spark, d):
+    return table(spark, d, "specialists").select("id", T.rate_range("rate_min", F.when(F.col("id") % 3 == 0, 0).otherwise(9000), F.lit("RUB ")).alias("rate"))
+
+
+@query("registry_candidates", """SELECT arg_min(company, (position, n)) AS company, url, arg_min(col, (position, n)) AS column, min(position) AS position FROM (SELECT o_orderkey AS position, 'Firm ' || o_custkey AS company, 0 AS n, 'bench' AS col, 'https://d.example.com/b/' || (o_custkey % 100) AS url FROM orders
+ UNION ALL SELECT o_orderkey, 'Firm ' || o_custkey, 1, 'vacancies', 'https://d.example.com/' || CASE WHEN o_orderkey % 2 = 0 THEN 'b/' ELSE 'v/' END || (o_custkey % 100) FROM orders WHERE o_orderkey % 3 = 0) t GROUP BY url""")
+def registry_candidates(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    link = lambda path: F.concat(F.lit("https://d.example.com/"), path, c % 100)
+    text = F.concat_ws("\n", F.concat(F.lit("Company: Firm "), c), F.concat(F.lit("Bench: see "), link(F.lit("b/")), F.lit(", t.me/x")), F.when(k % 3 == 0, F.concat(F.lit("Vacancies: "), link(F.when(k % 2 == 0, "b/").otherwise("v/")))))
+    return T.registry_candidates(table(spark, d, "orders").select(k.alias("k"), k.alias("position"), text.alias("t")), "k", "t", "position", "company", ("bench", "vacancies"))
+
+
+@query("settings_forms", """SELECT c_custkey AS key, CASE c_custkey % 5 WHEN 0 THEN '["a", " ", "b' || c_custkey || ' "]' WHEN 1 THEN 'env' WHEN 2 THEN 'default' WHEN 3 THEN '{"y":"2","x":"","w":" 1 "}' ELSE 'plain' END AS value,
+ CASE WHEN c_custkey % 5 = 0 THEN ['a', 'b' || c_custkey] ELSE CAST([] AS VARCHAR[]) END AS items, CASE WHEN c_custkey % 5 = 3 THEN ['w=1', 'y=2'] ELSE CAST([] AS VARCHAR[]) END AS entries FROM customer""")
+def settings_forms(spark, d):
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer")
+    stored = F.when(k % 5 == 0, F.concat(F.lit('["a", " ", "b'), k, F.lit(' "]'))).when(k % 5 == 3, '{"y":"2","x":"","w":" 1 "}').when(k % 5 == 4, " plain ").otherwise(" ")
+    return L.setting_forms(c.select(k.alias("key"), stored.alias("value")), c.select(k.alias("key"), F.when(k % 5 == 1, " env").otherwise(" ").alias("env"), F.lit("default").alias("value")))
+
+
+@query("source_meta", """SELECT c_custkey, '{"index":"' || c_custkey || '",' || CASE WHEN c_custkey % 2 = 0 THEN '"kind":"file",' ELSE '"kind":"old",' END || '"manager":"-"}' AS meta FROM customer""")
+def source_meta(spark, d):
+    from hirelake.functions.entities import source_meta as meta
+
+    k = F.col("c_custkey")
+    base = F.create_map(F.lit("kind"), F.lit("old"), F.lit("manager"), F.lit("-"))
+    return table(spark, d, "customer").select("c_custkey", meta(base, kind=F.when(k % 2 == 0, " file"), index=k.cast("string"), sender=F.lit("  ")).alias("meta"))
+
+
+@query("company_candidates", with_tables("SELECT c_custkey, list_sort(list_distinct(list_filter([CASE WHEN c_custkey % 4 = 0 THEN 'Сбер' END, CASE WHEN c_custkey % 3 = 0 THEN n_name END, CASE WHEN c_custkey % 5 = 0 THEN 'Лемана Про' END], lambda x: x IS NOT NULL))) AS companies FROM customer JOIN nation ON n_nationkey = c_nationkey", "partners"))
+def company_candidates(spark, d):
+    from hirelake.functions.companies import company_candidates as named
+
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    text = F.concat_ws("\n", F.when(k % 4 == 0, "команда СберТеха"), F.when(k % 3 == 0, F.concat(F.lit("Клиент: "), "n_name", F.lit(" , rate 5"))), F.when(k % 5 == 0, "lemana pro"), F.lit("заказчик - банки"))
+    return rows.select("c_custkey", named(text).alias("companies"))
+
+
+@query("partner_source_url", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'https://cv/' || c_custkey WHEN c_custkey % 3 = 1 THEN 'https://first/' || c_custkey END AS url FROM customer")
+def partner_source_url(spark, d):
+    from hirelake.functions.companies import partner_source_url as url
+
+    k = F.col("c_custkey")
+    text = F.concat_ws("\n", F.when(k % 3 < 2, F.concat(F.lit("site: https://first/"), k)), F.when(k % 3 == 0, F.concat(F.lit("Ссылка на резюме: тут https://cv/"), k)), F.lit("end"))
+    return table(spark, d, "customer").select("c_custkey", url(text).alias("url"))
+
+
+@query("urlish", with_tables("SELECT id, contains(text, 'https://') OR contains(text, 't.me/') AS urlish FROM posts", "posts"))
+def urlish(spark, d):
+    from hirelake.functions.matching import urlish as f
+
+    return table(spark, d, "posts").select("id", f("text").alias("urlish"))
+
+
+@query("stack_profile", features_sql("SELECT id, prim AS primary_labels, list_sort(sec) AS secondary_tokens, tool AS tooling_labels, list_sort(list_distinct(list_concat(prim, sec, tool))) AS meaningful_tokens FROM f_s"))
+def stack_profile(spark, d):
+    from hirelake.plans import matching as P
+
+    rows = P.features(L.active(table(spark, d, "specialists"), AS_OF), "BENCH")
+    return rows.select("id", "primary_labels", F.array_sort("secondary_tokens").alias("secondary_tokens"), "tooling_labels", F.array_sort("meaningful_tokens").alias("meaningful_tokens"))
+
+
+@query("catalog_profile", with_tables("SELECT id, CASE role WHEN 'Python Developer' THEN 'profile_1' WHEN 'Java Developer' THEN 'profile_2' ELSE 'profile_3' END AS catalog_profile FROM specialists WHERE role IN ('Python Developer', 'Java Developer', 'QA Engineer')", "specialists"))
+def catalog_profile(spark, d):
+    from hirelake.operators import catalog
+
+    from .sheets import CATALOG
+
+    profiles = spark.createDataFrame(CATALOG, "profile string, kind string, terms string")
+    return catalog.primary_profile(catalog.profile_scores(table(spark, d, "specialists"), profiles, "id", "role"), "id")
+

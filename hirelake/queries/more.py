@@ -74,14 +74,15 @@ def channel_identity(spark, d):
     return J.channel_identity(seen, table(spark, d, "channels")).drop("username")
 
 
-@query("resume_enrichment", "SELECT c_custkey, (SELECT string_agg('order ' || o_orderkey, chr(10) || chr(10) ORDER BY o_orderkey) FROM (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderkey LIMIT 8) o) AS resume_text FROM customer WHERE c_custkey % 10 = 0")
+_ENRICHED = "SELECT c_custkey, string_agg('order ' || o_orderkey, chr(10) || chr(10) ORDER BY o_orderkey) AS resume_text FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) o ON o_custkey = c_custkey AND n <= 8 GROUP BY c_custkey"
+
+
+@query("resume_enrichment", _ENRICHED)
 def resume_enrichment(spark, d):
-    units = table(spark, d, "customer").where("c_custkey % 10 = 0").select("c_custkey", F.concat(F.lit("http://r/"), "c_custkey").alias("resume_url"))
-    items = table(spark, d, "orders").select(F.concat(F.lit("http://r/"), "o_custkey").alias("resume_url"), F.col("o_orderkey").alias("position"), F.concat(F.lit("order "), "o_orderkey").alias("text"))
-    return J.resume_enrichment(units, items).select("c_custkey", "resume_text")
+    return resume_enrichment_whole(spark, d)
 
 
-@query("resume_enrichment_whole", "SELECT c_custkey, string_agg('order ' || o_orderkey, chr(10) || chr(10) ORDER BY o_orderkey) AS resume_text FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) o ON o_custkey = c_custkey AND n <= 8 GROUP BY c_custkey")
+@query("resume_enrichment_whole", _ENRICHED)
 def resume_enrichment_whole(spark, d):
     units = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("http://r/"), "c_custkey").alias("resume_url"))
     items = table(spark, d, "orders").select(F.concat(F.lit("http://r/"), "o_custkey").alias("resume_url"), F.col("o_orderkey").alias("position"), F.concat(F.lit("order "), "o_orderkey").alias("text"))

@@ -88,6 +88,24 @@ TABLES = {
 _BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+_ENTITY = "id bigint, synthetic_id string, role string, stack array<string>, grade string, {}location string, {}description string, original_text string, {}status string, {}created_at timestamp, updated_at timestamp, expires_at timestamp, embedding array<float>"
+#: Explicit schemas of the entity tables, for files and databases.
+SCHEMAS = {"vacancies": _ENTITY.format("rate_max int, ", "company string, ", "is_strategic boolean, ", ""), "specialists": _ENTITY.format("rate_min int, ", "", "", "is_internal boolean, ")}
+
+
+def read_entities(spark: SparkSession, name: str, path: str | None = None, url: str | None = None, by: str = "id", parts: int = 16, **options: str) -> DataFrame:
+    """An entity table with its explicit schema: from Parquet files, or from a database (lists and vectors as JSON text there), read in ``parts`` ranges of ``by`` if
+    lowerBound and upperBound are given."""
+    schema = SCHEMAS[name]
+    if path:
+        return spark.read.schema(schema).parquet(path)
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if "lowerBound" in options:
+        reader = reader.options(partitionColumn=by, numPartitions=str(parts))
+    rows = reader.load()
+    return rows.selectExpr(*[f"from_json({n}, '{t}') AS {n}" if t.startswith("array") else f"CAST({n} AS {t}) AS {n}" for n, t in (c.split(" ", 1) for c in schema.split(", "))])
+
+
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -140,3 +140,11 @@ def test_sheets_without_headers_and_context(spark):
     rows = spark.createDataFrame([("f", "QA specialists", k, c) for k, c in enumerate((["", ""], ["Имя", "Опыт"], ["Olga", "3"], ["full time", ""], ["Ivan", "5"]))] + [("f", "Шаблон", 0, ["Имя", "Роль"])], "file string, sheet string, row_index long, cells array<string>")
     got = {r.row_index: r for r in N.normalize_tables(rows).collect()}
     assert set(got) == {2, 3, 4} and got[2].role == "QA Engineer" and got[2].name == "Olga" and got[2].text.startswith("Entity type hint: BENCH\nИмя: Olga\nРоль: QA Engineer")
+
+
+def test_entities_are_read_with_their_schema(spark, tmp_path):
+    from hirelake.sources.domain import SCHEMAS, read_entities
+
+    spark.sql("SELECT CAST(1 AS BIGINT) AS id, array('Go') AS stack, array(1.5F) AS embedding, 'x' AS more").write.parquet(str(tmp_path / "v"))
+    rows = read_entities(spark, "vacancies", path=str(tmp_path / "v"))
+    assert rows.columns == [c.split(" ")[0] for c in SCHEMAS["vacancies"].split(", ")] and rows.first().stack == ["Go"] and rows.first().role is None
