@@ -4,7 +4,8 @@ A line's key is the line without ASCII blanks at its ends and with A-Z lower-cas
 come in batches. ``Runs`` keeps every key seen as sorted, bucketed tables ("runs", each key in one of them), arranged in levels: a batch is
 merge-anti-joined with the runs, what is new becomes a run of level 0, and ``fanout`` runs of a level are compacted into one of the next.
 A key that a run holds loses its lines in the whole batch; a key new in the batch keeps those of the smallest id that has it. With batches in
-ascending order of ids, as ``dedup`` makes them, the smallest id of all keeps its lines. Keys are 128-bit hashes.
+ascending order of ids, as ``dedup`` makes them, the smallest id of all keeps its lines. Keys are 128-bit hashes. Runs with a ``root`` of the caller's are
+kept there: documents that come later, given to ``dedup`` with ``Runs(spark, root=...)``, lose the lines of all that came before.
 
 Defined cases: a null or empty text is one empty line; rows with a null id pass unchanged and count for nobody; rows sharing an id are the
 same document, so they lose no line to each other; a key repeated in one document only is kept; extra columns pass unchanged.
@@ -57,13 +58,38 @@ def line_keys(docs: DataFrame, id: str = "doc_id", text: str = "text", least: in
 
 
 class Runs:
-    """The runs in the shared folder; add() takes the next batch of (id, h1, h2)."""
+    """The runs below ``root`` (kept, and opened if there are some) or in a folder of the shared one (gone with close()); add() takes the next batch of (id, h1, h2)."""
 
-    def __init__(self, spark, fanout: int = 3, buckets: int | None = None):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark, fanout: int = 3, buckets: int | None = None, root: str | None = None):
+        self.spark, self.fanout, self.kept = spark, fanout, root is not None
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.root = scratch(spark, "runs")
+        self.root = root.rstrip("/") if root else scratch(spark, "runs")
         self.levels: list[list[str]] = []
+        if self.kept:
+            self._open()
+
+    def _states(self) -> list[int]:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in (fs.listStatus(folder) if fs.exists(folder) else [])]
+        return sorted(int(n[6:]) for n in names if n.startswith("state-") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}/_SUCCESS")))
+
+    def _open(self) -> None:
+        """The runs that the newest whole state names; a catalog that does not know them is told."""
+        if states := self._states():
+            for r in sorted(self.spark.read.parquet(f"{self.root}/state-{states[-1]}").collect()):  # a row for each run
+                while len(self.levels) <= r.level:
+                    self.levels.append([])
+                self.levels[r.level].append(r.name)
+                if not self.spark.catalog.tableExists(r.name):
+                    self.spark.sql(f"CREATE TABLE {r.name} (h1 BIGINT, h2 BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {r.buckets} BUCKETS LOCATION '{self.root}/{r.name}'")
+                self.buckets = r.buckets
+
+    def _save(self) -> None:
+        """A new state; runs that it does not name, left over by a job that failed, are not looked at any more."""
+        if self.kept:
+            rows = [(level, name, self.buckets) for level, names in enumerate(self.levels) for name in names]
+            self.spark.createDataFrame(rows, "level int, name string, buckets int").coalesce(1).write.parquet(f"{self.root}/state-{max(self._states(), default=-1) + 1}")
 
     def _write(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
@@ -85,13 +111,18 @@ class Runs:
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(self._write(keys.where(~F.col("seen")).select("h1", "h2")))
-        self._compact()
+        old = self._compact()
+        self._save()
+        for name in old:
+            self._drop(name)
         return keys.where(F.col("seen") | (F.col("first") < F.col("last"))).select("h1", "h2", F.when(~F.col("seen"), F.col("first")).alias("keep"))
 
-    def _compact(self) -> None:
+    def _compact(self) -> list[str]:
+        """Compacts full levels; gives the runs that are not needed any more."""
+        gone: list[str] = []
         for depth in range(64):
             if depth >= len(self.levels) or len(self.levels[depth]) < self.fanout:
-                return
+                break
             old, self.levels[depth] = self.levels[depth], []
             rows = self.spark.table(old[0])
             for name in old[1:]:
@@ -99,10 +130,12 @@ class Runs:
             if depth + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[depth + 1].append(self._write(rows))
-            for name in old:
-                self._drop(name)
+            gone += old
+        return gone
 
     def close(self) -> None:
+        if self.kept:
+            return
         for level in self.levels:
             for name in level:
                 self._drop(name)
@@ -110,13 +143,13 @@ class Runs:
         remove(self.spark, self.root)
 
 
-def losses(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """(id, lost array<struct<h1, h2>>): for each document the keys whose lines it loses."""
+def losses(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST, batches: int = 4, fanout: int = 3, runs: Runs | None = None) -> DataFrame:
+    """(id, lost array<struct<h1, h2>>): for each document the keys whose lines it loses. runs: those of earlier documents, which these are added to."""
     spark = docs.sparkSession
     keys = cut(line_keys(docs, id, text, least))
     cuts = keys.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     bounds = sorted(set(cuts))
-    runs = Runs(spark, fanout)
+    runs = runs or Runs(spark, fanout)
     dups = []
     for n in range(len(bounds) + 1):
         batch = keys
@@ -136,7 +169,7 @@ def losses(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int =
     return hit.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))  # at most the lines of one document
 
 
-def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST, **options: int) -> DataFrame:
+def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST, **options: object) -> DataFrame:
     """The rows of docs with ``text`` rid of repeated lines, and new columns n_lines, n_dropped (replacing columns of these names)."""
     of, cuts = fresh(docs, "_lost_id"), fresh(docs, "_lost")
     lost = losses(docs, id, text, least, **options).select(F.col("id").alias(of), F.col("lost").alias(cuts))

@@ -184,6 +184,22 @@ def test_line_dedup_matches_brute_force(spark, batches):
     assert sorted([(r.doc_id, r.text or "") for r in got], key=str) == expected
 
 
+def test_later_documents_are_held_against_stored_runs(spark, tmp_path):
+    rng = random.Random(23)
+    lines = ["Shared line number %d" % k for k in range(25)] + ["short", "PADDED shared line "]
+    rows = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randrange(6)))) for k in range(60)]
+    got = []
+    for at in range(0, 60, 15):
+        some = make(spark, rows[at : at + 15])
+        runs = linededup.Runs(spark, fanout=2, root=str(tmp_path / "runs"))
+        assert bool(runs.levels) == (at > 0)
+        got += [(r.doc_id, r.text or "") for r in linededup.dedup(some, batches=2, runs=runs).collect()]
+        for level in runs.levels:  # a session whose catalog does not know them
+            for name in level:
+                spark.sql(f"DROP TABLE {name}")
+    assert sorted(got) == sorted(plain_line_dedup(rows))
+
+
 def test_line_dedup_edges(edge, none):
     out = linededup.dedup(edge)
     assert out.count() == len(EDGE) and set(edge.columns) <= set(out.columns)
