@@ -55,11 +55,11 @@ def upsert_registry_rows(spark, d):
     return U.upsert_registry(r, r.where("specialist_id % 2 = 0").select("registry_key", F.lit(None).cast("long").alias("specialist_id"), F.lit("seen").alias("raw_text")))
 
 
-@query("upsert_settings", f"SELECT n_name AS key, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE 'old' END AS value, CASE WHEN n_nationkey % 2 = 0 THEN {_NOW} END AS updated_at FROM nation")
+@query("upsert_settings", f"SELECT c_name AS key, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS value, CASE WHEN c_custkey % 2 = 0 THEN {_NOW} END AS updated_at FROM customer")
 def upsert_settings(spark, d):
-    n = table(spark, d, "nation")
-    old = n.select(F.col("n_name").alias("key"), F.lit("old").alias("value"), F.lit(None).cast("timestamp").alias("updated_at"))
-    return U.upsert_settings(old, n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("key"), F.lit("new").alias("value")), AS_OF)
+    c = table(spark, d, "customer")
+    old = c.select(F.col("c_name").alias("key"), F.lit("old").alias("value"), F.lit(None).cast("timestamp").alias("updated_at"))
+    return U.upsert_settings(old, c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("key"), F.lit("new").alias("value")), AS_OF)
 
 
 @query("link_source_entity", with_tables("SELECT id, CASE WHEN id % 11 = 0 THEN 'linked' ELSE entity_type END AS entity_type, CASE WHEN id % 11 = 0 THEN id ELSE entity_id END AS entity_id FROM sources", "sources"))
@@ -68,9 +68,9 @@ def link_source_entity(spark, d):
     return U.link_entities(s, s.where("id % 11 = 0").select(F.col("id").alias("source_id"), F.lit("linked").alias("entity_type"), F.col("id").alias("entity_id")))
 
 
-@query("channel_identity", with_tables("SELECT o.n AS telegram_id, coalesce(c.source_kind, k.source_kind, 'chat') AS source_kind, coalesce(c.last_message_id, k.last_message_id, 0) AS last_message_id FROM (SELECT unnest(range(0, 40)) AS n) o LEFT JOIN channels c ON c.telegram_id = o.n LEFT JOIN channels k ON k.telegram_id = o.n - 20", "channels"))
+@query("channel_identity", with_tables("SELECT o.n AS telegram_id, coalesce(c.source_kind, k.source_kind, 'chat') AS source_kind, coalesce(c.last_message_id, k.last_message_id, 0) AS last_message_id FROM (SELECT DISTINCT channel_id + 20 * (message_id % 2) AS n FROM raw_messages) o LEFT JOIN channels c ON c.telegram_id = o.n LEFT JOIN channels k ON k.telegram_id = o.n % 20", "raw_messages", "channels"))
 def channel_identity(spark, d):
-    seen = spark.range(40).select(F.col("id").alias("telegram_id"), F.concat(F.lit("CHAN"), F.col("id") % 20).alias("username"))
+    seen = table(spark, d, "raw_messages").select((F.col("channel_id") + 20 * (F.col("message_id") % 2)).alias("telegram_id"), F.concat(F.lit("CHAN"), "channel_id").alias("username"))
     return J.channel_identity(seen, table(spark, d, "channels")).drop("username")
 
 
@@ -123,10 +123,10 @@ def unprocessed_sources(spark, d):
     return L.unprocessed(s).select("id")
 
 
-@query("settings_lookup", "SELECT n_name AS key, CASE WHEN n_nationkey % 3 = 0 THEN 'set' ELSE 'default' END AS value FROM nation")
+@query("settings_lookup", "SELECT c_name AS key, CASE WHEN c_custkey % 3 = 0 THEN 'set' ELSE 'default' END AS value FROM customer")
 def settings_lookup(spark, d):
-    n = table(spark, d, "nation")
-    return L.setting(n.select(F.col("n_name").alias("key"), F.when(F.col("n_nationkey") % 3 == 0, "set").otherwise(" ").alias("value")), n.select(F.col("n_name").alias("key"), F.lit("default").alias("value")))
+    c = table(spark, d, "customer")
+    return L.setting(c.select(F.col("c_name").alias("key"), F.when(F.col("c_custkey") % 3 == 0, "set").otherwise(" ").alias("value")), c.select(F.col("c_name").alias("key"), F.lit("default").alias("value")))
 
 
 @query("threshold_filter", features_sql("SELECT vacancy_id, specialist_id, score FROM final WHERE score >= 0.5 AND rate_score > 0"))

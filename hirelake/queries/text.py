@@ -158,8 +158,13 @@ def partner_counts(spark, d):
     return K.partner_counts(rows.select(F.concat(F.lit("Заказчик: "), "n_name", F.lit("; rate 5"), extra).alias("t")), "t")
 
 
-@query("company_name", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN NULL WHEN n_nationkey % 3 = 1 THEN n_name ELSE 'Лемана Про' END AS company FROM nation")
+@query("company_name", "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN c_name WHEN 2 THEN 'Лемана Про' WHEN 3 THEN 'Сбер' END AS company FROM customer")
 def company_name(spark, d):
-    k = F.col("n_nationkey") % 3
-    raw = F.when(k == 0, " Финтех. ").when(k == 1, F.concat(F.lit("  "), "n_name", F.lit(".;"))).otherwise("лемана  про")
-    return table(spark, d, "nation").select("n_nationkey", K.company_name(raw).alias("company"))
+    k = F.col("c_custkey") % 5
+    raw = F.when(k == 0, " Финтех. ").when(k == 1, F.concat(F.lit("  "), "c_name", F.lit(".;"))).when(k == 2, "лемана  про").when(k == 3, F.concat(F.lit("Sber "), "c_name")).otherwise(F.concat("c_custkey", F.lit(" руб/час")))
+    return table(spark, d, "customer").select("c_custkey", K.company_name(raw).alias("company"))
+
+
+@query("urls_of_pages", "SELECT page_id, list_sort(list_distinct(list_transform(regexp_extract_all(url || ' ' || html, '(?i)https?://[^\\s<>()]+'), lambda u: regexp_replace(u, '[).,;\\]>]+$', '')))) AS urls FROM pages")
+def urls_of_pages(spark, d):
+    return table(spark, d, "pages").select("page_id", F.array_sort(T.extract_urls(F.concat_ws(" ", "url", "html"))).alias("urls"))
