@@ -110,21 +110,102 @@ def ranked(scored: DataFrame, order: list[Column], k: int | None = None) -> Data
     return out.where(F.col("rank") <= k) if k else out
 
 
-def rank_specialists(vacancies: DataFrame, specialists: DataFrame, as_of: str, k: int | None = 20, legacy: bool = False) -> DataFrame:
+#: Tokens that stand for those which the other side never has; and distinct tokens of a side up to which they are broadcast.
+OWN, FEW_TOKENS = "\x00", 200_000
+COMPARED = ("primary_labels", "secondary_tokens", "meaningful_tokens", "catalog", "grade_level", "location_tokens", "work_formats")
+
+
+def _words() -> Column:
+    kinds = (("s", "secondary_tokens"), ("m", "meaningful_tokens"), ("l", "location_tokens"))
+    of = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token"))
+    return F.concat(*[F.transform(c, of(k)) for k, c in kinds])
+
+
+def signed(side: DataFrame, other: DataFrame, required: bool, rate: bool) -> DataFrame:
+    """The features with a ``key`` that is equal for rows which no entity of the other side can tell apart.
+
+    Tokens that the other side never has (names, running text) are taken out first; what their number decides is kept by placeholders: a required side
+    counts up to three secondary tokens, and a side with some meaningful token is not silent. rate: whether the rate is part of the key."""
+    spark = side.sparkSession
+    fixed = spark.createDataFrame([("l", t) for t in (*M.REMOTE_TOKENS, *M.RUSSIA_TOKENS)], "kind string, token string")
+    known = cut(other.select(F.explode(_words()).alias("x")).select("x.*").unionByName(fixed).distinct())
+    known = F.broadcast(known) if known.limit(FEW_TOKENS + 1).count() <= FEW_TOKENS else known
+    rows = side.withColumn("_row", F.monotonically_increasing_id())
+    kept = rows.select("_row", F.explode(_words()).alias("x")).select("_row", "x.*").join(known, ["kind", "token"], "left_semi")
+    kept = kept.groupBy("_row").agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("token")))).alias(f"_{k}") for k in "sml"])
+    none = F.array().cast("array<string>")
+    s, m, l = (F.coalesce(f"_{k}", none) for k in "sml")
+    if required:
+        most = F.least(F.size(F.array_distinct("secondary_tokens")), F.lit(3))
+        s = F.concat(s, F.slice(F.array(*[F.lit(OWN + n) for n in "123"]), F.lit(1), F.greatest(most - F.size(s), F.lit(0))))
+    m = F.when((F.size("meaningful_tokens") > 0) & (F.size(m) == 0), F.array(F.lit(OWN + ("r" if required else "c")))).otherwise(m)
+    out = rows.join(kept, "_row", "left").withColumns({"secondary_tokens": s, "meaningful_tokens": m, "location_tokens": l, "primary_labels": F.array_sort("primary_labels"), "work_formats": F.array_sort("work_formats")})
+    parts = [*COMPARED, *(["rate_anchor"] if rate else [])]
+    return cut(out.select("id", "is_internal", "rate_anchor", *COMPARED, F.md5(F.to_json(F.struct(*parts))).alias("key")))
+
+
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.first(F.struct("is_internal", "rate_anchor", *COMPARED)).alias("f")).select(F.col("key").alias("id"), "f.*")
+
+
+def best_pairs(required: DataFrame, candidates: DataFrame, order: list[Column], within: list[Column], budget: str, k: int | None, rate: bool, legacy: bool = False, keep: Column | None = None) -> DataFrame:
+    """(v: struct, s: struct, scores, rank): the k best candidates of each required entity, without scoring the pairs of a label.
+
+    Entities that the other side cannot tell apart (see signed) have one key. The candidates of a key follow each other in the order ``within`` for every
+    required entity, so only the first k of a key can be among any k best, and required entities of a key have the same ones. So pairs of keys are
+    scored, each with the first candidate of its key; the k best keys of a required key hold its k best candidates, at most k each, which are scored and
+    ranked; and the result is joined with the required entities. rate: whether candidates that differ in rate may change order. keep: what scored pairs must
+    fulfil; it must hold for a candidate that comes before, within a key, one for which it holds. k None: all pairs that pass the gates."""
+    r = signed(required, candidates, True, True)
+    c = signed(candidates, required, False, rate or k is None)
+    n = F.row_number().over(Window.partitionBy("key").orderBy(*within))
+    c = c.withColumn("_n", n) if k is None else cut(c.withColumn("_n", n).where(F.col("_n") <= k))
+    heads = c.where(F.col("_n") == 1).drop("_n")
+    scored = score_pairs(candidate_pairs(_one_of_each(r), heads), budget, legacy)
+    scored = scored if keep is None else scored.where(keep)
+    if k is not None:
+        scored = ranked(scored, order, k)
+    near = scored.select("v", F.col("s.key").alias("key"))
+    members = c.select("key", F.struct(*[x for x in c.columns if x != "_n"]).alias("s"))
+    every = score_pairs(near.join(members, "key").drop("key"), budget, legacy)
+    every = every if keep is None else every.where(keep)
+    if k is not None:
+        every = ranked(every, order, k).drop("rank")
+    own = r.select(F.col("key").alias("_key"), F.col("id").alias("_id"))
+    out = every.join(own, F.col("v.id") == F.col("_key")).withColumn("v", F.struct(F.col("_id").alias("id"))).drop("_key", "_id")
+    return ranked(out, order, k)
+
+
+def by_rate() -> list[Column]:
+    """How the specialists of a key follow each other for every vacancy."""
+    return [F.asc_nulls_last("rate_anchor"), F.desc(F.coalesce("is_internal", F.lit(False))), F.asc("id")]
+
+
+def rank_specialists(vacancies: DataFrame, specialists: DataFrame, as_of: str, k: int | None = 20, legacy: bool = False, keep: Column | None = None) -> DataFrame:
     """vacancy_id, specialist_id, score parts, score, rank: the best specialists of each active vacancy."""
     v, s = carried(vacancies, "VACANCY", as_of, legacy), carried(specialists, "BENCH", as_of, legacy)
-    out = ranked(score_pairs(candidate_pairs(v, s), "v", legacy), specialist_order(), k)
+    out = best_pairs(v, s, specialist_order(), by_rate(), "v", k, False, legacy, keep)
     return out.select(F.col("v.id").alias("vacancy_id"), F.col("s.id").alias("specialist_id"), "secondary_score", "grade_score", "rate_score", "location_score", "score", "rank")
 
 
 def rank_vacancies(specialists: DataFrame, vacancies: DataFrame, as_of: str, k: int | None = 20) -> DataFrame:
     """specialist_id, vacancy_id, score, rank: the best vacancies of each active specialist, who is the required side."""
     s, v = carried(specialists, "BENCH", as_of), carried(vacancies, "VACANCY", as_of)
-    pairs = candidate_pairs(v, s).select(F.col("s").alias("v"), F.col("v").alias("s"))  # gates are symmetric, scores are not
-    out = ranked(score_pairs(pairs, "s"), vacancy_order(), k)
+    out = best_pairs(s, v, vacancy_order(), [F.asc("id")], "s", k, True)
     return out.select(F.col("v.id").alias("specialist_id"), F.col("s.id").alias("vacancy_id"), "grade_score", "rate_score", "score", "rank")
 
 
+def rank_summary(vacancies: DataFrame, specialists: DataFrame, as_of: str) -> DataFrame:
+    """vacancy_id, n, best, has_internal: how many specialists pass the gates of a vacancy, the best score, and whether one of them is internal. Pairs of keys
+    are scored, and no pair of entities is made."""
+    v, s = carried(vacancies, "VACANCY", as_of), carried(specialists, "BENCH", as_of)
+    r, c = signed(v, s, True, True), signed(s, v, False, True)
+    counted = c.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.coalesce("is_internal", F.lit(False))).alias("_inner"))
+    scored = score_pairs(candidate_pairs(_one_of_each(r), _one_of_each(c)), "v").select(F.col("v.id").alias("key"), F.col("s.id").alias("_s"), "score")
+    by_key = scored.join(counted.withColumnRenamed("key", "_s"), "_s").groupBy("key").agg(F.sum("_n").alias("n"), F.max("score").alias("best"), F.bool_or("_inner").alias("has_internal"))
+    return r.select(F.col("id").alias("vacancy_id"), "key").join(by_key, "key").drop("key")
+
+
 def revalidate(stored: DataFrame, vacancies: DataFrame, specialists: DataFrame, as_of: str) -> DataFrame:
     """Stored matches scored again with the stored score as similarity; those that fail a gate now are gone."""
     v = carried(vacancies, "VACANCY", as_of).select(F.struct("*").alias("v"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hirelake.functions import matching as M
 from hirelake.operators import retrieve as R
 from hirelake.operators.filters import active, embedded_active
 from hirelake.operators.joins import own_bench, with_latest_source
@@ -24,7 +25,7 @@ def own_hits(specialists: DataFrame, registry: DataFrame, as_of: str, url: str |
 def specialist_hits(vacancies: DataFrame, specialists: DataFrame, registry: DataFrame, as_of: str, k: int = 20, cap: int = 100, url: str | None = None) -> DataFrame:
     """vacancy_id, specialist_id, sim, is_own: the k nearest specialists of each active vacancy with a vector, united with the newest max(k, cap) of the own
     bench, a specialist once with the greater similarity."""
-    near = R.vector_topk(embedded_active(vacancies, as_of), embedded_active(specialists, as_of), k)
+    near = R.neighbour_join(embedded_active(vacancies, as_of), embedded_active(specialists, as_of), k)
     near = near.select(F.col("query_id").alias("vacancy_id"), F.col("id").alias("specialist_id"), "sim", F.lit(False).alias("is_own"))
     bench = own_hits(specialists, registry, as_of, url).orderBy(F.desc("updated_at"), F.desc("id")).limit(max(k, cap)).select(F.col("id").alias("specialist_id"))
     ids = active(vacancies, as_of).select(F.col("id").alias("vacancy_id"))
@@ -34,7 +35,7 @@ def specialist_hits(vacancies: DataFrame, specialists: DataFrame, registry: Data
 
 def vacancy_hits(specialists: DataFrame, vacancies: DataFrame, as_of: str, k: int = 20) -> DataFrame:
     """vacancy_id, specialist_id, sim: the k nearest vacancies of each active specialist with a vector."""
-    near = R.vector_topk(embedded_active(specialists, as_of), embedded_active(vacancies, as_of), k)
+    near = R.neighbour_join(embedded_active(specialists, as_of), embedded_active(vacancies, as_of), k)
     return near.select(F.col("id").alias("vacancy_id"), F.col("query_id").alias("specialist_id"), "sim")
 
 
@@ -88,8 +89,6 @@ MANUAL_GRADES = ("junior", "middle", "senior", "lead")
 def manual_entities(queries: DataFrame, kind: str, profiles: DataFrame | None = None) -> DataFrame:
     """Queries (id, text, rate) as entities to be matched: the role is that of the catalog profile (profiles: id, catalog_profile, matched) or of the first
     primary label that the text holds; queries with neither are left out. kind: VACANCY or BENCH."""
-    from hirelake.functions import matching as M
-
     rows = queries.join(profiles, "id", "left") if profiles is not None else queries.withColumns({"catalog_profile": F.lit(None).cast("string"), "matched": F.lit(None).cast("array<string>")})
     label = F.get(M.primary_labels("text"), F.lit(0))
     rows = rows.withColumn("_label", label).where(F.col("catalog_profile").isNotNull() | F.col("_label").isNotNull())
@@ -102,14 +101,14 @@ def manual_entities(queries: DataFrame, kind: str, profiles: DataFrame | None =
 
 
 def manual_preview(queries: DataFrame, specialists: DataFrame, registry: DataFrame, as_of: str, profiles: DataFrame | None = None, limit: int = 10, url: str | None = None) -> DataFrame:
-    """query_id, bucket (own or partner), specialist_id, score, position: what a text typed in would match: all active specialists that pass the gates with a
-    score over the threshold (and a rate score, if a rate is given), the first ``limit`` of each bench."""
-    from hirelake.operators.aggregates import bucket_topk
-    from hirelake.operators.filters import over_threshold
-
-    ranked = P.rank_specialists(manual_entities(queries, "VACANCY", profiles), specialists, as_of, k=None)
-    given = queries.select(F.col("id").alias("vacancy_id"), F.col("rate").isNotNull().alias("_rated"))
-    good = over_threshold(ranked).join(given, "vacancy_id").where(~F.col("_rated") | (F.col("rate_score") > 0))
-    own = own_bench(specialists.select("id"), registry, url).select(F.col("id").alias("specialist_id"), "is_own_bench_source")
-    rows = good.join(own, "specialist_id").withColumn("bucket", F.when(F.col("is_own_bench_source"), "own").otherwise("partner"))
-    return bucket_topk(rows, "vacancy_id", "bucket", [F.asc("rank")], limit).select(F.col("vacancy_id").alias("query_id"), "bucket", "specialist_id", "score", "position")
+    """query_id, bucket (own or partner), specialist_id, score, position: what a text typed in would match: of all active specialists that pass the gates with a
+    score over the threshold (and a rate score, if a rate is given) the first ``limit`` of each bench."""
+    own = own_bench(specialists.select("id"), registry, url).where("is_own_bench_source").select("id")
+    asked = manual_entities(queries.where(F.col("rate").isNull() | (F.col("rate") > 0)), "VACANCY", profiles)
+    keep = (F.col("score") >= M.MATCH_THRESHOLD) & (F.col("v.rate_anchor").isNull() | (F.col("rate_score") > 0))
+    out = None
+    for bucket, how in (("own", "left_semi"), ("partner", "left_anti")):
+        best = P.rank_specialists(asked, specialists.join(own, "id", how), as_of, limit, keep=keep)
+        rows = best.select(F.col("vacancy_id").alias("query_id"), F.lit(bucket).alias("bucket"), "specialist_id", "score", F.col("rank").alias("position"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -94,8 +94,7 @@ def revalidate_matches(spark, sf_dir):
 
 @query("match_rank", features_sql("SELECT vacancy_id, count(*) AS n, max(score) AS best FROM final GROUP BY vacancy_id"))
 def match_rank(spark, sf_dir):
-    all_of = P.rank_specialists(table(spark, sf_dir, "vacancies"), table(spark, sf_dir, "specialists"), AS_OF, k=None)
-    return all_of.groupBy("vacancy_id").agg(F.max("rank").cast("long").alias("n"), F.max("score").alias("best"))
+    return P.rank_summary(table(spark, sf_dir, "vacancies"), table(spark, sf_dir, "specialists"), AS_OF).select("vacancy_id", "n", "best")
 
 
 @query("rebuild_matches_all_by_label", features_sql("SELECT vacancy_id, specialist_id, score AS similarity_score, rank FROM (" + RANKED + ") t WHERE rank <= 20"))

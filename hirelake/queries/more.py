@@ -142,9 +142,7 @@ def topk_per_query_by_label(spark, d):
 
 @query("has_internal", features_sql("SELECT vacancy_id, bool_or(inner_flag) AS has_internal FROM final GROUP BY 1"))
 def has_internal(spark, d):
-    hits = P.rank_specialists(table(spark, d, "vacancies"), table(spark, d, "specialists"), AS_OF, k=None)
-    s = table(spark, d, "specialists").select(F.col("id").alias("specialist_id"), "is_internal")
-    return hits.join(s, "specialist_id").groupBy("vacancy_id").agg(F.bool_or("is_internal").alias("has_internal"))
+    return P.rank_summary(table(spark, d, "vacancies"), table(spark, d, "specialists"), AS_OF).select("vacancy_id", "has_internal")
 
 
 @query("location_tokens", with_tables("SELECT id, list_filter(regexp_split_to_array(lower(location), '[\\s,;/|]+'), lambda x: x <> '') AS tokens FROM vacancies", "vacancies"))

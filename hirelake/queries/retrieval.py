@@ -46,7 +46,7 @@ def _three(spark, d):
 @query("topk_per_query", with_tables(f"SELECT vacancy_id AS query_id, specialist_id AS id, round(sim, 6) AS sim, CAST(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vacancy_id ORDER BY sim DESC, specialist_id) AS n FROM ({_PAIRS}) p) q WHERE n <= 20", "vacancies", "specialists"))
 def topk_per_query(spark, d):
     v, s, _ = _three(spark, d)
-    return R.vector_topk(embedded_active(v, AS_OF), embedded_active(s, AS_OF), 20).withColumn("sim", F.round("sim", 6))
+    return R.neighbour_join(embedded_active(v, AS_OF), embedded_active(s, AS_OF), 20).withColumn("sim", F.round("sim", 6))
 
 
 @query("retrieved_hits", with_tables("", "vacancies", "specialists", "registry").rstrip() + ",\n" + _HITS + "\nSELECT vacancy_id, specialist_id, round(sim, 6) AS sim, is_own FROM hits")

@@ -237,6 +237,13 @@ def vector_topk_whole(spark, d):
     return R.vector_topk(e.where("vec_id % 20 = 0"), e, 20, id="vec_id").withColumn("sim", F.round("sim", 6))
 
 
+@query("neighbour_join", """SELECT query_id, id, sim, CAST(rank AS INT) AS rank FROM (SELECT query_id, id, greatest(0.0, least(1.0, round(sim, 6))) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM
+ (SELECT q.vec_id AS query_id, t.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])) AS sim FROM embeddings q CROSS JOIN embeddings t WHERE q.vec_id % 20 = 0) p) r WHERE rank <= 20""")
+def neighbour_join(spark, d):
+    e = table(spark, d, "embeddings")
+    return R.neighbour_join(e.where("vec_id % 20 = 0"), e, 20, id="vec_id").withColumn("sim", F.round("sim", 6))
+
+
 _HIT = "CAST(o_custkey % 300 AS BIGINT) AS id, CAST(o_orderkey % 97 AS DOUBLE) / 97 AS sim, o_orderkey AS nr"
 
 
