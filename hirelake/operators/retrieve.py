@@ -218,3 +218,27 @@ def neighbour_join(queries: DataFrame, table: DataFrame, k: int, id: str = "id",
         count |= {"all": q.count() * t.count(), "first": pairs.where("first").count(), "then": rest.count()}
     out = hits.unionByName(compared(rest)) if rest.limit(1).count() else hits
     return _ranked(out.select("query_id", "id", "sim"), k)
+
+
+def reached(rows: DataFrame, points: DataFrame, id: str = "id", vector: str = "embedding") -> DataFrame:
+    """id of the rows (id, vector, least) to which one of the given points, a set small enough to be broadcast, has a cosine of ``least`` or more."""
+    spark = rows.sparkSession
+    by_size: dict[int, list] = {}
+    for r in points.where(F.col(vector).isNotNull()).select(vector).collect():
+        if any(r[0]):
+            by_size.setdefault(len(r[0]), []).append(r[0])
+    shared = spark.sparkContext.broadcast({n: np.array(v, np.float64) / np.linalg.norm(np.array(v, np.float64), axis=1, keepdims=True) for n, v in by_size.items()})
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least = b.column(2).to_numpy(zero_copy_only=False)
+            place = pa.array(np.arange(b.num_rows))
+            for n, units in shared.value.items():
+                at, flat = _units(place, b.column(1), n)
+                step = max(1, CELLS // len(units))
+                for lo in range(0, len(at), step):
+                    some = at[lo : lo + step]
+                    hit = some[np.clip((flat[lo : lo + step] @ units.T).max(axis=1), 0, 1) >= least[some] - NEAR]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit))], ["id"])
+
+    return rows.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col("least").cast("double").alias("least")).mapInArrow(over, "id long")

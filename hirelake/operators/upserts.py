@@ -5,6 +5,8 @@ A rule per column says what a row that is in both keeps. ``merge`` reduces a bat
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +29,29 @@ def last_per_key(batch: DataFrame, key: list[str], order: list[str]) -> DataFram
 LAST = ("edited_at", "updated_at", "message_date", "created_at", "position", "id")
 
 
+def last_of_each(batch: DataFrame, key: list[str], order: list[str] | None = None, own: bool = False) -> DataFrame:
+    """The batch with its last row of each key. A key with a null in it equals no other, so such rows all stay. own: with the column ``_own`` of _numbered."""
+    values = [c for c in batch.columns if c not in key]
+    newest = F.struct(*[F.col(c) for c in (order or [c for c in LAST if c in values])], F.xxhash64(F.to_json(F.struct(*values)) if values else F.lit(0)))
+    rows = _numbered(batch, key).groupBy(*[F.col(k).alias(f"j_{k}") for k in key], "_own").agg(F.max_by(F.struct(*values) if values else F.struct(F.lit(0).alias("_none")), newest).alias("n"))
+    return rows.select(*[F.col(f"j_{k}").alias(k) for k in key], *[F.col("n")[c].alias(c) for c in values], *(["_own"] if own else []))
+
+
+def _numbered(rows: DataFrame, key: list[str]) -> DataFrame:
+    """With ``_own``: 0, but a number of its own for each row that lacks a part of the key, so that such rows meet no others and are dealt evenly."""
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    return rows.withColumn("_own", F.when(whole, F.lit(0).cast("long")).otherwise(1 + F.monotonically_increasing_id()))
+
+
 def merge(old: DataFrame, batch: DataFrame, key: list[str], rules: dict[str, str], default: str = "new", insert: dict[str, Column] | None = None, order: list[str] | None = None) -> DataFrame:
     """The new snapshot, with the columns of old. insert: values that only new rows get; columns the batch lacks stay as they are. order: what makes a row
-    of the batch the last of its key (by default LAST); of rows alike in it the one with the greatest hash is taken, so that a rerun takes the same. The
-    reduction and the join are dealt by the same key, so the batch is shuffled once. Rows with a null in the key match nothing and are inserted."""
+    of the batch the last of its key (by default LAST); of rows alike in it the one with the greatest hash is taken, so that a rerun takes the same. Rows
+    with a null in the key match nothing and are all inserted."""
     columns = [c for c in old.columns if c not in key]
-    o = old.select(*[F.col(k).alias(f"k_{k}") for k in key], F.struct(*columns).alias("o"), F.lit(True).alias("in_o"))
+    o = _numbered(old, key).select(*[F.col(k).alias(f"k_{k}") for k in key], F.col("_own").alias("k_own"), F.struct(*columns).alias("o"), F.lit(True).alias("in_o"))
     values = [c for c in batch.columns if c not in key]
-    newest = F.struct(*[F.col(c) for c in (order or [c for c in LAST if c in values])], F.xxhash64(F.to_json(F.struct(*values)) if values else F.lit(0)))
-    n = batch.groupBy(*[F.col(k).alias(f"j_{k}") for k in key]).agg(F.max_by(F.struct(*values), newest).alias("n")).withColumn("in_n", F.lit(True))
-    both = o.join(n, [F.col(f"k_{k}") == F.col(f"j_{k}") for k in key], "full_outer")
+    n = last_of_each(batch, key, order, own=True).select(*[F.col(k).alias(f"j_{k}") for k in key], F.col("_own").alias("j_own"), F.struct(*values).alias("n"), F.lit(True).alias("in_n"))
+    both = o.join(n, [F.col(f"k_{k}") == F.col(f"j_{k}") for k in [*key, "own"]], "full_outer")
     out = [F.coalesce(f"k_{k}", f"j_{k}").alias(k) for k in key]
     kinds = dict(old.dtypes)
     for c in columns:
@@ -173,6 +188,8 @@ def relink(sources: DataFrame, rebuilt: DataFrame) -> DataFrame:
 
 
 def link_entities(sources: DataFrame, links: DataFrame) -> DataFrame:
-    """(entity_type, entity_id) of the links (source_id, entity_type, entity_id) put on their source rows."""
-    new = links.select(F.col("source_id").alias("id"), F.col("entity_type").alias("_t"), F.col("entity_id").alias("_e"))
+    """(entity_type, entity_id) of the links (source_id, entity_type, entity_id) put on their source rows; of several links of a source the one with the
+    greatest entity id, then type."""
+    last = F.max(F.struct(F.col("entity_id").alias("_e"), F.col("entity_type").alias("_t"))).alias("l")
+    new = links.groupBy(F.col("source_id").alias("id")).agg(last).select("id", "l.*")
     return sources.join(new, "id", "left").withColumns({"entity_type": F.coalesce("_t", "entity_type"), "entity_id": F.coalesce("_e", "entity_id")}).select(sources.columns)

@@ -22,15 +22,37 @@ def own_hits(specialists: DataFrame, registry: DataFrame, as_of: str, url: str |
     return own_bench(active(specialists, as_of), registry, url).where("is_own_bench_source")
 
 
-def specialist_hits(vacancies: DataFrame, specialists: DataFrame, registry: DataFrame, as_of: str, k: int = 20, cap: int = 100, url: str | None = None) -> DataFrame:
-    """vacancy_id, specialist_id, sim, is_own: the k nearest specialists of each active vacancy with a vector, united with the newest max(k, cap) of the own
-    bench, a specialist once with the greater similarity."""
+def newest_bench(specialists: DataFrame, registry: DataFrame, as_of: str, most: int, url: str | None = None) -> DataFrame:
+    """The ``most`` newest of the own bench."""
+    return own_hits(specialists, registry, as_of, url).orderBy(F.desc("updated_at"), F.desc("id")).limit(most)
+
+
+def near_specialists(vacancies: DataFrame, specialists: DataFrame, as_of: str, k: int) -> DataFrame:
+    """vacancy_id, specialist_id, sim: the k nearest specialists of each active vacancy with a vector."""
     near = R.neighbour_join(embedded_active(vacancies, as_of), embedded_active(specialists, as_of), k)
-    near = near.select(F.col("query_id").alias("vacancy_id"), F.col("id").alias("specialist_id"), "sim", F.lit(False).alias("is_own"))
-    bench = own_hits(specialists, registry, as_of, url).orderBy(F.desc("updated_at"), F.desc("id")).limit(max(k, cap)).select(F.col("id").alias("specialist_id"))
+    return near.select(F.col("query_id").alias("vacancy_id"), F.col("id").alias("specialist_id"), "sim")
+
+
+def with_own_bench(near: DataFrame, vacancies: DataFrame, specialists: DataFrame, registry: DataFrame, as_of: str, most: int, url: str | None = None) -> DataFrame:
+    """vacancy_id, specialist_id, sim, is_own: near united with the newest ``most`` of the own bench, a specialist once with the greater similarity."""
+    bench = newest_bench(specialists, registry, as_of, most, url).select(F.col("id").alias("specialist_id"))
     ids = active(vacancies, as_of).select(F.col("id").alias("vacancy_id"))
-    both = near.unionByName(ids.crossJoin(F.broadcast(bench)).withColumns({"sim": F.lit(0.0), "is_own": F.lit(True)}))  # at most max(k, cap) rows on the right
-    return both.groupBy("vacancy_id", "specialist_id").agg(F.max("sim").alias("sim"), F.bool_or("is_own").alias("is_own"))
+    own = ids.crossJoin(F.broadcast(bench)).withColumns({"sim": F.lit(0.0), "is_own": F.lit(True)})  # at most ``most`` rows on the right
+    return near.withColumn("is_own", F.lit(False)).unionByName(own).groupBy("vacancy_id", "specialist_id").agg(F.max("sim").alias("sim"), F.bool_or("is_own").alias("is_own"))
+
+
+def specialist_hits(vacancies: DataFrame, specialists: DataFrame, registry: DataFrame, as_of: str, k: int = 20, cap: int = 100, url: str | None = None) -> DataFrame:
+    """vacancy_id, specialist_id, sim, is_own: the k nearest specialists of each active vacancy with a vector, united with the newest max(k, cap) of the own bench."""
+    return with_own_bench(near_specialists(vacancies, specialists, as_of, k), vacancies, specialists, registry, as_of, max(k, cap), url)
+
+
+def reverse_near(vacancies: DataFrame, specialists: DataFrame, near: DataFrame, as_of: str, k: int) -> DataFrame:
+    """vacancy_id of the active vacancies that would have one of the given (few) specialists among their k nearest: those that have fewer than k so far, and
+    those to which one is at least as near as the k-th of ``near``. One pass over the vacancies with the specialists' vectors."""
+    last = near.groupBy(F.col("vacancy_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("least"))
+    asked = embedded_active(vacancies, as_of).select("id", "embedding").join(last, "id", "left")
+    bound = asked.select("id", "embedding", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(-1.0)).alias("least"))
+    return R.reached(bound, embedded_active(specialists, as_of)).withColumnRenamed("id", "vacancy_id")
 
 
 def vacancy_hits(specialists: DataFrame, vacancies: DataFrame, as_of: str, k: int = 20) -> DataFrame:
@@ -54,7 +76,11 @@ PARTS = ("secondary_score", "grade_score", "rate_score", "location_score", "sema
 
 def match_specialists(vacancies: DataFrame, specialists: DataFrame, registry: DataFrame, as_of: str, k: int = 50, best: int = 20, cap: int = 100, url: str | None = None) -> DataFrame:
     """vacancy_id, specialist_id, the scores, rank: the ``best`` of what is retrieved for each vacancy."""
-    hits = cut(specialist_hits(vacancies, specialists, registry, as_of, k, cap, url))
+    return match_hits(cut(specialist_hits(vacancies, specialists, registry, as_of, k, cap, url)), vacancies, specialists, as_of, best)
+
+
+def match_hits(hits: DataFrame, vacancies: DataFrame, specialists: DataFrame, as_of: str, best: int) -> DataFrame:
+    """The ``best`` of the hits of each vacancy, scored and ranked."""
     out = P.ranked(scored_hits(hits, vacancies, specialists, as_of), P.specialist_order(), best)
     return out.select(F.col("v.id").alias("vacancy_id"), F.col("s.id").alias("specialist_id"), *PARTS)
 

@@ -1,11 +1,14 @@
 """The streaming jobs run as streams: late edits, batches that run again, watermarks, incremental matches; and the sinks."""
 
 import os
+import random
 
 import pytest
 
+from hirelake.operators import upserts as U
 from hirelake.plans import retrieval as V
 from hirelake.sources import sinks
+from hirelake.sources.store import KeyedStore, merge_into_table
 from hirelake.streaming import jobs as S
 
 AS_OF = "2024-03-01 00:00:00"
@@ -46,12 +49,64 @@ def test_late_edits_and_batches_that_run_again(spark, tmp_path):
     late = [(1, "one, edited much later", 0, 1200, "source_edit"), (1, "one, edited", 0, 5, "source_edit")]
     put(spark, source, late)
     go()
-    read = lambda n: {r.message_id: (r.raw_text, r.message_date.hour * 60 + r.message_date.minute) for r in spark.read.parquet(f"{out}/batch-{n}").collect()}
+    store = KeyedStore(spark, out, KEPT, ["channel_id", "message_id"])
+    read = lambda: {r.message_id: (r.raw_text, r.message_date.hour * 60 + r.message_date.minute) for r in store.read().collect()}
     expected = {1: ("one, edited much later", 0), 2: ("two", 1), 3: ("three", 900)}
-    assert read(2) == expected
+    assert read() == expected
     run(messages(spark, late), 2)  # the last batch once more, as after a failure
-    assert read(2) == expected
-    assert sorted(x for x in os.listdir(out) if x.startswith("batch-")) == ["batch-1", "batch-2"]  # older snapshots are gone
+    assert read() == expected
+    assert len(store.versions()) == 2  # older states are gone
+    mark = os.fspath(tmp_path / "another mark")  # the whole stream again, from an empty checkpoint: nothing is lost
+    put(spark, source, [(4, "four", 2, None, "source")])
+    go()
+    assert read() == expected | {4: ("four", 2)}
+
+
+def test_a_store_rewrites_the_touched_buckets_only(spark, tmp_path):
+    path = os.fspath(tmp_path / "store")
+    store = KeyedStore(spark, path, "id long, v string", ["id"], 8)
+    put = lambda rows, **how: store.merge(spark.createDataFrame(rows, "id long, v string"), lambda o, n: U.merge(o, n, ["id"], {}), **how)
+    assert len(put([(k, "a") for k in range(100)], query="q", number=0)) == 8
+    before = store.manifest()
+    assert len(put([(7, "b")], query="q", number=1)) == 1
+    after = store.manifest()
+    assert sum(before["folders"][b] != after["folders"][b] for b in before["folders"]) == 1
+    assert put([(7, "c")], query="q", number=1) == [] and store.manifest() == after  # the same batch again
+    put([(200, "d")], query="other", number=0)  # another query counts for itself
+    assert {r.id: r.v for r in store.read().collect()} == {**{k: "a" for k in range(100)}, 7: "b", 200: "d"}
+    assert KeyedStore(spark, path, "id long, v string", ["id"], 99).buckets == 8
+    store.replace(spark.createDataFrame([(7,), (8,)], "id long"), spark.createDataFrame([(8, "z")], "id long, v string"))
+    assert {r.id: r.v for r in store.read().where("id < 10").collect()} == {**{k: "a" for k in range(10) if k != 7}, 8: "z"}
+
+
+def test_a_writer_that_dies_before_its_manifest_changes_nothing(spark, tmp_path, monkeypatch):
+    store = KeyedStore(spark, os.fspath(tmp_path / "store"), "id long, v string", ["id"], 4)
+    rule = lambda o, n: U.merge(o, n, ["id"], {})
+    rows = lambda v: spark.createDataFrame([(k, v) for k in range(20)], "id long, v string")
+    store.merge(rows("old"), rule, "q", 0)
+
+    def die(state):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", die)
+        with pytest.raises(OSError):
+            store.merge(rows("new"), rule, "q", 1)
+    assert {r.v for r in store.read().collect()} == {"old"} and store.read().count() == 20
+    store.merge(rows("new"), rule, "q", 1)
+    assert {r.v for r in store.read().collect()} == {"new"}
+    named = {f.split("/")[0] for f in store.manifest()["folders"].values()}
+    assert named < set(store._names("data")) and len(store._names("data")) == 2  # the dead writer's folder went with the next commit
+    state = store.manifest()
+    with pytest.raises(Exception, match="exist"):  # another writer was first
+        store._commit(state)
+
+
+def test_table_without_row_level_operations_says_so(spark):
+    spark.sql("CREATE TABLE IF NOT EXISTS plain_rows (id BIGINT, v STRING) USING parquet")
+    with pytest.raises(Exception, match="(?i)merge|row-level"):
+        merge_into_table("plain_rows", spark.createDataFrame([(1, "a")], "id long, v string"), ["id"], {})
+    spark.sql("DROP TABLE plain_rows")
 
 
 def test_dedupe_within_the_watermark(spark, tmp_path):
@@ -87,15 +142,36 @@ def test_changed_vacancies_are_matched_again(spark, tmp_path):
     out = os.fspath(tmp_path / "out")
     run = S.match_changed(out, people, registry, AS_OF, 4)
     run(spark.createDataFrame([entity(1, ["Python"], [1.0, 0.0]), entity(2, ["Go"], [1.0, 0.9])], ENTITY), 0)
-    read = lambda n: {(r.vacancy_id, r.specialist_id): r.score for r in spark.read.parquet(f"{out}/batch-{n}").collect()}
-    first = read(0)
+    read = lambda: {(r.vacancy_id, r.specialist_id): r.score for r in KeyedStore(spark, out, S.MATCHES, ["vacancy_id"]).read().collect()}
+    first = read()
     assert {s for v, s in first if v == 1} == {1, 3, 50} and {s for v, s in first if v == 2} == {6, 8}
     assert first[1, 1] > first[1, 50]  # the similarity counts
     changed = spark.createDataFrame([entity(1, ["Go"], [1.0, 0.0]), entity(2, ["Rust"], [1.0, 0.0])], ENTITY)
     run(changed, 1)
-    assert {k for k in read(1)} == {(1, 0), (1, 2)}
+    assert {k for k in read()} == {(1, 0), (1, 2)}
     run(changed, 1)
-    assert {k for k in read(1)} == {(1, 0), (1, 2)}
+    assert {k for k in read()} == {(1, 0), (1, 2)}
+
+
+def test_matches_follow_changes_of_both_sides(spark, tmp_path):
+    rng = random.Random(3)
+    registry = spark.createDataFrame([("k", 103, True, "u"), ("l", 104, True, "u")], "registry_key string, specialist_id long, is_active boolean, source_url string")
+    changes = S.Matching(spark, os.fspath(tmp_path / "m"), ENTITY, registry, AS_OF, k=3, best=4, cap=2, buckets=4)
+    sides = {"vacancies": {}, "specialists": {}}
+    some = lambda i: entity(i, [rng.choice(["Python", "Go"])], [1.0, rng.random()] if rng.random() < 0.9 else None, status="hidden" if rng.random() < 0.2 else "active")
+    built = []
+    rebuild = changes._rebuild
+    changes._rebuild = lambda ids, number: (built.append(ids.distinct().count()), rebuild(ids, number))
+    for step, (kind, ids) in enumerate([("specialists", range(100, 112)), ("vacancies", range(12)), ("specialists", [105, 106]), ("vacancies", [3, 20]), ("specialists", [103]), ("specialists", [130, 111])]):
+        batch = [some(i) for i in ids]
+        sides[kind] |= {r[0]: r for r in batch}
+        getattr(changes, kind)(spark.createDataFrame(batch, ENTITY), step)
+        if sides["vacancies"] and step > 1:
+            v, s = (spark.createDataFrame(list(x.values()), ENTITY) for x in sides.values())
+            want = V.match_specialists(v, s, registry, AS_OF, 3, 4, 3)
+            read = lambda df: sorted((r.vacancy_id, r.specialist_id, r.score, r["rank"]) for r in df.collect())
+            assert read(changes.read()) == read(want)
+    assert built[2] < 12 and built[3] == 2 and built[4] == 13  # some vacancies, the two that changed, and all after the own bench changed
 
 
 def test_retrieved_matches_pass_the_gates_and_are_few(spark):
@@ -148,3 +224,13 @@ def test_entities_are_read_with_their_schema(spark, tmp_path):
     spark.sql("SELECT CAST(1 AS BIGINT) AS id, array('Go') AS stack, array(1.5F) AS embedding, 'x' AS more").write.parquet(str(tmp_path / "v"))
     rows = read_entities(spark, "vacancies", path=str(tmp_path / "v"))
     assert rows.columns == [c.split(" ")[0] for c in SCHEMAS["vacancies"].split(", ")] and rows.first().stack == ["Go"] and rows.first().role is None
+
+
+def test_rows_without_a_whole_key_and_repeated_links_stay(spark):
+    old = spark.createDataFrame([(1, 1, "a"), (1, None, "b")], "c long, m long, t string")
+    batch = spark.createDataFrame([(1, 1, "n"), (1, None, "x"), (1, None, "y"), (None, None, "z")], old.schema)
+    got = sorted(str(tuple(r)) for r in U.merge(old, batch, ["c", "m"], {}).collect())
+    assert got == sorted(map(str, [(1, 1, "n"), (1, None, "b"), (1, None, "x"), (1, None, "y"), (None, None, "z")]))
+    sources = spark.createDataFrame([(1, None, None), (2, "vacancy", 9)], "id long, entity_type string, entity_id long")
+    links = spark.createDataFrame([(1, "vacancy", 5), (1, "specialist", 7)], "source_id long, entity_type string, entity_id long")
+    assert sorted(map(tuple, U.link_entities(sources, links).collect())) == [(1, "specialist", 7), (2, "vacancy", 9)]
