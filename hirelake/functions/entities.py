@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text as T
 from .matching import IU, _c, match_token, strip, urlish
 
 ITEMS = "items array<struct<role:string,stack:array<string>,grade:string,rate_min:int,rate_max:int,currency:string,company:string,location:string,description:string,is_closed:boolean>>"
 
 
+# ---- fixed values ----
+LABELS = {"manager": "Менеджер: ", "file": "Ссылка на файл: ", "sheet": "Лист: ", "table": "Таблица: ", "index": "Индекс: ", "archive": "Ссылка на архив-пост: ", "message": "Ссылка на сообщение: "}
+# ---- end of fixed values ----
+
+
 def model_items(x: Column | str, schema: str = ITEMS) -> Column:
     """The items of a model's answer: what stands between the first and the last brace, parsed; a missing closing brace is added; null if it is no object."""
     t = F.coalesce(_c(x), F.lit(""))
@@ -124,6 +130,21 @@ def source_display(**parts: Column) -> Column:
     return F.concat_ws("; ", *[F.when(F.coalesce(strip(v), F.lit("")) != "", F.concat(F.lit(f"{k}: "), strip(v))) for k, v in parts.items()])
 
 
+def provenance(manager: Column | str, kind: Column | str, message_url: Column | str, external_url: Column | str, locator: Column | str, index: Column | str, sheet: Column | str, table: Column | str) -> Column:
+    """Where an entity comes from, in one of four forms: a file (with sheet and table, if any, and the place in it), a post of the archive with the entity's
+    number, a message, or the manager alone. The place is the number at the locator's end, else the index, else a dash."""
+    who = F.concat(F.lit(LABELS["manager"]), _c(manager))
+    given = lambda c: F.coalesce(_c(c), F.lit("")) != ""
+    labelled = lambda label, c: F.when(given(c), F.concat(F.lit(LABELS[label]), _c(c)))
+    number = _c(index).cast("string")
+    at = lambda c: F.concat(F.lit(LABELS["index"]), T.source_index(c, number))
+    page = F.nullif(_c(table).cast("int"), F.lit(0)).cast("string")
+    file = F.concat_ws("; ", who, labelled("file", external_url), labelled("sheet", sheet), labelled("table", page), at(locator))
+    post = F.concat_ws("; ", who, labelled("archive", message_url), at(F.lit(None).cast("string")))
+    message = F.concat_ws("; ", who, labelled("message", message_url))
+    return F.when(given(external_url), file).when((_c(kind) == "archive_post") & given(message_url), post).otherwise(message)
+
+
 def source_meta(base: Column | str, **parts: Column) -> Column:
     """The base (map of text) with the parts that are not blank put over it, as JSON with the keys in order."""
     more = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), strip(v).alias("value")) for k, v in parts.items()]), lambda e: F.coalesce(e["value"], F.lit("")) != "")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .matching import IU, _c, distinct_by, strip
 
@@ -245,13 +248,18 @@ def parse_kv_lines(x: Column | str) -> Column:
     return F.map_from_entries(last)
 
 
+@F.pandas_udf(StringType())
+def unescape(texts: pd.Series) -> pd.Series:
+    """All named and numbered HTML entities; Spark has no function for them."""
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def html_to_text(x: Column | str) -> Column:
-    """Text of a page: scripts and styles dropped, breaks and paragraph ends as line ends, other tags as blanks, the usual entities unescaped."""
+    """Text of a page: scripts and styles dropped, breaks and paragraph ends as line ends, other tags as blanks, all entities unescaped."""
     t = F.coalesce(_c(x), F.lit(""))
     for pattern, by in ((r"(?is)<(script|style)\b.*?</\1>", " "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</p>", "\n"), (r"(?s)<[^>]+>", " ")):
         t = F.regexp_replace(t, pattern, by)
-    for entity, by in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(by))
+    t = F.coalesce(unescape(F.when(F.contains(t, F.lit("&")), t)), t)  # only texts with entities pass the helper
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t ]+", " "), r"\n{3,}", "\n\n")
     return strip(t)
 
@@ -299,6 +307,3 @@ def source_index(locator: Column | str, fallback: Column | str) -> Column:
     n = lambda c: F.nullif(F.regexp_extract(F.coalesce(_c(c), F.lit("")), r"(\d+)\s*$", 1), F.lit(""))
     return F.coalesce(n(locator), n(fallback), F.lit("-"))
 
-
-def distinct_tokens(values: Column, key) -> Column:
-    return distinct_by(values, key)

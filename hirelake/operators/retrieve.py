@@ -181,11 +181,24 @@ def block_pairs(q: DataFrame, t: DataFrame, k: int) -> DataFrame:
 
 
 def _hits(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of each query over the consecutive rows that have the same block of queries and slab."""
+
+    def found(at: tuple, names: np.ndarray, top: tuple) -> pa.RecordBatch:
+        place, id_, sim = top
+        return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(place), pa.string()), pa.array(place), pa.array(names[place]), pa.array(id_), pa.array(sim)], ["q", "place", "query_id", "id", "sim"])
+
+    at, names, top = None, None, None
     for b in batches:
-        for block, n, q_ids, q_v, t_ids, t_v in zip(*[c.to_pylist() for c in b.columns]):
-            names, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(t_ids, np.int64)
-            place, id_, sim = _best(np.frombuffer(q_v, np.float64).reshape(-1, n), np.frombuffer(t_v, np.float64).reshape(-1, n), ids, k)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(place), pa.string()), pa.array(place), pa.array(names[place]), pa.array(id_), pa.array(sim)], ["q", "place", "query_id", "id", "sim"])
+        for q, slab, n, q_ids, q_v, t_ids, t_v in zip(*[c.to_pylist() for c in b.columns]):
+            if at != (q, slab):
+                if at:
+                    yield found(at, names, top)
+                at, names, top = (q, slab), np.frombuffer(q_ids, np.int64), None
+                units = np.frombuffer(q_v, np.float64).reshape(-1, n)
+            new = _best(units, np.frombuffer(t_v, np.float64).reshape(-1, n), np.frombuffer(t_ids, np.int64), k)
+            top = new if top is None else _first([np.concatenate(x) for x in zip(top, new)], k)
+    if at:
+        yield found(at, names, top)
 
 
 def neighbour_join(queries: DataFrame, table: DataFrame, k: int, id: str = "id", vector: str = "embedding", count: dict | None = None) -> DataFrame:
@@ -193,8 +206,8 @@ def neighbour_join(queries: DataFrame, table: DataFrame, k: int, id: str = "id",
 
     Queries and table are gathered around a few centers and cut into blocks. Pairs of blocks are compared in two waves: first those that hold k rows for
     every query of a block, which bounds the distance of its k-th neighbour, then the pairs whose least distance is within this bound; all others are skipped,
-    so the result is exact. The pairs are joined with the blocks' bytes and dealt to tasks; a pair yields at most k rows a query, and one window picks the k
-    best of all. No vector passes the driver but a sample of SAMPLE rows. ``count`` receives the numbers of pairs: all, first, then."""
+    so the result is exact. The pairs are joined with the blocks' bytes and dealt by block of queries; a task yields at most k rows a query, and one window
+    picks the k best of all. No vector passes the driver but a sample of SAMPLE rows. ``count`` receives the numbers of pairs: all, first, then."""
     spark = table.sparkSession
     narrow = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows = narrow(table)
@@ -202,10 +215,16 @@ def neighbour_join(queries: DataFrame, table: DataFrame, k: int, id: str = "id",
     t, q = _blocks(rows, centers, False), _blocks(narrow(queries), centers, True)
     pairs = cut(block_pairs(q, t, k))
 
+    # blocks of queries are dealt to several tasks each as long as they are fewer than the cluster's cores
+    slabs = max(1, -(-spark.sparkContext.defaultParallelism // max(1, q.count())))
+    q_rows = q.select(F.col("block").alias("q"), "dim", F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"))
+    t_rows = t.select(F.col("block").alias("t"), F.col("ids").alias("t_ids"), F.col("v").alias("t_v"))
+
     def compared(some: DataFrame) -> DataFrame:
-        with_q = some.select("q", "t").join(q.select(F.col("block").alias("q"), "dim", F.col("ids").alias("q_ids"), F.col("v").alias("q_v")), "q")
-        both = with_q.join(t.select(F.col("block").alias("t"), F.col("ids").alias("t_ids"), F.col("v").alias("t_v")), "t")
-        return both.select("q", "dim", "q_ids", "q_v", "t_ids", "t_v").mapInArrow(partial(_hits, k=k), "q string, place long, query_id long, id long, sim double")
+        """The pairs with their bytes, by block of queries: a merge join leaves those of one block behind each other, so a task keeps k rows a query."""
+        with_t = some.select("q", F.pmod(F.xxhash64("t"), F.lit(slabs)).cast("int").alias("slab"), "t").join(t_rows, "t")
+        both = with_t.join(q_rows.hint("merge"), ["q", "slab"])
+        return both.select("q", "slab", "dim", "q_ids", "q_v", "t_ids", "t_v").mapInArrow(partial(_hits, k=k), "q string, place long, query_id long, id long, sim double")
 
     hits = cut(compared(pairs.where("first")))
     kth = hits.withColumn("n", F.row_number().over(Window.partitionBy("q", "place").orderBy(F.desc("sim")))).where(F.col("n") == k)

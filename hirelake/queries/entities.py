@@ -42,10 +42,19 @@ def entity_status(spark, d):
     return table(spark, d, "specialists").select("id", E.specialist_status(F.col("status") == "hired").alias("status"))
 
 
-@query("source_display", with_tables("SELECT id, 'chat: ' || chat_title || CASE WHEN sender_name IS NULL THEN '' ELSE '; author: ' || sender_name END || CASE WHEN message_url IS NULL THEN '' ELSE '; url: ' || message_url END AS display FROM sources", "sources"))
+_PLACED = "SELECT *, CASE WHEN id % 5 < 2 THEN 'https://files.example.com/' || id END AS file, CASE id % 3 WHEN 0 THEN 'row:' || id WHEN 1 THEN 'title' END AS place, CASE WHEN id % 7 = 0 THEN NULL ELSE id % 100 END AS nr, CASE WHEN id % 2 = 0 THEN 'archive_post' ELSE 'message' END AS kind, CASE WHEN id % 4 = 0 THEN 'Bench' END AS sheet, CAST(id % 6 AS INT) AS tab FROM sources"
+_AT = "'; Индекс: ' || coalesce({} CAST(nr AS VARCHAR), '-')"
+
+
+@query("source_display", with_tables(f"""SELECT id, 'Менеджер: ' || chat_title || CASE WHEN file IS NOT NULL THEN '; Ссылка на файл: ' || file || CASE WHEN sheet IS NULL THEN '' ELSE '; Лист: ' || sheet END || CASE WHEN tab = 0 THEN '' ELSE '; Таблица: ' || tab END || {_AT.format("CASE WHEN place LIKE 'row:%' THEN substr(place, 5) END,")}
+ WHEN message_url IS NULL THEN '' WHEN kind = 'archive_post' THEN '; Ссылка на архив-пост: ' || message_url || {_AT.format("")} ELSE '; Ссылка на сообщение: ' || message_url END AS display FROM ({_PLACED}) s""", "sources"))
 def source_display(spark, d):
-    s = table(spark, d, "sources")
-    return s.select("id", E.source_display(chat=F.col("chat_title"), author=F.col("sender_name"), url=F.col("message_url")).alias("display"))
+    i = F.col("id")
+    s = table(spark, d, "sources").select(
+        "id", "chat_title", "message_url", F.when(i % 5 < 2, F.concat(F.lit("https://files.example.com/"), i)).alias("file"), F.when(i % 3 == 0, F.concat(F.lit("row:"), i)).when(i % 3 == 1, "title").alias("place"),
+        F.when(i % 7 != 0, i % 100).alias("nr"), F.when(i % 2 == 0, "archive_post").otherwise("message").alias("kind"), F.when(i % 4 == 0, "Bench").alias("sheet"), (i % 6).alias("tab"),
+    )
+    return s.select("id", E.provenance("chat_title", "kind", "message_url", "file", "place", "nr", "sheet", "tab").alias("display"))
 
 
 @query("parse_source_display", with_tables("SELECT id, chat_title AS chat, sender_name AS author, message_url AS url FROM sources", "sources"))

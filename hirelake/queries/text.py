@@ -64,13 +64,18 @@ def extract_urls(spark, d):
 _H = "regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g')"
 for _p, _by in (("(?i)<br\\s*/?>", "chr(10)"), ("(?i)</p>", "chr(10)"), ("(?s)<[^>]+>", "' '")):
     _H = f"regexp_replace({_H}, '{_p}', {_by}, 'g')"
-for _p, _by in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+for _p, _by in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&amp;", "'&'")):
     _H = f"replace({_H}, '{_p}', {_by})"
 
 
-@query("html_to_text", f"SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_H}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages")
+#: Named, decimal and hexadecimal entities and what they stand for.
+_NAMED = "&eacute;|&mdash;|&#1087;|&#x44F;|&copy;|&hellip;|&laquo;ok&raquo;|&unknown;|&amp;lt;"
+_MEANT = "é|—|п|я|©|…|«ok»|&unknown;|&lt;"
+
+
+@query("html_to_text", f"SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_H}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+', '', 'g') || ' {_MEANT} ' || page_id AS text FROM (SELECT page_id, html || 'x' AS html FROM pages) p")
 def html_to_text(spark, d):
-    return table(spark, d, "pages").select("page_id", T.html_to_text("html").alias("text"))
+    return table(spark, d, "pages").select("page_id", T.html_to_text(F.concat(F.col("html"), F.lit(f"x {_NAMED} "), F.col("page_id"))).alias("text"))
 
 
 @query("message_url", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'https://t.me/u' || user_id || '/' || event_id WHEN user_id % 3 = 1 THEN 'https://t.me/c/' || user_id || '/' || CASE WHEN event_id % 2 = 0 THEN '7/' ELSE '' END || event_id END AS url FROM events")
@@ -141,6 +146,19 @@ def hybrid_decision(spark, d):
     return rows.select("doc_id", T.hybrid_decision("p", F.lit(None).cast("string"), F.col("label")).alias("x")).select("doc_id", "x.*")
 
 
+_BROKEN = [w.encode().decode(code) for w, code in (("Привет", "latin1"), ("привет", "cp1251"))]
+
+
+@query("repair_nested", "SELECT o_orderkey AS id, 'Привет ' || o_orderkey AS a, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'привет' END AS b, 'https://x.example.com/ÐÑ' AS c, o_orderstatus AS d, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END AS n FROM orders")
+def repair_nested(spark, d):
+    i = F.col("o_orderkey")
+    deep = F.array(F.struct(F.create_map(F.lit("k"), F.concat(F.lit(_BROKEN[0] + " "), i)).alias("m"), F.when(i % 3 != 0, F.lit(_BROKEN[1])).alias("b"), i.alias("number")))
+    more = F.when(i % 2 == 0, F.array(F.array(F.col("o_orderstatus"), F.lit(None).cast("string"))))
+    rows = table(spark, d, "orders").select(i.alias("id"), deep.alias("deep"), F.lit("https://x.example.com/ÐÑ").alias("c"), F.col("o_orderstatus").alias("d"), more.alias("more"))
+    one = C.repair_all(rows, "deep", "c", "d", "more")
+    return one.select("id", F.col("deep")[0]["m"]["k"].alias("a"), F.col("deep")[0]["b"].alias("b"), "c", "d", F.coalesce(F.size(F.col("more")[0]), F.lit(0)).alias("n"))
+
+
 @query("repair_mojibake")
 def repair_mojibake(spark, d):
     return table(spark, d, "documents").select("doc_id", C.repair_mojibake("text").alias("text"))

@@ -1,6 +1,7 @@
 """The rules of the domain on small examples."""
 
 import os
+import random
 import zipfile
 
 import pytest
@@ -17,6 +18,7 @@ from hirelake.operators import retrieve as R
 from hirelake.operators import upserts as U
 from hirelake.plans import matching as P
 from hirelake.sources import files
+from hirelake.sources.store import KeyedStore
 from hirelake.streaming import jobs as S
 
 AS_OF = "2024-03-01 00:00:00"
@@ -231,7 +233,7 @@ def test_streamed_messages_equal_the_batch(spark, tmp_path):
     stream = S.read_messages(spark, source)
     q = stream.writeStream.foreachBatch(S.merge_into(out, kept)).option("checkpointLocation", mark).trigger(availableNow=True).start()
     q.awaitTermination(60)
-    got = {r.message_id: r.raw_text for r in spark.read.parquet(f"{out}/batch-0").collect()}
+    got = {r.message_id: r.raw_text for r in KeyedStore(spark, out, kept, ["channel_id", "message_id"]).read().collect()}
     assert got == {k: f"text {max(j for j in range(12) if j % 5 == k)}" for k in range(5)}
 
 
@@ -243,7 +245,77 @@ def test_entry_registers_all(spark):
 def test_cleaning_and_companies(spark):
     from hirelake.functions import cleaning, companies
 
-    assert cleaning.repaired("привет".encode().decode("cp1251", "ignore")) == "привет" and cleaning.repaired(None) is None
+    bad = "привет".encode().decode("cp1251", "ignore")
+    rows = spark.createDataFrame([(bad, [{"k": (bad, None)}, None]), (None, None), ("  ", []), ("see t.me/ÐÑ ", [{}]), ("ÐÐÐ", [{"a": ("plain", 3)}])], "t string, deep array<map<string, struct<s: string, n: int>>>")
+    assert [r.t for r in rows.select(cleaning.repair_mojibake("t").alias("t")).collect()] == ["привет", None, "", "see t.me/ÐÑ", ""]
+    got = cleaning.repair_all(rows).collect()
+    assert [r.t for r in got] == ["привет", None, "", "see t.me/ÐÑ", ""] and got[0].deep == [{"k": ("привет", None)}, None] and got[1].deep is None and got[4].deep == [{"a": ("plain", 3)}]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("\n ✅ Anna Kern - Java Developer, Senior / 5 years", ("Anna Kern", "Java Developer", "Senior")),
+    ("Ivan graphic designer", ("Ivan", "graphic designer", None)),
+    ("anna kern designer", (None, "designer", None)),
+    ("Auto QA lead", (None, "Auto QA", "lead")),
+    ("React", (None, "React", None)),
+    ("just some words", (None, "just some words", None)),
+    ("Senior", (None, None, "Senior")),
+    ("", (None, None, None)),
+    (None, (None, None, None)),
+])
+def test_first_line(spark, text, want):
+    from hirelake.functions import people
+
+    assert tuple(spark.createDataFrame([(text,)], "t string").select(people.first_line_fields("t").alias("f")).first().f) == want
+
+
+def test_nearest_by_blocks_equal_brute_force_and_skip_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    middle = rng.normal(size=(12, 8))
+    v = np.concatenate([middle[rng.integers(0, 12, 700)] + 0.05 * rng.normal(size=(700, 8)), np.repeat(rng.normal(size=(1, 8)), 150, 0)])
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(9999, None), (9998, [0.0] * 8), (9997, [1.0]), (9996, [2.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(5)
+    monkeypatch.setattr(R, "ROWS", 50)
+    count = {}
+    got = {(r.query_id, r["rank"]): r.id for r in R.neighbour_join(df, df, 4, count=count).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 12)
+    for q in range(len(v)):
+        assert [got[q, k + 1] for k in range(4)] == np.lexsort((np.arange(len(v)), -sims[q]))[:4].tolist()
+    assert (got[9997, 1], got[9996, 2], len(got)) == (9996, 9997, 4 * len(v) + 4)
+    assert count["first"] + count["then"] < count["all"] / 3
+    empty = df.where("id < 0")
+    assert R.neighbour_join(df, empty, 4).count() == 0 and R.neighbour_join(empty, df, 4).count() == 0
+
+
+def test_ranks_of_a_popular_label_score_few_pairs(spark, monkeypatch):
+    """Many entities of one label, whose texts all differ: the ranks are those of all pairs, of which few are scored."""
+    rng = random.Random(7)
+    kinds = "id long, role string, stack array<string>, grade string, rate_max int, rate_min int, location string, description string, status string, is_internal boolean, expires_at timestamp"
+
+    def entity(k):
+        rate = rng.choice([None, 2000, 2100, 2600, 3000])
+        return (k, "Python Developer", rng.sample(["Django", "Kafka", "Redis", "SQL", f"own{k}"], rng.randrange(4)), rng.choice(["Middle", "Senior", None]), rate, rate, rng.choice(["Remote", "Kazan", None]), f"about {k}", "active", rng.random() < 0.3, None)
+
+    v, s = (spark.createDataFrame([entity(k) for k in range(n)], kinds) for n in (60, 400))
+    made = []
+    score = P.score_pairs
+    monkeypatch.setattr(P, "score_pairs", lambda pairs, *a, **b: (made.append(pairs), score(pairs, *a, **b))[1])
+    got = sorted(map(tuple, P.rank_specialists(v, s, AS_OF, 5).select("vacancy_id", "rank", "specialist_id", "score").collect()))
+    few = [p.count() for p in made]
+    a, b = P.carried(v, "VACANCY", AS_OF), P.carried(s, "BENCH", AS_OF)
+    every = P.ranked(score(P.candidate_pairs(a, b)), P.specialist_order(), 5)
+    assert got == sorted(map(tuple, every.select("v.id", "rank", "s.id", "score").collect()))
+    assert P.candidate_pairs(a, b).count() > 5000
+    assert few[1] <= 60 * 5 * 5 + 60 * 5
+    back = sorted(map(tuple, P.rank_vacancies(s, v, AS_OF, 3).select("specialist_id", "rank", "vacancy_id", "score").collect()))
+    turned = P.ranked(score(P.candidate_pairs(a, b).select(F.col("s").alias("v"), F.col("v").alias("s")), "s"), P.vacancy_order(), 3)
+    assert back == sorted(map(tuple, turned.select("v.id", "rank", "s.id", "score").collect()))
+    summary = {r.vacancy_id: (r.n, r.best) for r in P.rank_summary(v, s, AS_OF).collect()}
+    plain = score(P.candidate_pairs(a, b)).groupBy("v.id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best")).collect()
+    assert summary == {r.id: (r.n, r.best) for r in plain}
     assert one(spark, cleaning.clean_message("a"), "Имя, [Feb 17, 2026 at 11:39 PM]:\n•  **Java** 🚀  5 €\n\n\n\nend") == "- Java 5 €\n\nend"
     rows = spark.createDataFrame([("команда сбера растёт",), ("customer - sberbank; срочно",), ("Компания: Лемана  Про, Москва",), (None,)], "t string")
     assert dict(companies.partner_counts(rows, "t").collect()) == {"Сбер": 2, "Лемана Про": 1}
