@@ -49,31 +49,59 @@ def lines(x: Column | str) -> Column:
     return F.split(F.coalesce(_c(x), F.lit("")), LINES)
 
 
+# ---- fixed values ----
+#: Spellings of a line, each with a sign that a line must hold (lower-cased) for the pattern to be tried.
+LINE_RULES = (
+    ("net", IU + r"\.?\s*net\b", "DotNet"), ("#", IU + r"\bC\s*#\b", "C#"), ("+", IU + r"\bmiddle\s*\+\b", "Middle+"), (",", r"(\d),(\d)", "$1.$2"),
+    ("/", IU + r"/(cv[_\-][A-Za-z0-9]+)\b", "CV_CODE: $1"), ("", r"(?U)\s{2,}", " "),
+)
+# ---- end of fixed values ----
+
+
+def _plain_line(x: Column) -> Column:
+    return F.replace(F.translate(strip(F.coalesce(x, F.lit(""))), "–—−", "---"), F.lit("₽"), F.lit(" RUB"))
+
+
 def normalize_bench_line(x: Column | str) -> Column:
-    t = F.replace(F.translate(strip(F.coalesce(_c(x), F.lit(""))), "–—−", "---"), F.lit("₽"), F.lit(" RUB"))
-    for pattern, by in (
-        (IU + r"\.?\s*net\b", "DotNet"), (IU + r"\bC\s*#\b", "C#"), (IU + r"\bmiddle\s*\+\b", "Middle+"), (r"(\d),(\d)", "$1.$2"),
-        (IU + r"/(cv[_\-][A-Za-z0-9]+)\b", "CV_CODE: $1"), (r"(?U)\s{2,}", " "),
-    ):
+    t = _plain_line(_c(x))
+    for _, pattern, by in LINE_RULES:
         t = F.regexp_replace(t, pattern, by)
     return strip(t)
 
 
-def vacancy_hint(x: Column | str) -> Column:
-    low = F.lower(_c(x))
+def normalize_bench_lines(x: Column) -> Column:
+    """An array's lines normalized, rule by rule: within a step a line is a variable, so nothing is worked out twice, and most lines pass most rules by."""
+    t = F.transform(x, _plain_line)
+    for sign, pattern, by in LINE_RULES:
+        t = F.transform(t, _tried(sign, pattern, by))
+    return F.transform(t, strip)
+
+
+def _tried(sign: str, pattern: str, by: str):
+    return lambda v: F.when(F.contains(F.lower(v), F.lit(sign)), F.regexp_replace(v, pattern, by)).otherwise(v)
+
+
+def _hinted(low: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(h)) for h in VACANCY_HINTS])
 
 
-def bench_signals(normalized: Column | str) -> Column:
-    """struct(confidence, vacancy_hint) of a normalized line: how much it looks like a specialist's card."""
-    t = _c(normalized)
-    hint = vacancy_hint(t)
+def vacancy_hint(x: Column | str) -> Column:
+    return _hinted(F.lower(_c(x)))
+
+
+def _confidence(t: Column, low: Column, hint: Column) -> Column:
     points = lambda cond, n: F.when(cond, n).otherwise(0.0)
-    low = F.lower(t)
     near = lambda *words: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])  # noqa: E731  # before an expression is tried, a word that it needs
     words = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""))
     score = points(near(*GRADE_PARTS) & has(t, GRADE), 0.20) + points(near("опыт") & has(t, EXPERIENCE), 0.25) + points(near("ставк", "rate") & has(t, RATE), 0.25) + points(near("cv") & has(t, CV), 0.25) - points(hint, 0.35) + points((words >= 4) & ~hint, 0.10)
-    return F.struct(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 10).alias("confidence"), hint.alias("vacancy_hint"))
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 10)
+
+
+def bench_signals(normalized: Column | str) -> Column:
+    """struct(confidence, vacancy_hint) of a normalized line: how much it looks like a specialist's card."""
+    t = _c(normalized)
+    hint = vacancy_hint(t)
+    return F.struct(_confidence(t, F.lower(t), hint).alias("confidence"), hint.alias("vacancy_hint"))
 
 
 def pre_classify(signals: Column | str) -> Column:
@@ -87,11 +115,14 @@ def pre_classify(signals: Column | str) -> Column:
 def with_bench_lines(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with ``out``: array of struct(idx, text) of the lines of texts that are lists of cards, else an empty one."""
     kept = df.columns
-    numbered = F.transform(lines(text), lambda v, i: F.struct((i + 1).alias("idx"), normalize_bench_line(F.regexp_replace(strip(v), r"(?U)^[\-•\d).\s]+", "")).alias("text")))
-    rows = df.select(*kept, F.filter(numbered, lambda s: s["text"] != "").alias("_full"))
-    judged = F.when(F.size("_full") >= 2, F.transform("_full", lambda s: F.struct(s["idx"].alias("idx"), s["text"].alias("text"), bench_signals(s["text"]).alias("p"))))
-    rows = rows.select(*kept, F.size("_full").alias("_n"), judged.alias("_j"))
-    rows = rows.select(*kept, "_n", F.filter("_j", lambda s: (s["p"]["confidence"] >= 0.55) & ~s["p"]["vacancy_hint"]).alias("_hits"))
+    bare = F.transform(lines(text), lambda v: F.regexp_replace(strip(v), r"(?U)^[\-•\d).\s]+", ""))
+    listed = F.regexp_like(F.coalesce(_c(text), F.lit("")), F.lit(LINES))  # other texts are one line
+    rows = df.select(*kept, F.when(listed, normalize_bench_lines(bare)).alias("_lines"))
+    full = F.filter(F.transform("_lines", lambda v, i: F.struct((i + 1).alias("idx"), v.alias("text"), F.lower(v).alias("low"))), lambda s: s["text"] != "")
+    rows = rows.select(*kept, F.coalesce(full, F.array().cast("array<struct<idx:int,text:string,low:string>>")).alias("_full"))
+    hinted = F.transform("_full", lambda s: F.struct(s["idx"].alias("idx"), s["text"].alias("text"), s["low"].alias("low"), _hinted(s["low"]).alias("hint")))
+    rows = rows.select(*kept, F.size("_full").alias("_n"), F.when(F.size("_full") >= 2, F.filter(hinted, lambda s: ~s["hint"])).alias("_j"))
+    rows = rows.select(*kept, "_n", F.filter("_j", lambda s: _confidence(s["text"], s["low"], F.lit(False)) >= 0.55).alias("_hits"))
     enough = (F.size("_hits") >= 2) & (F.size("_hits") >= F.floor(F.col("_n") * 0.6))
     found = F.transform("_hits", lambda s: F.struct(s["idx"].alias("idx"), s["text"].alias("text")))
     return rows.select(*kept, F.when(enough, found).otherwise(F.array().cast("array<struct<idx:int,text:string>>")).alias(out))

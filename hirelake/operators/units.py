@@ -13,6 +13,11 @@ TABLES = ("google_sheet", "direct_csv", "direct_xlsx")
 UNIT = ("text", "source_type", "external_url", "external_kind", "external_locator")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt evenly over the cluster: what follows costs far more for each text than moving it, and files may be few or uneven."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def external_text(text: Column, url: Column, kind: Column, row: Column, base: Column | None = None) -> Column:
     """An item's text under a head that tells where it is from; below the message's own text, if there is any."""
     head = F.concat(F.lit("External source kind: "), kind, F.lit("\nExternal source URL: "), url, F.lit("\n"), F.coalesce(F.concat(F.lit("Row: "), row.cast("string"), F.lit("\n")), F.lit("")), F.lit("\n"))
@@ -26,8 +31,10 @@ def external_text(text: Column, url: Column, kind: Column, row: Column, base: Co
 def expand_items(items: DataFrame, key: str) -> DataFrame:
     """items (key, item, kind, url, text, row_index) as units: lists of cards in other than tables are cut into lines, which count on from the item's row;
     other items are one unit. Adds local (place within the item) and the columns of UNIT."""
-    rows = with_bench_lines(items.select(key, "item", "kind", "url", "text", "row_index"), "text", "_cards")
-    rows = rows.select("*", F.explode_outer(F.when(~F.col("kind").isin(*TABLES), F.col("_cards"))).alias("_u"))
+    own = items.select(key, "item", "kind", "url", "text", "row_index")
+    table = F.coalesce(F.col("kind").isin(*TABLES), F.lit(False))
+    cut_up = with_bench_lines(spread(own.where(~table)), "text", "_cards").select(*own.columns, F.explode_outer("_cards").alias("_u"))
+    rows = cut_up.unionByName(own.where(table).withColumn("_u", F.lit(None).cast(cut_up.schema["_u"].dataType)))
     rows = rows.select("*", F.col("_u.idx").alias("_idx"), F.col("_u.text").alias("_line"))
     row = F.when(F.col("_idx").isNull(), F.col("row_index")).otherwise(F.coalesce(F.col("row_index") + F.col("_idx") - 1, F.col("_idx")))
     rows = rows.select(key, "item", F.coalesce("_idx", F.lit(0)).alias("local"), F.coalesce("_line", "text").alias("_t"), "url", "kind", row.alias("_row"))
@@ -39,7 +46,7 @@ def expand_items(items: DataFrame, key: str) -> DataFrame:
 
 def text_units(texts: DataFrame, key: str, whole: str = "telegram_message", split: str = "telegram_line_split") -> DataFrame:
     """(key, text) as units: the lines of a list of cards, else the text itself."""
-    rows = with_bench_lines(texts.select(key, "text"), "text", "_cards").select("*", F.explode_outer("_cards").alias("_u"))
+    rows = with_bench_lines(spread(texts.select(key, "text")), "text", "_cards").select("*", F.explode_outer("_cards").alias("_u"))
     rows = rows.select(key, "text", F.col("_u.idx").alias("_idx"), F.col("_u.text").alias("_line"))
     one, none = F.col("_idx").isNull(), F.lit(None).cast("string")
     return rows.select(

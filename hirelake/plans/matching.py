@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import matching as M
 from hirelake.operators.filters import active
+from hirelake.operators.units import spread
 from hirelake.session import cut
 
 #: What pairs carry of an entity; texts and vectors stay behind.
@@ -53,7 +54,7 @@ def features(entities: DataFrame, kind: str, legacy: bool = False) -> DataFrame:
 
 def carried(entities: DataFrame, kind: str, as_of: str, legacy: bool = False) -> DataFrame:
     """The features of the active entities, computed once and stored: many pairs read them."""
-    df = features(active(entities, as_of), kind, legacy)
+    df = features(spread(active(entities, as_of)), kind, legacy)
     if "is_internal" not in df.columns:
         df = df.withColumn("is_internal", F.lit(False))
     return cut(df.select(*CARRIED))
