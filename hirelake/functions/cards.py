@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hirelake.session import cut
+
 from .matching import _c, strip
 
+#: Words up to which a table of them is broadcast.
+FEW_WORDS = 200_000
+
 # ---- fixed values ----
 STOPWORDS = ("это", "для", "или", "как", "что", "где", "при", "без", "под", "над", "из", "на", "по", "до", "от", "вы", "мы", "they", "with", "from", "that", "this", "your", "have", "has", "the", "and", "опыт", "лет", "год", "года")
 PROFILES = (
@@ -75,16 +80,54 @@ def profiles(x: Column | str) -> Column:
     return F.array_compact(F.array(*[F.when(holds(terms), F.lit(name)) for name, terms in PROFILES]))
 
 
+def shared_words(q: DataFrame, t: DataFrame) -> DataFrame:
+    """(w, n): the words that both sides have, with their number on the side of t. Counts are combined before the shuffle."""
+    count = t.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return cut(count.join(q.select(F.explode("words").alias("w")).distinct(), "w", "left_semi"))
+
+
+def _keyed(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows (id, words, profiles) with ``pre``, their words that both sides have, rarest first, ``n``, the number of all, and ``key``, equal for rows alike in these."""
+    known = F.broadcast(known) if known.limit(FEW_WORDS + 1).count() <= FEW_WORDS else known
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    words = rows.select("_row", F.explode("words").alias("w")).join(known, "w")
+    pre = words.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda s: s["w"]).alias("pre"))
+    out = rows.join(pre, "_row").select("id", "pre", "profiles", F.size("words").alias("n"))
+    return cut(out.withColumn("key", F.md5(F.to_json(F.struct("pre", "profiles", "n")))))
+
+
+def keyword_pairs(q: DataFrame, t: DataFrame, least: int) -> DataFrame:
+    """(q, t, overlap, score) of the keys that share a profile and score ``least`` or more.
+
+    A set-similarity join with prefix filter: the score asks for an overlap that depends on the sizes of both sides. Two sides that have it share a word among all
+    but so many of their most frequent ones. They are joined on these words, and a pair is kept at the rarest that it shares, so it is made once."""
+    need = F.ceil((least - 25.5) / (55 / F.col("nq") + 20 / F.col("nt")) - 1e-9).cast("int")
+    a = q.select(F.col("key").alias("q"), F.col("n").alias("nq"), F.col("pre").alias("qw"), F.col("profiles").alias("qp"), F.posexplode("pre").alias("i", "w"))
+    b = t.select(F.col("key").alias("t"), F.col("n").alias("nt"), F.col("pre").alias("tw"), F.col("profiles").alias("tp"), F.posexplode("pre").alias("j", "w"))
+    met = a.join(b, "w").where((F.col("i") <= F.size("qw") - need) & (F.col("j") <= F.size("tw") - need) & F.arrays_overlap("qp", "tp"))
+    met = met.withColumn("both", F.array_intersect("qw", "tw")).where(F.get("both", F.lit(0)) == F.col("w"))
+    overlap = F.size("both").cast("long")
+    score = F.floor(overlap / F.col("nq") * 55 + overlap / F.col("nt") * 20 + 25 + 0.5).cast("int")
+    return met.select("q", "t", overlap.alias("overlap"), score.alias("score")).where(F.col("score") >= least)
+
+
 def keyword_match(queries: DataFrame, targets: DataFrame, best: int = BEST, least: int = LEAST) -> DataFrame:
     """query_id, id, score, overlap, rank: for each query (query_id, text) the best targets (id, text) that share a role profile and keywords with it.
 
-    Both sides meet at a keyword, by an equi-join, and a pair's shared words are counted; targets without a word of the query never meet it."""
+    Words that only one side has count in the sizes alone. What is left makes rows alike: of targets of one key, whose scores are equal for every query, only the
+    first ``best`` can be among the best of any, and queries of one key have the same ones. So keys are joined (see keyword_pairs), the best keys of each taken
+    apart into targets, and the result joined with the queries. A word that all rows have makes no pairs of rows."""
     from pyspark.sql import Window
 
-    q = queries.select("query_id", keywords("text").alias("qk"), profiles("text").alias("qp")).where((F.size("qk") > 0) & (F.size("qp") > 0))
-    t = targets.select("id", keywords("text").alias("tk"), profiles("text").alias("tp")).where(F.size("tp") > 0)
-    words = q.select("query_id", F.size("qk").alias("nq"), "qp", F.explode("qk").alias("w")).join(t.select("id", F.size("tk").alias("nt"), "tp", F.explode("tk").alias("w")), "w").where(F.arrays_overlap("qp", "tp"))
-    pairs = words.groupBy("query_id", "id", "nq", "nt").agg(F.count(F.lit(1)).alias("overlap"))
-    score = F.floor(F.col("overlap") / F.col("nq") * 55 + F.col("overlap") / F.col("nt") * 20 + 25 + 0.5).cast("int")
-    ranked = pairs.withColumn("score", score).where(F.col("score") >= least).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))))
-    return ranked.where(F.col("rank") <= best).select("query_id", "id", "score", "overlap", "rank")
+    side = lambda df, id: df.select(F.col(id).alias("id"), keywords("text").alias("words"), F.array_sort(profiles("text")).alias("profiles")).where((F.size("words") > 0) & (F.size("profiles") > 0))
+    q, t = cut(side(queries, "query_id")), cut(side(targets, "id"))
+    known = shared_words(q, t)
+    q, t = _keyed(q, known), _keyed(t, known)
+    t = cut(t.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("_n") <= best))
+    one = lambda df: df.groupBy("key").agg(F.first(F.struct("pre", "profiles", "n")).alias("f"), F.min("id").alias("first_id")).select("key", "f.*", "first_id")
+    heads = one(t)
+    pairs = keyword_pairs(one(q), heads, least).join(heads.select(F.col("key").alias("t"), "first_id"), "t")
+    pairs = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.asc("first_id")))).where(F.col("_n") <= best)
+    hits = pairs.select("q", F.col("t").alias("key"), "score", "overlap").join(t.select("key", "id"), "key")
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.asc("id")))).where(F.col("rank") <= best)
+    return q.select(F.col("id").alias("query_id"), F.col("key").alias("q")).join(ranked, "q").select("query_id", "id", "score", "overlap", "rank")

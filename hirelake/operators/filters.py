@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelake.functions.matching import MATCH_THRESHOLD
+from hirelake.session import cut
 
 
 def _at(as_of: str) -> Column:
@@ -48,7 +49,10 @@ def lexical_search(entities: DataFrame, queries: DataFrame, k: int, as_of: str)
     q = q.withColumn("_part", part)
     hit = F.expr(" OR ".join(f"lower(coalesce({c}, '')) LIKE pattern" for c in ("role", "description", "original_text")))
     rows = active(entities, as_of).select("id", "updated_at", "role", "description", "original_text")
-    grams = rows.select("id", F.explode(trigrams(F.lower(F.concat_ws("\n", "role", "description", "original_text")))).alias("_gram"))
+    # only the trigrams that some query asks for leave the scan
+    asked = cut(q.where(F.length("_part") >= 3).select(F.explode(trigrams(F.col("_part"))).alias("_gram")).distinct())
+    asked = F.broadcast(asked) if asked.limit(100_001).count() <= 100_000 else asked
+    grams = rows.select("id", F.explode(trigrams(F.lower(F.concat_ws("\n", "role", "description", "original_text")))).alias("_gram")).join(asked, "_gram", "left_semi")
     count = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     own = q.where(F.length("_part") >= 3).select("query_id", "pattern", F.explode(trigrams(F.col("_part"))).alias("_gram")).join(count, "_gram", "left")
     rarest = own.groupBy("query_id", "pattern").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hirelake.session import cut
+
 KEY = ["entity_type", "entity_id"]
-#: Names up to which partners are one array.
-FEW_NAMES = 2000
+#: Names of partners in an automaton.
+NAMES = 100_000
 
 
 def latest_source(sources: DataFrame) -> DataFrame:
@@ -89,52 +95,86 @@ def active_matches(matches: DataFrame, vacancies: DataFrame, specialists: DataFr
 
 def partner_mention(texts: DataFrame, partners: DataFrame, id: str, text: str) -> DataFrame:
     """id, partner: of the partners with mentions the first (most mentions, then name) whose normalized name is in the text; names that normalize to nothing
-    (blanks, sectors, rates) match none. ids must be unique.
+    (blanks, sectors, rates) match none. Rows may share an id.
 
-    Up to FEW_NAMES names are one row's array, in order, and each text looks for the first of them; more meet the texts by trigrams."""
+    The names make an automaton that finds all of them in one pass over a text. Up to NAMES names are broadcast; more are dealt to automata of so many by a hash,
+    each a pass of its own over the texts, which are stored once with a number for that."""
     from hirelake.functions.companies import company_name
 
     low = F.lower(company_name("canonical_name"))
-    rows = partners.where((F.col("mentions_count") > 0) & low.isNotNull())
-    rows = rows.select(low.alias("needle"), F.struct((-F.col("mentions_count")).alias("m"), F.col("canonical_name").alias("name")).alias("p"))
-    if rows.limit(FEW_NAMES + 1).count() <= FEW_NAMES:
-        names = rows.agg(F.sort_array(F.collect_list(F.struct("p", "needle"))).alias("_names"))
-        hay = F.lower(F.col(text))
-        found = F.get(F.filter("_names", lambda n: F.contains(hay, n["needle"])), F.lit(0))
-        return texts.crossJoin(F.broadcast(names)).select(id, found["p"]["name"].alias("partner"))  # one row on the right
-    hits = substring_pairs(texts.select(id, F.lower(F.col(text)).alias("hay")), rows)
-    return texts.select(id).join(hits.groupBy(id).agg(F.min("p.m").alias("_m"), F.min("p").alias("_p")), id, "left").select(id, F.col("_p.name").alias("partner"))
+    rows = partners.where(F.col("mentions_count") > 0).select(low.alias("needle"), (-F.col("mentions_count")).alias("m"), F.col("canonical_name").alias("name")).where(F.coalesce("needle", F.lit("")) != "")
+    rows = cut(rows.groupBy("needle").agg(F.min(F.struct("m", "name")).alias("p")).select("needle", "p.*"))
+    shards = max(1, -(-rows.count() // NAMES))
+    hay = F.lower(F.col(text))
+    kind = texts.schema[id].dataType.simpleString()
+    if shards == 1:
+        return texts.select(F.col(id).alias("id"), hay.alias("hay")).mapInArrow(_named(rows), f"id {kind}, m long, partner string").select(F.col("id").alias(id), "partner")
+    numbered = cut(texts.select(F.col(id).alias("_id"), hay.alias("hay"), F.monotonically_increasing_id().alias("id")))
+    found = None
+    for k in range(shards):
+        part = rows.where(F.pmod(F.xxhash64("needle"), F.lit(shards)) == k)
+        hits = numbered.select("id", "hay").mapInArrow(_named(part), "id long, m long, partner string").where("partner IS NOT NULL")
+        found = hits if found is None else found.unionByName(hits)
+    first = found.groupBy("id").agg(F.min(F.struct("m", "partner")).alias("p"))
+    return numbered.drop("hay").join(first, "id", "left").select(F.col("_id").alias(id), F.col("p.partner").alias("partner"))
+
+
+def _named(names: DataFrame):
+    """A task's pass over (id, hay): (id, m, partner) with the least of the names (needle, m, name) that stand in the text, or nulls."""
+    shared = names.sparkSession.sparkContext.broadcast([tuple(r) for r in names.select("needle", "m", "name").collect()])  # about NAMES at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for needle, m, name in shared.value:
+            automaton.add_word(needle, (m, name))
+        if len(automaton):
+            automaton.make_automaton()
+        for b in batches:
+            best = [min((v for _, v in automaton.iter(t)), default=(None, None)) if t and len(automaton) else (None, None) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in best], pa.int64()), pa.array([x[1] for x in best], pa.string())], ["id", "m", "partner"])
+
+    return run
 
 
 def trigrams(x: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.substring(x, i, F.lit(3))))
 
 
-def substring_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    """texts joined with needles where ``hay`` contains ``needle``: an equi-join on the needle's rarest trigram, then the whole is looked for.
+#: What a person and a row of their sheet have in common, and its points; pairs with fewer than 60 points are none.
+POINTS = {"resume_url": 100, "name": 40, "role": 20, "location": 10}
 
-    Only needles of fewer than three characters, which have no trigram, are compared with every text."""
-    grams = texts.select("*", F.explode(trigrams(F.col("hay"))).alias("_gram"))
-    longer = needles.where(F.length("needle") >= 3)
-    count = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    own = longer.select("needle").distinct().select("needle", F.explode(trigrams(F.col("needle"))).alias("_gram")).join(count, "_gram", "left")
-    rarest = own.groupBy("needle").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
-    pairs = grams.join(longer.join(rarest, "needle"), "_gram").where(F.contains("hay", F.col("needle"))).drop("_gram")
-    tiny = needles.where((F.length("needle") < 3) & (F.length("needle") > 0))
-    if tiny.limit(1).count():
-        pairs = pairs.unionByName(texts.join(F.broadcast(tiny) if tiny.limit(FEW_NAMES + 1).count() <= FEW_NAMES else tiny, F.contains("hay", F.col("needle"))).select(pairs.columns))
-    return pairs
+
+def _combinations(least: int) -> list[tuple[int, tuple[str, ...]]]:
+    names = list(POINTS)
+    every = [tuple(n for k, n in enumerate(names) if bits >> k & 1) for bits in range(1, 1 << len(names))]
+    return sorted(((sum(POINTS[n] for n in c), c) for c in every if sum(POINTS[n] for n in c) >= least), reverse=True)
 
 
 def live_reference(people: DataFrame, rows: DataFrame) -> DataFrame:
-    """person id and the best row of their sheet: 100 for one resume, 40 name, 20 role, 10 location; at least 60, the first row of equals."""
+    """person id and the best row of their sheet: 100 for one resume, 40 name, 20 role, 10 location; at least 60, the first row of equals.
+
+    No person is compared with the rows of a sheet: each combination of parts that is worth 60 points is a key, under which the first row with these parts is kept
+    (an aggregate, so a sheet or name that most rows have is no hot key), and a person looks up their keys. The best that is found is the best row, since a row
+    with more in common would be found under a key with more points."""
     norm = lambda c: F.nullif(F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))), F.lit(""))
-    p = people.select("id", "source_url", *[norm(F.col(c)).alias(f"p_{c}") for c in ("resume_url", "name", "role", "location")])
-    r = rows.select("source_url", "row_index", *[norm(F.col(c)).alias(f"r_{c}") for c in ("resume_url", "name", "role", "location")])
-    points = {"resume_url": 100, "name": 40, "role": 20, "location": 10}
-    score = sum((F.when(F.col(f"p_{c}") == F.col(f"r_{c}"), n).otherwise(0) for c, n in points.items()), F.lit(0))
-    best = p.join(r, "source_url").withColumn("score", score).where("score >= 60").groupBy("id").agg(F.max_by(F.struct("row_index", "score"), F.struct(F.col("score"), -F.col("row_index"))).alias("b"))
-    return people.select("id").join(best.select("id", "b.*"), "id", "left")
+    given = lambda df: df.select(*[c for c in ("id", "row_index") if c in df.columns], "source_url", *[norm(F.col(c)).alias(c) for c in POINTS])
+    every = _combinations(60)
+
+    def key(score: int, names: tuple[str, ...]) -> Column:
+        whole = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
+        return F.when(whole, F.struct(F.lit(score).alias("score"), F.sha2(F.to_json(F.struct("source_url", *names)), 256).alias("digest")))
+
+    keys = F.explode(F.array_compact(F.array(*[key(score, names) for score, names in every]))).alias("k")
+    first = given(rows).where(F.col("source_url").isNotNull()).select("row_index", keys).groupBy("k").agg(F.min("row_index").alias("row_index"))
+    # people alike in all parts are looked up once
+    alike = F.sha2(F.to_json(F.struct("source_url", *POINTS)), 256)
+    asked = given(people).where(F.col("source_url").isNotNull()).withColumn("alike", alike)
+    found = asked.groupBy("alike").agg(*[F.first(c).alias(c) for c in ("source_url", *POINTS)]).select("alike", keys).join(first, "k")
+    best = found.groupBy("alike").agg(F.max_by(F.struct("row_index", "k.score"), F.col("k.score")).alias("b"))
+    mine = asked.select("id", "alike").join(best, "alike").select("id", "b.*")
+    return people.select("id").join(mine, "id", "left")
 
 
 def registry_binding(seen: DataFrame, registry: DataFrame) -> DataFrame:

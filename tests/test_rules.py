@@ -126,9 +126,9 @@ def test_a_batch_with_repeated_keys_gives_each_key_once(spark):
     assert [r.raw_text for r in U.upsert_raw_messages(edits.limit(0), edits).collect()] == ["last"]
 
 
-@pytest.mark.parametrize("few", [2000, 0])
+@pytest.mark.parametrize("few", [100_000, 2])
 def test_partner_names_are_normalized_and_blank_ones_match_nothing(spark, few, monkeypatch):
-    monkeypatch.setattr(J, "FEW_NAMES", few)
+    monkeypatch.setattr(J, "NAMES", few)
     texts = spark.createDataFrame([(1, "Работа в SBERTECH"), (2, "acme and bolt"), (3, "Финтех"), (4, None), (5, "x3m"), (6, "рост сбера")], "id long, t string")
     names = spark.createDataFrame([("  ", 99), ("Финтех", 50), (" Bolt. ", 3), ("acme", 3), ("x3", 1), ("Sber CIB", 7), ("gone", 0)], "canonical_name string, mentions_count long")
     got = dict(J.partner_mention(texts, names, "id", "t").collect())
@@ -319,3 +319,61 @@ def test_ranks_of_a_popular_label_score_few_pairs(spark, monkeypatch):
     assert one(spark, cleaning.clean_message("a"), "Имя, [Feb 17, 2026 at 11:39 PM]:\n•  **Java** 🚀  5 €\n\n\n\nend") == "- Java 5 €\n\nend"
     rows = spark.createDataFrame([("команда сбера растёт",), ("customer - sberbank; срочно",), ("Компания: Лемана  Про, Москва",), (None,)], "t string")
     assert dict(companies.partner_counts(rows, "t").collect()) == {"Сбер": 2, "Лемана Про": 1}
+
+
+def test_many_partner_names_equal_a_plain_scan(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
+    names = {word(rng.randrange(3, 9)): rng.randrange(1, 50) for _ in range(20_000)}
+    texts = [(k % 90, " ".join(word(rng.randrange(3, 12)) for _ in range(6)) if k % 9 else None) for k in range(120)]  # ids repeat
+    best = lambda t: min(((-m, n) for n, m in names.items() if t and n in t), default=(0, None))[1]
+    want = sorted(((i, best(t)) for i, t in texts), key=str)
+    a, b = spark.createDataFrame(texts, "id long, t string"), spark.createDataFrame(list(names.items()), "canonical_name string, mentions_count long")
+    for most in (100_000, 6_000):
+        monkeypatch.setattr(J, "NAMES", most)
+        assert sorted(map(tuple, J.partner_mention(a, b, "id", "t").collect()), key=str) == want
+
+
+def test_live_reference_equals_comparing_all_pairs(spark):
+    rng = random.Random(4)
+    part = lambda *v: rng.choice([None, " ", *v])
+    make = lambda k: (k, rng.choice(["giant", "giant", "s", None]), part("http://a", "http://b"), part("Anna", "ANNA ", "Ivan"), part("qa", "QA", "dev"), part("rf", "by"))
+    people, rows = [make(k) for k in range(80)], [make(k) for k in range(200)]
+    plain = lambda v: (" ".join(v.lower().split()) or None) if v else None
+    want = {}
+    for p in people:
+        best = None
+        for r in rows:
+            score = sum(n for n, x, y in zip((100, 40, 20, 10), p[2:], r[2:]) if plain(x) and plain(x) == plain(y))
+            if p[1] and p[1] == r[1] and score >= 60 and (best is None or (score, -r[0]) > (best[1], -best[0])):
+                best = (r[0], score)
+        want[p[0]] = best or (None, None)
+    names = "{} long, source_url string, resume_url string, name string, role string, location string"
+    got = J.live_reference(spark.createDataFrame(people, names.format("id")), spark.createDataFrame(rows, names.format("row_index")))
+    assert {r.id: (r.row_index, r.score) for r in got.collect()} == want
+
+
+def test_keyword_match_joins_few_keys(spark):
+    from hirelake.functions import cards as C
+
+    rng = random.Random(6)
+    text = lambda k: " ".join(["python", "everywhere", *rng.sample(["django", "redis", "kafka", "docker", "linux"], rng.randrange(4)), f"own{k}"])
+    queries, targets = [(k, text(k)) for k in range(40)], [(k, text(1000 + k)) for k in range(300)]
+    q, t = spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(targets, "id long, text string")
+    got = {}
+    for r in C.keyword_match(q, t, 5, 35).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score, r.overlap))
+    for i, x in queries:
+        scored = []
+        for j, y in targets:
+            a, b = set(x.split()), set(y.split())
+            o = len(a & b)
+            scored.append((-int(o / len(a) * 55 + o / len(b) * 20 + 25 + 0.5), j, o))
+        want = [(n + 1, j, -s, o) for n, (s, j, o) in enumerate(sorted(scored)[:5]) if -s >= 35]
+        assert sorted(got.get(i, [])) == want
+    side = lambda df, i: df.select(F.col(i).alias("id"), C.keywords("text").alias("words"), F.array_sort(C.profiles("text")).alias("profiles"))
+    a, b = side(q, "query_id"), side(t, "id")
+    known = C.shared_words(a, b)
+    a, b = C._keyed(a, known), C._keyed(b, known)
+    one = lambda df: df.dropDuplicates(["key"])
+    assert C.keyword_pairs(one(a), one(b), 35).count() < 40 * 300 / 10  # every row has "python" and "everywhere"
