@@ -166,9 +166,9 @@ def stale_keys(registry: DataFrame, seen: DataFrame, url: str) -> DataFrame:
     return registry.where(F.col("is_active") & (F.col("source_url") == url)).select("registry_key").join(seen.select("registry_key"), "registry_key", "left_anti")
 
 
-def registry_sync(registry: DataFrame, sheet: DataFrame, url: str) -> DataFrame:
-    """A sheet as change data for the registry: rows seen are stored as active, a person's row under another key (moved in the sheet) and keys that
-    the sheet no longer has go inactive. A row without a specialist keeps the one bound by its key or person."""
+def registry_changes(registry: DataFrame, sheet: DataFrame, url: str) -> DataFrame:
+    """A sheet as change data: the registry's new rows with ``op``. insert and update: rows seen, stored as active; move: the row of a person who is seen under
+    another key; off: a key that the sheet no longer has; both go inactive; keep: all else. A row without a specialist keeps the one bound by its key or person."""
     from .joins import registry_binding
 
     seen = registry_binding(last_per_key(sheet, ["registry_key"], ["locator"]), registry)
@@ -176,9 +176,41 @@ def registry_sync(registry: DataFrame, sheet: DataFrame, url: str) -> DataFrame:
     out = upsert_registry(registry, seen)
     keys = seen.select("registry_key", F.lit(True).alias("_seen"))
     people = seen.select("identity_key").where(F.col("identity_key").isNotNull()).distinct().withColumn("_moved", F.lit(True))
-    rows = out.join(keys, "registry_key", "left").join(people, "identity_key", "left")
-    gone = F.col("_seen").isNull() & ((F.col("source_url") == url) | F.coalesce("_moved", F.lit(False)))
-    return rows.withColumn("is_active", F.col("is_active") & ~gone).select(registry.columns)
+    known = registry.groupBy("registry_key").agg(F.bool_or("is_active").alias("_was"))
+    rows = out.join(keys, "registry_key", "left").join(people, "identity_key", "left").join(known, "registry_key", "left")
+    was = F.coalesce("_was", F.lit(False))
+    op = F.when(F.col("_seen"), F.when(F.col("_was").isNull(), "insert").otherwise("update")).when(was & F.coalesce("_moved", F.lit(False)), "move").when(was & (F.col("source_url") == url), "off").otherwise("keep")
+    rows = rows.withColumn("op", op)
+    return rows.withColumn("is_active", F.col("is_active") & ~F.col("op").isin("move", "off")).select(*registry.columns, "op")
+
+
+def registry_sync(registry: DataFrame, sheet: DataFrame, url: str) -> DataFrame:
+    """The registry after a sheet was read (see registry_changes)."""
+    return registry_changes(registry, sheet, url).drop("op")
+
+
+def deactivations(registry: DataFrame, url: str) -> DataFrame:
+    """Change data of a source that goes: its active rows are off."""
+    off = F.coalesce(F.col("is_active") & (F.col("source_url") == url), F.lit(False))
+    return registry.withColumn("op", F.when(off, "off").otherwise("keep")).withColumn("is_active", F.col("is_active") & ~off)
+
+
+def bound_specialists(specialists: DataFrame, changes: DataFrame) -> DataFrame:
+    """The specialists after changes of the registry: of those whose rows moved or went off the ones that no active row binds any more are not internal, and
+    hidden if they were active; all others stay. One semi-join with the few ids that changed."""
+    left = changes.where(F.col("op").isin("move", "off") & F.col("specialist_id").isNotNull()).select(F.col("specialist_id").alias("id")).distinct()
+    bound = changes.where("is_active").select(F.col("specialist_id").alias("id"))
+    gone = left.join(bound, "id", "left_anti").withColumn("_gone", F.lit(True))
+    rows = specialists.join(gone, "id", "left")
+    out = F.col("_gone").isNotNull()
+    inner = F.when(out, F.lit(False)).otherwise(F.col("is_internal"))
+    return rows.withColumns({"is_internal": inner, "status": F.when(out & (F.col("status") == "active"), "hidden").otherwise(F.col("status"))}).select(specialists.columns)
+
+
+def change_stats(changes: DataFrame) -> DataFrame:
+    """One row: rows seen, inserted, moved and gone off, and active rows in all."""
+    n = lambda *ops: F.count_if(F.col("op").isin(*ops))
+    return changes.agg(n("insert", "update").alias("saved"), n("insert").alias("inserted"), n("move").alias("moved"), n("off").alias("deactivated"), F.count_if("is_active").alias("active_rows"))
 
 
 def relink(sources: DataFrame, rebuilt: DataFrame) -> DataFrame:

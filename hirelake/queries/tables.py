@@ -343,6 +343,83 @@ def registry_sync(spark, d):
     return U.registry_sync(r, sheet, _OWN1).select("registry_key", "specialist_id", "is_active")
 
 
+_SHEET = f"SELECT * FROM registry WHERE source_url = '{_OWN1}' AND specialist_id % 2 = 0"
+_CHANGED = f"""SELECT registry_key, specialist_id, CASE WHEN registry_key IN (SELECT registry_key FROM ({_SHEET}) s) THEN 'update' WHEN is_active AND identity_key IN (SELECT identity_key FROM ({_SHEET}) s) THEN 'move' WHEN is_active AND source_url = '{_OWN1}' THEN 'off' ELSE 'keep' END AS op,
+ CASE WHEN registry_key IN (SELECT registry_key FROM ({_SHEET}) s) THEN TRUE WHEN identity_key IN (SELECT identity_key FROM ({_SHEET}) s) OR source_url = '{_OWN1}' THEN FALSE ELSE is_active END AS is_active FROM registry
+ UNION ALL SELECT 'new' || specialist_id, specialist_id, 'insert', TRUE FROM ({_SHEET}) s WHERE specialist_id % 4 = 0"""
+
+
+def _changes(spark, d):
+    r = table(spark, d, "registry")
+    kept = r.where((F.col("source_url") == _OWN1) & F.expr("specialist_id % 2 = 0"))
+    new = kept.where("specialist_id % 4 = 0").withColumn("registry_key", F.concat(F.lit("new"), "specialist_id"))
+    return U.registry_changes(r, kept.withColumn("specialist_id", F.lit(None).cast("long")).unionByName(new).drop("is_active", "source_url"), _OWN1)
+
+
+@query("registry_changes", with_tables(_CHANGED, "registry"))
+def registry_changes(spark, d):
+    return _changes(spark, d).select("registry_key", "specialist_id", "op", "is_active")
+
+
+@query("registry_change_stats", with_tables(f"SELECT count(*) FILTER (WHERE op IN ('insert', 'update')) AS saved, count(*) FILTER (WHERE op = 'insert') AS inserted, count(*) FILTER (WHERE op = 'move') AS moved, count(*) FILTER (WHERE op = 'off') AS deactivated, count(*) FILTER (WHERE is_active) AS active_rows FROM ({_CHANGED}) c", "registry"))
+def registry_change_stats(spark, d):
+    return U.change_stats(_changes(spark, d))
+
+
+_AFTER = "SELECT id, is_internal AND NOT gone AS is_internal, CASE WHEN gone AND status = 'active' THEN 'hidden' ELSE status END AS status FROM (SELECT *, id IN (SELECT specialist_id FROM c WHERE op IN ('move', 'off')) AND id NOT IN (SELECT specialist_id FROM c WHERE is_active) AS gone FROM specialists) s"
+
+
+@query("registry_sync_specialists", with_tables(f"WITH c AS ({_CHANGED}) {_AFTER}", "registry", "specialists").replace("\nWITH c AS", ",\nc AS", 1))
+def registry_sync_specialists(spark, d):
+    return U.bound_specialists(table(spark, d, "specialists"), _changes(spark, d)).select("id", "is_internal", "status")
+
+
+@query("deactivate_source_specialists", with_tables(f"WITH c AS (SELECT specialist_id, CASE WHEN is_active AND source_url = '{_OWN1}' THEN 'off' ELSE 'keep' END AS op, is_active AND source_url <> '{_OWN1}' AS is_active FROM registry) {_AFTER}", "registry", "specialists").replace("\nWITH c AS", ",\nc AS", 1))
+def deactivate_source_specialists(spark, d):
+    return U.bound_specialists(table(spark, d, "specialists"), U.deactivations(table(spark, d, "registry"), _OWN1)).select("id", "is_internal", "status")
+
+
+def _exported(spark, d, only_active):
+    from hirelake.sources.sinks import export_tables
+
+    s, v, p, m = (table(spark, d, t) for t in ("specialists", "vacancies", "sources", "matches"))
+    out = None
+    for name, df in export_tables(s, v, p, m, only_active).items():
+        key = F.concat_ws("-", *[F.col(c) for c in (["vacancy_id", "specialist_id"] if name == "matches" else ["id"])])
+        rows = df.select(F.lit(name).alias("sheet"), key.alias("key"), F.col("stack" if name in ("specialists", "vacancies") else "source_type" if name == "sources" else "rank").cast("string").alias("value"), "created_at")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _export_sql(active: bool) -> str:
+    keep = lambda where: f" WHERE {where}" if active else ""
+    ids = lambda t: f"(SELECT id FROM {t} WHERE status = 'active')"
+    stack = "'[\"' || array_to_string(stack, '\",\"') || '\"]'"
+    sides = [f"SELECT '{t}' AS sheet, CAST(id AS VARCHAR) AS key, {stack} AS value, created_at FROM {t}" + keep("status = 'active'") for t in ("specialists", "vacancies")]
+    where = f"(entity_type = 'vacancy' AND entity_id IN {ids('vacancies')}) OR (entity_type = 'specialist' AND entity_id IN {ids('specialists')})"
+    rest = ["SELECT 'sources', CAST(id AS VARCHAR), source_type, created_at FROM sources" + keep(where), "SELECT 'matches', vacancy_id || '-' || specialist_id, CAST(rank AS VARCHAR), created_at FROM matches" + keep(f"vacancy_id IN {ids('vacancies')} AND specialist_id IN {ids('specialists')}")]
+    return with_tables(" UNION ALL ".join(sides + rest), "specialists", "vacancies", "sources", "matches")
+
+
+@query("export_all_tables", _export_sql(False))
+def export_all_tables(spark, d):
+    return _exported(spark, d, False)
+
+
+@query("export_active_tables", _export_sql(True))
+def export_active_tables(spark, d):
+    return _exported(spark, d, True)
+
+
+@query("partner_mention_suppliers", """SELECT o_orderkey AS id, (SELECT arg_min(s_name, (-(s_suppkey % 5), s_name)) FROM supplier WHERE s_suppkey % 5 > 0 AND contains(t, lower(s_name))) AS partner FROM
+ (SELECT o_orderkey, lower('for supplier#' || lpad(CAST(o_custkey % 200 AS VARCHAR), 9, '0') || ' and Supplier#' || lpad(CAST(o_orderkey % 150 AS VARCHAR), 9, '0')) AS t FROM orders) o""")
+def partner_mention_suppliers(spark, d):
+    name = lambda n: F.concat(F.lit("supplier#"), F.lpad(n.cast("string"), 9, "0"))
+    texts = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("for "), name(F.col("o_custkey") % 200), F.lit(" and "), F.initcap(name(F.col("o_orderkey") % 150))).alias("text"))
+    names = table(spark, d, "supplier").select(F.col("s_name").alias("canonical_name"), (F.col("s_suppkey") % 5).alias("mentions_count"))
+    return J.partner_mention(texts, names, "id", "text")
+
+
 @query("relink_sources", with_tables("SELECT id, CASE WHEN id % 13 = 0 THEN entity_id + 5 ELSE entity_id END AS entity_id FROM sources", "sources"))
 def relink_sources(spark, d):
     s = table(spark, d, "sources")

@@ -149,12 +149,12 @@ def hybrid_decision(spark, d):
 _BROKEN = [w.encode().decode(code) for w, code in (("Привет", "latin1"), ("привет", "cp1251"))]
 
 
-@query("repair_nested", "SELECT o_orderkey AS id, 'Привет ' || o_orderkey AS a, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'привет' END AS b, 'https://x.example.com/ÐÑ' AS c, o_orderstatus AS d, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END AS n FROM orders")
+@query("repair_nested", "SELECT doc_id AS id, 'Привет ' || doc_id AS a, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'привет' END AS b, 'https://x.example.com/ÐÑ' AS c, source AS d, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS n FROM documents")
 def repair_nested(spark, d):
-    i = F.col("o_orderkey")
+    i = F.col("doc_id")
     deep = F.array(F.struct(F.create_map(F.lit("k"), F.concat(F.lit(_BROKEN[0] + " "), i)).alias("m"), F.when(i % 3 != 0, F.lit(_BROKEN[1])).alias("b"), i.alias("number")))
-    more = F.when(i % 2 == 0, F.array(F.array(F.col("o_orderstatus"), F.lit(None).cast("string"))))
-    rows = table(spark, d, "orders").select(i.alias("id"), deep.alias("deep"), F.lit("https://x.example.com/ÐÑ").alias("c"), F.col("o_orderstatus").alias("d"), more.alias("more"))
+    more = F.when(i % 2 == 0, F.array(F.array(F.col("source"), F.lit(None).cast("string"))))
+    rows = table(spark, d, "documents").select(i.alias("id"), deep.alias("deep"), F.lit("https://x.example.com/ÐÑ").alias("c"), F.col("source").alias("d"), more.alias("more"))
     one = C.repair_all(rows, "deep", "c", "d", "more")
     return one.select("id", F.col("deep")[0]["m"]["k"].alias("a"), F.col("deep")[0]["b"].alias("b"), "c", "d", F.coalesce(F.size(F.col("more")[0]), F.lit(0)).alias("n"))
 

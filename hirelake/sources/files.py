@@ -119,7 +119,7 @@ def read_text_docs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def coerced(df: DataFrame) -> DataFrame:
-    """Columns as an export shows them: decimals as doubles, nested values as JSON, bytes as text, the rest unchanged."""
+    """Columns as an export shows them: decimals as doubles, nested values as JSON, bytes as text, moments without a zone in UTC, the rest unchanged."""
     out = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
@@ -127,6 +127,8 @@ def coerced(df: DataFrame) -> DataFrame:
             c = c.cast("double")
         elif kind.startswith(("array", "map", "struct")):
             c = F.to_json(c)
+        elif kind == "timestamp":
+            c = F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
         elif kind == "binary":
             c = F.decode(c, "UTF-8")
         out.append(c.alias(name))

@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from hirelake.operators import upserts as U
 from hirelake.plans import retrieval as V
@@ -234,3 +235,51 @@ def test_rows_without_a_whole_key_and_repeated_links_stay(spark):
     sources = spark.createDataFrame([(1, None, None), (2, "vacancy", 9)], "id long, entity_type string, entity_id long")
     links = spark.createDataFrame([(1, "vacancy", 5), (1, "specialist", 7)], "source_id long, entity_type string, entity_id long")
     assert sorted(map(tuple, U.link_entities(sources, links).collect())) == [(1, "specialist", 7), (2, "vacancy", 9)]
+
+
+def test_stored_matches_keep_the_files_of_other_buckets(spark, tmp_path):
+    path = os.fspath(tmp_path / "m")
+    schema = "vacancy_id long, specialist_id long, score double"
+    assert len(sinks.store_matches(spark, path, spark.createDataFrame([(v, s, 0.5) for v in range(40) for s in range(3)], schema), "vacancy_id", 8)) == 8
+    store = KeyedStore(spark, path, schema, ["vacancy_id"])
+    before = store.manifest()["folders"]
+    assert len(sinks.store_matches(spark, path, spark.createDataFrame([(7, 99, 0.9), (7, 98, 0.8)], schema), "vacancy_id")) == 1
+    after = store.manifest()["folders"]
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert sorted(r.specialist_id for r in store.read().where("vacancy_id = 7").collect()) == [98, 99] and store.read().count() == 39 * 3 + 2
+    sinks.store_matches(spark, path, spark.createDataFrame([(7, None, None)], schema), "vacancy_id")
+    assert store.read().where("vacancy_id = 7").count() == 0
+
+
+def test_exports_are_whole_and_newest_first(spark, tmp_path):
+    t = lambda n: f"2024-01-0{n} 10:00:00"
+    e = lambda rows: spark.createDataFrame(rows, "id long, status string, stack array<string>, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    s, v = e([(1, "active", ["Go"], t(1)), (2, "hidden", None, t(3)), (3, "active", [], t(2))]), e([(1, "active", ["QA"], t(1))])
+    p = spark.createDataFrame([(1, "vacancy", 1, t(1)), (2, "specialist", 2, t(2))], "id long, entity_type string, entity_id long, created_at string")
+    m = spark.createDataFrame([(1, 1, t(1)), (1, 2, t(2))], "vacancy_id long, specialist_id long, created_at string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Moscow")
+        moved = e([(1, "active", ["Go"], t(1))])
+        sinks.write_export(str(tmp_path / "moscow"), {"specialists": sinks.export_tables(moved, v, p, m)["specialists"]})
+        assert "2024-01-01T07:00:00" in spark.read.text(str(tmp_path / "moscow" / "specialists")).where("value LIKE '1%'").first().value
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    sinks.write_export(str(tmp_path / "all"), sinks.export_tables(s, v, p, m))
+    read = lambda kind, name: [r[0] for r in spark.read.option("header", True).csv(str(tmp_path / kind / name)).collect()]
+    assert read("all", "specialists") == ["2", "3", "1"] and read("all", "sources") == ["2", "1"] and len(read("all", "matches")) == 2
+    sinks.write_export(str(tmp_path / "active"), sinks.export_tables(s, v, p, m, only_active=True))
+    assert [read("active", n) for n in ("specialists", "vacancies", "sources", "matches")] == [["3", "1"], ["1"], ["1"], ["1"]]
+
+
+def test_a_moved_binding_hides_only_who_is_left_alone(spark):
+    registry = spark.createDataFrame([("a", "p1", "u", 1, True), ("b", "p2", "u", 2, True), ("c", "p3", "u", 3, True), ("d", "p3", "other", 3, True), ("e", "p5", "u", 5, False)], "registry_key string, identity_key string, source_url string, specialist_id long, is_active boolean").withColumn("locator", F.lit("1"))
+    sheet = spark.createDataFrame([("z", "p1", None, "1"), ("b", "p2", None, "2"), ("n", "p9", 9, "3")], "registry_key string, identity_key string, specialist_id long, locator string")
+    changes = U.registry_changes(registry, sheet, "u")
+    got = {r.registry_key: (r.op, r.specialist_id, r.is_active) for r in changes.collect()}
+    assert got == {"a": ("move", 1, False), "z": ("insert", 1, True), "b": ("update", 2, True), "c": ("off", 3, False), "d": ("keep", 3, True), "e": ("keep", 5, False), "n": ("insert", 9, True)}
+    people = spark.createDataFrame([(k, "active", True) for k in (1, 2, 3, 5)], "id long, status string, is_internal boolean")
+    assert {r.id for r in U.bound_specialists(people, changes).where("status = 'hidden'").collect()} == set()
+    gone = U.deactivations(U.registry_sync(registry, sheet, "u"), "u")
+    assert {r.id: (r.status, r.is_internal) for r in U.bound_specialists(people, gone).collect()} == {1: ("hidden", False), 2: ("hidden", False), 3: ("active", True), 5: ("active", True)}
+    assert tuple(U.change_stats(changes).first()) == (3, 2, 1, 1, 4)
