@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as T
-from .matching import IU, _c, match_token, strip, urlish
+from .matching import IU, _c, given, match_token, strip, urlish
 
 ITEMS = "items array<struct<role:string,stack:array<string>,grade:string,rate_min:int,rate_max:int,currency:string,company:string,location:string,description:string,is_closed:boolean>>"
 
@@ -155,5 +155,5 @@ def source_meta(base: Column | str, **parts: Column) -> Column:
 def parse_source_display(x: Column | str) -> Column:
     """Such a string as a map; a value keeps its own colons."""
     pairs = F.transform(F.filter(F.split(F.coalesce(_c(x), F.lit("")), ";"), lambda p: F.contains(p, F.lit(":"))), lambda p: F.struct(strip(F.substring_index(p, ":", 1)).alias("key"), strip(F.regexp_replace(p, "^[^:]*:", "")).alias("value")))
-    first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, 1, i), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(first)
+    first = lambda g: F.filter(g, lambda p, i: ~F.exists(F.slice(g, 1, i), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(given(pairs, first))

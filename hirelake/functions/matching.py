@@ -91,6 +91,11 @@ def strip(x: Column | str) -> Column:
     return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
 
 
+def given(value: Column, use) -> Column:
+    """use(value), with the value worked out once: within a lambda an expression from outside would be worked out again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def distinct_by(values: Column, key) -> Column:
     """The first value of each non-blank key, in order."""
     keyed = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(v.alias("v"), key(v).alias("k")))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .matching import IU, _c, distinct_by, strip, urlish
+from hirelake.session import cut, spread
+
+from .matching import IU, _c, distinct_by, given, strip, urlish
 from .text import has
 
 # ---- fixed values ----
@@ -42,20 +46,32 @@ TEXT_LABELS = (("name", "Имя"), ("role", "Роль"), ("stack", "Стек"),
 # ---- end of fixed values ----
 #: Rows of a sheet that tell whether it is relevant, and rows among which a header is looked for where none is plain.
 LOOKED_AT, FIRST = 25, 10
+#: Sheets up to which a row for each is broadcast.
+FEW_SHEETS = 100_000
 
 
-def canonical_header(x: Column | str) -> Column:
-    """The first field one of whose words is in the header."""
-    norm = F.trim(F.regexp_replace(F.lower(strip(F.coalesce(_c(x), F.lit("")))), "[^a-z0-9а-я]+", " "))
+def _header_words(x: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(strip(F.coalesce(x, F.lit("")))), "[^a-z0-9а-я]+", " "))
+
+
+def _header_field(norm: Column) -> Column:
     out = None
     for field, words in HEADERS.items():
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(norm, F.lit(w))
+        hit = reduce(lambda a, b: a | b, [F.contains(norm, F.lit(w)) for w in words])
         out = F.when(hit, field) if out is None else out.when(hit, field)
     return out
 
 
+def canonical_header(x: Column | str) -> Column:
+    """The first field one of whose words is in the header."""
+    return _header_field(_header_words(_c(x)))
+
+
+def canonical_headers(cells: Column | str) -> Column:
+    """The same for an array of cells; each is normalized once and then looked through for the words."""
+    return F.transform(F.transform(_c(cells), _header_words), _header_field)
+
+
 def full_cells(cells: Column) -> Column:
     return F.filter(cells, lambda c: strip(F.coalesce(c, F.lit(""))) != "")
 
@@ -79,23 +95,33 @@ def row_map(headers: Column, cells: Column) -> Column:
     """map of canonical header to cell; the first column of a header wins, blank cells and unknown headers are left out."""
     pairs = F.transform(F.arrays_zip(headers.alias("h"), cells.alias("c")), lambda p: F.struct(p["h"].alias("key"), strip(F.coalesce(p["c"], F.lit(""))).alias("value")))
     good = F.filter(pairs, lambda p: p["key"].isNotNull() & (p["value"] != ""))
-    first = F.filter(good, lambda p, i: ~F.exists(F.slice(good, 1, i), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(first)
+    first = lambda g: F.filter(g, lambda p, i: ~F.exists(F.slice(g, 1, i), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(given(good, first))
 
 
-def header_metrics(cells: Column) -> Column:
-    """struct(hits, distinct, full) of a row: cells with known words, fields of these, cells that are not blank."""
-    known = F.filter(F.transform(cells, canonical_header), lambda h: h.isNotNull())
+def header_metrics(cells: Column, headers: Column | None = None) -> Column:
+    """struct(hits, distinct, full) of a row: cells with known words, fields of these, cells that are not blank. headers: the cells' fields, if known."""
+    known = F.filter(canonical_headers(cells) if headers is None else headers, lambda h: h.isNotNull())
     return F.struct(F.size(known).alias("hits"), F.size(F.array_distinct(known)).alias("distinct"), F.size(full_cells(cells)).alias("full"))
 
 
+def _is_header() -> Column:
+    return (F.col("_m.hits") >= 2) & (F.col("_m.distinct") >= 2) & (F.col("_m.full") >= 2)
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """rows with the field of each cell (_h) and the header metrics (_m): the part that looks through all words, once for each row. Rows that have them stay."""
+    if "_m" in rows.columns:
+        return rows
+    return rows.withColumn("_h", canonical_headers("cells")).withColumn("_m", header_metrics(F.col("cells"), F.col("_h")))
+
+
 def blocks(rows: DataFrame) -> DataFrame:
     """rows with headers (canonical, of the block), header_cells, block (1.. by header row; null before the first) and is_header.
 
     A header has at least two cells with known words, of at least two fields. Where a sheet has none, the best of its first rows that are not blank is
     taken, so that no sheet's rows are lost."""
-    marks = rows.withColumn("_h", F.transform("cells", canonical_header)).withColumn("_m", header_metrics(F.col("cells")))
-    marks = marks.withColumn("is_header", (F.col("_m.hits") >= 2) & (F.col("_m.distinct") >= 2) & (F.col("_m.full") >= 2))
+    marks = marked(rows).withColumn("is_header", _is_header())
     sheet = Window.partitionBy("file", "sheet")
     marks = marks.withColumn("_full", F.sum((F.col("_m.full") > 0).cast("int")).over(sheet.orderBy("row_index").rowsBetween(Window.unboundedPreceding, 0)))
     score = F.col("_m.hits") * 5 + F.col("_m.distinct") * 2 + F.col("_m.full") - F.when(F.col("_m.full") <= 1, 6).otherwise(0)
@@ -197,9 +223,12 @@ def context_hints(label: Column | str) -> Column:
 def sheet_relevance(rows: DataFrame) -> DataFrame:
     """file, sheet, relevant, reason, entity_hint: by the sheet's name, and headers and role words in its first rows."""
     w = Window.partitionBy("file", "sheet").orderBy("row_index")
-    m = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= LOOKED_AT).withColumn("_m", header_metrics(F.col("cells")))
-    header = (F.col("_m.hits") >= 2) & (F.col("_m.distinct") >= 2) & (F.col("_m.full") >= 2)
-    first = F.min_by(F.transform("cells", canonical_header), F.when(header, F.col("_n")))
+    if "_m" in rows.columns:
+        m = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= LOOKED_AT)
+    else:  # only these rows are looked through
+        m = marked(rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= LOOKED_AT))
+    header = _is_header()
+    first = F.min_by("_h", F.when(header, F.col("_n")))
     by = m.groupBy("file", "sheet").agg(F.bool_or(header).alias("_header"), F.count_if(has(F.array_join(full_cells(F.col("cells")), " "), ROLEISH)).alias("_roles"), first.alias("_h"))
     by = by.withColumn("_c", context_hints("sheet"))
     service = has(F.coalesce(strip(F.col("sheet")), F.lit("")), SKIPPED_SHEETS)
@@ -237,7 +266,9 @@ def normalize_tables(rows: DataFrame, most: int = 200) -> DataFrame:
     """(file, sheet, row_index, block, kind, hint, role, stack, grade, rate_min, currency, english, name, location, company, availability, text, confidence,
     confidence_reason, skip_reason) of each row below a header of a relevant sheet. What the sheet's name and the last section row above say of role, stack and
     availability fills gaps. Data rows of low confidence, empty rows, totals and sections have a skip_reason; of the others the first ``most`` of a file stay."""
-    sheets = sheet_relevance(rows).where("relevant").select("file", "sheet", F.col("entity_hint").alias("_sheet_hint"))
+    rows = cut(marked(spread(rows)))
+    sheets = cut(sheet_relevance(rows).where("relevant").select("file", "sheet", F.col("entity_hint").alias("_sheet_hint")))
+    sheets = F.broadcast(sheets) if sheets.limit(FEW_SHEETS + 1).count() <= FEW_SHEETS else sheets
     df = blocks(rows.join(sheets, ["file", "sheet"])).where(F.col("block").isNotNull() & ~F.col("is_header"))
     df = df.withColumn("fields", row_map(F.col("headers"), F.col("cells"))).withColumn("kind", row_kind(F.col("cells"), F.col("headers")))
     df = df.withColumn("hint", F.coalesce(entity_hint(F.filter("headers", lambda h: h.isNotNull())), F.col("_sheet_hint"), row_hint(F.col("fields"), F.col("headers"))))

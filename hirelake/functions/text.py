@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .matching import IU, _c, distinct_by, strip
+from .matching import IU, _c, distinct_by, given, strip
 
 # ---- fixed values ----
 VACANCY_HINTS = ("нужен", "нужна", "нужно", "ищем", "требуется", "вакансия", "позиция", "проект", "отклик", "обязанности", "требования")
@@ -275,8 +275,8 @@ def parse_kv_lines(x: Column | str) -> Column:
     """``key: value`` lines as a map, keys lower-cased; the last of a key wins."""
     pairs = F.transform(F.filter(lines(x), lambda v: F.contains(v, F.lit(":"))), lambda v: F.struct(F.lower(strip(F.substring_index(v, ":", 1))).alias("key"), strip(F.regexp_replace(v, "^[^:]*:", "")).alias("value")))
     good = F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
-    last = F.filter(good, lambda p, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    last = lambda g: F.filter(g, lambda p, i: ~F.exists(F.slice(g, i + 2, F.size(g)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(given(good, last))
 
 
 @F.pandas_udf(StringType())

@@ -7,17 +7,13 @@ from pyspark.sql import functions as F
 
 from hirelake.functions.matching import strip
 from hirelake.functions.text import with_bench_lines
+from hirelake.session import spread
 
 #: Items of these kinds are rows of tables and stay whole.
 TABLES = ("google_sheet", "direct_csv", "direct_xlsx")
 UNIT = ("text", "source_type", "external_url", "external_kind", "external_locator")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """The rows dealt evenly over the cluster: what follows costs far more for each text than moving it, and files may be few or uneven."""
-    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-
 def external_text(text: Column, url: Column, kind: Column, row: Column, base: Column | None = None) -> Column:
     """An item's text under a head that tells where it is from; below the message's own text, if there is any."""
     head = F.concat(F.lit("External source kind: "), kind, F.lit("\nExternal source URL: "), url, F.lit("\n"), F.coalesce(F.concat(F.lit("Row: "), row.cast("string"), F.lit("\n")), F.lit("")), F.lit("\n"))

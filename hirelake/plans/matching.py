@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import matching as M
 from hirelake.operators.filters import active
-from hirelake.operators.units import spread
-from hirelake.session import cut
+from hirelake.session import cut, spread
 
 #: What pairs carry of an entity; texts and vectors stay behind.
 CARRIED = ("id", "is_internal", "primary_labels", "secondary_tokens", "tooling_labels", "meaningful_tokens", "catalog", "grade_level", "rate_anchor", "location_tokens", "work_formats")

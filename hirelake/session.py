@@ -1,4 +1,4 @@
-"""What jobs need from the session: the shared checkpoint folder."""
+"""What jobs need from the session: the shared checkpoint folder, and its cores."""
 
 from __future__ import annotations
 
@@ -19,3 +19,8 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt evenly over the cluster: what follows costs far more for each text than moving it, and files may be few or uneven."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
