@@ -7,7 +7,7 @@ A key that a run holds loses its lines in the whole batch; a key new in the batc
 ascending order of ids, as ``dedup`` makes them, the smallest id of all keeps its lines. Keys are 128-bit hashes. Runs with a ``root`` of the caller's are
 kept there: documents that come later, given to ``dedup`` with ``Runs(spark, root=...)``, lose the lines of all that came before.
 
-Defined cases: a null or empty text is one empty line; rows with a null id pass unchanged and count for nobody; rows sharing an id are the
+Defined cases: ids are integers; a null or empty text is one empty line; rows with a null id pass unchanged and count for nobody; rows sharing an id are the
 same document, so they lose no line to each other; a key repeated in one document only is kept; extra columns pass unchanged.
 """
 

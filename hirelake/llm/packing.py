@@ -11,7 +11,7 @@ Tokens come from a public tokenizer file, whose path is a parameter. Words betwe
 the ids of the whole text as the tokenizer normalizes and splits by character classes that no match spans. They are remembered without regard to
 case, but for words that may hold an added token, which the tokenizer looks for before it normalizes.
 
-Defined cases: a null or empty text is the end token alone; each row is a document of its own, also when ids repeat or are null; extra
+Defined cases: ids are integers; a null or empty text is the end token alone; each row is a document of its own, also when ids repeat or are null; extra
 columns are not looked at; an empty table gives no pieces.
 """
 

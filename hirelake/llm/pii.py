@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates.
 
 Entities are e-mail addresses, telephone numbers, IP addresses of both versions, payment card numbers and IBANs (with valid check digits) and names
-after a form of address, with every later or earlier mention of such a name's words in the same text. An entity's parts (a mailbox, a domain, a name's
+after a form of address or a label with a colon, with particles, hyphens and apostrophes, and with every later or earlier mention of such a name's words in the same text. An entity's parts (a mailbox, a domain, a name's
 words, a number) are each brought to one spelling: letters without case, digits without the punctuation between them, Cyrillic family
 names in their male form. The spelling is replaced by a function of a secret key, the part's kind and the spelling only, and what is made
 is written the way the part was written. So one person, number or address reads the same in every document and in each of its spellings
@@ -35,24 +35,31 @@ from .common import BROADCAST_ROWS, cut, fresh, small
 
 # Forms of address by the gender they tell, Russian ones in all cases.
 MALE = (
-    "Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "господин", "господина", "господину", "господином", "господине", "г-н", "г-на", "г-ну",
+    "Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "M", "Signor", "Señor", "Sr", "господин", "господина", "господину", "господином", "господине", "г-н", "г-на", "г-ну",
 )
 FEMALE = (
-    "Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Sra", "Srta", "госпожа", "госпожи", "госпоже", "госпожу", "госпожой", "г-жа", "г-жи", "г-же", "г-жу",
+    "Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle", "Signora", "Signorina", "Señora", "Señorita", "Sra", "Srta", "госпожа", "госпожи", "госпоже", "госпожу", "госпожой", "г-жа", "г-жи", "г-же", "г-жу",
 )
 NEUTRAL = ("Dr", "Prof", "Professor")
+# Words before a colon that announce a name, and particles within names.
+LABELS = ("name", "full name", "contact person", "имя", "фио", "nom", "nombre", "nome")
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "ter", "ten", "zu", "bin", "ibn", "al")
 # Country calling codes of one and two digits (all others have three); endings of Cyrillic family names, male and female.
 ONE, TWO = ("1", "7"), "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 ENDINGS = (("ский", "ская"), ("цкий", "цкая"), ("ов", "ова"), ("ев", "ева"), ("ёв", "ёва"), ("ин", "ина"), ("ын", "ына"))
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*)@((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})")
-PHONE = re.compile(r"(?<![\w+(])(?:\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{2}[ .-]?\d{2}|\+\d{1,3}(?:[ .-]\d{2,4}){3,4}|\+\d{10,14}|8[ -]?\(\d{3}\)[ -]?\d{3}-\d{2}-\d{2}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\w)")
+PHONE = re.compile(r"(?<![\w+(])(?:\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{2}[ .-]?\d{2}|\+\d{1,3}(?:[ .-]\d{2,4}){3,4}|\+\d{10,14}|8[ -]?\(\d{3}\)[ -]?\d{3}-\d{2}-\d{2}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{1,4}[ /]\d{5,8})(?![\w.]\d|\w)")
 IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)")
 IP6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]|\.\d)")
 CARD = re.compile(r"(?<![\w.])(?:\d{16}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|3[47]\d{13}|3[47]\d{2}([ -])\d{6}\2\d{5})(?!\w)")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)")
-TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + ")"
-NAME = re.compile(rf"(?<!\w)({TITLE}(?:\.?[  ]+{TITLE})*)" r"(\.?[  ]+)([^\W\d_a-zа-яё][^\W\d_]+(?:-[^\W\d_]+)*(?:[  ][^\W\d_a-zа-яё][^\W\d_]+(?:-[^\W\d_]+)*){0,2})(?!\w)")
+TITLE = "(?:" + "|".join(r"M(?=\.)" if t == "M" else t for t in sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + ")"
+#: A word of a name: a capital and letters, parts after hyphens and apostrophes (but no possessive), particles before it.
+WORD = r"[^\W\d_a-zа-яё](?:[^\W\d_]+(?:[-'’](?!s(?!\w))[^\W\d_]+)*|['’](?!s(?!\w))[^\W\d_]{2,}(?:-[^\W\d_]+)*)"
+WORDS = rf"((?:(?:{'|'.join(PARTICLES)})[  ])*{WORD}(?:[  ](?:(?:{'|'.join(PARTICLES)})[  ])*{WORD}){{0,2}})(?!\w)"
+NAME = re.compile(rf"(?<!\w)({TITLE}(?:\.?[  ]+{TITLE})*)(\.?[  ]+){WORDS}")
+LABELLED = re.compile(rf"(?<!\w)((?i:{'|'.join(LABELS)}))([  ]*:[  ]*){WORDS}")
 DIGIT = re.compile(r"\d")
 #: Two private-use characters around the number of a part that is already replaced.
 OPEN, SHUT = "\ue000", "\ue001"
@@ -174,7 +181,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         labels = value.split(".")
         return ".".join([longer(letters(s, labels[0], wide)), *(letters(s, x, wide) for x in labels[1:-1]), labels[-1]])
     if kind == "phone":
-        n = 0 if value[0] != "+" else 2 if value[1] in ONE else 3 if value[1:3] in TWO else 4
+        n = int(value[0] == "0") if value[0] != "+" else 2 if value[1] in ONE else 3 if value[1:3] in TWO else 4
         return value[:n] + digits(len(value) - n + more)
     if kind == "ip":
         if ":" in value:
@@ -246,6 +253,8 @@ def rewrite(text: str, replaced: Callable[[str, str], str]) -> tuple[str, dict[s
         return m[1] + m[2] + "".join(w if not kind else hold(replaced(kind, w)) for kind, w in own)
 
     out = NAME.sub(put("name", named), out)
+    if ":" in out:
+        out = LABELLED.sub(put("name", named), out)
     if known:  # the words of these names wherever else they stand
         every = {x: kind for w, kind in known.items() for x in (w, w.upper())}
         again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(every, key=len, reverse=True))) + r")(?!\w)")

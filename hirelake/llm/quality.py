@@ -3,7 +3,8 @@
 Each rule rejects a document whose measure exceeds a cutoff. For each stratum and rule, every cutoff of a fixed grid is tested on
 the labelled rows: with n good rows of which k are rejected, the cutoff is certified if P(Bin(n, a) <= k) <= d, which is to say that the
 exact (Clopper-Pearson) upper bound of its false rejection rate at confidence 1 - d is at most a. a is ``risk`` divided by the number of rules,
-so all rules of a stratum together reject at most ``risk`` of its good rows; d is ``error`` divided by strata x rules x grid (Bonferroni), so
+so all rules of a stratum together reject at most ``risk`` of its good rows that pass the base test (what that test rejects is not
+certified); d is ``error`` divided by strata x rules x grid (Bonferroni), so
 all certificates hold at once. Among the certified cutoffs the one with the best ``bad - penalty * good`` rejections is used, if that is positive.
 
 Everything here is DataFrame expressions. Defined cases: a null text counts as empty (no words, so it fails the base test); a null stratum is

@@ -12,7 +12,7 @@ Features are the presence of hashed words, lower-cased and without punctuation a
 those only which are in ``SHARE`` of the positives and more often there than in U, by ``Z`` standard errors.
 
 The fit takes at most ``POSITIVES`` positives and ``UNLABELLED`` unlabelled texts, those with the least hash of their id (a bounded sample,
-whose features go to the driver); scoring covers all texts. Neither labels, lang, source nor id are inputs of a score.
+whose features go to the driver; of rows that share an id the least text); scoring covers all texts. Neither labels, lang, source nor id are inputs of a score.
 
 The bias is set so that a score of 0.5 is the cutoff of least estimated risk on texts unseen by the classifiers. Defined cases: null or empty texts are scored as
 texts without features; without any positive the score is 0 for all; a null label is none; if every text has a label, U are texts of the training folds,
@@ -161,8 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     rows, mark = [], None
     for ids in chosen:
         ids = small(cut(ids.withColumnRenamed(id, "_chosen")))
-        texts = docs.select(F.col(id), text_or_empty(text).alias("t")).join(ids, F.col(id) == F.col("_chosen"), "left_semi").select("t")
-        got = texts.mapInArrow(_feature_rows(mark), "at binary").limit(2 * (positives + unlabelled)).collect()  # bounded
+        texts = docs.select(F.col(id), text_or_empty(text).alias("t")).join(ids, F.col(id) == F.col("_chosen"), "left_semi").groupBy(id).agg(F.min("t").alias("t")).select("t")
+        got = texts.mapInArrow(_feature_rows(mark), "at binary").collect()  # one for each chosen id
         rows.append([np.frombuffer(r.at, np.int32) for r in got])
         if mark is None:  # of U only what the positives have often enough is asked for
             seen = np.bincount(np.concatenate([*rows[0], np.empty(0, np.int32)]), minlength=DIM)

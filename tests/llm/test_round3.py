@@ -249,3 +249,38 @@ def test_few_unique_rows_are_taken_for_repeats(spark):
 def test_nothing_but_expressions(spark):
     plan = exact.report(make(spark, ["a", "a"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+# ---- 3 names and numbers of more forms; 2 the risk's gradient ----
+
+PLANTED = [
+    "Mr. O'Brien", "Mr van der Berg", "M. Dupont", "Signor Rossi", "Name: John Smith", "Dr. Anne-Marie D’Arcy", "Frau von der Leyen", "ФИО: Иван Петров", "Nombre: Ana de la Cruz", "Señora García", "Mrs Smith-Jones",
+    "030 1234567", "0221/9876543", "415.555.2671", "(212) 555-0100", "+1 415 555 2671", "a.b@mail.example.com", "10.20.30.40",
+]
+
+
+def test_planted_names_and_numbers_are_replaced(spark):
+    from hirelake.llm import pii
+
+    texts = [f"Please ask {p}, who was here. The rest of this sentence stays." for p in PLANTED]
+    out = [r.text for r in pii.anonymize(make(spark, texts), b"key").orderBy("doc_id").collect()]
+    left = [p for p, t in zip(PLANTED, out) if any(len(w) > 3 and w in t for w in re.findall(r"[^\W_]+(?:[’'][^\W_]+)?", p) if w.lower() not in ("name", "nombre", "frau", "señora", "signor", "mail", "example") and (w[0].isupper() or w[0].isdigit()))]
+    assert len(left) <= len(PLANTED) / 10, left
+    assert all(t.startswith("Please ask ") and t.endswith(", who was here. The rest of this sentence stays.") for t in out)
+    clean = ["The Name of it: nothing", "Mr Smith's dog met Mr Smith", "version 1.2.3.4567 of 2024", "M street, de la nada", "0 1234567 rows"]
+    got = [r.text for r in pii.anonymize(make(spark, clean), b"key").orderBy("doc_id").collect()]
+    assert got[0] == clean[0] and got[2:] == clean[2:]
+    first, second = re.match(r"Mr (\w+)'s dog met Mr (\w+)", got[1]).groups()
+    assert first == second != "Smith"
+
+
+def test_repeated_ids_drop_no_row_of_the_fit(spark):
+    from hirelake.llm import toxicity
+
+    texts = [(k, f"awful bad word{k % 7}" if k % 2 else f"nice good word{k % 7}") for k in range(600) for _ in range(3)]
+    labels = spark.createDataFrame([(k, 1) for k in range(1, 500, 2)], "doc_id long, toxic int")
+    rows = toxicity.scores(make(spark, texts), labels, positives=60, unlabelled=120).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id % 2, []).append(r.score)
+    assert len(rows) == 1800 and min(by[1]) > max(by[0])
