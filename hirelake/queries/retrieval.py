@@ -54,7 +54,10 @@ def retrieved_hits(spark, d):
     return V.specialist_hits(*_three(spark, d), AS_OF, 50).withColumn("sim", F.round("sim", 6))
 
 
-@query("rebuild_matches_all", _with(_HITS, _BEST.replace("SELECT vacancy_id, specialist_id, s,", "SELECT vacancy_id, specialist_id, s AS similarity_score,", 1) + "20", extra=("registry",)))
+rebuild_sql = _with(_HITS, _BEST.replace("SELECT vacancy_id, specialist_id, s,", "SELECT vacancy_id, specialist_id, s AS similarity_score,", 1) + "20", extra=("registry",))
+
+
+@query("rebuild_matches_all", rebuild_sql)
 def rebuild_matches_all(spark, d):
     best = V.match_specialists(*_three(spark, d), AS_OF, 50, 20)
     return best.select("vacancy_id", "specialist_id", F.col("score").alias("similarity_score"), "rank")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the checkpoint folder that the cluster shares (spark.checkpoint.dir; one of our own only where it is unset)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir; one of our own only where it is unset, in local mode)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
@@ -18,6 +18,18 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/hirelake/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder; lineage ends there, so a lost executor costs no recomputation. Spark removes the files when the
+    frame is garbage, where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
