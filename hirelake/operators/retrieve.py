@@ -147,8 +147,13 @@ def _block(table: pa.Table, centers: dict[int, np.ndarray], queries: bool) -> pa
 
 
 def _blocks(rows: DataFrame, centers: dict[int, np.ndarray], queries: bool) -> DataFrame:
-    """Rows (id, v) as blocks of about ROWS rows or BYTES bytes of one cell. Rows are dealt by their number, so repeated rows fill no block."""
-    cells = cut(rows.mapInArrow(partial(_cells, centers=centers), "dim long, cell long, id long, v binary").withColumn("row", F.monotonically_increasing_id()))
+    """Rows (id, v) as blocks of about ROWS rows or BYTES bytes of one cell. Rows are dealt by their number, so repeated rows fill no block. Queries that are fewer
+    are gathered around fewer of the centers, since each of their blocks has the table's blocks sent to it."""
+    own = centers
+    if queries and centers:
+        most = max(1, -(-rows.count() // ROWS))
+        own = {n: c[:most] for n, c in centers.items()}
+    cells = cut(rows.mapInArrow(partial(_cells, centers=own), "dim long, cell long, id long, v binary").withColumn("row", F.monotonically_increasing_id()))
     size = F.least(F.lit(ROWS), F.greatest(F.lit(1), F.floor(F.lit(BYTES) / (8 * F.col("dim")))))
     counts = cells.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))  # at most CENTERS rows for each dimension
     dealt = cells.join(F.broadcast(counts), ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64("row"), "parts").alias("part"), "id", "v")
