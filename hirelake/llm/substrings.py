@@ -6,17 +6,21 @@ A suffix array of a whole corpus is one unbounded sort, so windows of LENGTH byt
 an anchor, the least-hashed of its GRAM-byte substrings (leftmost if equal). The windows that follow each other with one anchor form a
 stretch; equal windows have equal anchors at equal offsets, so they lie in stretches of one anchor hash.
 
-1. Each text yields its stretches (anchor hash, content hash, id, start, length). Of stretches that are equal throughout all but the first are
-   repeats and go no further: this is settled within each batch before the shuffle, so a passage in a third of all texts is no hot key, and
-   once more after it. An anchor with several contents in a batch needs no counting: one row of it goes to the count, and its stretches are dealt by
-   content, so an anchor with a third of all contents is no hot key either.
-2. An anchor with a single content in the corpus has no more repeats. The stretches of all others are cut out of the texts.
+1. Each text yields its stretches (anchor hash, content hash, id, start, length). The content hash only tells which stretches are the same, so that
+   each different stretch goes on once, with its first place (its head) and whether it has later places; the later places wait as rows of their own.
+   Batches do this before the shuffle, so a passage in a third of all texts is no hot key, and parts of the keys once more after it. An anchor with
+   several contents in a batch needs no counting: one row of it goes to the count, and its stretches are dealt by content, so an anchor with a
+   third of all contents is no hot key either.
+2. An anchor whose single content has a single place has no repeats. The heads of all others are cut out of the texts.
 3. Groups of anchors go to tasks of bounded size, each of which sorts the suffixes of its stretches (those whose first LENGTH bytes are not
-   unique; equal stretches count as one with several occurrences), takes the common-prefix lengths of neighbours, and scans them with a stack for
-   the intervals of the common-prefix tree. An interval of at least LENGTH bytes whose occurrences differ in the byte to their left is a maximal
-   repeat: all its occurrences but the first are removed. An interval with one left byte is part of a longer one and skipped.
-   The tree of an anchor with more than HOT stretches does not fit a task. There it is cut off at depth LENGTH: its nodes at that depth are the
-   classes of equal windows, found by one aggregate over all tasks, and all windows of a class but the first are removed, which is the same.
+   unique, and whole stretches with several places), takes the common-prefix lengths of neighbours, and scans them with a stack for the intervals
+   of the common-prefix tree. An interval of at least LENGTH bytes whose occurrences differ in the byte to their left is a maximal repeat: all its
+   occurrences but the first are removed. An interval with one left byte is part of a longer one and skipped. A leaf with several places is an
+   interval too; the later places of its stretch lose what it says by a join on the stretch. All that is removed comes from intervals.
+4. An anchor with more than HOT different stretches is split by the bytes around it. Windows that hold the anchor at one of a range of offsets have
+   more bytes in common than the anchor; pieces of the stretches that hold these windows are grouped by those bytes and go to trees as above. Groups
+   that are still too large are split by narrower ranges (WIDTHS). With a single offset all pieces of a group are the same LENGTH bytes: the tree is
+   one leaf, whose first place is a minimum that every task takes a part of.
 
 Texts are shuffled only where a stretch is to be cut out of them or a span to be removed, as long as the ids of these documents may be broadcast.
 
@@ -43,9 +47,11 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, cut, mix64, small, text_or_empty
 
 LENGTH, GRAM = 100, 32
-#: Bytes hashed at once; stretches in a suffix array, on average; stretches of an anchor from which its tree is cut off at depth LENGTH; bytes of text
-#: (a stretch in 23 of them) whose stretches one task settles.
+#: Bytes hashed at once; stretches in a suffix array, on average; stretches of a group in it at most; bytes of text (a stretch in 23 of them) whose
+#: stretches one task sorts.
 BLOCK, TASK, HOT, PART = 1 << 19, 4096, 20_000, 24 << 20
+#: Offsets of the anchor in a range, by which groups that are too large are split one after the other.
+WIDTHS = 23, 8, 1
 LAST = 2**63 - 1  # stands for a null id
 
 _rng = np.random.default_rng(5)
@@ -108,10 +114,9 @@ def _part(k: np.ndarray, parts: int) -> np.ndarray:
     return (k.view(np.uint64) >> np.uint64(32)).astype(np.int64) % parts
 
 
-def _stretch_rows(batches: Iterator[pa.RecordBatch], settle: bool, parts: int) -> Iterator[pa.RecordBatch]:
-    """Packed rows (part, data), see _unpack: a batch's stretches by part of the key that they are to meet by. That is the anchor a of a stretch whose anchor
-    has one content in the batch, and a ^ c, with c the content, of the others, of whose anchor one key a more goes to the count. settle: whether repeats
-    of whole stretches are spans to remove; else they are kept for the trees."""
+def _stretch_rows(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows (part, data), see _unpack: a batch's different stretches by part of the key that they are to meet by. That is the anchor a of a stretch
+    whose anchor has one content in the batch, and a ^ c, with c the content, of the others, of whose anchor one key a more goes to the count."""
     for batch in batches:
         found: list[list[np.ndarray]] = [[], [], [], [], []]
         for b, ends, ids in _blocks(batch.column(0).to_pylist(), batch.column(1)):
@@ -124,23 +129,23 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch], settle: bool, parts: int) -
         a, c, doc, start, size = (np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
         order = np.lexsort((start, doc, c, a))
         a, c, doc, start, size = (x[order] for x in (a, c, doc, start, size))
-        gone = _later(a, c, doc, start) & settle
-        spans = merged(doc[gone], start[gone], start[gone] + size[gone])
-        a, c, doc, start, size = (x[~gone] for x in (a, c, doc, start, size))
+        head, later, many = _heads(a, c, doc, start)
+        rest = (mix64(doc[later].view(np.uint64) + start[later].view(np.uint64)).view(np.int64), a[later], c[later], doc[later], start[later])
+        a, c, doc, start, size, many = (x[head] for x in (a, c, doc, start, size, many))
         again = np.zeros(len(a), bool)  # of the anchor of the row before
         again[1:] = a[1:] == a[:-1]
         several = again.copy()
         several[:-1] |= again[1:]
         one, counted = ~several, a[several & ~again]  # once each
         groups = (
-            (a[one], c[one], doc[one], start[one].astype(np.int32), size[one].astype(np.uint8)),
-            (a[several] ^ c[several], c[several], doc[several], start[several].astype(np.int32), size[several].astype(np.uint8)),
+            (a[one], c[one], doc[one], start[one].astype(np.int32), size[one].astype(np.uint8), many[one].astype(np.uint8)),
+            (a[several] ^ c[several], c[several], doc[several], start[several].astype(np.int32), size[several].astype(np.uint8), many[several].astype(np.uint8)),
             (counted,),
-            (mix64(spans[0].view(np.uint64) + spans[1].view(np.uint64)).view(np.int64), spans[0], spans[1].astype(np.int32), spans[2].astype(np.int32)),
+            (rest[1], rest[2], rest[3], rest[4].astype(np.int32)),
         )
         cuts, sorted_groups = [], []
-        for g in groups:
-            part = _part(g[0], parts)
+        for g, key in zip(groups, (groups[0][0], groups[1][0], counted, rest[0])):
+            part = _part(key, parts)
             order = np.argsort(part, kind="stable")
             cuts.append(np.searchsorted(part[order], np.arange(parts + 1)))
             sorted_groups.append([x[order] for x in g])
@@ -152,11 +157,11 @@ def _stretch_rows(batches: Iterator[pa.RecordBatch], settle: bool, parts: int) -
         yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(data, pa.binary())], ["part", "data"])
 
 
-_PACKED = (("<i8", "<i8", "<i8", "<i4", "<u1"), ("<i8", "<i8", "<i8", "<i4", "<u1"), ("<i8",), ("<i8", "<i8", "<i4", "<i4"))
+_PACKED = (("<i8", "<i8", "<i8", "<i4", "<u1", "<u1"), ("<i8", "<i8", "<i8", "<i4", "<u1", "<u1"), ("<i8",), ("<i8", "<i8", "<i8", "<i4"))
 
 
 def _unpack(data: list[bytes]) -> list[list[np.ndarray]]:
-    """The columns of (key, content, doc, start, length) alone with their anchor, the same of several, keys to count, and (key, doc, start, stop) to remove."""
+    """The columns of (key, content, doc, start, length, many) alone with their anchor, the same of several, keys to count, and later (anchor, content, doc, start)."""
     found = [[[] for _ in g] for g in _PACKED]
     for x in data:
         sizes, at = np.frombuffer(x, "<i8", 4).tolist(), 32
@@ -167,42 +172,46 @@ def _unpack(data: list[bytes]) -> list[list[np.ndarray]]:
     return [[np.concatenate(c).astype(np.int64) if c else np.empty(0, np.int64) for c in g] for g in found]
 
 
-def _later(k: np.ndarray, c: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Of rows in the order of all four: whether it has the content, but not the place, of an earlier row (key and content hash, so 128 bits)."""
-    same = np.zeros(len(k), bool)
-    same[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(k))))
-    return (doc != doc[head]) | (start != start[head])
+def _heads(k: np.ndarray, c: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows in the order of all four: which are the first of their key and content (128 bits), which have the content but another place than the first, and
+    of which firsts there are such others."""
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+    later = (doc != doc[first]) | (start != start[first])
+    many = np.zeros(len(k), bool)
+    many[first[later]] = True
+    return new, later, many
 
 
-def _settled(batches: Iterator[pa.RecordBatch], settle: bool) -> Iterator[pa.RecordBatch]:
-    """(a, doc, start, size, gone) of a bounded part of all keys: the spans to remove and the stretches of anchors that may repeat."""
-    one, several, counted, spans = _unpack([x.as_py() for b in batches for x in b.column(0)])
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, c, doc, start, size) of a bounded part of all keys: stretches of anchors that may repeat, with their length, negative where there are later places;
+    and the later places, of length 0."""
+    one, several, counted, rest = _unpack([x.as_py() for b in batches for x in b.column(0)])
     out = [[], [], [], [], []]
 
-    def add(a: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, gone: np.ndarray) -> None:
-        for column, x in zip(out, (a, doc, start, size, gone)):
+    def add(*columns: np.ndarray) -> None:
+        for column, x in zip(out, columns):
             column.append(x)
 
-    for alone, (k, c, doc, start, size) in ((True, one), (False, several)):
+    for alone, (k, c, doc, start, size, many) in ((True, one), (False, several)):
         order = np.lexsort((start, doc, c, k))
-        k, c, doc, start, size = (x[order] for x in (k, c, doc, start, size))
-        gone = _later(k, c, doc, start) & settle
-        open_ = np.ones(len(k), bool)
+        k, c, doc, start, size, many = (x[order] for x in (k, c, doc, start, size, many))
+        head, later, more = _heads(k, c, doc, start)
+        a = k if alone else k ^ c
+        add(a[later], c[later], doc[later], start[later], np.zeros(later.sum(), np.int64))
+        more[np.flatnonzero(head)] |= np.bincount(np.cumsum(head) - 1, many, head.sum()) > 0
+        k, a, c, doc, start, size, more = (x[head] for x in (k, a, c, doc, start, size, more))
+        take = np.ones(len(k), bool)
         if alone and len(k):
             new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             last = np.concatenate([new[1:], [len(k)]]) - 1
-            may = (c[new] != c[last]) | np.isin(k[new], counted)
-            if not settle:
-                may |= last > new
-            open_ = np.repeat(may, last - new + 1)
-        take = gone | open_
-        add((k if alone else k ^ c)[take], doc[take], start[take], size[take], gone[take])
-    _, doc, start, stop = spans
-    add(np.zeros(len(doc), np.int64), doc, start, stop - start, np.ones(len(doc), bool))
+            take = np.repeat((last > new) | np.isin(k[new], counted), last - new + 1) | more
+        add(a[take], c[take], doc[take], start[take], np.where(more, -size, size)[take])
+    add(*rest, np.zeros(len(rest[0]), np.int64))
     columns = [np.concatenate(x) for x in out]
     for at in range(0, len(columns[0]), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in columns], ["a", "doc", "start", "size", "gone"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in columns], ["a", "c", "doc", "start", "size"])
 
 
 def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,20 +230,25 @@ def merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return doc[first], start[first], reach[last] - lift[first]
 
 
-def intervals(suffixes: list[bytes], left: list[int], order: list) -> Iterator[tuple[int, int, int, int]]:
+def intervals(suffixes: list[bytes], left: list[int], order: list, several: list[bool] | None = None) -> Iterator[tuple[int, int, int, int]]:
     """(length, from, to, first) of the maximal repeats of at least LENGTH bytes among sorted suffixes: the interval from..to (inclusive) of the
     suffix array and the position in it of the occurrence that is least by ``order``. left: the byte before each suffix, negative and
-    different from all others where there is none."""
+    different from all others where there is none. several: which suffixes have further places with other bytes before them, so that the leaf alone is an
+    interval, unless it is as long as the one around it."""
 
     def common(x: bytes, y: bytes) -> int:
         n = min(len(x), len(y))
         return n - ((int.from_bytes(x[:n], "big") ^ int.from_bytes(y[:n], "big")).bit_length() + 7) // 8
 
     stack: list[list] = []  # open intervals: [length, from, left byte or None once they differ, first]
-    n = len(suffixes)
+    n, before = len(suffixes), 0
     for k in range(1, n + 1):
         length = common(suffixes[k - 1], suffixes[k]) if k < n else 0
         leaf = [None, k - 1, left[k - 1], k - 1]
+        if several and several[k - 1] and len(suffixes[k - 1]) > max(before, length):
+            leaf[2] = None
+            yield len(suffixes[k - 1]), k - 1, k - 1, k - 1
+        before = length
         carry = leaf
         while stack and stack[-1][0] > length:
             top = stack.pop()
@@ -255,107 +269,167 @@ def _join(into: list, part: list, order: list) -> None:
         into[3] = part[3]
 
 
-def _occurrences(pdf: pd.DataFrame) -> Iterator[tuple[int, list[tuple[int, int]], tuple[int, int]]]:
-    """The suffix array of a bounded set of stretches: (length, all occurrences, the first of them) of its maximal repeats; an occurrence is (doc, start)."""
-    places: dict[bytes, list[tuple[int, int]]] = {}
-    for t, d, s in zip(pdf["bytes"].tolist(), pdf["doc"].tolist(), pdf["start"].tolist()):
-        places.setdefault(t, []).append((d, s))
-    texts, where = list(places), [sorted(set(x)) for x in places.values()]
-    for t, x in zip(texts, where):
-        if len(x) > 1:  # a leaf of the tree with several occurrences
-            yield len(t), x, x[0]
+def _nodes(pdf: pd.DataFrame) -> Iterator[tuple[int, list[tuple[list, int]], tuple[int, int]]]:
+    """The suffix array of a bounded set of pieces: (length, members, first occurrence) of its maximal repeats. A member is the places of a piece, (doc, start,
+    anchor, content, base, many) each, and the offset of the repeat in the piece; an occurrence is (doc, start)."""
+    places: dict[bytes, set[tuple]] = {}
+    for row in zip(*(pdf[c].tolist() for c in ("bytes", "doc", "start", "a", "c", "base", "many"))):
+        places.setdefault(row[0], set()).add(row[1:])
+    texts, where = list(places), [sorted(x) for x in places.values()]
+    several = [x[0][:2] != x[-1][:2] or any(p[5] for p in x) for x in where]
     b = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     begins = np.concatenate([[0], ends[:-1]])
     h = _span_hashes(b, LENGTH)
     owner = np.repeat(np.arange(len(texts)), ends - begins - LENGTH + 1)
-    at = np.arange(len(owner)) + (owner * (LENGTH - 1))  # window starts: all but the last LENGTH - 1 positions of each stretch
+    at = np.arange(len(owner)) + (owner * (LENGTH - 1))  # window starts: all but the last LENGTH - 1 positions of each piece
     _, back, count = np.unique(h[at], return_inverse=True, return_counts=True)
-    twice = np.flatnonzero(count[back] > 1)
-    own, off = owner[twice].tolist(), (at[twice] - begins[owner[twice]]).tolist()
+    offset = at - begins[owner]
+    taken = np.flatnonzero((count[back] > 1) | ((offset == 0) & np.array(several, bool)[owner]))
+    own, off = owner[taken].tolist(), offset[taken].tolist()
     suffixes = [texts[o][p:] for o, p in zip(own, off)]
     array = sorted(range(len(suffixes)), key=suffixes.__getitem__)
     first_of = [(where[own[k]][0][0], where[own[k]][0][1] + off[k]) for k in array]
     left = [texts[own[k]][off[k] - 1] if off[k] else -1 - k for k in array]
-    for length, lo, hi, first in intervals([suffixes[k] for k in array], left, first_of):
-        yield length, [(d, s + off[k]) for k in array[lo : hi + 1] for d, s in where[own[k]]], first_of[first]
+    for length, lo, hi, first in intervals([suffixes[k] for k in array], left, first_of, [off[k] == 0 and several[own[k]] for k in array]):
+        yield length, [(where[own[k]], off[k]) for k in array[lo : hi + 1]], first_of[first]
+
+
+_SPANS = "doc long, start long, stop long, a long, c long"
 
 
 def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Spans to remove."""
-    doc, start, stop = [], [], []
-    for length, every, first in _occurrences(pdf):
-        for d, s in every:
-            if (d, s) != first:
-                doc.append(d)
-                start.append(s)
-                stop.append(s + length)
+    """Spans to remove; and, without an id, those of leaves, which all later places of the stretch (a, c) lose."""
+    doc, start, stop, leaves = [], [], [], {}
+    for length, members, first in _nodes(pdf):
+        for every, off in members:
+            for d, s, a, c, base, many in every:
+                if (d, s + off) != first:
+                    doc.append(d)
+                    start.append(s + off)
+                    stop.append(s + off + length)
+                if many and base + off == 0:
+                    leaves[a, c] = max(length, leaves.get((a, c), 0))  # the whole stretch is among them
     d, s, e = merged(np.array(doc, np.int64), np.array(start, np.int64), np.array(stop, np.int64))
-    return pd.DataFrame({"doc": d, "start": s, "stop": e})
+    spans = pd.DataFrame({"doc": d, "start": s, "stop": e}).astype("Int64")
+    late = pd.DataFrame([(None, 0, n, a, c) for (a, c), n in leaves.items()], columns=["doc", "start", "stop", "a", "c"]).astype("Int64")
+    return pd.concat([spans.assign(a=pd.NA, c=pd.NA).astype("Int64"), late])
+
+
+_MEMBERS = "group string, length long, doc long, start long, a long, c long, off long, many boolean"
 
 
 def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = [(f"{first[0]}:{first[1]}:{length}", length, d, s) for length, every, first in _occurrences(pdf) for d, s in sorted(set(every)) if len(set(every)) > 1]
-    return pd.DataFrame(rows, columns=["group", "length", "doc", "start"])
+    rows = []
+    for length, members, first in _nodes(pdf):
+        name = f"{first[0]}:{first[1]}:{length}"
+        rows += sorted({(name, length, d, s + off, a, c, base + off, many) for every, off in members for d, s, a, c, base, many in every})
+    return pd.DataFrame(rows, columns=["group", "length", "doc", "start", "a", "c", "off", "many"])
+
+
+def _parts(a: int, piece: bytes, width: int) -> Iterator[tuple[int, int, bytes]]:
+    """(group, offset, bytes) of the parts of a piece with anchor hash a that hold the windows with the anchor at one range of offsets; the group is a hash
+    of the bytes that all windows of the range have in common."""
+    at = np.flatnonzero(_span_hashes(np.frombuffer(piece, np.uint8), GRAM).view(np.int64) == a)
+    p = int(at[0]) if len(at) else 0
+    for low in range(0, (LENGTH - GRAM + 1) * (len(at) > 0), width):  # cut out of another text of the same id, a piece has no anchor
+        lo, hi = max(low, p - (len(piece) - LENGTH)), min(low + width - 1, LENGTH - GRAM, p)
+        if lo <= hi:
+            top = min(low + width - 1, LENGTH - GRAM)
+            common = piece[p - low : p - top + LENGTH]
+            yield xxhash.xxh3_64_intdigest(common, low) - (1 << 63), p - hi, piece[p - hi : p - lo + LENGTH]
+
+
+_PIECE = "doc long, start long, a long, c long, base long, many boolean, g long, bytes binary"
+
+
+def _split(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Pieces (_PIECE) as parts by narrower ranges of offsets."""
+    for b in batches:
+        rows: list[tuple] = []
+        for d, s, a, c, base, many, piece in zip(*(b.column(k).to_pylist() for k in ("doc", "start", "a", "c", "base", "many", "bytes"))):
+            rows += [(d, s + at, a, c, base + at, many, g, part) for g, at, part in _parts(a, piece, width)]
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [*[pa.int64()] * 5, pa.bool_(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], ["doc", "start", "a", "c", "base", "many", "g", "bytes"])
 
 
 class _Pieces:
-    """Steps 1 and 2: the spans that are settled before the shuffle, and the stretches that may repeat, cut out of the texts."""
+    """Steps 1 and 2: the different stretches that may repeat, cut out of the texts, and the later places of equal ones."""
 
-    def __init__(self, docs: DataFrame, id: str, text: str, settle: bool = True):
+    def __init__(self, docs: DataFrame, id: str, text: str):
         self.rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("doc"), text_or_empty(text).alias("t")).where(F.octet_length("t") >= LENGTH)
         n = 1 + (self.rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // PART
-        found = self.rows.mapInArrow(partial(_stretch_rows, settle=settle, parts=4 * n), "part long, data binary").repartition(n, "part")
-        found = cut(found.select("data").mapInArrow(partial(_settled, settle=settle), "a long, doc long, start long, size long, gone boolean"))
-        self.gone = found.where("gone").select("doc", "start", (F.col("start") + F.col("size")).alias("stop"))
-        self.need = found.where("not gone").drop("gone")
-        self.hot = cut(self.need.groupBy("a").count().where(F.col("count") > HOT).select("a"))
-        self.total, self.heads = self.need.count(), self.hot.count()
-
-    def cut_out(self, need: DataFrame, what) -> DataFrame:
-        """what(doc, anchor, start, bytes) -> rows of (doc, a, start, bytes), over the given stretches."""
-        per = cut(need.groupBy("doc").agg(F.collect_list(F.struct("a", "start", "size")).alias("cuts")))  # at most the stretches of a document
+        found = self.rows.mapInArrow(partial(_stretch_rows, parts=4 * n), "part long, data binary").repartition(n, "part")
+        found = cut(found.select("data").mapInArrow(_distinct, "a long, c long, doc long, start long, size long"))
+        self.later = found.where("size = 0").drop("size")
+        need = found.where("size != 0").select("a", "c", "doc", "start", F.abs("size").alias("size"), (F.col("size") < 0).alias("many"))
+        hot = cut(need.groupBy("a").count().where(F.col("count") > HOT).select("a"))
+        self.hot = None
+        calm = need.withColumn("g", F.col("a"))
+        if hot.limit(1).count():
+            self.hot = need.join(small(hot), "a", "left_semi").withColumn("g", F.lit(0).cast("long"))
+            calm = calm.join(small(hot), "a", "left_anti").unionByName(self.hot.where("many").withColumn("g", F.col("a").bitwiseXOR(F.col("c"))))
+        self.calm, self.total = calm, calm.count()
+
+    def cut_out(self, need: DataFrame) -> DataFrame:
+        """The given stretches with their bytes (_PIECE)."""
+        per = cut(need.groupBy("doc").agg(F.collect_list(F.struct("a", "c", "start", "size", "many", "g")).alias("cuts")))  # at most the stretches of a document
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out: list[list] = [[], [], [], []]
+                rows: list[tuple] = []
                 for d, t, cuts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                     raw = t.as_py().encode()
-                    for x in cuts.as_py():
-                        if x["start"] + x["size"] <= len(raw):
-                            for row in what(d, x["a"], x["start"], raw[x["start"] : x["start"] + x["size"]]):
-                                for column, value in zip(out, row):
-                                    column.append(value)
-                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.binary())], ["doc", "a", "start", "bytes"])
+                    for a, c, start, size, many, g in zip(*(cuts.values.field(k).to_pylist() for k in range(6))):
+                        if start + size <= len(raw):
+                            rows.append((d, start, a, c, 0, many, g, raw[start : start + size]))
+                yield _batch(rows)
 
         some = self.rows.join(small(per.select("doc")), "doc", "left_semi")  # else all texts would be shuffled
-        return some.join(per, "doc").select("doc", "t", "cuts").mapInArrow(of, "doc long, a long, start long, bytes binary")
+        return some.join(per, "doc").select("doc", "t", "cuts").mapInArrow(of, _PIECE)
 
     def trees(self, work, schema: str) -> DataFrame:
-        """work on the pieces of each group of anchors that are not hot."""
-        calm = self.need.join(small(self.hot), "a", "left_anti") if self.heads else self.need
-        tasks = max(1, -(-self.total // TASK))
-        pieces = self.cut_out(calm, lambda *piece: (piece,)).withColumn("task", F.pmod("a", F.lit(tasks)))
-        return pieces.groupBy("task").applyInPandas(work, schema)
+        """work on the pieces of each bounded group."""
+
+        def grown(pieces: DataFrame, total: int) -> DataFrame:
+            tasks = max(1, -(-total // TASK))
+            return pieces.withColumn("task", F.pmod("g", F.lit(tasks))).groupBy("task").applyInPandas(work, schema)
+
+        out = grown(self.cut_out(self.calm), self.total)
+        if self.hot is None:
+            return out
+        pieces = self.cut_out(self.hot)
+        for width in WIDTHS:
+            pieces = cut(pieces.mapInArrow(partial(_split, width=width), _PIECE))
+            counts = cut(pieces.groupBy("g").count().where("count > 1"))
+            if width > 1:
+                calm = counts.where(F.col("count") <= HOT)
+                out = out.unionByName(grown(pieces.join(small(calm.select("g")), "g", "left_semi"), calm.agg(F.sum("count")).first()[0] or 0))
+                pieces = pieces.join(small(counts.where(F.col("count") > HOT).select("g")), "g", "left_semi")
+        self.leaves = pieces.join(small(counts.select("g")), "g", "left_semi")
+        return out
 
     def classes(self) -> DataFrame:
-        """(doc, start, w, first): the windows of hot anchors that occur more than once, with their content's hash and first occurrence."""
-
-        def each_window(doc: int, a: int, start: int, part: bytes) -> Iterator[tuple]:
-            return ((doc, a, start + k, xxhash.xxh3_128_digest(part[k : k + LENGTH])) for k in range(len(part) - LENGTH + 1))
-
-        windows = self.cut_out(self.need.join(small(self.hot), "a", "left_semi"), each_window).withColumnRenamed("bytes", "w")
+        """(_MEMBERS and first): the windows that are left after the last split and occur more than once, with their first occurrence."""
+        windows = self.leaves.withColumn("w", F.sha2("bytes", 256))
         earliest = cut(windows.groupBy("w").agg(F.min(F.struct("doc", "start")).alias("first"), F.max(F.struct("doc", "start")).alias("last")).where("first < last").select("w", "first"))
-        return windows.join(earliest, "w").select("doc", "start", "w", "first")
+        group = F.concat_ws(":", "first.doc", "first.start", F.lit(LENGTH))
+        return windows.join(small(earliest), "w").select(group.alias("group"), F.lit(LENGTH).cast("long").alias("length"), "doc", "start", "a", "c", F.col("base").alias("off"), "many", "first")
 
 
 def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, spans array<struct<start, stop>>): the bytes to remove of each document that has some; spans may overlap."""
     x = _Pieces(docs, id, text)
-    spans = x.gone
-    if x.total:
-        spans = spans.unionByName(x.trees(_repeats, "doc long, start long, stop long"))
-    if x.heads:
+    found = cut(x.trees(_repeats, _SPANS))
+    spans = found.where("doc is not null").select("doc", "start", "stop")
+    leaves = found.where("doc is null").select("a", "c", F.col("stop").alias("size"))
+    later = x.later.join(small(leaves), ["a", "c"])
+    spans = spans.unionByName(later.select("doc", "start", (F.col("start") + F.col("size")).alias("stop")))
+    if x.hot is not None:
         late = x.classes().where(F.col("first") != F.struct("doc", "start"))
         spans = spans.unionByName(late.select("doc", "start", (F.col("start") + LENGTH).alias("stop")))
     return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
@@ -363,13 +437,15 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
 
 def repeat_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(group, length, id, start): the maximal repeats of at least LENGTH bytes with all their occurrences, a row for each. A group is named by its first
-    occurrence and length, or, where an anchor's tree is cut off at depth LENGTH, by its content's hash."""
-    x = _Pieces(docs, id, text, settle=False)
-    out = docs.sparkSession.createDataFrame([], "group string, length long, doc long, start long")
-    if x.total:
-        out = x.trees(_groups, out.schema)
-    if x.heads:
-        out = out.unionByName(x.classes().select(F.hex("w").alias("group"), F.lit(LENGTH).cast("long").alias("length"), "doc", "start"))
+    occurrence and length."""
+    x = _Pieces(docs, id, text)
+    members = x.trees(_groups, _MEMBERS)
+    if x.hot is not None:
+        members = members.unionByName(x.classes().drop("first"))
+    members = cut(members)
+    more = members.where("many").select("group", "length", "a", "c", "off").distinct()
+    more = x.later.join(more, ["a", "c"]).select("group", "length", "doc", (F.col("start") + F.col("off")).alias("start"))
+    out = members.select("group", "length", "doc", "start").unionByName(more).distinct()
     return out.withColumn("doc", F.when(F.col("doc") != LAST, F.col("doc"))).withColumnRenamed("doc", id)
 
 
