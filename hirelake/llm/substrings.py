@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, mix64, small, text_or_empty
+from .common import BROADCAST_ROWS, cut, mix64, small, stored, text_or_empty
 
 LENGTH, GRAM = 100, 32
 #: Bytes hashed at once; stretches in a suffix array, on average; stretches of a group in it at most; bytes of text (a stretch in 23 of them) whose
@@ -364,29 +364,31 @@ class _Pieces:
         self.rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("doc"), text_or_empty(text).alias("t")).where(F.octet_length("t") >= LENGTH)
         n = 1 + (self.rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // PART
         found = self.rows.mapInArrow(partial(_stretch_rows, parts=4 * n), "part long, data binary").repartition(n, "part")
-        found = cut(found.select("data").mapInArrow(_distinct, "a long, c long, doc long, start long, size long"))
+        found = stored(found.select("data").mapInArrow(_distinct, "a long, c long, doc long, start long, size long"), "stretches")
         self.later = found.where("size = 0").drop("size")
         need = found.where("size != 0").select("a", "c", "doc", "start", F.abs("size").alias("size"), (F.col("size") < 0).alias("many"))
         hot = cut(need.groupBy("a").count().where(F.col("count") > HOT).select("a"))
         self.hot = None
-        calm = need.withColumn("g", F.col("a"))
+        calm = need.withColumn("own", F.lit(False))  # whether it has a tree of its own, away from its anchor's
         if hot.limit(1).count():
-            self.hot = need.join(small(hot), "a", "left_semi").withColumn("g", F.lit(0).cast("long"))
-            calm = calm.join(small(hot), "a", "left_anti").unionByName(self.hot.where("many").withColumn("g", F.col("a").bitwiseXOR(F.col("c"))))
+            self.hot = need.join(small(hot), "a", "left_semi").withColumn("own", F.lit(False))
+            calm = calm.join(small(hot), "a", "left_anti").unionByName(self.hot.where("many").withColumn("own", F.lit(True)))
         self.calm, self.total = calm, calm.count()
 
     def cut_out(self, need: DataFrame) -> DataFrame:
         """The given stretches with their bytes (_PIECE)."""
-        per = cut(need.groupBy("doc").agg(F.collect_list(F.struct("a", "c", "start", "size", "many", "g")).alias("cuts")))  # at most the stretches of a document
+        place = F.col("start") * 1024 + F.col("size") * 4 + F.col("many").cast("long") * 2 + F.col("own").cast("long")  # a stretch has at most 2 * LENGTH - GRAM bytes
+        per = stored(need.groupBy("doc").agg(F.collect_list(F.struct("a", "c", place.alias("place"))).alias("cuts")), "cuts")  # at most the stretches of a document
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows: list[tuple] = []
                 for d, t, cuts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                     raw = t.as_py().encode()
-                    for a, c, start, size, many, g in zip(*(cuts.values.field(k).to_pylist() for k in range(6))):
+                    for a, c, place in zip(*(cuts.values.field(k).to_pylist() for k in range(3))):
+                        start, size = place >> 10, place >> 2 & 255
                         if start + size <= len(raw):
-                            rows.append((d, start, a, c, 0, many, g, raw[start : start + size]))
+                            rows.append((d, start, a, c, 0, bool(place & 2), a ^ c if place & 1 else a, raw[start : start + size]))
                 yield _batch(rows)
 
         some = self.rows.join(small(per.select("doc")), "doc", "left_semi")  # else all texts would be shuffled
@@ -424,7 +426,7 @@ class _Pieces:
 def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, spans array<struct<start, stop>>): the bytes to remove of each document that has some; spans may overlap."""
     x = _Pieces(docs, id, text)
-    found = cut(x.trees(_repeats, _SPANS))
+    found = stored(x.trees(_repeats, _SPANS), "intervals")
     spans = found.where("doc is not null").select("doc", "start", "stop")
     leaves = found.where("doc is null").select("a", "c", F.col("stop").alias("size"))
     later = x.later.join(small(leaves), ["a", "c"])
@@ -452,7 +454,7 @@ def repeat_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, kept (binary: the remaining bytes), n_bytes, n_removed, n_spans; one row for each row of docs."""
     rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("doc"), text_or_empty(text).alias("t"))
-    spans = cut(repeats(docs, id, text))
+    spans = stored(repeats(docs, id, text), "spans")
     hit = spans.select("doc")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
