@@ -477,6 +477,34 @@ def test_repeat_groups_have_all_occurrences(spark, hot, monkeypatch):
     assert seen == {w: places for w, places in windows.items() if len(places) > 1}
 
 
+def test_a_leaf_with_several_places_is_an_interval():
+    text = [bytes(range(k, k + 120)) for k in (1, 2, 130)]
+    alone = list(substrings.intervals(text, [-1, -2, -3], [(k, 0) for k in range(3)], [False, True, False]))
+    assert alone == [(120, 1, 1, 1)]
+    around = [text[0][:110], text[0]]  # the leaf is as long as the interval around it, which says it all
+    assert list(substrings.intervals(around, [-1, -2], [(0, 0), (1, 0)], [True, False])) == [(110, 0, 1, 0)]
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_all_removed_bytes_come_from_the_groups(spark, hot, monkeypatch):
+    """What intervals report, all places but the first of each group, is what goes; nothing is settled elsewhere."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    rng = random.Random(29)
+    passage = words(rng, 40, 10**6)
+    texts = [words(rng, 12, 10**6) + " " + passage[k % 4 :] + " " + words(rng, 9, 10**6) for k in range(12)] + [passage, passage, "ab" * 90]
+    docs = make(spark, texts)
+    groups = {}
+    for r in substrings.repeat_groups(docs).collect():
+        groups.setdefault((r.group, r.length), []).append((r.doc_id, r.start))
+    gone = {k: set() for k in range(len(texts))}
+    for (_, n), places in groups.items():
+        assert len(places) == len(set(places)) > 1
+        for d, at in sorted(places)[1:]:
+            gone[d].update(range(at, at + n))
+    assert {r.doc_id: r.n_removed for r in substrings.without_repeats(docs).collect()} == {k: len(x) for k, x in gone.items()}
+    assert any(gone.values())
+
+
 def test_intervals_are_the_maximal_repeats(monkeypatch):
     monkeypatch.setattr(substrings, "LENGTH", 2)
     text = b"banana"
