@@ -248,13 +248,14 @@ def labeled_value(x: Column | str, *labels: str) -> Column:
     return F.nullif(v, F.lit(""))
 
 
-def guess_role(x: Column | str) -> Column:
+def guess_role(x: Column | str, weak: bool = True) -> Column:
+    """The first of a post's first lines with three characters or more, without its mark and its opening word; else, if weak ones count, its first line."""
     full = F.filter(F.transform(lines(x), strip), lambda v: v != "")
     mark = lambda v: F.regexp_replace(v, r"(?U)^[=~\-—•*]+\s*", "")
     verb = lambda v: F.regexp_replace(v, r"(?iU)^(требуется|нужен|нужна|ищем|вакансия)\s*[:\-]?\s*", "")
     cut = lambda v: strip(F.substring(v, 1, 120))
     found = F.get(F.filter(F.transform(F.slice(full, 1, 6), lambda v: cut(verb(mark(v)))), lambda v: F.length(v) >= 3), F.lit(0))
-    return F.coalesce(found, F.nullif(cut(mark(F.get(full, F.lit(0)))), F.lit("")))
+    return F.coalesce(found, F.nullif(cut(mark(F.get(full, F.lit(0)))), F.lit(""))) if weak else found
 
 
 def guess_grade(x: Column | str) -> Column:
