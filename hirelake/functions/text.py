@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 from functools import reduce
 
 import pandas as pd
@@ -33,6 +35,9 @@ PRIVATE_V4 = rf"(?:0|10|127|22[4-9]|23\d|24\d|25[0-5])\.{_N}\.{_N}\.{_N}|(?:192\
 PRIVATE_V6 = rf"(?:0{{0,4}}:){{2,7}}0{{0,3}}[01]?|f[cd][0-9a-f]{{2}}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{{2}}:.*|2001:0?db8:.*|::(?:ffff:)?(?:{PRIVATE_V4})"
 # ---- end of fixed values ----
 
+#: An entity with its semicolon.
+ENDED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
 #: All line ends that the rules know.
 LINES = "\r\n|[\n\r\\x0b\\x0c\\x1c-\\x1e\\x85  ]"
 
@@ -286,12 +291,21 @@ def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
-def html_to_text(x: Column | str) -> Column:
-    """Text of a page: scripts and styles dropped, breaks and paragraph ends as line ends, other tags as blanks, all entities unescaped."""
+@F.pandas_udf(StringType())
+def unescape_ended(texts: pd.Series) -> pd.Series:
+    """The same for those that a semicolon ends and whose whole name is known."""
+    known = lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html.entities.html5 else m[0]
+    return texts.map(lambda t: ENDED.sub(known, t), na_action="ignore")
+
+
+def html_to_text(x: Column | str, unended: bool = True) -> Column:
+    """Text of a page: scripts and styles dropped, breaks and paragraph ends as line ends, other tags as blanks, all entities unescaped. unended: also those
+    without a semicolon, as browsers read them."""
     t = F.coalesce(_c(x), F.lit(""))
     for pattern, by in ((r"(?is)<(script|style)\b.*?</\1>", " "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</p>", "\n"), (r"(?s)<[^>]+>", " ")):
         t = F.regexp_replace(t, pattern, by)
-    t = F.coalesce(unescape(F.when(F.contains(t, F.lit("&")), t)), t)  # only texts with entities pass the helper
+    by = unescape if unended else unescape_ended
+    t = F.coalesce(by(F.when(F.contains(t, F.lit("&")), t)), t)  # only texts with entities pass the helper
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t ]+", " "), r"\n{3,}", "\n\n")
     return strip(t)
 
