@@ -89,7 +89,7 @@ def structured_from_source(spark, d):
     row = F.when(i % 5 == 1, F.create_map(F.lit("ФИО"), F.lit(" Row Name"), F.lit("Name of specialist"), F.lit("second"), F.lit("Ставка, руб"), F.lit("1 500 руб"), F.lit("Ссылка на резюме"), F.concat(F.lit("cv http://cv/"), i, F.lit(", old"))))
     place = F.when(i % 11 % 2 == 0, "Город: Казань ").otherwise("работа, локация   Пермь")
     text = F.concat_ws("\n", F.regexp_replace("text", "\n \n", "\n"), place)
-    rows = table(spark, d, "posts").select("id", given.alias("g"), row.alias("m"), text.alias("t"), F.lit("1").alias("n"), F.lit("Имя: Never").alias("o"))
+    rows = table(spark, d, "posts", dealt=True).select("id", given.alias("g"), row.alias("m"), text.alias("t"), F.lit("1").alias("n"), F.lit("Имя: Never").alias("o"))
     return H.structured_fields(rows, "id", "g", "m", "t", "n", "o").select("id", "name", "location", "rate_min", "resume_url")
 
 
