@@ -58,58 +58,65 @@ NO_ROLE = "Unknown"
 
 def short(x: Column, most: int) -> Column:
     """With single blanks, cut; null if blank."""
-    return F.nullif(F.substring(strip(F.regexp_replace(x, r"(?U)\s+", " ")), 1, most), F.lit(""))
+    return F.get(F.filter(F.array(F.substring(strip(F.regexp_replace(x, r"(?U)\s+", " ")), 1, most)), lambda v: v != ""), F.lit(0))
 
 
 def stack_blob(x: Column) -> Column:
     """Whether a text is a list of tools and no role."""
-    t = strip(F.coalesce(x, F.lit("")))
-    return (F.length(t) > 120) | F.regexp_like(t, F.lit(IU + STACK_LABEL)) | (F.regexp_count(t, F.lit(",")) >= 5) | (F.regexp_count(t, F.lit("\n")) >= 2)
+    labelled = lambda t: F.contains(t, F.lit(":")) & F.regexp_like(t, F.lit(IU + STACK_LABEL))
+    blob = lambda t: (F.length(t) > 120) | labelled(t) | (F.regexp_count(t, F.lit(",")) >= 5) | (F.regexp_count(t, F.lit("\n")) >= 2)
+    return given(strip(F.coalesce(x, F.lit(""))), blob)
 
 
 def coerce_role(role: Column | str, stack: Column | str, guessed: Column | str) -> Column:
     """The given role unless it is a list of tools or a link, else the guessed one on the same terms, else the first of the stack that is like a role, else
     the first that is no link, else Unknown."""
     good = lambda c: F.when((strip(c) != "") & ~stack_blob(c) & ~urlish(c), short(c, 255))
-    s = F.coalesce(_c(stack), F.array().cast("array<string>"))
+    s = F.coalesce(_c(stack), F.array().cast("array<string>"))  # a column or a variable: read twice
     like = F.get(F.filter(s, lambda x: F.regexp_like(x, F.lit(IU + ROLE_LIKE))), F.lit(0))
     plain = F.get(F.filter(s, lambda x: ~urlish(x)), F.lit(0))
     return F.coalesce(good(_c(role)), good(_c(guessed)), short(like, 255), short(plain, 255), F.lit(NO_ROLE))
 
 
-def _item(fields: Column | str, stack: Column | str, text: Column | str, guessed: Column | str) -> tuple:
+def _item(fields: Column | str, stack: Column | str, text: Column | str, guessed: Column | str, make) -> Column:
+    """make(field, stack, role, description), with stack and role worked out once."""
     f = lambda k: F.try_element_at(_c(fields), F.lit(k))
-    own = sanitize_stack(stack)
-    role = coerce_role(f("role"), own, guessed)
-    own = F.when(F.size(own) > 0, own).when(role != NO_ROLE, F.array(role)).otherwise(own)
-    parts = [F.nullif(f(k), F.lit("")) for k in DESCRIBED] + [F.nullif(strip(F.coalesce(_c(text), F.lit(""))), F.lit(""))]
-    return f, own, role, F.substring(strip(F.concat_ws("\n", *parts)), 1, 2000)
+    full = lambda x: F.get(F.filter(F.array(x), lambda v: v != ""), F.lit(0))
+    two = given(sanitize_stack(stack), lambda own: F.struct(own.alias("own"), coerce_role(f("role"), own, guessed).alias("role")))
+    parts = [full(f(k)) for k in DESCRIBED] + [full(strip(F.coalesce(_c(text), F.lit(""))))]
+    description = F.substring(strip(F.concat_ws("\n", *parts)), 1, 2000)
+    own = lambda s: F.when(F.size(s["own"]) > 0, s["own"]).when(s["role"] != NO_ROLE, F.array(s["role"])).otherwise(s["own"])
+    return given(two, lambda s: make(f, own(s), s["role"], description))
 
 
 def structured_specialist(fields: Column | str, stack: Column | str, text: Column | str, guessed: Column | str) -> Column:
     """A specialist's item from the fields (map of text), the stack's texts, the unit's text and the role guessed from it."""
     from .people import unit_name
 
-    f, own, role, description = _item(fields, stack, text, guessed)
-    when = F.lower(F.coalesce(f("availability"), F.lit("")))
-    one = lambda k: F.when(F.coalesce(f(k), F.lit("")) != "", F.array(f(k))).otherwise(F.array().cast("array<string>"))
-    return F.struct(
-        unit_name(text, f("name"), role).alias("name"), role.alias("role"), own.alias("stack"), short(f("grade"), 50).alias("grade"), f("rate_min").try_cast("int").alias("rate_min"),
-        short(f("currency"), 10).alias("currency"), short(f("location"), 255).alias("location"), short(f("work_format"), 120).alias("work_format"),
-        F.when(when.isin(*AT_ONCE), 0).alias("availability_weeks"), (~F.regexp_like(when, F.lit(IU + AWAY))).alias("is_available"), one("resume_url").alias("source_urls"),
-        one("english").alias("languages"), F.nullif(description, F.lit("")).alias("description"),
-    )
+    def make(f, own: Column, role: Column, description: Column) -> Column:
+        when = F.lower(F.coalesce(f("availability"), F.lit("")))
+        one = lambda k: F.when(F.coalesce(f(k), F.lit("")) != "", F.array(f(k))).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            unit_name(text, f("name"), role).alias("name"), role.alias("role"), own.alias("stack"), short(f("grade"), 50).alias("grade"), f("rate_min").try_cast("int").alias("rate_min"),
+            short(f("currency"), 10).alias("currency"), short(f("location"), 255).alias("location"), short(f("work_format"), 120).alias("work_format"),
+            F.when(when.isin(*AT_ONCE), 0).alias("availability_weeks"), (~F.regexp_like(when, F.lit(IU + AWAY))).alias("is_available"), one("resume_url").alias("source_urls"),
+            one("english").alias("languages"), F.nullif(description, F.lit("")).alias("description"),
+        )
+
+    return _item(fields, stack, text, guessed, make)
 
 
 def structured_vacancy(fields: Column | str, stack: Column | str, text: Column | str, guessed: Column | str) -> Column:
-    f, own, role, description = _item(fields, stack, text, guessed)
-    one = lambda k: F.when(F.coalesce(f(k), F.lit("")) != "", F.array(f(k))).otherwise(F.array().cast("array<string>"))
-    return F.struct(
-        role.alias("role"), own.alias("stack"), short(f("grade"), 50).alias("grade"), f("rate_min").try_cast("int").alias("rate_min"), short(f("currency"), 10).alias("currency"),
-        short(f("company"), 255).alias("company"), short(f("client"), 255).alias("client"), short(f("location"), 255).alias("location"), short(f("work_format"), 120).alias("work_format"),
-        short(f("employment_type"), 120).alias("employment_type"), one("responsibilities_text").alias("responsibilities"), one("requirements_text").alias("requirements"),
-        F.lit(False).alias("is_closed"), description.alias("description"),
-    )
+    def make(f, own: Column, role: Column, description: Column) -> Column:
+        one = lambda k: F.when(F.coalesce(f(k), F.lit("")) != "", F.array(f(k))).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            role.alias("role"), own.alias("stack"), short(f("grade"), 50).alias("grade"), f("rate_min").try_cast("int").alias("rate_min"), short(f("currency"), 10).alias("currency"),
+            short(f("company"), 255).alias("company"), short(f("client"), 255).alias("client"), short(f("location"), 255).alias("location"), short(f("work_format"), 120).alias("work_format"),
+            short(f("employment_type"), 120).alias("employment_type"), one("responsibilities_text").alias("responsibilities"), one("requirements_text").alias("requirements"),
+            F.lit(False).alias("is_closed"), description.alias("description"),
+        )
+
+    return _item(fields, stack, text, guessed, make)
 
 
 def experience(low: Column | str, high: Column | str) -> Column:

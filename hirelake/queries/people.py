@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hirelake.functions import entities as E
 from hirelake.functions import people as H
 from hirelake.operators import units as N
+from hirelake.session import spread
 from hirelake.sources.domain import table, with_tables
 
 from . import query
@@ -112,7 +113,7 @@ _TEXTS = "concat_ws(chr(10), CASE WHEN s % 4 = 3 THEN 'SQL' END, CASE WHEN s % 7
 
 
 def _cards(spark, d):
-    s = table(spark, d, "specialists").select(F.col("id").alias("s"))
+    s = spread(table(spark, d, "specialists").select(F.col("id").alias("s")))
     i = F.col("s")
     stack = F.when(i % 3 == 0, F.array(F.lit("Go; stack: Backend Engineer"), F.lit("go"))).when(i % 3 == 1, F.array(F.lit("Kafka"), F.lit("x" * 81)))
     return s.select("s", _fields(i).alias("f"), stack.alias("stack"), F.concat(F.lit("  Card "), i).alias("t"), F.when(i % 5 == 2, "Guessed QA").alias("guessed"))
