@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .cleaning import clean_message
-from .matching import IU, _c, strip
+from .matching import IU, _c, given, strip
 
 # ---- fixed values ----
 BENCH_ANCHORS = (r"\bуровень\b\s*[:\-]", r"\bопыт\b\s*[:\-]", r"\bстек\b\s*[:\-]", r"\bлокац(?:ия|ион)\b\s*[:\-]", r"\bготовност(?:ь|и)\b\s*[:\-]", r"\b(?:рейт|ставка)\b\s*[:\-]")
 VACANCY_ANCHORS = (r"\bтребован(?:ия|ий)\b\s*[:\-]", r"\bобязанност(?:и|ей)\b\s*[:\-]", r"\bуслов(?:ия|ий)\b\s*[:\-]", r"\bзадач(?:и|)\b\s*[:\-]")
+ANCHOR_WORDS = ("уровень", "опыт", "стек", "локац", "готовност", "рейт", "ставка", "требован", "обязанност", "услов", "задач")
 REPEATED = ("уровень", "опыт", "требован")
 SEPARATOR = r"(?m)^\s*[=~]\s*\S"
 KEPT_WORDS = (
@@ -44,25 +45,34 @@ def _hits(x: Column, patterns) -> Column:
 
 def is_batch(x: Column | str) -> Column:
     """Several cards or vacancies in one message."""
-    t = F.coalesce(_c(x), F.lit(""))
-    low = F.lower(t)
-    twice = reduce(lambda a, b: a | b, [F.regexp_count(low, F.lit(w)) >= 2 for w in REPEATED])
-    return (F.regexp_count(t, F.lit(SEPARATOR)) >= 2) | (_hits(t, BENCH_ANCHORS) >= 2) | (_hits(t, VACANCY_ANCHORS) >= 2) | twice
+    def several(s: Column) -> Column:
+        t, low, folded = s["t"], s["l"], s["f"]
+        twice = reduce(lambda a, b: a | b, [F.regexp_count(low, F.lit(w)) >= 2 for w in REPEATED])
+        # an anchor is looked for where its word stands
+        hits = lambda patterns: F.when(_any(folded, ANCHOR_WORDS), _hits(t, patterns)).otherwise(0)
+        return twice | (F.regexp_count(t, F.lit(SEPARATOR)) >= 2) | (hits(BENCH_ANCHORS) >= 2) | (hits(VACANCY_ANCHORS) >= 2)
+
+    return given(given(F.coalesce(_c(x), F.lit("")), lambda t: F.struct(t.alias("t"), F.lower(t).alias("l"), F.lower(F.upper(t)).alias("f"))), several)
 
 
-def _relevant(line: Column) -> Column:
-    low = F.lower(line)
+def _relevant(line: Column, low: Column) -> Column:
     money = F.regexp_like(line, F.lit(NUMBER)) & _any(low, MONEY_WORDS)
     return F.contains(line, F.lit("@")) | _any(low, ("t.me/", "http")) | F.regexp_like(line, F.lit(DATE)) | money | _any(low, KEPT_WORDS)
 
 
 def keep_relevant(x: Column | str, most: int = 200) -> Column:
     """The first lines and the relevant ones of the rest, or, if these are few, the lines that follow the head."""
-    full = F.filter(F.transform(T.lines(x), strip), lambda v: v != "")
-    rest = F.slice(full, HEAD + 1, F.greatest(F.size(full), F.lit(1)))
-    good = F.filter(rest, _relevant)
-    body = F.when(F.size(good) < FEW, F.slice(full, HEAD + 1, UPTO - HEAD)).otherwise(good)
-    return strip(F.array_join(F.slice(F.concat(F.slice(full, 1, HEAD), F.array(F.lit("")), body), 1, most), "\n"))
+
+    def split(full: Column) -> Column:
+        rest = F.transform(F.slice(full, HEAD + 1, F.greatest(F.size(full), F.lit(1))), lambda v: F.struct(v.alias("v"), F.lower(v).alias("l")))
+        return F.struct(full.alias("full"), F.transform(F.filter(rest, lambda s: _relevant(s["v"], s["l"])), lambda s: s["v"]).alias("good"))
+
+    def joined(s: Column) -> Column:
+        body = F.when(F.size(s["good"]) < FEW, F.slice(s["full"], HEAD + 1, UPTO - HEAD)).otherwise(s["good"])
+        return F.array_join(F.slice(F.concat(F.slice(s["full"], 1, HEAD), F.array(F.lit("")), body), 1, most), "\n")
+
+    # nested, so that lines are stripped, lower-cased and looked through once
+    return strip(given(given(F.filter(F.transform(T.lines(x), strip), lambda v: v != ""), split), joined))
 
 
 def compact(df: DataFrame, cleaned: str, most: int = 7000) -> DataFrame:
