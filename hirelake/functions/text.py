@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType
 from .matching import IU, _c, distinct_by, given, strip
 
 # ---- fixed values ----
+CARD_WORDS = ("опыт", "ставк", "rate", "cv")
 VACANCY_HINTS = ("нужен", "нужна", "нужно", "ищем", "требуется", "вакансия", "позиция", "проект", "отклик", "обязанности", "требования")
 GRADE = r"\b(junior|middle\+?|senior|lead|architect|staff|principal|head)\b"
 GRADE_PARTS = ("junior", "middle", "senior", "lead", "architect", "staff", "principal", "head")
@@ -120,13 +121,18 @@ def pre_classify(signals: Column | str) -> Column:
 def with_bench_lines(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with ``out``: array of struct(idx, text) of the lines of texts that are lists of cards, else an empty one."""
     kept = df.columns
-    bare = F.transform(lines(text), lambda v: F.regexp_replace(strip(v), r"(?U)^[\-•\d).\s]+", ""))
-    listed = F.regexp_like(F.coalesce(_c(text), F.lit("")), F.lit(LINES))  # other texts are one line
-    rows = df.select(*kept, F.when(listed, normalize_bench_lines(bare)).alias("_lines"))
-    full = F.filter(F.transform("_lines", lambda v, i: F.struct((i + 1).alias("idx"), v.alias("text"), F.lower(v).alias("low"))), lambda s: s["text"] != "")
-    rows = rows.select(*kept, F.coalesce(full, F.array().cast("array<struct<idx:int,text:string,low:string>>")).alias("_full"))
-    hinted = F.transform("_full", lambda s: F.struct(s["idx"].alias("idx"), s["text"].alias("text"), s["low"].alias("low"), _hinted(s["low"]).alias("hint")))
-    rows = rows.select(*kept, F.size("_full").alias("_n"), F.when(F.size("_full") >= 2, F.filter(hinted, lambda s: ~s["hint"])).alias("_j"))
+    # without one of these words a line's confidence is 0.30 at most, and normalizing makes none of them: only lines that hold one are normalized, and
+    # only texts with two such lines are looked through
+    card = lambda v: reduce(lambda a, b: a | b, [F.contains(v, F.lit(w)) for w in CARD_WORDS])
+    raw = F.when(card(F.lower(_c(text))), F.transform(lines(text), lambda v: F.struct(v.alias("text"), card(F.lower(v)).alias("card"))))
+    rows = df.select(*kept, raw.alias("_raw")).select(*kept, F.when(F.size(F.filter("_raw", lambda s: s["card"])) >= 2, F.col("_raw")).alias("_raw"))
+    bare = F.transform("_raw", lambda s, i: F.struct((i + 1).alias("idx"), F.regexp_replace(strip(s["text"]), r"(?U)^[\-•\d).\s]+", "").alias("text"), s["card"].alias("card")))
+    rows = rows.select(*kept, F.filter(bare, lambda s: s["text"] != "").alias("_full"))
+    rows = rows.select(*kept, F.size("_full").alias("_n"), F.filter("_full", lambda s: s["card"]).alias("_cards"))
+    rows = rows.select(*kept, "_n", F.when((F.size("_cards") >= 2) & (F.size("_cards") >= F.floor(F.col("_n") * 0.6)), F.col("_cards")).alias("_cards"))
+    rows = rows.select(*kept, "_n", "_cards", normalize_bench_lines(F.transform("_cards", lambda s: s["text"])).alias("_lines"))
+    done = F.transform("_lines", lambda v, i: F.struct(F.get(F.col("_cards"), i)["idx"].alias("idx"), v.alias("text"), F.lower(v).alias("low")))
+    rows = rows.select(*kept, "_n", F.filter(done, lambda s: ~_hinted(s["low"])).alias("_j"))
     rows = rows.select(*kept, "_n", F.filter("_j", lambda s: _confidence(s["text"], s["low"], F.lit(False)) >= 0.55).alias("_hits"))
     enough = (F.size("_hits") >= 2) & (F.size("_hits") >= F.floor(F.col("_n") * 0.6))
     found = F.transform("_hits", lambda s: F.struct(s["idx"].alias("idx"), s["text"].alias("text")))
