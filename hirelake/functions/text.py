@@ -155,11 +155,14 @@ def hybrid_decision(pre: Column | str, forced: Column, label: Column, threshold:
 
 def contacts(x: Column | str) -> Column:
     t = F.coalesce(_c(x), F.lit(""))
+    none = F.array().cast("array<string>")
+    at = lambda found: F.when(F.contains(t, F.lit("@")), found).otherwise(none)  # noqa: E731  # patterns are tried where their signs stand
     phone = F.regexp_extract_all(t, F.lit(r"(?U)(?:(?:\+7|7|8)\s*)?(?:\(?\d{3}\)?\s*)?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}"), F.lit(0))
+    phone = F.when(F.regexp_like(t, F.lit(r"(?U)\d{2}")), phone).otherwise(none)
     phone = F.transform(F.filter(phone, lambda p: F.length(F.regexp_replace(p, r"\D", "")) >= 10), strip)
     handles = F.regexp_extract_all(t, F.lit(r"@[A-Za-z0-9_]{4,64}"), F.lit(0))
     mails = F.regexp_extract_all(t, F.lit(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.concat(handles, mails, phone)))
+    return F.array_sort(F.array_distinct(F.concat(at(handles), at(mails), phone)))
 
 
 def text_urls(x: Column | str) -> Column:
@@ -261,12 +264,13 @@ def labeled_value(x: Column | str, *labels: str) -> Column:
 
 def guess_role(x: Column | str, weak: bool = True) -> Column:
     """The first of a post's first lines with three characters or more, without its mark and its opening word; else, if weak ones count, its first line."""
-    full = F.filter(F.transform(lines(x), strip), lambda v: v != "")
     mark = lambda v: F.regexp_replace(v, r"(?U)^[=~\-—•*]+\s*", "")
     verb = lambda v: F.regexp_replace(v, r"(?iU)^(требуется|нужен|нужна|ищем|вакансия)\s*[:\-]?\s*", "")
     cut = lambda v: strip(F.substring(v, 1, 120))
-    found = F.get(F.filter(F.transform(F.slice(full, 1, 6), lambda v: cut(verb(mark(v)))), lambda v: F.length(v) >= 3), F.lit(0))
-    return F.coalesce(found, F.nullif(cut(mark(F.get(full, F.lit(0)))), F.lit(""))) if weak else found
+    found = lambda full: F.get(F.filter(F.transform(full, lambda v: cut(verb(mark(v)))), lambda v: F.length(v) >= 3), F.lit(0))
+    first = lambda full: F.get(F.filter(F.transform(F.slice(full, 1, 1), lambda v: cut(mark(v))), lambda v: v != ""), F.lit(0))
+    full = F.slice(F.filter(F.transform(lines(x), strip), lambda v: v != ""), 1, 6)
+    return given(full, lambda v: F.coalesce(found(v), first(v)) if weak else found(v))
 
 
 def guess_grade(x: Column | str) -> Column:
@@ -279,8 +283,7 @@ def guess_grade(x: Column | str) -> Column:
 
 
 def guess_stack(x: Column | str) -> Column:
-    low = F.lower(_c(x))
-    return F.slice(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(show)) for w, show in TOOL_WORDS])), 1, 25)
+    return given(F.lower(_c(x)), lambda low: F.slice(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(show)) for w, show in TOOL_WORDS])), 1, 25))
 
 
 def parse_kv_lines(x: Column | str) -> Column:
