@@ -146,7 +146,8 @@ class Runs:
 def losses(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST, batches: int = 4, fanout: int = 3, runs: Runs | None = None) -> DataFrame:
     """(id, lost array<struct<h1, h2>>): for each document the keys whose lines it loses. runs: those of earlier documents, which these are added to."""
     spark = docs.sparkSession
-    keys = cut(line_keys(docs, id, text, least))
+    # narrow rows by id: many small partitions become few, since each batch and each join below goes over all of them
+    keys = cut(line_keys(docs, id, text, least).repartition("id"))
     cuts = keys.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     bounds = sorted(set(cuts))
     runs = runs or Runs(spark, fanout)
