@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.session import cut
+from hirelake.session import cut, spread
 
-from .matching import _c, strip
+from .matching import _c, given, strip
 
 #: Words up to which a table of them is broadcast.
 FEW_WORDS = 200_000
@@ -69,15 +72,31 @@ def plain_text(x: Column) -> Column:
 
 def keywords(x: Column | str) -> Column:
     """The distinct words of more than two characters that are no stop words."""
-    words = F.split(F.regexp_replace(plain_text(_c(x)), r"[^\p{L}\p{N}+#.]", " "), " ")
+    return _words_of(plain_text(_c(x)))
+
+
+def _words_of(plain: Column) -> Column:
+    words = F.split(F.regexp_replace(plain, r"[^\p{L}\p{N}+#.]", " "), " ")
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS)))
 
 
 def profiles(x: Column | str) -> Column:
     """The role profiles of which a term stands in the text as a whole word or run of words."""
-    hay = F.concat(F.lit(" "), plain_text(_c(x)), F.lit(" "))
-    holds = lambda terms: F.exists(F.array(*[F.lit(f" {t} ") for t in terms]), lambda t: F.contains(hay, t))
-    return F.array_compact(F.array(*[F.when(holds(terms), F.lit(name)) for name, terms in PROFILES]))
+    return _profiles_of(plain_text(_c(x)))
+
+
+def _profiles_of(plain: Column) -> Column:
+    holds = lambda hay, terms: reduce(or_, [F.contains(hay, F.lit(f" {t} ")) for t in terms])
+    found = lambda hay: F.array_compact(F.array(*[F.when(holds(hay, terms), F.lit(name)) for name, terms in PROFILES]))
+    return given(F.concat(F.lit(" "), plain, F.lit(" ")), found)
+
+
+def _side(rows: DataFrame, id: str) -> DataFrame:
+    """id, words, profiles of the rows (id, text) that have both. A text is made plain once; the empty ones are left out only when all is stored, since a filter
+    before would work out words and profiles once more."""
+    plain = spread(rows.select(F.col(id).alias("id"), "text")).select("id", plain_text(F.col("text")).alias("_plain"))
+    out = cut(plain.select("id", _words_of(F.col("_plain")).alias("words"), F.array_sort(_profiles_of(F.col("_plain"))).alias("profiles")))
+    return out.where((F.size("words") > 0) & (F.size("profiles") > 0))
 
 
 def shared_words(q: DataFrame, t: DataFrame) -> DataFrame:
@@ -119,8 +138,7 @@ def keyword_match(queries: DataFrame, targets: DataFrame, best: int = BEST, leas
     apart into targets, and the result joined with the queries. A word that all rows have makes no pairs of rows."""
     from pyspark.sql import Window
 
-    side = lambda df, id: df.select(F.col(id).alias("id"), keywords("text").alias("words"), F.array_sort(profiles("text")).alias("profiles")).where((F.size("words") > 0) & (F.size("profiles") > 0))
-    q, t = cut(side(queries, "query_id")), cut(side(targets, "id"))
+    q, t = _side(queries, "query_id"), _side(targets, "id")
     known = shared_words(q, t)
     q, t = _keyed(q, known), _keyed(t, known)
     t = cut(t.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("_n") <= best))
