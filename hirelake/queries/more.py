@@ -131,8 +131,8 @@ def settings_lookup(spark, d):
 
 @query("threshold_filter", features_sql("SELECT vacancy_id, specialist_id, score FROM final WHERE score >= 0.5 AND rate_score > 0"))
 def threshold_filter(spark, d):
-    hits = P.rank_specialists(table(spark, d, "vacancies"), table(spark, d, "specialists"), AS_OF, k=None)
-    return L.over_threshold(hits, rate_given=True).select("vacancy_id", "specialist_id", "score")
+    hits = P.every_match(table(spark, d, "vacancies"), table(spark, d, "specialists"), AS_OF, lambda scored: L.over_threshold(scored, rate_given=True))
+    return hits.select("vacancy_id", "specialist_id", "score")
 
 
 @query("topk_per_query_by_label", features_sql("SELECT vacancy_id, specialist_id, rank FROM (" + RANKED + ") t WHERE rank <= 10"))
