@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -36,9 +38,29 @@ def file_kind(path: Column, content_type: Column | None = None) -> Column:
     return out.otherwise("unsupported")
 
 
-def _csv(data: bytes) -> list[tuple[str, int, int, list[str]]]:
-    rows = csv.reader(io.StringIO(data.decode("utf-8", "replace"), newline=""))
-    return [("", 0, n, list(r)) for n, r in enumerate(rows)]
+#: Bytes of a file that a task decodes at a time, and rows and bytes of a batch of its rows: what Python holds beside the pieces that Arrow brings.
+PIECE, BATCH_ROWS, BATCH_BYTES = 1 << 20, 10_000, 4 << 20
+
+
+def _lines(pieces: Iterator[bytes]) -> Iterator[str]:
+    """A text that comes in pieces, cut at its \\n; invalid bytes are replaced. A quote that spans lines is the csv reader's, which asks for the next one."""
+    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    rest: list[str] = []
+    for piece in pieces:
+        *lines, last = decode(piece).split("\n")
+        if lines:
+            yield "".join([*rest, lines[0], "\n"])
+            yield from (x + "\n" for x in lines[1:])
+            rest = []
+        rest.append(last)
+    rest.append(decode(b"", True))
+    if last := "".join(rest):
+        yield last
+
+
+def _csv(pieces: Iterator[bytes]) -> Iterator[tuple[str, int, int, list[str]]]:
+    # lone \r end rows too: StringIO cuts a line at them
+    return (("", 0, n, row) for n, row in enumerate(csv.reader(x for line in _lines(pieces) for x in (io.StringIO(line, newline="") if "\r" in line else (line,)))))
 
 
 def _column(ref: str) -> int:
@@ -76,24 +98,38 @@ def _xlsx(data: bytes) -> list[tuple[str, int, int, list[str]]]:
 
 
 def _rows(kind: str):
-    parse = {"csv": _csv, "xlsx": _xlsx}[kind]
+    parse = {"csv": _csv, "xlsx": lambda pieces: _xlsx(b"".join(pieces))}[kind]
+
+    def batch(path: str, rows: list) -> pa.RecordBatch:
+        columns = [pa.array([path] * len(rows), pa.string()), *[pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())))]]
+        return pa.RecordBatch.from_arrays(columns, ["file", "sheet", "sheet_index", "row_index", "cells"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, data in zip(b.column(0), b.column(1)):
-                rows = parse(data.as_py())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path.as_py()] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.list_(pa.string()))],
-                    ["file", "sheet", "sheet_index", "row_index", "cells"],
-                )
+        pieces = ((path.as_py(), data) for b in batches for path, data in zip(b.column(0), b.column(1)))
+        for path, own in groupby(pieces, lambda x: x[0]):
+            some, size = [], 0
+            for row in parse(data.as_py() for _, data in own):
+                some.append(row)
+                size += sum(map(len, row[3]))
+                if len(some) >= BATCH_ROWS or size >= BATCH_BYTES:
+                    yield batch(path, some)
+                    some, size = [], 0
+            if some:
+                yield batch(path, some)
 
     return of
 
 
 def read_sheet_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Rows of the csv or xlsx files below a path, in file order by row_index."""
+    """Rows of the csv or xlsx files below a path, in file order by row_index. A file goes to Python in pieces, one behind the other, and its rows leave in
+    batches, so a csv file of any length takes the memory of a few of them there; a workbook is put together again."""
+    most = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b"))
+    if not 0 < most <= 8 * PIECE:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * PIECE))
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(_rows(kind), CELLS)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("content") - 1), F.lit(PIECE))
+    pieces = files.select("path", "content", F.explode(starts).alias("start")).select("path", F.substring("content", F.col("start") + 1, F.lit(PIECE)).alias("content"))
+    return pieces.mapInArrow(_rows(kind), CELLS)
 
 
 def read_docx_text(spark: SparkSession, path: str) -> DataFrame:
