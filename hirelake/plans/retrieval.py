@@ -62,9 +62,11 @@ def vacancy_hits(specialists: DataFrame, vacancies: DataFrame, as_of: str, k: in
 
 
 def scored_hits(hits: DataFrame, vacancies: DataFrame, specialists: DataFrame, as_of: str, required: str = "vacancy") -> DataFrame:
-    """The hits that pass the gates, as structs v (the required side) and s with their scores; the hit's similarity is the semantic score."""
-    v = P.carried(vacancies, "VACANCY", as_of).select(F.struct("*").alias("a"))
-    s = P.carried(specialists, "BENCH", as_of).select(F.struct("*").alias("b"))
+    """The hits that pass the gates, as structs v (the required side) and s with their scores; the hit's similarity is the semantic score. Features are
+    worked out of the rows that are hit, which may be few of a side."""
+    hit = lambda rows, by: rows.join(hits.select(F.col(by).alias("id")).distinct(), "id", "left_semi")
+    v = P.carried(hit(vacancies, "vacancy_id"), "VACANCY", as_of).select(F.struct("*").alias("a"))
+    s = P.carried(hit(specialists, "specialist_id"), "BENCH", as_of).select(F.struct("*").alias("b"))
     pairs = hits.join(v, F.col("vacancy_id") == F.col("a.id")).join(s, F.col("specialist_id") == F.col("b.id"))
     first, second, budget = ("a", "b", "v") if required == "vacancy" else ("b", "a", "s")
     pairs = pairs.select(F.struct(F.col(f"{first}.*"), F.col("sim").alias("hit")).alias("v"), F.col(second).alias("s")).where(P.stack_gate())
