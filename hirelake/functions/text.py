@@ -131,7 +131,7 @@ def with_bench_lines(df: DataFrame, text: str, out: str) -> DataFrame:
     rows = rows.select(*kept, F.size("_full").alias("_n"), F.filter("_full", lambda s: s["card"]).alias("_cards"))
     rows = rows.select(*kept, "_n", F.when((F.size("_cards") >= 2) & (F.size("_cards") >= F.floor(F.col("_n") * 0.6)), F.col("_cards")).alias("_cards"))
     rows = rows.select(*kept, "_n", "_cards", normalize_bench_lines(F.transform("_cards", lambda s: s["text"])).alias("_lines"))
-    done = F.transform("_lines", lambda v, i: F.struct(F.get(F.col("_cards"), i)["idx"].alias("idx"), v.alias("text"), F.lower(v).alias("low")))
+    done = F.zip_with("_cards", "_lines", lambda s, v: F.struct(s["idx"].alias("idx"), v.alias("text"), F.lower(v).alias("low")))
     rows = rows.select(*kept, "_n", F.filter(done, lambda s: ~_hinted(s["low"])).alias("_j"))
     rows = rows.select(*kept, "_n", F.filter("_j", lambda s: _confidence(s["text"], s["low"], F.lit(False)) >= 0.55).alias("_hits"))
     enough = (F.size("_hits") >= 2) & (F.size("_hits") >= F.floor(F.col("_n") * 0.6))
@@ -141,7 +141,9 @@ def with_bench_lines(df: DataFrame, text: str, out: str) -> DataFrame:
 
 def split_bench_lines(df: DataFrame, id: str, text: str) -> DataFrame:
     """id, idx, text: the lines of texts that are lists of cards; other texts have no row."""
-    return with_bench_lines(df.select(id, text), text, "_cards").select(id, F.explode("_cards").alias("_u")).select(id, "_u.idx", "_u.text")
+    # an explode that is no outer one asks for lists that are not empty, and Spark moves that question below the steps, where each repeats the one before wherever it names it
+    rows = with_bench_lines(df.select(id, text), text, "_cards").select(id, F.explode_outer("_cards").alias("_u"))
+    return rows.where(F.col("_u").isNotNull()).select(id, "_u.idx", "_u.text")
 
 
 def hybrid_decision(pre: Column | str, forced: Column, label: Column, threshold: float = 0.55) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hirelake.functions import messages as G
 from hirelake.functions import text as T
 from hirelake.operators.joins import partner_mention
+from hirelake.session import spread
 from hirelake.sources.domain import table, with_tables
 
 from . import query
@@ -226,7 +227,7 @@ def split_bench_lists(spark, d):
     line = F.when(k % (2 + nation % 4) == 0, F.concat(F.lit("note "), k)).otherwise(card)
     lists = table(spark, d, "customer").groupBy((nation * 1000 + k % 7).alias("c")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("l")))).alias("s"))  # a post's lines
     posts = lists.select("c", F.array_join(F.transform("s", lambda x, i: F.concat(F.when(i % 2 == 0, "- ").otherwise("3) "), x["l"])), "\n").alias("text"))
-    return T.split_bench_lines(posts, "c", "text")
+    return T.split_bench_lines(spread(posts), "c", "text")
 
 
 @query("stream_classify_posts", with_tables(f"""SELECT id, CASE WHEN (confidence >= 0.55 AND NOT hint) OR regexp_matches(l, '(?i)(^|[^а-яёa-z0-9_])(bench|бенч)') THEN 'bench' WHEN hint THEN 'vacancy' ELSE 'irrelevant' END AS kind FROM
